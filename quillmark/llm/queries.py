@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .classifier import op8_quality_classifier
+from .mixing import OP5_SQL, op5_mixing
+from .neardup import op6_near_duplicates
 from .quality_rules import op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op1_sharding
@@ -11,6 +13,8 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op5_mixing": op5_mixing,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_quality_classifier": op8_quality_classifier,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
