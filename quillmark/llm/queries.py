@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from .classifier import op8_quality_classifier
+from .decontamination import OP7_SQL, op7_decontamination
 from .mixing import OP5_SQL, op5_mixing
 from .neardup import op6_near_duplicates
 from .quality_rules import op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op1_sharding
+from .substrings import op4_substring_dedup
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
 }
-SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
+SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op7_decontamination": OP7_SQL}
