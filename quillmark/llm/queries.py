@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .classifier import op8_quality_classifier
+from .counts import op10_token_counts
 from .decontamination import OP7_SQL, op7_decontamination
 from .mixing import OP5_SQL, op5_mixing
 from .neardup import op6_near_duplicates
@@ -10,6 +11,7 @@ from .quality_rules import op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op1_sharding
 from .substrings import op4_substring_dedup
+from .training_order import op9_training_order
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -20,5 +22,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_training_order": op9_training_order,
+    "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op7_decontamination": OP7_SQL}

@@ -84,7 +84,7 @@ def chunks(df: DataFrame, id_col: str, text: str, least: int, most: int) -> Data
     return rows.select("_d", "_t", F.inline("c"))
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 24, most: int = 256, min_bytes: int = 64) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 24, most: int = 256, min_bytes: int = 128) -> DataFrame:
     """id, _t, start, end (code points), n_chunks, n_bytes, first_id, n_copies of each stretch of a text whose chunks all occur elsewhere too.
 
     Texts are cut where the gear hash of the last 32 bytes says so, so an insertion moves no cut but those near it. Chunks with one
@@ -110,7 +110,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     return out.filter(F.col("bytes") >= min_bytes).select(F.col("_d").alias(id_col), "_t", "start", "end", F.col("chunks").alias("n_chunks"), F.col("bytes").alias("n_bytes"), F.col("first").alias("first_id"), F.col("n").alias("n_copies"))
 
 
-def cut_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 24, most: int = 256, min_bytes: int = 64) -> DataFrame:
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 24, most: int = 256, min_bytes: int = 128) -> DataFrame:
     """df with its texts cut: a repeated stretch stays in the rows of its first_id and goes from all others. Rows and columns as in df."""
     spans = repeated_spans(df, id_col, text, least, most, min_bytes).filter(~F.col(id_col).eqNullSafe(F.col("first_id")))
     spans = written(spans.groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_q_s")), "spans")
