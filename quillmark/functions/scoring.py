@@ -82,7 +82,7 @@ def rules_consistent(rules: list[dict], col=F.col) -> Column:  # noqa: ANN001
         if r.get("type") == "value_match":
             ok = F.coalesce(col(r["field"]).cast("string") == F.lit(r.get("expected")), F.lit(False))
         elif r.get("type") == "range_check":
-            v = F.try_cast(col(r["field"]).cast("string"), "double") if hasattr(F, "try_cast") else col(r["field"]).cast("string").try_cast("double")
+            v = col(r["field"]).cast("string").try_cast("double")
             ok = F.coalesce(v.isNotNull() & (v >= F.lit(float(r.get("min", float("-inf"))))) & (v <= F.lit(float(r.get("max", float("inf"))))), F.lit(False))
         else:
             ok = F.lit(True)
