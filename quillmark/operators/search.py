@@ -65,11 +65,11 @@ def visible(points: DataFrame, acls: DataFrame, user: str, chunk: str = "chunk_i
     names, so the four kinds are united by chunk instead of one join on a disjunction.
     """
     mine = acls.filter(F.col("user_id") == user)
-    scope = lambda c: F.explode(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), F.trim))
+    scope = lambda c: F.explode(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.trim(x)))
     index = mine.filter("access_type = 'index'").select(scope("index_scope").alias("product_id")).filter("product_id <> ''").distinct()
     document = mine.filter("access_type = 'document'").select(scope("doc_scope").alias("document_id")).filter("document_id <> ''").distinct()
     field = mine.filter("access_type = 'field'").select(F.lower("field_scope").alias("s"))
-    field = field.select(F.explode(F.transform(F.split(F.coalesce(F.col("s"), F.lit("")), ","), F.trim)).alias("s")).filter("s <> ''").distinct()
+    field = field.select(F.explode(F.transform(F.split(F.coalesce(F.col("s"), F.lit("")), ","), lambda x: F.trim(x))).alias("s")).filter("s <> ''").distinct()
     f = F.lower(F.trim(F.col("field_name")))
     if mine.limit(10_001).count() > 10_000:
         raise ValueError("one user has too many rules")
