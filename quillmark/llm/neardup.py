@@ -250,3 +250,15 @@ def keep_one(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents by links of 2-word shingles at 80 %."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w ELSE w[i:i + 1] END AS g FROM w, unnest(range(1, greatest(len(w), 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS root, doc_id AS node FROM w UNION SELECT r.root, e.y FROM r JOIN e ON e.x = r.node)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT root, min(node) AS c FROM r GROUP BY root) m ON m.root = w.doc_id
+"""

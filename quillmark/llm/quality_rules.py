@@ -93,3 +93,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     x = host_rules(docs)
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "host_docs", "host_failures", F.round("host_rate", 9).alias("host_rate"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS row FROM documents),
+g AS (SELECT row, i, w[i:i + 4] AS gram FROM d, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) > 4),
+again AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, gram) > 1),
+rep AS (SELECT row, count(DISTINCT i + j) AS n FROM again, unnest(range(5)) AS u(j) GROUP BY row),
+lin AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM lin WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+f AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (row) LEFT JOIN dup USING (row)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(source, chr(0)) AS h FROM f),
+hosts AS (SELECT h, count(*) AS host_docs, sum(base_failed::INT)::BIGINT AS host_failures FROM b GROUP BY h),
+m AS (SELECT avg(host_failures / host_docs) AS m, var_pop(host_failures / host_docs) AS v, avg(1.0::DOUBLE / host_docs) AS i FROM hosts),
+s AS (SELECT m, CASE WHEN v > m * (1 - m) * i THEN least(10000, greatest(1, m * (1 - m) / (v - m * (1 - m) * i) - 1)) ELSE 10000 END AS s FROM m),
+r AS (SELECT h, host_docs, host_failures, (host_failures + m * s) / (host_docs + s) AS rate FROM hosts, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, source, host_docs, host_failures, round(rate, 9) AS host_rate FROM b JOIN r USING (h)
+"""

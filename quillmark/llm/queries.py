@@ -6,10 +6,10 @@ from .classifier import op8_quality_classifier
 from .counts import op10_token_counts
 from .decontamination import OP7_SQL, op7_decontamination
 from .mixing import OP5_SQL, op5_mixing
-from .neardup import op6_near_duplicates
-from .quality_rules import op3_quality_rules
+from .neardup import OP6_SQL, op6_near_duplicates
+from .quality_rules import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
-from .sharding import op1_sharding
+from .sharding import OP1_SQL, op1_sharding
 from .substrings import op4_substring_dedup
 from .training_order import op9_training_order
 
@@ -25,4 +25,10 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op7_decontamination": OP7_SQL}
+SQL: dict[str, str] = {
+    "op1_sharding": OP1_SQL,
+    "op3_quality_rules": OP3_SQL,
+    "op5_mixing": OP5_SQL,
+    "op6_near_duplicates": OP6_SQL,
+    "op7_decontamination": OP7_SQL,
+}

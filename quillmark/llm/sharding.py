@@ -52,3 +52,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     x = docs.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     return interleave(x).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+OP1_SQL = """
+WITH RECURSIVE bits AS (SELECT i AS n, i::UBIGINT AS v, 0 AS k FROM range(256) AS t(i) UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(3988292384::UBIGINT, v >> 1) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
+raw AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (
+  SELECT doc_id, source, (length(h) // 2 + 1)::BIGINT AS size,
+         xor(4294967295::UBIGINT, list_reduce(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UBIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::INT + 1]), 4294967295::UBIGINT))::BIGINT AS text_crc32
+  FROM raw, tab),
+k AS (SELECT *, ('0x' || substr(md5('shard-1|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s FROM crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, doc_id) - 1 AS r, count(*) OVER (PARTITION BY s) AS n FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1) / (2.0::DOUBLE * n), encode(s), r) - 1 AS p, count(*) OVER () AS every FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p * 8 // every)::INTEGER AS shard, (p - ((p * 8 // every) * every + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM p
+"""
