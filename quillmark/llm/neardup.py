@@ -108,11 +108,10 @@ def least_matches(similarity: float, miss: float = MISS, step: int = BANDS) -> l
     return [(n, next(m for m in range(n + 1) if above(m, n) >= miss)) for n in range(step, HASHES + 1, step)]
 
 
-def verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked.
+def likely(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, sa, sb) those that sequential verification leaves, as distinct (a, b).
 
-    First batches of the signatures are compared, and a pair leaves at the first look that makes it too unlikely; then
-    the whole sets of the others are compared: 100 * shared >= percent * all.
+    Batches of the signatures sa and sb are compared one after the other, and a pair leaves at the first look that makes it too unlikely.
     """
     looks = least_matches(percent / 100)
 
@@ -128,48 +127,45 @@ def verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -
             keep = pa.array(live)
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
-    s = sigs.select("cls", "sig")
-    both = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    likely = arrow_map(both, run, "a binary, b binary")
-    sized = likely.join(sets.toDF("b", "ib"), "b").join(sets.toDF("a", "ia"), "a")
+    return arrow_map(pairs.select("a", "b", "sa", "sb"), run, "a binary, b binary").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are linked: 100 * shared >= percent * all."""
+    sized = pairs.join(sets.toDF("b", "ib"), "b").join(sets.toDF("a", "ia"), "a")
     shared = F.size(F.array_intersect("ia", "ib")).cast("long")
-    return sized.filter(100 * shared >= percent * (F.size("ia") + F.size("ib") - shared)).select("a", "b").distinct()
+    return sized.filter(100 * shared >= percent * (F.size("ia") + F.size("ib") - shared)).select("a", "b")
 
 
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """node, root for every node of edges (a, b): the least node that it reaches.
 
-    Alternating stars: each node's larger neighbours, then its smaller ones, are tied to the least node that it sees, until
-    nothing changes. That takes rounds in the order of the logarithm of the longest path; sums by node are made before joins, so a hub's edges
+    Alternating stars: each node's larger neighbours, then its smaller ones, are tied to the least node that it sees, until all edges form
+    stars. That takes rounds in the order of the logarithm of the longest path; least nodes are found by sums made before the shuffle, so a hub's edges
     are spread over tasks. Nothing is collected.
     """
-    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    before = None
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.filter("u > v")
+        down = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        near = down.join(least, "u")
-        tied = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = written(tied.filter("u > v").distinct(), label)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        tied = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        if e.select(F.col("v").alias("u")).distinct().join(e.select("u"), "u", "left_semi").isEmpty():  # no root hangs on another node
             break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", spread: int = 8, rounds: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", spread: int = 8) -> DataFrame:
     """Of each row of df: id, n_shingles, component_id (the least id that its links reach, its own included), kept (id = component_id).
 
     Texts with equal shingle sets are one class. Classes that share one of 25 band keys of five hashes are candidates: similarity 0.8
-    is missed with a chance of 5e-5. A bucket's pairs are never all listed: each member is compared with the bucket's
-    first, links make groups, and only members of different groups still need a look. While these pairs are more than
-    `spread` times the members, another leader per bucket is compared (`rounds` times at most); then every pair that still joins different
-    groups and was not compared is compared, so no link between different groups is left out, and there is no cap. Pairs are dropped by `verified`,
-    and every link is confirmed on whole sets.
+    is missed with a chance of 5e-5. A bucket's pairs are never all listed. Its most central member, the one with most candidates, is
+    compared with the others first, which joins families around their origin; only members outside its group still need a look. Where
+    these have more than `spread` pairs per member, they are compared with one random member of that group in each of their buckets; then
+    every pair of a bucket that is still in different groups, one of them outside the central one, is compared. So no link between different groups
+    is left out, and there is no cap. Pairs are dropped by `likely`, and every link is confirmed on whole sets.
 
     Nulls: null and empty texts have no shingles and stay by themselves; a null id stays by itself, with component_id null and kept true.
     Rows that repeat an id are scored by their own text; equal rows get equal results. An empty table gives an empty result.
@@ -177,59 +173,69 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     """
     found = written(signatures(df, k, id_col, text), "signatures")
     known = found.filter(F.col(id_col).isNotNull() & F.col("cls").isNotNull())
-    firsts = known.groupBy("cls").agg(F.min(id_col).alias("first"))
-    roots = links(df, known, k, percent, id_col, text, spread, rounds)
+    sigs = known.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(id_col).alias("first"))
+    sigs = written(sigs, "classes")  # equal classes have equal signatures, so any row's will do
+    roots = links(df, sigs, k, percent, id_col, text, spread)
     if roots is None:
-        classes = firsts.select("cls", F.col("first").alias("_c"))
+        classes = sigs.select("cls", F.col("first").alias("_c"))
     else:
-        rooted = firsts.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
+        rooted = sigs.select("cls", "first").join(roots.select(F.substring("node", 6, 16).alias("cls"), "root"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
         classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("_c")), "root").select("cls", "_c")
     out = found.select(id_col, "n_shingles", "cls").join(classes, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col(id_col)).when(F.col(id_col).isNotNull(), F.col("_c"))
     return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept"))
 
 
-def links(df: DataFrame, known: DataFrame, k: int, percent: int, id_col: str, text: str, spread: int, rounds: int) -> DataFrame | None:
-    """node, root of the classes that have links; None without any."""
-    sigs = known.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(id_col).alias("first"))
-    sigs = written(sigs, "classes")  # equal classes have equal signatures, so any row's will do
+def members_of(sigs: DataFrame) -> DataFrame:
+    """key, node, sig, n, first: a row for each class in each bucket of two or more classes; n is the bucket's size.
+
+    A node is its class's digest behind five bytes that are the lower, the more candidates it has, so the least node is the most central.
+    """
     keys = sigs.select("cls", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lead")).filter("n > 1")
-    members = written(keys.join(shared, "key").select("key", "cls", "lead"), "members")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    inside = keys.join(shared, "key")
+    many = F.sum("n").over(Window.partitionBy("cls"))  # of 25 rows at most
+    rank = F.unhex(F.lpad(F.hex(F.lit(1 << 39) - F.least(many, F.lit((1 << 39) - 1))), 10, "0"))
+    return inside.withColumn("node", F.concat(rank, F.col("cls"))).join(sigs.select("cls", "sig", "first"), "cls").select("key", "node", "sig", "n", "first")
+
+
+def links(df: DataFrame, sigs: DataFrame, k: int, percent: int, id_col: str, text: str, spread: int) -> DataFrame | None:
+    """node, root of the classes that have links; None without any."""
+    members = written(members_of(sigs), "members")
     if members.isEmpty():
         return None
-    ids = members.select("cls").distinct().join(sigs.select("cls", "first"), "cls")
-    sigs = sigs.select("cls", "sig")
-    wanted = small(written(ids.select(F.col("first").alias(id_col)).distinct(), "ids"))
-    sets = shingle_sets(df.select(id_col, text).join(wanted, id_col, "left_semi"), k, text)
-    sets = written(sets, "sets")  # a repeated row gives its pairs again, which does no harm
-    pair = [F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")]
-    pairs = written(members.filter("cls <> lead").select(*pair).distinct(), "pairs")
-    compared, edges = pairs, written(verified(pairs, sigs, sets, percent), "links")
+    ids = written(members.select("node", F.col("first").alias(id_col)).distinct(), "ids")
+    wanted = ids.select(id_col, F.substring("node", 6, 16).alias("cls"), "node")
+    texts = df.select(id_col, text).join(small(ids.select(id_col)), id_col, "left_semi")
+    sets = written(shingle_sets(texts, k, text).join(small(wanted.select("cls", "node")), "cls").select("node", "items"), "sets")
+
+    lead = members.groupBy("key").agg(F.min(F.struct("node", "sig")).alias("s")).select("key", F.col("s.node").alias("lead"), F.col("s.sig").alias("sa"))
+    led = written(members.join(lead, "key").select("key", "node", "lead", "n", F.col("sig").alias("sb"), "sa"), "led")
+    first = led.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "sa", "sb")
+    edges = written(confirmed(likely(first, percent), sets, percent), "links")
     roots = components(edges)
-    for r in range(rounds + 1):
-        placed = members.select("key", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        buckets = groups.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("g")).filter("g > 1 AND m > 2")
-        open_ = written(placed.join(buckets.select("key", "m", F.col("top.root").alias("top"), F.col("top.c").alias("c")), "key"), "open")
-        rest = open_.filter("root <> top").select("key", F.col("cls").alias("x"), F.col("root").alias("rx"))
-        size = open_.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("root") != F.col("top"), F.col("m")).otherwise(0)).alias("p")).first()
-        if not size.n:
-            break
-        if size.p <= spread * size.n or r == rounds:
-            across = rest.join(open_.select("key", "cls", "root"), "key").filter("rx <> root")
-            new = across.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"))
-        else:  # one more leader: of those outside the largest group the first, by another order each time
-            order = F.struct(F.xxhash64(F.lit(r), "x").alias("h"), F.col("x"))
-            lead = rest.groupBy("key").agg(F.min(order).alias("s")).select("key", F.col("s.x").alias("lead"))
-            new = open_.join(lead, "key").filter("cls <> lead").select(*pair)
-        new = written(new.distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
-        more = written(verified(new, sigs, sets, percent), "links")
-        edges, compared = edges.unionByName(more), compared.unionByName(new)
+
+    def placed() -> tuple[DataFrame, DataFrame]:
+        """Members with their root, and those outside their bucket's central group."""
+        r = roots.select("node", "root")
+        x = led.filter("n > 2").select("key", "node", "lead", "n", "sb").join(r, "node", "left").join(r.toDF("lead", "top"), "lead", "left")
+        x = x.withColumn("root", F.coalesce("root", "node")).withColumn("top", F.coalesce("top", "lead"))
+        x = written(x.select("key", "node", "n", "sb", "root", "top"), "placed")
+        return x, x.filter("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), "top", F.col("sb").alias("sa"))
+
+    every, outside = placed()
+    size = every.agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("n")).otherwise(0)).alias("pairs"), F.count(F.lit(1)).alias("n")).first()
+    if size.pairs and size.pairs > spread * size.n:
+        some = every.filter("root = top").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "sb")).alias("s"))
+        pairs = outside.join(some.select("key", F.col("s.node").alias("b"), F.col("s.sb").alias("sb")), "key").select("a", "b", "sa", "sb")
+        edges = written(edges.unionByName(confirmed(likely(pairs, percent), sets, percent)), "links")
+        roots = components(edges)
+        every, outside = placed()
+    if size.pairs:
+        across = outside.join(every.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), "sb"), "key").filter("ra <> rb AND (rb = top OR a < b)")
+        more = written(confirmed(likely(across, percent), sets, percent), "links")
         if not more.isEmpty():
-            roots = components(edges)
-        if size.p <= spread * size.n or r == rounds:
-            break
+            roots = components(edges.unionByName(more))
     return roots
 
 
