@@ -27,11 +27,12 @@ def _count_sql(terms: tuple[str, ...]) -> str:
     return "(" + " + ".join(f"(length(low) - length(replace(low, '{t}', ''))) / {len(t)}" for t in terms) + ")"
 
 
-@query(
-    f"""SELECT doc_id, CASE WHEN {_count_sql(K.MEDICAL_WORDS)} >= 2 OR regexp_matches(low, '{'|'.join(K.MEDICAL_PHRASES)}') THEN 'MEDICAL'
+SQL_ROUTE = f"""SELECT doc_id, CASE WHEN {_count_sql(K.MEDICAL_WORDS)} >= 2 OR regexp_matches(low, '{'|'.join(K.MEDICAL_PHRASES)}') THEN 'MEDICAL'
   WHEN regexp_matches(low, '{'|'.join(K.BANKING_WORDS)}') AND ({_count_sql(K.BANKING_WORDS)} >= 3 OR regexp_matches(low, '{'|'.join(K.BANKING_PHRASES)}')) THEN 'FINANCIAL' WHEN regexp_matches(low, '{'|'.join(K.REGULATORY_WORDS)}') THEN 'REGULATORY' ELSE 'TECH' END AS playbook
 FROM (SELECT doc_id, lower(text) || ' ' || chr(10) || ' ' || lower(source) AS low FROM documents)"""
-)
+
+
+@query(SQL_ROUTE)
 def playbook_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The playbook that a document is routed to."""
     return docs(spark, sf_dir).select("doc_id", K.route(F.col("text"), F.col("source")).alias("playbook"))

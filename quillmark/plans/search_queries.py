@@ -83,8 +83,8 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.retrieval(nearest(spark, sf_dir).select("query_id", "rank", "id"), expected)
 
 
-_QA = "WITH u AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS r2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), qa AS (SELECT conv_id, turn, text AS question, answer FROM u WHERE role = 'user' AND r2 = 'assistant')"
-_WS = r"list_distinct(regexp_extract_all(lower({}), '[^\x20\x09-\x0D]+'))"
+SQL_PAIRS = "WITH u AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS r2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), qa AS (SELECT conv_id, turn, text AS question, answer FROM u WHERE role = 'user' AND r2 = 'assistant')"
+SQL_WORDS = r"list_distinct(regexp_extract_all(lower({}), '[^\x20\x09-\x0D]+'))"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ _REF = " OR ".join("contains(lower(answer), '{}')".format(p.replace("'", "''"))
 
 
 @query(
-    _QA + f""", s AS (SELECT *, {_WS.format('question')} AS q, {_WS.format('answer')} AS a FROM qa)
+    SQL_PAIRS + f""", s AS (SELECT *, {SQL_WORDS.format('question')} AS q, {SQL_WORDS.format('answer')} AS a FROM qa)
 SELECT conv_id, turn, round(CASE WHEN question = '' OR answer = '' THEN 0.0 ELSE least(1.0, len(list_intersect(q, a)) / greatest(len(q), 1) * 0.7 + least(1.0, length(answer) / 100) * 0.3) END::DOUBLE, 6) AS relevance,
   round(CASE WHEN question <> '' THEN len(list_intersect(q, a)) / greatest(len(list_distinct(list_concat(q, a))), 1) END::DOUBLE, 6) AS correctness,
   CASE WHEN (turn % 4 = 2) = (turn % 3 = 0 OR answer = '' OR {_REF}) THEN 1.0 WHEN turn % 4 = 2 THEN 0.0 ELSE 0.3 END::DOUBLE AS refusal FROM s"""
@@ -114,8 +114,8 @@ _CLAIMS = f"list_filter(list_transform(regexp_split_to_array(answer, '[.!?]+'),
 
 
 @query(
-    _QA + f""", c AS (SELECT conv_id, turn, unnest({_CLAIMS}) AS claim FROM qa), k AS (SELECT conv_id, turn AS t2, {_WS.format('text')} AS w FROM conversations WHERE role = 'user'),
-g AS (SELECT c.conv_id, c.turn, c.claim, bool_or(len(list_intersect({_WS.format('claim')}, k.w)) / greatest(len({_WS.format('claim')}), 1) > 0.3) AS ok FROM c JOIN k USING (conv_id) GROUP BY c.conv_id, c.turn, c.claim)
+    SQL_PAIRS + f""", c AS (SELECT conv_id, turn, unnest({_CLAIMS}) AS claim FROM qa), k AS (SELECT conv_id, turn AS t2, {SQL_WORDS.format('text')} AS w FROM conversations WHERE role = 'user'),
+g AS (SELECT c.conv_id, c.turn, c.claim, bool_or(len(list_intersect({SQL_WORDS.format('claim')}, k.w)) / greatest(len({SQL_WORDS.format('claim')}), 1) > 0.3) AS ok FROM c JOIN k USING (conv_id) GROUP BY c.conv_id, c.turn, c.claim)
 SELECT conv_id, turn, count(*) AS claims, count_if(ok)::BIGINT AS supported, round(count_if(ok) / count(*)::DOUBLE, 6) AS groundedness FROM g GROUP BY conv_id, turn"""
 )
 def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _QA + r""", m AS (SELECT *, regexp_replace(answer, '(\w+)\. ', '\1 [' || (turn % 3 + 1) || ']. ', 'g') AS marked FROM qa), p AS (SELECT *, list_distinct(regexp_extract_all(marked, '\[\d+\]')) AS marks,
+    SQL_PAIRS + r""", m AS (SELECT *, regexp_replace(answer, '(\w+)\. ', '\1 [' || (turn % 3 + 1) || ']. ', 'g') AS marked FROM qa), p AS (SELECT *, list_distinct(regexp_extract_all(marked, '\[\d+\]')) AS marks,
   list_filter(list_transform(regexp_split_to_array(marked, '[.!?]+\s+'), lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: length(x) > 15)[1:15] AS parts FROM m),
 c AS (SELECT *, CASE WHEN len(parts) = 0 THEN 1.0 ELSE len(list_filter(parts, lambda s: len(list_filter(marks, lambda k: instr(marked, k) > 0 AND instr(marked, k) >= instr(marked, s) - 100 AND instr(marked, k) <= instr(marked, s) + length(s) + 100)) > 0)) / greatest(len(parts), 1) END AS cover FROM p)
 SELECT conv_id, turn, round(CASE WHEN len(marks) = 0 THEN 0.5 ELSE cover * 0.7 + 0.5 * 0.3 END::DOUBLE, 6) AS coverage FROM c"""
@@ -142,7 +142,7 @@ def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AGG = (
-    _QA + f""", s AS (SELECT *, {_WS.format('question')} AS q, {_WS.format('answer')} AS a FROM qa), v AS (SELECT least(1.0, len(list_intersect(q, a)) / greatest(len(q), 1) * 0.7 + least(1.0, length(answer) / 100) * 0.3)::DOUBLE AS answer_relevance,
+    SQL_PAIRS + f""", s AS (SELECT *, {SQL_WORDS.format('question')} AS q, {SQL_WORDS.format('answer')} AS a FROM qa), v AS (SELECT least(1.0, len(list_intersect(q, a)) / greatest(len(q), 1) * 0.7 + least(1.0, length(answer) / 100) * 0.3)::DOUBLE AS answer_relevance,
   CASE WHEN answer = '' OR {_REF} THEN 0.3 ELSE 1.0 END::DOUBLE AS refusal_correctness FROM s),
 y AS (SELECT 'answer_relevance' AS metric, answer_relevance AS value FROM v UNION ALL SELECT 'refusal_correctness', refusal_correctness FROM v), """
 )
