@@ -41,6 +41,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes the tables that `written` left in the shared folder; to be called once their results were stored."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(top) if fs.exists(top) else []:
+        if s.getPath().getName().startswith("quillmark-"):
+            fs.delete(s.getPath(), True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it was counted to at most `rows` rows; else Spark joins by shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
