@@ -199,6 +199,20 @@ def members_of(sigs: DataFrame) -> DataFrame:
     return inside.withColumn("node", F.concat(rank, F.col("cls"))).join(sigs.select("cls", "sig", "first"), "cls").select("key", "node", "sig", "n", "first")
 
 
+def bounds(every: DataFrame, outside: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, size, most: of each node in a bucket with members outside its group, its shingles and how many of them occur in another such set.
+
+    Two sets share no more than the lesser `most`, so a pair for which that isn't enough has no link, whatever its signatures say. No
+    link is lost by leaving it out, and variants that strayed too far from their family are told apart without a look at its sets.
+    """
+    nodes = every.join(outside.select("key").distinct(), "key", "left_semi").select("node").distinct()
+    open_ = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    items = open_.select("node", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    sizes = open_.select("node", F.size("items").cast("long").alias("size")).join(alone, "node", "left")
+    return written(sizes.select("node", "size", (F.col("size") - F.coalesce("u", F.lit(0))).alias("most")), "bounds")
+
+
 def links(df: DataFrame, sigs: DataFrame, k: int, percent: int, id_col: str, text: str, spread: int) -> DataFrame | None:
     """node, root of the classes that have links; None without any."""
     members = written(members_of(sigs), "members")
@@ -232,7 +246,11 @@ def links(df: DataFrame, sigs: DataFrame, k: int, percent: int, id_col: str, tex
         roots = components(edges)
         every, outside = placed()
     if size.pairs:
-        across = outside.join(every.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), "sb"), "key").filter("ra <> rb AND (rb = top OR a < b)")
+        own = bounds(every, outside, sets)
+        left, right = outside.join(own.toDF("a", "na", "ca"), "a"), every.join(own.toDF("node", "nb", "cb"), "node")
+        most = F.least("ca", "cb")
+        could = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+        across = left.join(right.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), "sb", "nb", "cb"), "key").filter(F.expr("ra <> rb AND (rb = top OR a < b)") & could)
         more = written(confirmed(likely(across, percent), sets, percent), "links")
         if not more.isEmpty():
             roots = components(edges.unionByName(more))
