@@ -30,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
+    if "://" not in where:  # of the default store, which other readers than Spark don't know
+        top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        where = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString()
+        where = "file://" + where[5:] if where.startswith("file:/") and "://" not in where else where
     return where.rstrip("/")
 
 
