@@ -154,9 +154,9 @@ def synthetic_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "sentence", (F.col("i") + 1).alias("n"), F.concat(F.lit("What does the text say about "), "sentence", F.lit("?")).alias("question"))
 
 
-@query(f"SELECT source, count(*) AS files, sum(tokens)::BIGINT AS tokens, sum(chunks)::BIGINT AS chunks, round(sum(tokens) / 1000.0 * 0.0003, 6)::DOUBLE AS cost FROM (SELECT source, floor({NW} * 1.3) AS tokens, greatest(1, ceil(floor({NW} * 1.3) / 800)) AS chunks FROM documents) GROUP BY source")
+@query(f"SELECT source, count(*) AS files, sum(tokens)::BIGINT AS tokens, sum(chunks)::BIGINT AS chunks, round(sum(tokens) / 1000.0 * 0.0003, 9)::DOUBLE AS cost FROM (SELECT source, floor({NW} * 1.3) AS tokens, greatest(1, ceil(floor({NW} * 1.3) / 800)) AS chunks FROM documents) GROUP BY source")
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, chunks of 800 and embedding cost by source."""
     tok = T.token_estimate(F.col("text"))
     x = docs(spark, sf_dir).select("source", tok.alias("t")).select("source", "t", F.greatest(F.lit(1), F.ceil(F.col("t") / 800)).alias("c"))
-    return x.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("t").cast("bigint").alias("tokens"), F.sum("c").cast("bigint").alias("chunks"), F.round(F.sum("t") / 1000.0 * 0.0003, 6).alias("cost"))
+    return x.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("t").cast("bigint").alias("tokens"), F.sum("c").cast("bigint").alias("chunks"), F.round(F.sum("t") / 1000.0 * 0.0003, 9).alias("cost"))
