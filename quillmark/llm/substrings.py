@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,14 +57,14 @@ def cuts(data: np.ndarray, least: int, most: int) -> list[int]:
 
 
 def chunks(df: DataFrame, id_col: str, text: str, least: int, most: int) -> DataFrame:
-    """_d (id), _t (key of the row), start, end (code points), size (bytes), hi, lo (128-bit digest): a row for each chunk."""
+    """_d (id), _t (key of the row), start, end (code points), at, size (bytes), hi, lo (128-bit digest): a row for each chunk."""
     id_type = dict(df.dtypes)[id_col]
-    chunk = "array<struct<start:int,end:int,size:int,hi:bigint,lo:bigint>>"
-    fields = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())]))
+    chunk = "array<struct<start:int,end:int,at:int,size:int,hi:bigint,lo:bigint>>"
+    fields = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            starts, ends, sizes, digests, offsets = [], [], [], [], [0]
+            starts, ends, begins, sizes, digests, offsets = [], [], [], [], [], [0]
             for t in b.column(2).cast(pa.binary()):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 data = np.frombuffer(raw, np.uint8)
@@ -73,22 +74,130 @@ def chunks(df: DataFrame, id_col: str, text: str, least: int, most: int) -> Data
                 at = (points[np.array(stop, np.int64) - 1] if points is not None and stop else np.array(stop, np.int64)).tolist()
                 starts += [0, *at[:-1]] if at else []
                 ends += at
+                begins += begin
                 sizes += [e - s for s, e in zip(begin, stop, strict=True)]
                 digests += [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(begin, stop, strict=True)]
                 offsets.append(len(ends))
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            parts = [pa.array(x, pa.int32()) for x in (starts, ends, sizes)] + [pa.array(two[:, i], pa.int64()) for i in (0, 1)]
+            parts = [pa.array(x, pa.int32()) for x in (starts, ends, begins, sizes)] + [pa.array(two[:, i], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(fields.value_type)))], ["_d", "_t", "c"])
 
     rows = arrow_map(df.select(F.col(id_col).alias("_d"), F.xxhash64(F.col(id_col), F.col(text)).alias("_t"), F.col(text).cast("string").alias("_x")), run, f"_d {id_type}, _t bigint, c {chunk}")
     return rows.select("_d", "_t", F.inline("c"))
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 24, most: int = 256, min_bytes: int = 128) -> DataFrame:
-    """id, _t, start, end (code points), n_chunks, n_bytes, first_id, n_copies of each stretch of a text whose chunks all occur elsewhere too.
+def common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def whole_words(context: bytes, n: int, back: bool) -> tuple[int, int]:
+    """The most bytes, up to n, of a context after which neither a character nor an ASCII word is cut, and their code points."""
+    word = lambda i: i < len(context) and context[i] < 0x80 and chr(context[i]).isalnum()
+    inside = lambda i: 0 <= i < len(context) and context[i] & 0xC0 == 0x80
+    while n and (inside(n - 1 if back else n) or (word(n - 1) and word(n))):
+        n -= 1
+    return n, sum(x & 0xC0 != 0x80 for x in context[:n])
+
+
+def contexts(docs: DataFrame, reach: int) -> DataFrame:
+    """hi, lo, back, ctx, edge, _t, pos (code points), byte: up to `reach` bytes on the marked sides of each place in p; those in front reversed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t, x, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
+                raw = x.as_buffer().to_pybytes()
+                for p in places:
+                    if p["ml"]:
+                        stop, a = p["at"], max(0, p["at"] - reach)
+                        while a < stop and raw[a] & 0xC0 == 0x80:
+                            a += 1
+                        rows.append((p["hi"], p["lo"], True, raw[a:stop][::-1], p["left"], t, p["start"], stop))
+                    if p["mr"]:
+                        a = p["at"] + p["size"]
+                        stop = min(len(raw), a + reach)
+                        while a < stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+                            stop -= 1
+                        rows.append((p["hi"], p["lo"], False, raw[a:stop], p["right"], t, p["end"], a))
+            rows = [r for r in rows if r[3]]
+            cols = zip(*rows, strict=True) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["hi", "lo", "back", "ctx", "edge", "_t", "pos", "byte"])
+
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+    return arrow_map(docs, run, "hi bigint, lo bigint, back boolean, ctx binary, edge boolean, _t bigint, pos int, byte int")
+
+
+def shared_lengths(every: DataFrame) -> DataFrame:
+    """hi, lo, back, h, bytes, points: how much of each context some other place of its chunk shares.
+
+    Different contexts are dealt by ranges and sorted, so the longest common prefix is that with a neighbour, and no chunk's places are in one task,
+    however many. Contexts on either side of a range's end are compared on the driver: two for each task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, best, first = None, 0, True
+        for b in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                n = 0
+                if last is not None:
+                    n = common(last[3], r[3]) if last[:3] == r[:3] else 0
+                    out.append((*last[:3], last[4], *whole_words(last[3], max(best, n), last[2]), part, last[3] if first else None))
+                    first = False
+                last, best = r, len(r[3]) if r[5] else n
+            yield _lengths(out)
+        if last is not None:
+            yield _lengths([(*last[:3], last[4], *whole_words(last[3], best, last[2]), part, last[3])])
+
+    alike = every.groupBy("hi", "lo", "back", "ctx", "h").agg((F.min("place") != F.max("place")).alias("two"))
+    order = ["hi", "lo", "back", "ctx"]
+    dealt = alike.select(*order, "h", "two").repartitionByRange(*order).sortWithinPartitions(*order)
+    out = written(arrow_map(dealt, run, "hi bigint, lo bigint, back boolean, h bigint, bytes int, points int, part int, ctx binary"), "lengths")
+    ends = sorted((tuple(r) for r in out.filter("ctx IS NOT NULL").collect()), key=lambda r: (r[6], r[0], r[1], r[2], r[7]))
+    more = []
+    for a, b in zip(ends, ends[1:], strict=False):
+        if a[6] != b[6] and a[:3] == b[:3]:
+            n = common(a[7], b[7])
+            more += [(*x[:4], *whole_words(x[7], n, x[2])) for x in (a, b)]
+    found = out.drop("part", "ctx")
+    if more:
+        found = found.union(every.sparkSession.createDataFrame(more, found.schema)).groupBy("hi", "lo", "back", "h").agg(F.max("bytes").alias("bytes"), F.max("points").alias("points"))
+    return found.filter("bytes > 0")
+
+
+def _lengths(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    cols = zip(*rows, strict=True) if rows else [[]] * 8
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["hi", "lo", "back", "h", "bytes", "points", "part", "ctx"])
+
+
+def extensions(df: DataFrame, id_col: str, text: str, texts: DataFrame, reach: int) -> DataFrame:
+    """_t, more: what lies beside the ends of each text's repeated chunks and also beside the same chunk elsewhere, in whole words.
+
+    Only chunks that end a stretch somewhere are looked at, in all their places. A chunk that lies wholly in a common stretch behind a common chunk
+    is common itself, so `reach` need not be more than a chunk's greatest size there; in front it bounds what is found.
+    """
+    x = texts.selectExpr("_t", """inline(transform(c, (e, i) -> named_struct('start', e.start, 'end', e.end, 'at', e.at, 'size', e.size, 'hi', e.hi, 'lo', e.lo,
+        'left', e.start > 0 AND coalesce(get(c, i - 1).end, -1) <> e.start, 'right', coalesce(get(c, i + 1).start, -1) <> e.end)))""")
+    marks = x.filter("`left` OR `right`").groupBy("hi", "lo").agg(F.bool_or("left").alias("ml"), F.bool_or("right").alias("mr"))
+    where = x.join(small(marks), ["hi", "lo"]).groupBy("_t").agg(F.collect_list(F.struct("start", "end", "at", "size", "hi", "lo", "left", "right", "ml", "mr")).alias("p"))
+    docs = df.select(F.xxhash64(F.col(id_col), F.col(text)).alias("_t"), F.col(text).cast("string").alias("_x")).join(where.hint("shuffle_hash"), "_t")
+    every = written(contexts(docs, reach).withColumn("h", F.xxhash64("ctx")).withColumn("place", F.xxhash64("_t", "pos")), "contexts")
+    found = every.filter("edge").join(small(shared_lengths(every)), ["hi", "lo", "back", "h"])
+    piece = """named_struct('start', if(back, pos - points, pos), 'end', if(back, pos, pos + points), 'at', if(back, byte - bytes, byte), 'size', bytes)"""
+    return found.groupBy("_t").agg(F.collect_set(F.expr(piece)).alias("more"))
+
+
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 24, most: int = 256, min_bytes: int = 128, whole: bool = True) -> DataFrame:
+    """id, _t, start, end (code points), n_chunks, n_bytes, first_id, n_copies of each stretch of a text that also occurs elsewhere.
 
     Texts are cut where the gear hash of the last 32 bytes says so, so an insertion moves no cut but those near it. Chunks with one
-    digest in two or more places are repeated; neighbours in a text make a stretch, and stretches of min_bytes or more are returned. first_id is the least id
+    digest in two or more places are repeated; neighbours in a text make a stretch. Its ends are moved outwards by whole words as far as the text
+    agrees with any other place of the chunk there (`extensions`; not with whole=False, nor if there is no least length to reach), stretches that then
+    meet are one, and those of min_bytes or more are returned. first_id is the least id
     that holds one of its chunks, n_copies the largest number of places of one of them. Numbers by digest are summed in the tasks
     before the shuffle, so a passage in a third of all texts is one row per task; Spark splits the join of its places.
 
@@ -98,21 +207,28 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     every = chunks(df, id_col, text, least, most)
     often = every.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("first_id"), F.min("_t").alias("t0"), F.max("_t").alias("t1"), F.min("start").alias("s0"), F.max("start").alias("s1"))
     often = often.filter("n > 1 AND (t0 <> t1 OR s0 <> s1)").select("hi", "lo", "n", "first_id")
-    places = every.join(often, ["hi", "lo"]).select("_d", "_t", "start", "end", "size", "n", "first_id")
-    texts = places.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "end", "size", "n", "first_id"))).alias("c"))  # one text's chunks
-    empty = "cast(array() AS array<struct<start:int,end:int,chunks:int,bytes:int,first:{0},n:bigint>>)".format(dict(df.dtypes)[id_col])
-    merged = f"""aggregate(c, {empty}, (a, x) -> CASE
-        WHEN size(a) > 0 AND a[size(a) - 1].end = x.start
-        THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', x.end, 'chunks', a[size(a) - 1].chunks + 1, 'bytes', a[size(a) - 1].bytes + x.size,
-            'first', least(a[size(a) - 1].first, x.first_id), 'n', greatest(a[size(a) - 1].n, x.n))))
-        ELSE concat(a, array(named_struct('start', x.start, 'end', x.end, 'chunks', 1, 'bytes', x.size, 'first', x.first_id, 'n', x.n))) END)"""
-    out = texts.select("_d", "_t", F.inline(F.expr(merged)))
+    places = every.join(often, ["hi", "lo"]).select("_d", "_t", "start", "end", "at", "size", "n", "first_id", "hi", "lo")
+    texts = places.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "end", "at", "size", "n", "first_id", "hi", "lo"))).alias("c"))  # one text's chunks
+    if whole and min_bytes > 0:
+        texts = written(texts, "chunks")
+        texts = texts.join(extensions(df, id_col, text, texts, most).hint("shuffle_hash"), "_t", "left").withColumn("c", F.expr("""if(more IS NULL, c, array_sort(concat(c, transform(more, m -> named_struct('start', m.start,
+            'end', m.end, 'at', m.at, 'size', m.size, 'n', c[0].n, 'first_id', c[0].first_id, 'hi', cast(null AS bigint), 'lo', cast(null AS bigint))))))"""))
+    empty = "cast(array() AS array<struct<start:int,end:int,chunks:int,at:int,stop:int,first:{0},n:bigint>>)".format(dict(df.dtypes)[id_col])
+    merged = f"""aggregate(transform(c, x -> named_struct('start', x.start, 'end', x.end, 'chunks', int(x.hi IS NOT NULL), 'at', x.at, 'stop', x.at + x.size,
+        'first', if(x.hi IS NULL, null, x.first_id), 'n', if(x.hi IS NULL, null, x.n))), {empty}, (a, x) -> CASE
+        WHEN size(a) > 0 AND a[size(a) - 1].end >= x.start
+        THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end), 'chunks', a[size(a) - 1].chunks + x.chunks,
+            'at', a[size(a) - 1].at, 'stop', greatest(a[size(a) - 1].stop, x.stop), 'first', least(a[size(a) - 1].first, x.first), 'n', greatest(a[size(a) - 1].n, x.n))))
+        ELSE concat(a, array(x)) END)"""
+    out = texts.select("_d", "_t", F.inline(F.expr(merged))).withColumn("bytes", F.expr("stop - at"))
     return out.filter(F.col("bytes") >= min_bytes).select(F.col("_d").alias(id_col), "_t", "start", "end", F.col("chunks").alias("n_chunks"), F.col("bytes").alias("n_bytes"), F.col("first").alias("first_id"), F.col("n").alias("n_copies"))
 
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 24, most: int = 256, min_bytes: int = 128) -> DataFrame:
-    """df with its texts cut: a repeated stretch stays in the rows of its first_id and goes from all others. Rows and columns as in df."""
-    spans = repeated_spans(df, id_col, text, least, most, min_bytes).filter(~F.col(id_col).eqNullSafe(F.col("first_id")))
+    """df with its texts cut: a repeated stretch stays in the rows of its first_id and goes from all others. Rows and columns as in df.
+
+    Stretches are not extended here, as the words beside a chunk may be shared with other rows than those of first_id."""
+    spans = repeated_spans(df, id_col, text, least, most, min_bytes, whole=False).filter(~F.col(id_col).eqNullSafe(F.col("first_id")))
     spans = written(spans.groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_q_s")), "spans")
     x = df.withColumn("_t", F.xxhash64(F.col(id_col), F.col(text))).join(small(spans), "_t", "left")
     kept = f"""concat(aggregate(_q_s, named_struct('p', 0, 's', ''), (a, s) -> named_struct('p', s.end, 's', concat(a.s, substring(`{text}`, a.p + 1, s.start - a.p))), a -> a.s),

@@ -168,6 +168,38 @@ def test_shared_passages_are_found_and_clean_texts_are_not(spark):
     assert cut[100] == texts[100] and all(len(cut[i]) < len(texts[i]) - 100 for i in range(101, 120)) and all(cut[i] == texts[i] for i in range(80))
 
 
+def test_passages_of_just_over_50_words_are_found_whole(spark):
+    """Pairs with a passage of 51 words each: the span is the whole passage, whatever of it lies outside of whole chunks."""
+    rng = random.Random(8)
+    docs, passages = [], {}
+    for i in range(150):
+        passage = prose(rng, 51)
+        for j in (2 * i, 2 * i + 1):
+            front = prose(rng, rng.randrange(5, 60)) + " "
+            docs.append((j, f"{front}{passage} {prose(rng, rng.randrange(5, 60))}"))
+            passages[j] = (len(front), len(front) + len(passage))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    old = {r.doc_id for r in substrings.repeated_spans(df, whole=False).collect()}
+    rows = substrings.repeated_spans(df).collect()
+    found = {r.doc_id for r in rows}
+    assert old < found and len(found) >= 0.98 * len(docs) > len(old), (len(old), len(found))
+    covered = [r for r in rows if r.start <= passages[r.doc_id][0] and passages[r.doc_id][1] <= r.end]
+    assert len(covered) >= 0.95 * len(rows)
+    assert all(abs(r.start - passages[r.doc_id][0]) <= 40 and abs(r.end - passages[r.doc_id][1]) <= 40 and r.n_bytes == r.end - r.start for r in covered)
+
+
+def test_shared_lengths_are_those_of_all_pairs(spark):
+    """Sorted neighbours give what comparing each context with every other would, also across the ends of ranges."""
+    rng = random.Random(9)
+    contexts = [(i % 3, bytes(rng.choice(b"ab ") for _ in range(rng.randrange(1, 30)))) for i in range(400)]
+    df = spark.createDataFrame([(d, d, False, bytearray(c), i) for i, (d, c) in enumerate(contexts)], "hi bigint, lo bigint, back boolean, ctx binary, place bigint")
+    got = {(r.hi, r.h): r.bytes for r in substrings.shared_lengths(df.withColumn("h", F.xxhash64("ctx"))).collect()}
+    keys = {(r.hi, bytes(r.ctx)): r.h for r in df.select("hi", "ctx", F.xxhash64("ctx").alias("h")).collect()}
+    for i, (d, c) in enumerate(contexts):
+        n = max(substrings.common(c, e) for j, (f, e) in enumerate(contexts) if j != i and f == d)
+        assert got.get((d, keys[d, c]), 0) == substrings.whole_words(c, n, False)[0]
+
+
 def test_substrings_of_odd_rows(nasty, none):
     assert substrings.repeated_spans(none).count() == 0
     assert {r.doc_id for r in substrings.repeated_spans(nasty, min_bytes=32).collect()} <= {1, 4, 7}
