@@ -20,17 +20,19 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Character classes from narrow to wide: name, the class's own pattern, least entropy in bits of a window of 20 characters.
+#: Character classes from narrow to wide: name, the class's own runs, least entropy in bits of a window of 20 characters.
+#: Upper and lower case are entries of their own, as a run that either may start must be as long as it can be.
 CLASSES = (
     ("digits", re.compile(r"[0-9]+"), 3.1),
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 3.0),
-    ("lower", re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 3.6),
+    ("hex", re.compile(r"[0-9a-f]+"), 3.0),
+    ("hex", re.compile(r"[0-9A-F]+"), 3.0),
+    ("lower", re.compile(r"[a-z0-9]+"), 3.6),
+    ("lower", re.compile(r"[A-Z0-9]+"), 3.6),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7),
 )
-#: Candidates that match one of these wholly are no secrets: words, numbers, dashed lines, file paths, UUIDs, alphabets.
+#: Candidates that match one of these wholly are no secrets: words, dashed lines, file paths, UUIDs, alphabets.
 ALLOW = (
     r"[A-Za-z]+",
-    r"[0-9]+",
     r"[-_=+/]+",
     r"[A-Za-z]+(?:[-_/+=][A-Za-z]+)*[-_/+=]*",
     r"/?(?:[A-Za-z0-9_-]{1,12}/)+[A-Za-z0-9_-]{0,12}",
@@ -82,14 +84,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, width: int, allow: re.Pattern, classes: Sequence = CLASSES) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of windows over the limit of the narrowest class that holds the whole candidate."""
+    """(start, 3, end) of windows over the limit of their class: of every class the longest runs inside a candidate are searched,
+    unless a narrower class holds the whole run or `allow` matches it, so a name or path in front of a value doesn't change its limit.
+    Windows that overlap are one span."""
     out = []
     for m in CANDIDATE.finditer(text):
-        found = m[0]
-        if allow.fullmatch(found):
+        if allow.fullmatch(m[0]):
             continue
-        least = next(x for _, p, x in classes if p.fullmatch(found))
-        out += [(m.start() + a, 3, m.start() + b) for a, b in windows(found, width, least)]
+        seen: set[tuple[int, int]] = set()
+        found: list[tuple[int, int]] = []
+        for _, p, least in classes:
+            for r in p.finditer(m[0]):
+                if r.end() - r.start() >= width and r.span() not in seen:
+                    seen.add(r.span())
+                    if not allow.fullmatch(r[0]):
+                        found += [(r.start() + a, r.start() + b) for a, b in windows(r[0], width, least)]
+        stop = -1
+        for a, b in sorted(found):
+            a, b = m.start() + a, m.start() + b
+            if a <= stop:
+                stop = max(stop, b)
+                out[-1] = (out[-1][0], 3, stop)
+            else:
+                stop = b
+                out.append((a, 3, b))
     return out
 
 
@@ -106,8 +124,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     """A row for each row of df: its id, n_assign, n_access, n_hex, n_entropy, base_sha256 and spans (array of kind, start, end).
 
     Spans count code points, end exclusive, in order of start, then kind. Candidate strings of 20 or more characters that no pattern
-    of `allow` matches wholly are searched by `windows` at the limit of their character class; the fixed patterns are
-    found in any case. Rows are independent: no shuffle, and a batch of bounded bytes in memory.
+    of `allow` matches wholly are searched by `windows`, each run of a character class inside them at the limit of its class; the fixed
+    patterns are found in any case. Rows are independent: no shuffle, and a batch of bounded bytes in memory.
 
     Nulls: a null text counts as '' and has no spans; a null id is kept. Repeated rows give equal rows. An empty table gives an
     empty result. Only the id and the text are read; other columns have no effect, whatever their names.

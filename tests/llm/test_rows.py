@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -71,6 +72,22 @@ def test_entropy_and_allow_list(spark):
     assert free[2]
 
 
+@pytest.mark.parametrize("front", ["", "sid=", "build/", "prod-", "key_", "X", "7f="])
+def test_values_have_their_own_limit_behind_a_name(front):
+    """Upper-case hex keys and long numbers are found behind a name as they are alone; words and even numbers are not."""
+    rng = random.Random(11)
+    allow = re.compile("|".join(f"(?:{p})" for p in secrets._numbered(secrets.ALLOW)))
+    for alphabet, n in (("0123456789ABCDEF", 40), ("0123456789", 60)):
+        for _ in range(200):
+            value = "".join(rng.choice(alphabet) for _ in range(n))
+            alone, behind = (secrets.entropy_spans(x, 20, allow) for x in (value, front + value))
+            cover = [{p - k for a, _, b in spans for p in range(a, b)} for spans, k in ((alone, 0), (behind, len(front)))]
+            assert cover[0] <= cover[1] and (alphabet != "0123456789ABCDEF" or cover[0])
+            assert all(behind[i][2] < behind[i + 1][0] for i in range(len(behind) - 1))
+    assert secrets.entropy_spans("31415926407852193607", 20, allow) and not secrets.entropy_spans("11112222333344445555", 20, allow)
+    assert not secrets.entropy_spans(front + "internationalisation", 20, allow)
+
+
 def test_secrets_of_odd_rows(nasty, none):
     assert secrets.find_secrets(nasty).count() == nasty.count() and secrets.find_secrets(none).count() == 0
     assert {r.n_hex for r in secrets.find_secrets(nasty.filter("text IS NULL")).collect()} == {0}
