@@ -31,28 +31,43 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def period_cuts(h: np.ndarray, most: int) -> list[int]:
+    """Ends in a part without a cut where its bytes repeat with a period up to `most`: behind the least hash of each period.
+
+    The last 32 bytes occurred before if their hash did, so the ends depend on the repeated bytes alone and not on where a run starts.
+    """
+    values = h.tolist()
+    if len(set(values)) == len(values):
+        return []
+    out, last = [], {}
+    for i, x in enumerate(values):
+        if i - last.get(x, -most - 1) <= most and x == min(values[last[x] + 1 : i + 1]):
+            out.append(i + 1)
+        last[x] = i
+    return out
+
+
 def cuts(data: np.ndarray, least: int, most: int) -> list[int]:
-    """Ends of the chunks: behind a byte whose hash has MASK's bits 0, from `least` bytes on, at `most` bytes at the latest, and
-    never inside a character."""
+    """Ends of the chunks: behind a byte whose hash has MASK's bits 0, from `least` bytes on, and never inside a character.
+
+    Where no such byte comes, runs of repeated bytes are cut by their period, and what is still longer than `most` bytes behind the byte of least hash."""
     n = len(data)
     whole = np.append((data[1:] & 0xC0) != 0x80, True) if n else np.empty(0, bool)
+    h = gear(data)
+    ends = (np.flatnonzero(((h & MASK) == 0) & whole) + 1).tolist()
+    h = np.where(whole, h, np.uint32(0xFFFFFFFF))
+    for a, b in zip([0, *ends], [*ends, n], strict=True):
+        if b - a > 32 + least:
+            part = h[a : b - 1] if b < n else h[a:b]
+            ends += [a + e for e in period_cuts(part, most) if whole[a + e - 1]]
     out, start = [], 0
-    for end in (np.flatnonzero(((gear(data) & MASK) == 0) & whole) + 1).tolist():
+    for end in [*sorted(ends), n]:
         while end - start > most:
-            start += most
-            while not whole[start - 1]:
-                start -= 1
+            start += least + int(h[start + least - 1 : start + most].argmin())
             out.append(start)
-        if end - start >= least:
+        if end - start >= least or (end == n and start < n):
             out.append(end)
             start = end
-    while n - start > most:
-        start += most
-        while not whole[start - 1]:
-            start -= 1
-        out.append(start)
-    if start < n:
-        out.append(n)
     return out
 
 

@@ -149,6 +149,37 @@ def test_cuts_cover_the_text_and_resist_insertions():
     assert substrings.cuts(np.frombuffer(b"a" * 1000, np.uint8), 24, 256)[-1] == 1000
 
 
+@pytest.mark.parametrize("unit", ["Der ", "a", "ab", "é", "three words repeated, ", "a longer sentence that is repeated word by word over and over; "])
+def test_periodic_runs_share_chunks_at_any_offset(unit):
+    """Equal runs of one word or sentence, behind texts of other lengths, are cut into equal chunks."""
+    rng = random.Random(12)
+    run = unit * (400 // len(unit.encode()))
+    seen = []
+    for n in range(0, 60, 3):
+        raw = (prose(rng, n) + " " + run + prose(rng, 20)).encode()
+        ends = substrings.cuts(np.frombuffer(raw, np.uint8), 24, 256)
+        sizes = np.diff([0, *ends])
+        assert ends[-1] == len(raw) and sizes.max() <= 256 and all(s >= 24 for s in sizes[:-1])
+        seen.append({raw[s:e] for s, e in zip([0, *ends], ends, strict=False) if raw[s:e] in run.encode()})
+    assert set.intersection(*seen)
+
+
+def test_forced_cuts_follow_the_text():
+    """A stretch without any cut by the hash, behind two texts of other lengths, gets the same cuts soon."""
+    rng = random.Random(13)
+    raw = np.frombuffer(prose(rng, 60_000).encode(), np.uint8)
+    ends = np.flatnonzero((substrings.gear(raw) & substrings.MASK) == 0)
+    gaps = [(a + 1, b) for a, b in zip(ends, ends[1:], strict=False) if b - a > 200]
+    shared = 0
+    for a, b in gaps:
+        got = []
+        for off in (33, 50):  # the first 32 bytes have hashes of fewer bytes
+            part = raw[a + off : b]
+            got.append({e + off for e in substrings.cuts(part, 24, 128)} - {b - a})
+        shared += bool(got[0] & got[1])
+    assert gaps and shared > 0.8 * len(gaps)
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
 
