@@ -30,14 +30,15 @@ CLASSES = (
     ("lower", re.compile(r"[A-Z0-9]+"), 3.6),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7),
 )
-#: Candidates that match one of these wholly are no secrets: words, dashed lines, file paths, UUIDs, alphabets.
+#: Candidates that match one of these wholly are no secrets: words, dashed lines, file paths, UUIDs. A compiled pattern stands for a part
+#: of a candidate, alphabets and fillers: only windows that overlap such a part are left out.
 ALLOW = (
     r"[A-Za-z]+",
     r"[-_=+/]+",
     r"[A-Za-z]+(?:[-_/+=][A-Za-z]+)*[-_/+=]*",
     r"/?(?:[A-Za-z0-9_-]{1,12}/)+[A-Za-z0-9_-]{0,12}",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"[A-Za-z0-9+/_=-]*(?:0123456789|abcdefghij|ABCDEFGHIJ|(?:[Ee]xample|EXAMPLE)|(.)\1{7})[A-Za-z0-9+/_=-]*",
+    re.compile(r"0123456789|abcdefghij|ABCDEFGHIJ|[Ee]xample|EXAMPLE|(.)\1{7,}"),
 )
 
 
@@ -83,14 +84,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def entropy_spans(text: str, width: int, allow: re.Pattern, classes: Sequence = CLASSES) -> list[tuple[int, int, int]]:
+def allowed(allow: Sequence[str | re.Pattern]) -> tuple[re.Pattern, list[re.Pattern]]:
+    """One pattern of all that are matched wholly, and those of parts."""
+    return re.compile("|".join(f"(?:{p})" for p in _numbered([p for p in allow if isinstance(p, str)])) or r"(?!)"), [p for p in allow if not isinstance(p, str)]
+
+
+def entropy_spans(text: str, width: int, allow: re.Pattern, parts: Sequence[re.Pattern] = (), classes: Sequence = CLASSES) -> list[tuple[int, int, int]]:
     """(start, 3, end) of windows over the limit of their class: of every class the longest runs inside a candidate are searched,
     unless a narrower class holds the whole run or `allow` matches it, so a name or path in front of a value doesn't change its limit.
-    Windows that overlap are one span."""
+    Runs are searched between what `parts` match in a candidate. Windows that overlap are one span."""
     out = []
     for m in CANDIDATE.finditer(text):
         if allow.fullmatch(m[0]):
             continue
+        out_of = sorted(x.span() for p in parts for x in p.finditer(m[0]))
         seen: set[tuple[int, int]] = set()
         found: list[tuple[int, int]] = []
         for _, p, least in classes:
@@ -98,7 +105,7 @@ def entropy_spans(text: str, width: int, allow: re.Pattern, classes: Sequence =
                 if r.end() - r.start() >= width and r.span() not in seen:
                     seen.add(r.span())
                     if not allow.fullmatch(r[0]):
-                        found += [(r.start() + a, r.start() + b) for a, b in windows(r[0], width, least)]
+                        found += [(s + a, s + b) for s, e in between(*r.span(), out_of) for a, b in windows(m[0][s:e], width, least)]
         stop = -1
         for a, b in sorted(found):
             a, b = m.start() + a, m.start() + b
@@ -111,16 +118,26 @@ def entropy_spans(text: str, width: int, allow: re.Pattern, classes: Sequence =
     return out
 
 
-def scan(text: str, width: int, allow: re.Pattern, classes: Sequence = CLASSES) -> tuple[list, list]:
+def between(start: int, end: int, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of start to end lies between the sorted parts."""
+    out = []
+    for a, b in parts:
+        if start < min(a, end):
+            out.append((start, min(a, end)))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
+def scan(text: str, width: int, allow: re.Pattern, parts: Sequence[re.Pattern] = (), classes: Sequence = CLASSES) -> tuple[list, list]:
     base = sorted(base_spans(text))
-    return base, sorted(base + entropy_spans(text, width, allow, classes))
+    return base, sorted(base + entropy_spans(text, width, allow, parts, classes))
 
 
 def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 20, allow: Sequence[str] = ALLOW, classes: Sequence = CLASSES) -> DataFrame:
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 20, allow: Sequence[str | re.Pattern] = ALLOW, classes: Sequence = CLASSES) -> DataFrame:
     """A row for each row of df: its id, n_assign, n_access, n_hex, n_entropy, base_sha256 and spans (array of kind, start, end).
 
     Spans count code points, end exclusive, in order of start, then kind. Candidate strings of 20 or more characters that no pattern
@@ -130,7 +147,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     Nulls: a null text counts as '' and has no spans; a null id is kept. Repeated rows give equal rows. An empty table gives an
     empty result. Only the id and the text are read; other columns have no effect, whatever their names.
     """
-    one = re.compile("|".join(f"(?:{p})" for p in _numbered(allow)))
+    one, parts = allowed(allow)
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +156,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", widt
             counts: list[list[int]] = [[], [], [], []]
             sha, spans = [], []
             for t in b.column(1).to_pylist():
-                base, every = scan(t or "", width, one, classes)
+                base, every = scan(t or "", width, one, parts, classes)
                 for k in range(4):
                     counts[k].append(sum(s[1] == k for s in every))
                 sha.append(hashlib.sha256(_said(base).encode()).hexdigest())

@@ -76,7 +76,7 @@ def test_entropy_and_allow_list(spark):
 def test_values_have_their_own_limit_behind_a_name(front):
     """Upper-case hex keys and long numbers are found behind a name as they are alone; words and even numbers are not."""
     rng = random.Random(11)
-    allow = re.compile("|".join(f"(?:{p})" for p in secrets._numbered(secrets.ALLOW)))
+    allow, _ = secrets.allowed(secrets.ALLOW)
     for alphabet, n in (("0123456789ABCDEF", 40), ("0123456789", 60)):
         for _ in range(200):
             value = "".join(rng.choice(alphabet) for _ in range(n))
@@ -88,6 +88,17 @@ def test_values_have_their_own_limit_behind_a_name(front):
     assert not secrets.entropy_spans(front + "internationalisation", 20, allow)
 
 
+def test_allowed_parts_hide_no_more_than_themselves(spark):
+    """A filler, an alphabet or 'example' inside a candidate leaves the rest of it to be searched."""
+    key = "Zk8Qp2Lw9Xv4Rt7Yb1Nc6Hd3Gm5"
+    texts = [f"AAAAAAAAAAAA{key}", f"example_{key}", f"{key}0123456789", f"{key}abcdefghij{key}", "AAAAAAAAAAAAAAAAAAAAAAAAA1", "Zk8Qp2Lw9Xv4RexampleQp2Lw9Xv4RtZ"]
+    rows = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    spans = {i: [(s.start, s.end) for s in rows[i] if s.kind == "entropy"] for i in rows}
+    assert spans[0][0][0] >= 12 and spans[0][-1][1] == len(texts[0]) and spans[1][-1][1] == len(texts[1]) and spans[1][0][0] >= 7
+    assert spans[2] == [(0, len(key))] and spans[3] == [(0, len(key)), (len(key) + 10, len(texts[3]))]
+    assert spans[4] == [] and spans[5] == []
+
+
 def test_secrets_of_odd_rows(nasty, none):
     assert secrets.find_secrets(nasty).count() == nasty.count() and secrets.find_secrets(none).count() == 0
     assert {r.n_hex for r in secrets.find_secrets(nasty.filter("text IS NULL")).collect()} == {0}
