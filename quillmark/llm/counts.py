@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_dir, table
+from .common import arrow_map, shared_dir, table, written
 from .tokens import RANKS, encoder, vocabulary
 
 BY = ("source", "lang", "tokenizer")
@@ -113,7 +113,17 @@ class Rollup:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rollup of all documents after their batch was committed."""
+    """The rollup of all documents after they came without a language, were revised to have theirs, half of them were deleted and inserted
+    again, a batch was sent twice, and the batches were compacted."""
     rollup = Rollup(spark, f"{shared_dir(spark)}/quillmark-rollup-{uuid.uuid4().hex}")
-    rollup.commit("load", inserts(count_tokens(table(spark, sf_dir, "documents"))))
+    counted = written(count_tokens(table(spark, sf_dir, "documents")), "counted")
+    bare = counted.withColumn("lang", F.lit(None).cast("string"))
+    half = counted.filter(F.xxhash64("doc_id") % 2 == 0)
+    rollup.commit("load", inserts(bare))
+    rollup.commit("languages", revisions(bare, counted))
+    rollup.commit("deleted", deletes(half))
+    rollup.commit("inserted", inserts(half))
+    rollup.commit("languages", revisions(bare, counted))
+    rollup.compact()
+    rollup.commit("load", inserts(bare))
     return rollup.totals()

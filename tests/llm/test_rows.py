@@ -232,3 +232,19 @@ def test_unfinished_batches_do_not_count(spark, tmp_path):
 
 def test_counts_of_odd_rows(nasty, none):
     assert counts.count_tokens(nasty).count() == 2 * nasty.count() and counts.count_tokens(none).count() == 0
+
+
+def test_the_query_runs_all_kinds_of_changes(spark, monkeypatch):
+    """Over whole documents: revisions, deletes, repeated batches and a compaction leave the sums of a plain count."""
+    done, commit = [], counts.Rollup.commit
+
+    def record(self, batch, changes, holds=()):
+        done.append((batch.split("-")[0], commit(self, batch, changes, holds), changes.agg({"docs": "min"}).first()[0]))
+        return done[-1][1]
+
+    monkeypatch.setattr(counts.Rollup, "commit", record)
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in counts.op10_token_counts(spark, DATA).collect()}
+    assert [d[:2] for d in done] == [("load", True), ("languages", True), ("deleted", True), ("inserted", True), ("languages", False), ("sum", True), ("load", False)]
+    assert done[1][2] == done[2][2] == -1
+    plain = counts.count_tokens(table(spark, DATA, "documents")).groupBy("source", "lang", "tokenizer").agg({"tokens": "sum", "*": "count"}).collect()
+    assert got == {(r["source"], r["lang"], r["tokenizer"]): (r["count(1)"], r["sum(tokens)"]) for r in plain}
