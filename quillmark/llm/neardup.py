@@ -108,33 +108,60 @@ def least_matches(similarity: float, miss: float = MISS, step: int = BANDS) -> l
     return [(n, next(m for m in range(n + 1) if above(m, n) >= miss)) for n in range(step, HASHES + 1, step)]
 
 
-def likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, sa, sb) those that sequential verification leaves, as distinct (a, b).
+def likely(pairs: DataFrame, percent: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b, sa, sb, and the columns `keep`) as (a, b, *keep, live): live if sequential verification leaves the pair.
 
-    Batches of the signatures sa and sb are compared one after the other, and a pair leaves at the first look that makes it too unlikely.
+    Batches of the signatures sa and sb are compared one after the other, and a pair leaves at the first look that makes it too unlikely. Null
+    signatures can't be compared and must not come here.
     """
     looks = least_matches(percent / 100)
+    types = dict(pairs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            live, matches, seen = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64), 0
+            left, matches, seen = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64), 0
             for n, least in looks:
-                matches[live] += (x[live, seen:n] == y[live, seen:n]).sum(axis=1)
-                live, seen = live[matches[live] >= least], n
-            keep = pa.array(live)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
+                matches[left] += (x[left, seen:n] == y[left, seen:n]).sum(axis=1)
+                left, seen = left[matches[left] >= least], n
+            live = np.zeros(b.num_rows, bool)
+            live[left] = True
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *b.columns[4:], pa.array(live)], ["a", "b", *keep, "live"])
 
-    return arrow_map(pairs.select("a", "b", "sa", "sb"), run, "a binary, b binary").distinct()
+    schema = ", ".join([f"{c} {types[c]}" for c in ("a", "b", *keep)])
+    return arrow_map(pairs.select("a", "b", "sa", "sb", *keep), run, f"{schema}, live boolean")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked: 100 * shared >= percent * all."""
-    sized = pairs.join(sets.toDF("b", "ib"), "b").join(sets.toDF("a", "ia"), "a")
-    shared = F.size(F.array_intersect("ia", "ib")).cast("long")
-    return sized.filter(100 * shared >= percent * (F.size("ia") + F.size("ib") - shared)).select("a", "b")
+def with_signatures(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b) with their signatures sa and sb."""
+    cls = lambda c: F.substring(c, 6, 16)
+    x = pairs.withColumn("_ca", cls("a")).withColumn("_cb", cls("b"))
+    return x.join(sigs.select(F.col("cls").alias("_cb"), F.col("sig").alias("sb")), "_cb").join(sigs.select(F.col("cls").alias("_ca"), F.col("sig").alias("sa")), "_ca")
+
+
+def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """lead, node, n, linked, w, d of pairs (a: lead, b: node, n): d are the shingles that only one of both sets has, ascending; kept if n > 2.
+
+    Two sets share (|x| + |y| - |d|) / 2 shingles, so they are linked if w, (100 + percent) |d| - (100 - percent) |x|, is at most
+    (100 - percent) |lead|. w also serves to compare two nodes of one lead, see `across`.
+    """
+    sets = sets.dropDuplicates(["node"])
+    leads = sets.join(small(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b").join(leads.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            linked, ws, ds = [], [], []
+            for i, n in enumerate(b.column(2).to_pylist()):
+                x, y = (b.column(j)[i].values.to_numpy() for j in (3, 4))
+                d = np.setxor1d(x, y, assume_unique=True)
+                w = (100 + percent) * len(d) - (100 - percent) * len(y)
+                ws.append(w), linked.append(w <= (100 - percent) * len(x)), ds.append(d if n > 2 else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(linked, pa.bool_()), pa.array(ws, pa.int64()), pa.array(ds, pa.list_(pa.int64()))], ["lead", "node", "n", "linked", "w", "d"])
+
+    return arrow_map(both.select("a", "b", "n", "ia", "ib"), run, "lead binary, node binary, n bigint, linked boolean, w bigint, d array<bigint>")
 
 
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
@@ -157,15 +184,14 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", spread: int = 8) -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each row of df: id, n_shingles, component_id (the least id that its links reach, its own included), kept (id = component_id).
 
     Texts with equal shingle sets are one class. Classes that share one of 25 band keys of five hashes are candidates: similarity 0.8
-    is missed with a chance of 5e-5. A bucket's pairs are never all listed. Its most central member, the one with most candidates, is
-    compared with the others first, which joins families around their origin; only members outside its group still need a look. Where
-    these have more than `spread` pairs per member, they are compared with one random member of that group in each of their buckets; then
-    every pair of a bucket that is still in different groups, one of them outside the central one, is compared. So no link between different groups
-    is left out, and there is no cap. Pairs are dropped by `likely`, and every link is confirmed on whole sets.
+    is missed with a chance of 5e-5. A bucket's pairs are never all listed. Its lead, the member with most candidates, is compared
+    with the others: pairs are dropped by `likely`, and the rest are confirmed on whole sets, which joins families around their origin. Members
+    of a bucket that are then still in other groups than its lead are compared with its other members by their differences from the
+    lead (`across`), an exact join that a pair enters only if it shares rare differences. So no link between different groups is left out, and there is no cap.
 
     Nulls: null and empty texts have no shingles and stay by themselves; a null id stays by itself, with component_id null and kept true.
     Rows that repeat an id are scored by their own text; equal rows get equal results. An empty table gives an empty result.
@@ -175,7 +201,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     known = found.filter(F.col(id_col).isNotNull() & F.col("cls").isNotNull())
     sigs = known.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(id_col).alias("first"))
     sigs = written(sigs, "classes")  # equal classes have equal signatures, so any row's will do
-    roots = links(df, sigs, k, percent, id_col, text, spread)
+    roots = links(df, sigs, k, percent, id_col, text)
     if roots is None:
         classes = sigs.select("cls", F.col("first").alias("_c"))
     else:
@@ -187,7 +213,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
 
 def members_of(sigs: DataFrame) -> DataFrame:
-    """key, node, sig, n, first: a row for each class in each bucket of two or more classes; n is the bucket's size.
+    """key, node, n: a row for each class in each bucket of two or more classes; n is the bucket's size.
 
     A node is its class's digest behind five bytes that are the lower, the more candidates it has, so the least node is the most central.
     """
@@ -196,65 +222,62 @@ def members_of(sigs: DataFrame) -> DataFrame:
     inside = keys.join(shared, "key")
     many = F.sum("n").over(Window.partitionBy("cls"))  # of 25 rows at most
     rank = F.unhex(F.lpad(F.hex(F.lit(1 << 39) - F.least(many, F.lit((1 << 39) - 1))), 10, "0"))
-    return inside.withColumn("node", F.concat(rank, F.col("cls"))).join(sigs.select("cls", "sig", "first"), "cls").select("key", "node", "sig", "n", "first")
+    return inside.select("key", F.concat(rank, F.col("cls")).alias("node"), "n")
 
 
-def bounds(every: DataFrame, outside: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, size, most: of each node in a bucket with members outside its group, its shingles and how many of them occur in another such set.
+def across(family: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (lead, a, b) of a lead's family that may be linked, a outside of the lead's group and b in another group than a; and the differences (lead, node, w, d) to confirm them.
 
-    Two sets share no more than the lesser `most`, so a pair for which that isn't enough has no link, whatever its signatures say. No
-    link is lost by leaving it out, and variants that strayed too far from their family are told apart without a look at its sets.
+    family: lead, node, root, top (the lead's root), w, d, of leads with members in other groups. With s differences from the lead in common, x
+    and y share (|x| + |y| - |dx| - |dy|) / 2 + s shingles, so they are linked if s is at least (wx + wy) / 2 (100 + percent), which is over
+    0 for an x that isn't linked to the lead. Differences that one member alone has can't be common. The others are put in order
+    from the rarest on; if s is at least t, the first c - t + 1 of either side's c have one in common, and behind it enough are
+    left. So only members meet that strayed from the lead in the same way, however large the family is.
     """
-    nodes = every.join(outside.select("key").distinct(), "key", "left_semi").select("node").distinct()
-    open_ = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    items = open_.select("node", F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    sizes = open_.select("node", F.size("items").cast("long").alias("size")).join(alone, "node", "left")
-    return written(sizes.select("node", "size", (F.col("size") - F.coalesce("u", F.lit(0))).alias("most")), "bounds")
-
-
-def links(df: DataFrame, sigs: DataFrame, k: int, percent: int, id_col: str, text: str, spread: int) -> DataFrame | None:
+    q = 2 * (100 + percent)
+    out = F.col("root") != F.col("top")
+    least = family.groupBy("lead").agg(F.min("w").alias("wm"), F.min(F.when(out, F.col("w"))).alias("wo"))
+    x = family.join(small(least), "lead").withColumn("ta", F.when(out, F.expr(f"greatest(1, cast(ceil((w + wm) / {q}) as int))"))).withColumn("tb", F.expr(f"greatest(1, cast(ceil((w + wo) / {q}) as int))"))
+    keys = ["lead", "node", "root", "w", "ta", "tb"]
+    items = x.filter("size(d) >= least(tb, coalesce(ta, tb))").select(*keys, F.explode(F.transform("d", lambda e: F.xxhash64("lead", e))).alias("g"))
+    often = items.groupBy("g").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    x = items.join(small(often), "g").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("d"))  # one document's differences
+    x = written(x.withColumn("c", F.size("d")).filter("c >= least(tb, coalesce(ta, tb))"), "differences")
+    side = lambda t, p: x.filter(f"c >= {t}").select("lead", F.posexplode(F.expr(f"slice(d, 1, c - {t} + 1)")).alias("i", "e"), *[F.col(c) for c in ("node", "root", "w", "c", "ta")]).select(
+        "lead", F.col("e.g").alias("g"), *[F.col(c).alias(p + c) for c in ("i", "node", "root", "w", "c", "ta")]
+    )
+    met = side("ta", "a_").join(side("tb", "b_"), ["lead", "g"]).filter(f"a_root <> b_root AND (b_ta IS NULL OR a_node < b_node) AND least(a_c - a_i, b_c - b_i) * {q} >= a_w + b_w")
+    pairs = met.select("lead", F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    return pairs, x
+
+
+def links(df: DataFrame, sigs: DataFrame, k: int, percent: int, id_col: str, text: str) -> DataFrame | None:
     """node, root of the classes that have links; None without any."""
     members = written(members_of(sigs), "members")
     if members.isEmpty():
         return None
-    ids = written(members.select("node", F.col("first").alias(id_col)).distinct(), "ids")
-    wanted = ids.select(id_col, F.substring("node", 6, 16).alias("cls"), "node")
-    texts = df.select(id_col, text).join(small(ids.select(id_col)), id_col, "left_semi")
+    lead = members.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = members.join(lead, "key").filter("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max("n").alias("n"))
+    pairs = written(likely(with_signatures(pairs, sigs), percent, ("n",)).filter("live OR n > 2"), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cls", F.substring("node", 6, 16))
+    wanted = written(nodes.join(sigs.select("cls", F.col("first").alias(id_col)), "cls"), "ids")
+    texts = df.select(id_col, text).join(small(wanted.select(id_col)), id_col, "left_semi")
     sets = written(shingle_sets(texts, k, text).join(small(wanted.select("cls", "node")), "cls").select("node", "items"), "sets")
-
-    lead = members.groupBy("key").agg(F.min(F.struct("node", "sig")).alias("s")).select("key", F.col("s.node").alias("lead"), F.col("s.sig").alias("sa"))
-    led = written(members.join(lead, "key").select("key", "node", "lead", "n", F.col("sig").alias("sb"), "sa"), "led")
-    first = led.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "sa", "sb")
-    edges = written(confirmed(likely(first, percent), sets, percent), "links")
+    apart = written(differences(pairs, sets, percent), "apart")
+    edges = apart.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     roots = components(edges)
 
-    def placed() -> tuple[DataFrame, DataFrame]:
-        """Members with their root, and those outside their bucket's central group."""
-        r = roots.select("node", "root")
-        x = led.filter("n > 2").select("key", "node", "lead", "n", "sb").join(r, "node", "left").join(r.toDF("lead", "top"), "lead", "left")
-        x = x.withColumn("root", F.coalesce("root", "node")).withColumn("top", F.coalesce("top", "lead"))
-        x = written(x.select("key", "node", "n", "sb", "root", "top"), "placed")
-        return x, x.filter("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), "top", F.col("sb").alias("sa"))
-
-    every, outside = placed()
-    size = every.agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("n")).otherwise(0)).alias("pairs"), F.count(F.lit(1)).alias("n")).first()
-    if size.pairs and size.pairs > spread * size.n:
-        some = every.filter("root = top").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "sb")).alias("s"))
-        pairs = outside.join(some.select("key", F.col("s.node").alias("b"), F.col("s.sb").alias("sb")), "key").select("a", "b", "sa", "sb")
-        edges = written(edges.unionByName(confirmed(likely(pairs, percent), sets, percent)), "links")
-        roots = components(edges)
-        every, outside = placed()
-    if size.pairs:
-        own = bounds(every, outside, sets)
-        left, right = outside.join(own.toDF("a", "na", "ca"), "a"), every.join(own.toDF("node", "nb", "cb"), "node")
-        most = F.least("ca", "cb")
-        could = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
-        across = left.join(right.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), "sb", "nb", "cb"), "key").filter(F.expr("ra <> rb AND (rb = top OR a < b)") & could)
-        more = written(confirmed(likely(across, percent), sets, percent), "links")
-        if not more.isEmpty():
-            roots = components(edges.unionByName(more))
-    return roots
+    x = apart.filter("n > 2").join(roots, "node", "left").join(roots.select(F.col("node").alias("lead"), F.col("root").alias("top")), "lead", "left")
+    x = written(x.select("lead", "node", F.coalesce("root", "node").alias("root"), F.coalesce("top", "lead").alias("top"), "w", "d"), "families")
+    open_ = written(x.filter("root <> top").select("lead").distinct(), "open")
+    if open_.isEmpty():
+        return roots
+    pairs, d = across(x.join(small(open_), "lead"), percent)
+    live = likely(with_signatures(pairs, sigs), percent, ("lead",)).filter("live")
+    one = lambda c: d.select("lead", F.col("node").alias(c), F.col("w").alias(f"w{c}"), F.transform("d", lambda e: e["g"]).alias(f"d{c}"))
+    more = live.join(one("a"), ["lead", "a"]).join(one("b"), ["lead", "b"]).filter(F.size(F.array_intersect("da", "db")) * 2 * (100 + percent) >= F.col("wa") + F.col("wb"))
+    more = written(more.select("a", "b"), "links")
+    return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
 def keep_one(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
