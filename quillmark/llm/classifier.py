@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, written
+from .common import arrow_map, refuse, small, table, written
 
 FEATURES = ("words", "word_len", "word_len_sd", "upper", "marks", "odd", "digits", "caps_words", "marked_words", "distinct", "same_next", "dup_lines", "line_len", "stops", "top_word", "shape")
 ODD = "#*$%&|<>@^~{}[]\\_=+"
@@ -138,12 +138,33 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     Nulls: a null text is scored like ''; a null id is scored and never learnt from; null labels and labels
     other than 0 and 1 are left out; of repeated labels for an id the smallest counts once. Repeated rows of df are each scored, and learnt as
-    often as they occur. An empty table gives an empty result. Other columns of df have no effect.
+    often as they occur. An empty table gives an empty result. Other columns of df have no effect. Sums of doubles are added in the order in which
+    tasks end, so scores agree between runs to about nine digits.
     """
-    x = written(with_statistics(df, [id_col], text), "statistics")
+    x, classes = learnt(df, labels, [id_col], id_col, text, label)
+    return x.withColumn("held_out", held_out(id_col)).withColumn("score", fit(classes).score()).select(id_col, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def learnt(df: DataFrame, labels: DataFrame, keep: list[str], id_col: str, text: str, label: str) -> tuple[DataFrame, list]:
+    """Statistics of all rows of df with the columns `keep`, and the moments of both classes over the labelled rows that aren't held out."""
+    x = written(with_statistics(df, keep, text), "statistics")
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.min(label).cast("int").alias("label"))
-    model = fit(moments(x.join(known, id_col)))
-    return x.withColumn("held_out", held_out(id_col)).withColumn("score", model.score()).select(id_col, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return x, moments(x.join(known, id_col))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.7, label: str = "quality") -> DataFrame:
+    """The rows of df that the classifier doesn't reject, with df's columns. Each row is judged by its own text, whatever others have its id.
+
+    Where there are no labelled rows of one of the classes nothing can be learnt, and all rows stay. Null texts are judged like '', null ids make no difference; equal rows stay
+    or go alike. An empty table gives an empty result. A column of df named _q_t is refused.
+    """
+    refuse(df, "_q_t")
+    keyed = df.withColumn("_q_t", F.xxhash64(id_col, text))
+    x, classes = learnt(keyed, labels, [id_col, "_q_t"], id_col, text, label)
+    if not all(n for n, _, _ in classes):
+        return df
+    bad = written(x.filter(fit(classes).score() < threshold).select("_q_t").distinct(), "rejected")
+    return keyed.join(small(bad), "_q_t", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,37 +23,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
+
+
+def _store(spark: SparkSession, path: str):  # noqa: ANN202
+    """Spark's Hadoop path and the store that holds it."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return top, top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets its own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _own_folder(spark.sparkContext.applicationId)
     if "://" not in where:  # of the default store, which other readers than Spark don't know
-        top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-        where = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString()
+        top, store = _store(spark, where)
+        where = store.makeQualified(top).toString()
         where = "file://" + where[5:] if where.startswith("file:/") and "://" not in where else where
     return where.rstrip("/")
 
 
+_MADE: set[str] = set()
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for tables between jobs, in the shared folder. It is deleted when the driver ends; outputs are never put there."""
+    path = f"{shared_dir(spark)}/quillmark-scratch-{spark.sparkContext.applicationId}"
+    if path not in _MADE:
+        top, store = _store(spark, path)
+        store.mkdirs(top)
+        store.deleteOnExit(top)
+        _MADE.add(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again. A lost executor costs no recomputation."""
+    """Cuts the lineage: df as a Parquet table in the scratch folder, read again. A lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmark-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_shared(spark: SparkSession) -> None:
-    """Deletes the tables that `written` left in the shared folder; to be called once their results were stored."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for s in fs.listStatus(top) if fs.exists(top) else []:
-        if s.getPath().getName().startswith("quillmark-"):
-            fs.delete(s.getPath(), True)
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes this application's tables between jobs; to be called once the results that read them were stored. Other applications' are left alone."""
+    top, store = _store(spark, scratch(spark))
+    for s in store.listStatus(top) if store.exists(top) else []:
+        store.delete(s.getPath(), True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -60,6 +82,41 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def refuse(df: DataFrame, start: str) -> None:
+    """Raises if a column of df has a name that an operator uses for itself."""
+    if taken := [c for c in df.columns if c.startswith(start)]:
+        raise ValueError(f"columns that start with {start} are taken: {taken}")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; maps and variants, which have no order, as JSON."""
+    types = dict(df.dtypes)
+    return F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if "map<" in types[c] or "variant" in types[c] else F.col(f"`{c}`") for c in df.columns])
+
+
+def rejoin(df: DataFrame, id_col: str, narrow: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of df with what was found for them: found has _q_i (the id), _q_t (row_hash) and more columns, a row for each row of the result.
+
+    narrow: a row (id, _q_t) for each row of df. Equal rows are interchangeable, so df counts each once. Texts go through one join: none of them is shuffled if found was
+    counted to be small.
+    """
+    again = narrow.groupBy(F.col(f"`{id_col}`"), "_q_t").count().filter("count > 1").isEmpty()
+    x = df.withColumn("_q_r", row_hash(df))
+    x = x if again else x.dropDuplicates([id_col, "_q_r"])
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_q_i")) & (F.col("_q_r") == F.col("_q_t"))
+    return x.join(small(found), same).drop("_q_i", "_q_r", "_q_t")
+
+
+def distinct_rows(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The id and text of df, rows equal in both once. Only rows that share an id are shuffled with their texts, null ids among them."""
+    x = df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`"))
+    again = written(x.groupBy(F.col(f"`{id_col}`").alias("_q_i")).count().filter("count > 1").select("_q_i"), "again")
+    if again.isEmpty():
+        return x
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_q_i"))
+    return x.join(small(again), same, "left_anti").unionByName(x.join(small(again), same, "left_semi").dropDuplicates([id_col, text]))
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """mapInArrow with batches of bounded rows and bytes, as one text may be very long."""
     conf = df.sparkSession.conf

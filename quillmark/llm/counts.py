@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,66 +57,76 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 class Rollup:
     """Totals by source, language and tokenizer version, as the sum of committed batches.
 
-    Each batch is a folder `batch=<name>` of its changes' sums. A write that doesn't finish leaves no success mark and is
-    written over; once the mark is there, committing that name again changes nothing. Readers add up
-    marked batches only, so retries and crashes count once. compact() replaces many batches by their sum under the same rules.
+    A batch is a folder `batch=<name>`; each try to write it is a folder `attempt=<time>-<random>` of its own in there, which counts once
+    Spark has put its success mark. Of several marked attempts of one name the first counts, so retries, crashes and two writers of
+    one name count once. A name stands for its changes: it is committed again without effect. compact() writes a folder `sum=<name>` of the
+    same kind, with the sum of all that is live and the list of what it holds; what a live sum holds is no longer read by itself. A sum
+    that holds something that another sum took before it is never live, so two compactions at once do no harm.
+
+    Nulls in source, lang and tokenizer are groups of their own, null docs and tokens count as 0. Empty batches are committed like others. Repeated
+    rows of changes count as often as they occur. Without batches the totals are empty; groups whose totals are 0 are left out.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):  # noqa: ANN202
+    def _marked(self, kind: str) -> dict[str, str]:
+        """Name and folder of the first marked attempt of each batch or sum, in the order in which they were begun."""
         jvm = self.spark.sparkContext._jvm
         top = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, top, top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def committed(self) -> list[str]:
-        """Names of the batches that count: those with a mark, less those that a marked compaction holds."""
-        jvm, top, fs = self._fs()
-        if not fs.exists(top):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(top)]
-        done = [n[6:] for n in names if n.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        held = {r[0] for n in done if n.startswith("sum-") for r in self.spark.read.parquet(f"{self.path}/batch={n}").select(F.explode("holds")).distinct().collect()}
-        return sorted(n for n in done if n not in held)
-
-    def commit(self, batch: str, changes: DataFrame, holds: tuple[str, ...] = ()) -> bool:
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = sorted((s.getPath().getParent().getParent().getName(), s.getPath().getParent().getParent().getParent().getName()) for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}=*/attempt=*/totals/_SUCCESS")) or [])
+        out: dict[str, str] = {}
+        for attempt, name in found:
+            out.setdefault(name, f"{self.path}/{name}/{attempt}")
+        return out
+
+    def live(self) -> dict[str, str]:
+        """Batches and sums that make up the totals, with their folders: none of them is held by another one."""
+        out = self._marked("batch")
+        for name, folder in self._marked("sum").items():
+            held = [r[0] for r in self.spark.read.parquet(f"{folder}/holds").collect()]  # names of what one compaction replaced
+            if all(h in out for h in held):
+                for h in held:
+                    del out[h]
+                out[name] = folder
+        return out
+
+    def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of changes (source, lang, tokenizer, docs, tokens); False if that batch was committed before."""
-        if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        return self._write("batch", batch, changes, None)
+
+    def _write(self, kind: str, name: str, changes: DataFrame, holds: list[str] | None) -> bool:
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
             raise ValueError("a batch is named by letters, digits, _ and -")
-        jvm, _, fs = self._fs()
-        to = f"{self.path}/batch={batch}"
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{to}/_SUCCESS")) or any(batch in h for h in self._held()):
+        if f"{kind}={name}" in self._marked(kind):
             return False
-        sums = changes.groupBy(*BY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.withColumn("holds", F.array(*[F.lit(h) for h in holds]).cast("array<string>")).write.mode("overwrite").parquet(to)
+        folder = f"{self.path}/{kind}={name}/attempt={time.time_ns():020d}-{uuid.uuid4().hex}"
+        if holds is not None:
+            self.spark.createDataFrame([(h,) for h in holds], "name string").write.parquet(f"{folder}/holds")
+        changes.groupBy(*BY).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("docs", "tokens")]).write.parquet(f"{folder}/totals")
         return True
 
-    def _held(self) -> list[set[str]]:
-        return [{r[0] for r in self.spark.read.parquet(f"{self.path}/batch={n}").select(F.explode("holds")).distinct().collect()} for n in self.committed() if n.startswith("sum-")]
-
-    def compact(self, name: str | None = None) -> None:
-        """One batch with the sum of all committed ones; names of those inside stay known, so they can't be committed again."""
-        inside = self.committed()
-        if len(inside) > 1:
-            known = tuple(sorted(set(inside).union(*self._held())))
-            self.commit(name or f"sum-{uuid.uuid4().hex}", self._changes(inside), known)
+    def compact(self, name: str | None = None) -> bool:
+        """One sum, of any name, instead of all that is live; False if there is nothing to do or that name was used before."""
+        live = self.live()
+        return len(live) > 1 and self._write("sum", name or uuid.uuid4().hex, self._changes(live), list(live))
 
-    def _changes(self, names: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/batch={n}" for n in names]).select(*BY, "docs", "tokens")
+    def _changes(self, live: dict[str, str]) -> DataFrame:
+        return self.spark.read.schema("source string, lang string, tokenizer string, docs bigint, tokens bigint").parquet(*[f"{folder}/totals" for folder in live.values()])
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens of all groups that hold documents or tokens."""
-        names = self.committed()
-        if not names:
+        live = self.live()
+        if not live:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs bigint, tokens bigint")
-        return self._changes(names).groupBy(*BY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+        return self._changes(live).groupBy(*BY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup of all documents after they came without a language, were revised to have theirs, half of them were deleted and inserted
     again, a batch was sent twice, and the batches were compacted."""
-    rollup = Rollup(spark, f"{shared_dir(spark)}/quillmark-rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     counted = written(count_tokens(table(spark, sf_dir, "documents")), "counted")
     bare = counted.withColumn("lang", F.lit(None).cast("string"))
     half = counted.filter(F.xxhash64("doc_id") % 2 == 0)
@@ -124,6 +135,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("deleted", deletes(half))
     rollup.commit("inserted", inserts(half))
     rollup.commit("languages", revisions(bare, counted))
-    rollup.compact()
+    rollup.compact("daily")
     rollup.commit("load", inserts(bare))
     return rollup.totals()

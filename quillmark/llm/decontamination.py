@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, small, table, written
 
@@ -31,20 +32,21 @@ def seeds(x: DataFrame, keep: list[str], shorts: list[int]) -> DataFrame:
     return x.select(*keep, F.inline(F.concat(*[hashes(*p) for p in plans])))
 
 
-def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.5) -> DataFrame:
+def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.5, min_words: int = 5, shift: int = 2) -> DataFrame:
     """id, _q_r (the row's key), item, n_item_words, n_matched, overlap, first_word of each text that holds a benchmark item.
 
     Windows of ten words are hashed under two masks that leave words out, so an exchanged word often isn't looked at; items and texts
-    meet on equal hashes. Around each hit the item is laid on the text at that offset and its words are compared one by one; n_matched are the
-    item's words that are in place at one of the offsets hit, overlap their share, and pairs of `least` or more stay.
-    Items of fewer than ten words are hashed whole, without a mask. The hashes of the benchmark are broadcast once they are counted to
-    be few, else joined by shuffles; texts are looked at as a stream of hashes and only those with hits are compared.
+    meet on equal hashes. At each hit the item is laid on the text at that offset and its words are compared one by one. n_matched are the
+    item's words that are in place there or at another hit at most `shift` words away, as a word may have been put in or left out; hits farther apart are
+    never added up. The best offset counts, first_word is the first of the best; overlap is the share of the item's words, and pairs of `least` or more stay.
+    Items of fewer than ten words are hashed whole, without a mask, and those under min_words aren't looked for, as any text may hold them. The hashes of
+    the benchmark are broadcast once they are counted to be few, else joined by shuffles; texts are looked at as a stream of hashes, and only those with hits are compared.
 
     Nulls: null or empty texts and items match nothing; a null id or item id is kept in the result. Repeated rows are
     found once per id, text and item. Empty tables give an empty result. Other columns have no effect, whatever their names.
     """
     items = benchmark.select(F.col(item_col).alias("_q_i"), F.col(item_text).alias("_q_text"), tokens(item_text).alias("words"))
-    items = items.filter(F.size("words") > 0).withColumn("_q_b", F.xxhash64("_q_i", "_q_text")).dropDuplicates(["_q_b"]).select("_q_b", "_q_i", "words")
+    items = items.filter(F.size("words") >= max(1, min_words)).withColumn("_q_b", F.xxhash64("_q_i", "_q_text")).dropDuplicates(["_q_b"]).select("_q_b", "_q_i", "words")
     items = written(items, "items")
     shorts = [r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect()]  # nine numbers at most
     wanted = seeds(items, ["_q_b"], shorts).withColumnRenamed("place", "at")
@@ -52,16 +54,22 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
     texts = df.select(F.col(id_col).alias("_q_d"), tokens(text).alias("words"), F.xxhash64(F.col(id_col), F.col(text)).alias("_q_r"))
     hits = seeds(texts, ["_q_r"], shorts).join(small(wanted), "seed").select("_q_r", "_q_b", (F.col("place") - F.col("at")).alias("offset")).distinct()
     hits = written(hits, "hits")
-    pairs = texts.join(small(hits), "_q_r").join(small(items.withColumnRenamed("words", "item")), "_q_b")
-    same = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.get("words", j + F.col("offset")) == F.get("item", j))
-    found = pairs.select("_q_d", "_q_r", "_q_b", "_q_i", F.size("item").alias("n_item_words"), "offset", same.alias("same"))
-    found = found.groupBy("_q_d", "_q_r", "_q_b", "_q_i", "n_item_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("n_matched"), F.min("offset").alias("first_word"))
-    overlap = F.col("n_matched") / F.col("n_item_words")
-    return found.filter(overlap >= least).select(F.col("_q_d").alias(id_col), "_q_r", F.col("_q_i").alias(item_col), "n_item_words", "n_matched", overlap.alias("overlap"), "first_word")
+    texts = texts.join(small(hits.select("_q_r").distinct()), "_q_r", "left_semi")
+    around = Window.partitionBy("_q_r", "_q_b").orderBy("offset").rangeBetween(-shift, shift)  # 2 shift + 1 offsets at most
+    near = hits.withColumn("offsets", F.collect_list("offset").over(around)).join(small(items.withColumnRenamed("words", "item")), "_q_b")
+    pairs = texts.join(near, "_q_r")
+    same = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.exists("offsets", lambda o: F.get("words", j + o) == F.get("item", j)))
+    found = pairs.select("_q_d", "_q_r", "_q_b", "_q_i", F.size("item").alias("n_item_words"), F.struct(F.size(same).alias("n"), (-F.col("offset")).alias("o")).alias("m"))
+    found = found.groupBy("_q_d", "_q_r", "_q_b", "_q_i", "n_item_words").agg(F.max("m").alias("m"))
+    overlap = F.col("m.n") / F.col("n_item_words")
+    return found.filter(overlap >= least).select(F.col("_q_d").alias(id_col), "_q_r", F.col("_q_i").alias(item_col), "n_item_words", F.col("m.n").alias("n_matched"), overlap.alias("overlap"), (-F.col("m.o")).alias("first_word"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of df that hold no benchmark item, with df's columns."""
+    """The rows of df that hold no benchmark item by `overlaps`, with df's columns. Rows with null ids, null or empty texts and repeated rows are judged by
+    their own text, so they stay or go alike. An empty benchmark takes nothing away. A column of df named _q_r is refused."""
+    if "_q_r" in df.columns:
+        raise ValueError("a column named _q_r is taken")
     bad = written(overlaps(df, benchmark, id_col, text, least=least).select("_q_r").distinct(), "leaks")
     return df.withColumn("_q_r", F.xxhash64(F.col(id_col), F.col(text))).join(small(bad), "_q_r", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
@@ -71,18 +79,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_q_r")
 
 
-_WINDOWS = " UNION ALL ".join(
-    f"SELECT {{key}}, {m} AS mark, i AS place, [{', '.join(f'w[i + {o + 1}]' for o in offsets)}] AS seed FROM {{words}}, unnest(range(len(w) - {SPAN - 1})) AS u(i)" for m, offsets in enumerate(MASKS)
-) + " UNION ALL SELECT {key}, -n AS mark, i AS place, w[i + 1:i + n] AS seed FROM {words}, (SELECT DISTINCT len(w) AS n FROM items WHERE len(w) < 10), unnest(range(len(w) - n + 1)) AS u(i)"
+#: From the statement: words that are in place at each offset, offsets where a window of ten agrees under a mask, and the best of those.
+_SEEN = " OR ".join(f"list_has_all(js, [{', '.join(f'p + {o}' for o in offsets)}])" for offsets in MASKS)
 OP7_SQL = f"""
 WITH texts AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark WHERE len(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) > 0),
-a AS ({_WINDOWS.format(key="doc_id", words="texts")}),
-b AS ({_WINDOWS.format(key="item_id", words="items")}),
-hits AS (SELECT DISTINCT doc_id, item_id, a.place - b.place AS o FROM a JOIN b ON a.mark = b.mark AND a.seed = b.seed),
-laid AS (
-  SELECT doc_id, item_id, len(i.w) AS n, o, j FROM hits JOIN texts t USING (doc_id) JOIN items i USING (item_id), unnest(range(len(i.w))) AS u(j)
-  WHERE j + o >= 0 AND j + o < len(t.w) AND t.w[j + o + 1] = i.w[j + 1])
-SELECT doc_id, item_id, n::INTEGER AS n_item_words, count(DISTINCT j)::INTEGER AS n_matched, count(DISTINCT j) / n::DOUBLE AS overlap, min(o)::INTEGER AS first_word
-FROM laid GROUP BY doc_id, item_id, n HAVING count(DISTINCT j) / n::DOUBLE >= 0.5
+items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+tw AS (SELECT doc_id, w[i + 1] AS word, i AS place FROM texts, unnest(range(len(w))) AS u(i)),
+iw AS (SELECT item_id, len(w) AS n, w[i + 1] AS word, i AS j FROM items, unnest(range(len(w))) AS u(i) WHERE len(w) >= 5),
+laid AS (SELECT doc_id, item_id, n, place - j AS o, list(j) AS js FROM tw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= least(6, n)),
+hits AS (SELECT * FROM laid WHERE CASE WHEN n < {SPAN} THEN len(js) = n ELSE len(list_filter(range(n - {SPAN - 1}), lambda p: {_SEEN})) > 0 END),
+near AS (SELECT a.doc_id, a.item_id, a.n, a.o, len(list_distinct(flatten(list(b.js)))) AS m FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.o BETWEEN a.o - 2 AND a.o + 2 GROUP BY ALL),
+best AS (SELECT doc_id, item_id, n, max(m) AS m FROM near GROUP BY ALL)
+SELECT doc_id, item_id, n::INTEGER AS n_item_words, m::INTEGER AS n_matched, m / n::DOUBLE AS overlap, min(o)::INTEGER AS first_word
+FROM best JOIN near USING (doc_id, item_id, n, m) WHERE m / n::DOUBLE >= 0.5 GROUP BY ALL
 """

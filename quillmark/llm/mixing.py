@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, key60, running, stratum, table, written
+from .common import WORD, key60, refuse, rejoin, row_hash, running, stratum, table, written
 
 WEIGHTS = (5, 2, 1)
 #: No source gives more than so many times its size, and no document more than so many copies.
@@ -44,48 +44,99 @@ def _weight(place: Column, weights: tuple[int, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in weights]), ((place - 1) % len(weights) + 1).cast("int"))
 
 
-def leaf(place: str, n: str, n_shards: int) -> Column:
-    """The shard of a token: at each node of the tree the tokens of its shards are cut in proportion to the shards on either side.
+def hypergeometric(total: Column, marked: Column, draws: Column, u: Column) -> Column:
+    """How many of `marked` among `total` are in a draw of `draws` without replacement, by the inverse of the distribution's sums at u of [0, 1).
 
-    place: the token's place in one uniformly random order of all n tokens. The first part of a random order is a random subset,
-    so the number of each source's tokens on the left is a multivariate hypergeometric draw; inside a part the order is
-    uniform still, so the next cut draws anew. The loop builds one expression of log2(n_shards) steps.
+    Sums go from the mode upwards and then from the mode downwards; each term comes from its neighbour, so no factorial is needed. Terms farther
+    than 40 and 12 standard deviations from the mode have a chance under 1e-30 in all and are left out.
     """
-    low, high, a, b = F.lit(0).cast("long"), F.col(n), F.lit(0), F.lit(n_shards)
-    for _ in range(max(1, n_shards - 1).bit_length()):
-        many = b - a
-        left = F.floor(many / 2).cast("int")
-        cut = low + F.floor((high - low) * left / many)
-        go = (F.col(place) < cut) & (many > 1)
-        stay = many <= 1
-        low, high, a, b = F.when(stay | go, low).otherwise(cut), F.when(go, cut).otherwise(high), F.when(stay | go, a).otherwise(a + left), F.when(go, a + left).otherwise(b)
-    return a
-
-
-def mix(df: DataFrame, by: str = "source", id_col: str = "doc_id", size: str | None = None, text: str = "text", n_shards: int = 8, block_words: int = 8192, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, unused: bool = False) -> DataFrame:
-    """One row for each copy of a row of df that the mix takes, with size, source_size, target, copy (from 0), mix_shard and mix_order.
-
-    size: a column with the rows' words; without it they are counted. Sources, in order of their names (null last), share the sum of all
-    sizes by `weights`, up to `cap` times their size. A source's rows are in a seeded order; it gives floor(target / size) copies of
-    all of them, and of those at the start of the order as many more as come nearest to the target: it is met to half a document.
-    What a source gives, copy after copy, is cut into blocks of about block_words; the blocks of all sources are the tokens that `leaf`
-    splits among n_shards output shards, which fixes how many blocks of each source a shard gets. Each source's blocks, in
-    another random order, are then dealt to the shards by these numbers, so no block is dealt twice. Inside a shard rows are to be put in the order of mix_order.
-    Orders are exact ranks made by buckets (`running`), so a source with a third of all rows is spread over tasks.
-
-    Nulls: a null source is a source of its own; a null text or size has no words. Rows without words are never taken. Repeated rows are rows
-    like any other. An empty table gives an empty result. With unused=True rows that the mix doesn't take come once, with copy, mix_shard and
-    mix_order null. Reruns agree. Columns of df named like the added ones are replaced.
+    n, k, d = total.cast("double"), marked.cast("double"), draws.cast("double")
+    low, high = F.greatest(F.lit(0.0), d + k - n), F.least(k, d)
+    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (k + 1) / (n + 2)).cast("double")))
+    reach = F.floor(F.lit(40) + 12 * F.sqrt(d * k / F.greatest(n, F.lit(1.0)) + 1)).cast("double")
+    up, down = F.least(high - mode, reach).cast("int"), F.least(mode - low, reach).cast("int")
+
+    def walk(steps: Column, target: Column | None, above: bool) -> Column:
+        """Sum of the terms, or how many sums are at most target."""
+
+        def step(acc: Column, i: Column) -> Column:
+            if above:
+                after = acc["w"] * ((k - mode - i) * (d - mode - i) / ((mode + i + 1) * (n - k - d + mode + i + 1)))
+                term = acc["w"]
+            else:
+                after = acc["w"] * ((mode - i) * (n - k - d + mode - i) / ((k - mode + i + 1) * (d - mode + i + 1)))
+                term = F.when(i > 0, acc["w"]).otherwise(0.0)
+            now = acc["t"] + term
+            seen = F.lit(0) if target is None else acc["c"] + ((now <= target) & ((i > 0) | F.lit(above))).cast("int")
+            return F.struct(after.alias("w"), now.alias("t"), seen.alias("c"))
+
+        zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t"), F.lit(0).alias("c"))
+        return F.aggregate(F.sequence(F.lit(0), steps), zero, step, lambda acc: acc["t"].cast("double") if target is None else acc["c"].cast("double"))
+
+    above, below = walk(up, None, True), walk(down, None, False)
+    target = u * (above + below)
+    over = walk(up, target, True)
+    under = walk(down, target - above, False)
+    return F.when(over <= up, mode + over).otherwise(mode - F.least(under + 1, down.cast("double"))).cast("long")
+
+
+def drawn(members: Column, total: Column, draws: Column, seed: Column) -> Column:
+    """Members (k, q) with x, their parts of a draw of `draws` from all `total`: a multivariate hypergeometric draw, one member after the other."""
+    kind = "array<struct<k:string,q:bigint,x:bigint>>"
+
+    def step(acc: Column, e: Column) -> Column:
+        left, d = acc["left"] - acc["q"], acc["d"] - acc["x"]
+        x = hypergeometric(left, e["q"], d, key60(seed, e["k"]) / F.lit(float(1 << 60)))
+        before = F.when(acc["k"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["k"].alias("k"), acc["q"].alias("q"), acc["x"].alias("x")))))
+        return F.struct(left.alias("left"), d.alias("d"), e["k"].alias("k"), e["q"].alias("q"), x.alias("x"), before.alias("out"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(total.alias("left"), draws.alias("d"), F.lit(None).cast("string").alias("k"), zero.alias("q"), zero.alias("x"), F.array().cast(kind).alias("out"))
+    return F.aggregate(members, start, step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["k"].alias("k"), acc["q"].alias("q"), acc["x"].alias("x")))))
+
+
+def split_tree(blocks: DataFrame, n_shards: int, seed: str = SEED, group: int = 1024) -> DataFrame:
+    """_q_s, mix_shard, q: how many of each source's q blocks (_q_s, q) each output shard gets.
+
+    A node of the tree stands for a range of shards and holds exact block quotas by source. Its blocks are cut in proportion to the
+    shards on either side, and what each source gives to the left is a multivariate hypergeometric draw from the node's quotas; the rest goes right. Only the quotas are looked at, no
+    block. Sources are drawn in groups of about `group`: first the groups' parts, then the sources' parts of their group's, so a node's arrays hold about
+    the square root of very many sources. Draws come from an MD5 of seed, node and source, so reruns agree. Without blocks the result is empty.
     """
+    sources = blocks.count()
+    groups = -(-sources // group)
+    x = blocks.select(F.lit(0).alias("a"), F.lit(n_shards).alias("b"), F.pmod(F.xxhash64("_q_s"), F.lit(max(1, groups))).cast("string").alias("g"), F.col("_q_s").alias("k"), F.col("q").cast("long").alias("q"))
+    member = lambda c, q: F.sort_array(F.collect_list(F.struct(F.col(c).alias("k"), F.col(q).alias("q"))))
+    many, left = F.col("b") - F.col("a"), F.expr("(b - a) div 2").cast("int")
+    node = F.concat_ws("|", F.lit(seed), F.lit("tree"), F.col("a").cast("string"), F.col("b").cast("string"))
+    for _ in range(max(0, n_shards - 1).bit_length()):
+        part = x.groupBy("a", "b", "g").agg(member("k", "q").alias("m"), F.sum("q").alias("gq"))  # a group's sources at one node
+        if groups > 1:
+            part = written(part, "nodes")
+            top = part.groupBy("a", "b").agg(member("g", "gq").alias("gm"), F.sum("gq").alias("n"))
+            top = top.select("a", "b", F.explode(drawn(F.col("gm"), F.col("n"), F.expr("n * ((b - a) div 2) div (b - a)"), F.concat_ws("|", node, F.lit("group")))).alias("e"))
+            part = part.join(top.select("a", "b", F.col("e.k").alias("g"), F.col("e.x").alias("d")), ["a", "b", "g"])
+        else:
+            part = part.withColumn("d", F.expr("gq * ((b - a) div 2) div (b - a)"))
+        got = part.select("a", "b", "g", F.explode(drawn(F.col("m"), F.col("gq"), F.col("d"), node)).alias("e")).withColumn("left", left).withColumn("many", many)
+        side = F.when(F.col("many") < 2, F.array(F.struct("a", "b", F.col("e.q").alias("q")))).otherwise(
+            F.array(F.struct("a", (F.col("a") + F.col("left")).alias("b"), F.col("e.x").alias("q")), F.struct((F.col("a") + F.col("left")).alias("a"), "b", (F.col("e.q") - F.col("e.x")).alias("q")))
+        )
+        x = got.select("g", F.col("e.k").alias("k"), F.inline(side)).filter("q > 0")
+        x = written(x.select("a", "b", "g", "k", "q"), "tree")
+    return x.select(F.col("k").alias("_q_s"), F.col("a").alias("mix_shard"), "q")
+
+
+def placements(df: DataFrame, by: str = "source", id_col: str = "doc_id", size: str = "size", n_shards: int = 8, block_words: int = 8192, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, unused: bool = False) -> DataFrame:
+    """As `mix`, but of narrow rows with their size in a column: all columns of df, and _q_s and _rank, a row's source and place in it."""
+    amount = F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0))
     added = ("size", "source_size", "target", "copy", "mix_shard", "mix_order")
-    names = [c for c in df.columns if c not in added or c == size]
+    names = [c for c in df.columns if c not in added]
     plain = [F.col(f"`{c}`") for c in names]
-    amount = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else words(text)
-    x = df.select(*plain, stratum(by).alias("_q_s"), amount.alias("_q_z"), key60(seed, F.col(id_col)).alias("_q_k"))
+    x = df.select(*plain, stratum(by).alias("_q_s"), amount.alias("_q_z"), key60(seed, F.col(f"`{id_col}`")).alias("_q_k"))
     n = df.count()
     sources = targets(x.groupBy("_q_s").agg(F.sum("_q_z").alias("source_size")), weights, cap)
-    ordered = [c for c in names if not dict(df.dtypes)[c].startswith(("map", "variant"))]
-    placed = running(x, ["_q_s"], "_q_k", [F.col(id_col), F.xxhash64(*[F.col(f"`{c}`") for c in ordered])], n, {"_q_z": "_q_before"})
+    placed = running(x, ["_q_s"], "_q_k", [F.col(f"`{id_col}`"), row_hash(df.select(*plain))], n, {"_q_z": "_q_before"})
     placed = placed.join(written(sources, "targets"), "_q_s")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - full * F.col("source_size")
@@ -93,24 +144,44 @@ def mix(df: DataFrame, by: str = "source", id_col: str = "doc_id", size: str | N
     each = placed.withColumn("_q_n", copies)
     each = each.withColumn("copy", F.explode_outer(F.when(F.col("_q_n") > 0, F.sequence(F.lit(0), F.col("_q_n") - 1))))
     block = F.expr(f"(copy * source_size + _q_before) div {block_words}")
-    each = each.withColumn("_q_block", block)
+    each = written(each.withColumn("_q_block", block), "entries")
     shards = deal(each.filter("copy IS NOT NULL").select("_q_s", "_q_block"), n_shards, seed)
     each = each.join(shards, ["_q_s", "_q_block"], "left")
-    order = F.when(F.col("copy").isNotNull(), key60(seed, F.lit("order"), F.col("mix_shard"), F.col("copy"), F.col(id_col)))
+    order = F.when(F.col("copy").isNotNull(), key60(seed, F.lit("order"), F.col("mix_shard"), F.col("copy"), F.col(f"`{id_col}`")))
     out = each if unused else each.filter("copy IS NOT NULL")
-    return out.select(*[F.col(f"`{c}`") for c in names if c not in added], F.col("_q_z").alias("size"), "source_size", "target", "copy", "mix_shard", order.alias("mix_order"), *[F.col(c) for c in (("_q_s", "_rank") if unused else ())])
+    return out.select(*plain, F.col("_q_z").alias("size"), "source_size", "target", "copy", "mix_shard", order.alias("mix_order"), "_q_s", "_rank")
+
+
+def mix(df: DataFrame, by: str = "source", id_col: str = "doc_id", text: str = "text", n_shards: int = 8, block_words: int = 8192, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """One row for each copy of a row of df that the mix takes, with size, source_size, target, copy (from 0), mix_shard and mix_order.
+
+    A row's size is its number of words. Sources, in order of their names (null last), share the sum of all
+    sizes by `weights`, up to `cap` times their size. A source's rows are in a seeded order; it gives floor(target / size) copies of
+    all of them, and of those at the start of the order as many more as come nearest to the target: it is met to half a document.
+    What a source gives, copy after copy, is cut into blocks of about block_words; `split_tree` draws how many blocks of each source an output shard
+    gets, and each source's blocks, in a random order, are dealt to the shards by these numbers, so no block is dealt twice. Inside a shard rows are to be put in the order of mix_order.
+    Orders are exact ranks made by buckets (`running`), so a source with a third of all rows is spread over tasks. All of this is done
+    on narrow rows; texts are joined to them once at the end.
+
+    Nulls: a null source is a source of its own; a null text has no words. Rows without words are never taken. Repeated rows are rows
+    like any other. An empty table gives an empty result. Reruns agree. Columns of df named like the added ones are replaced; those that start with _q_ are refused.
+    """
+    refuse(df, "_q_")
+    added = ("size", "source_size", "target", "copy", "mix_shard", "mix_order")
+    x = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in added])
+    narrow = written(x.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, by))], row_hash(x).alias("_q_t"), words(text).alias("size")), "sizes")
+    taken = written(placements(narrow, by, id_col, "size", n_shards, block_words, weights, cap, seed).select(F.col(f"`{id_col}`").alias("_q_i"), "_q_t", *added), "taken")
+    return rejoin(x, id_col, narrow, taken)
 
 
 def deal(entries: DataFrame, n_shards: int, seed: str) -> DataFrame:
     """mix_shard of each block (_q_s, _q_block) of entries."""
     name = [F.col("_q_s"), F.col("_q_block")]
-    tokens = written(entries.distinct().withColumn("_q_t", key60(seed, F.lit("tree"), *name)).withColumn("_q_p", key60(seed, F.lit("deal"), *name)), "tokens")
-    n = tokens.count()
-    tree = running(tokens.withColumn("_q_all", F.lit(0)), ["_q_all"], "_q_t", name, n).select("_q_s", leaf("_rank", "_n", n_shards).alias("mix_shard"))
-    quotas = tree.groupBy("_q_s", "mix_shard").agg(F.count(F.lit(1)).alias("q"))
+    tokens = written(entries.distinct().withColumn("_q_p", key60(seed, F.lit("deal"), *name)), "tokens")
+    quotas = split_tree(tokens.groupBy("_q_s").agg(F.count(F.lit(1)).alias("q")), n_shards, seed)
     ends = quotas.withColumn("end", F.sum("q").over(Window.partitionBy("_q_s").orderBy("mix_shard")))
     ends = ends.groupBy("_q_s").agg(F.sort_array(F.collect_list(F.struct("end", "mix_shard"))).alias("ends"))  # n_shards entries a source at most
-    order = running(tokens, ["_q_s"], "_q_p", name, n).join(ends, "_q_s")
+    order = running(tokens, ["_q_s"], "_q_p", name, tokens.count()).join(ends, "_q_s")
     return written(order.select("_q_s", "_q_block", F.expr("filter(ends, e -> e.end > _rank)[0].mix_shard").alias("mix_shard")), "deal")
 
 
@@ -121,16 +192,35 @@ def write_mix(df: DataFrame, path: str, n_shards: int = 8) -> None:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, and the shards that its copies are in."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("n"))
-    taken = mix(written(docs, "sizes"), size="n", unused=True)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size"))
+    taken = placements(written(docs, "sizes"), unused=True)
     rows = taken.groupBy("_q_s", "_rank").agg(
         *[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target", "source")], F.sum(F.when(F.col("copy").isNotNull(), F.col("size")).otherwise(0)).alias("taken"), F.sort_array(F.collect_list(F.struct("copy", "mix_shard"))).alias("c")
     )  # a document has three copies at most
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", F.array_join(F.expr("transform(filter(c, e -> e.copy IS NOT NULL), e -> cast(e.mix_shard as string))"), ",").alias("mix_shards"))
 
 
+def _level(i: int) -> str:
+    """SQL of one level of the tree: quotas q<i> by node and source give q<i + 1>. Terms come from gamma functions here."""
+    term = "lgamma({x} + 1) + lgamma(q - {x} + 1) + lgamma(d - {x} + 1) + lgamma(n - q - d + {x} + 1)"
+    return f"""
+o{i} AS (SELECT a, b, s, q, row_number() OVER (PARTITION BY a, b ORDER BY encode(s)) AS i FROM q{i}),
+c{i} AS (
+  SELECT a, b, 0::BIGINT AS i, ''::VARCHAR AS s, 0::BIGINT AS q, sum(q)::BIGINT AS n, (sum(q)::BIGINT * ((b - a) // 2) // (b - a))::BIGINT AS d, 0::BIGINT AS x FROM o{i} GROUP BY a, b
+  UNION ALL
+  SELECT a, b, i, s, q, n, d, xs[1 + len(list_filter(range(1, len(ws) + 1), lambda k: list_sum(ws[1:k]) <= u * list_sum(ws)))]::BIGINT FROM (
+    SELECT *, list_transform(xs, lambda x: exp({term.format(x="m")} - ({term.format(x="x")}))) AS ws FROM (
+      SELECT *, list_concat(range(m, least(q, d) + 1), list_reverse(range(greatest(0, d + q - n), m))) AS xs FROM (
+        SELECT *, least(least(q, d), greatest(greatest(0, d + q - n), floor((d + 1)::DOUBLE * (q + 1) / (n + 2))::BIGINT)) AS m FROM (
+          SELECT c.a, c.b, o.i, o.s, o.q, c.n - c.q AS n, c.d - c.x AS d, ('0x' || substr(md5('mix-1|tree|' || c.a || '|' || c.b || '|' || o.s), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u
+          FROM c{i} c JOIN o{i} o ON c.a = o.a AND c.b = o.b AND o.i = c.i + 1))))),
+q{i + 1} AS (
+  SELECT a, a + (b - a) // 2 AS b, s, x AS q FROM c{i} WHERE i > 0 AND x > 0 AND b - a > 1 UNION ALL
+  SELECT a + (b - a) // 2, b, s, q - x FROM c{i} WHERE i > 0 AND q > x AND b - a > 1),"""
+
+
 OP5_SQL = """
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS z,
          ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
   FROM documents),
@@ -148,16 +238,10 @@ pre AS (
   FROM sized JOIN tgt USING (s)),
 cop AS (SELECT *, CASE WHEN z > 0 THEN (f + CASE WHEN b + z / 2.0 <= target - f * source_size THEN 1 ELSE 0 END)::BIGINT ELSE 0 END AS n FROM pre),
 ent AS (SELECT s, doc_id, c.c AS c, (c.c * source_size + b) // 8192 AS block FROM cop, unnest(range(n)) AS c(c)),
-tok AS (
-  SELECT DISTINCT s, block, ('0x' || substr(md5('mix-1|tree|' || s || '|' || block), 1, 15))::BIGINT AS t, ('0x' || substr(md5('mix-1|deal|' || s || '|' || block), 1, 15))::BIGINT AS p FROM ent),
-r0 AS (SELECT *, row_number() OVER (ORDER BY t, encode(s), block) - 1 AS r, 0::BIGINT AS lo, (count(*) OVER ())::BIGINT AS hi, row_number() OVER (PARTITION BY s ORDER BY p, block) - 1 AS q FROM tok),
-r1 AS (SELECT *, CASE WHEN r < lo + (hi - lo) * 4 // 8 THEN 0 ELSE 4 END AS a1, lo + (hi - lo) * 4 // 8 AS c1 FROM r0),
-r2 AS (SELECT * REPLACE (CASE WHEN a1 = 0 THEN lo ELSE c1 END AS lo, CASE WHEN a1 = 0 THEN c1 ELSE hi END AS hi) FROM r1),
-r3 AS (SELECT *, CASE WHEN r < lo + (hi - lo) * 2 // 4 THEN a1 ELSE a1 + 2 END AS a2, lo + (hi - lo) * 2 // 4 AS c2 FROM r2),
-r4 AS (SELECT * REPLACE (CASE WHEN a2 = a1 THEN lo ELSE c2 END AS lo, CASE WHEN a2 = a1 THEN c2 ELSE hi END AS hi) FROM r3),
-r5 AS (SELECT *, CASE WHEN r < lo + (hi - lo) // 2 THEN a2 ELSE a2 + 1 END AS leaf FROM r4),
-dealt AS (SELECT s, leaf, row_number() OVER (PARTITION BY s ORDER BY leaf) - 1 AS q FROM r5),
-shards AS (SELECT r5.s, r5.block, dealt.leaf FROM r5 JOIN dealt ON r5.s = dealt.s AND r5.q = dealt.q)
+tok AS (SELECT DISTINCT s, block, ('0x' || substr(md5('mix-1|deal|' || s || '|' || block), 1, 15))::BIGINT AS p FROM ent),
+q0 AS (SELECT 0::BIGINT AS a, 8::BIGINT AS b, s, count(*)::BIGINT AS q FROM tok GROUP BY s),""" + "".join(map(_level, range(3))) + """
+ends AS (SELECT s, a AS leaf, sum(q) OVER (PARTITION BY s ORDER BY a) AS stop, sum(q) OVER (PARTITION BY s ORDER BY a) - q AS start FROM q3),
+shards AS (SELECT t.s, block, leaf FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p, block) - 1 AS r FROM tok) t JOIN ends e ON e.s = t.s AND t.r >= start AND t.r < stop)
 SELECT doc_id, z AS size, source_size, target, z * n AS taken, source, coalesce(m, '') AS mix_shards
 FROM cop LEFT JOIN (SELECT ent.s, doc_id, string_agg(leaf::VARCHAR, ',' ORDER BY c) AS m FROM ent JOIN shards ON ent.s = shards.s AND ent.block = shards.block GROUP BY ALL) USING (s, doc_id)
 """

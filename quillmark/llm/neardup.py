@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, small, table, written
+from .common import arrow_map, refuse, row_hash, small, table, written
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -58,13 +58,13 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
-    """id, n_shingles, cls (128-bit digest of the whole set, null if empty), bands (one 64-bit key each), sig (a byte of each hash)."""
+    """id, t (hash of id and text), n_shingles, cls (128-bit digest of the whole set, null if empty), bands (one 64-bit key each), sig (a byte of each hash)."""
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, cls, bands, sigs = [], [], [], []
-            for t in b.column(1).cast(pa.binary()):
+            for t in b.column(2).cast(pa.binary()):
                 s = shingles(t.as_buffer().to_pybytes(), k) if t.is_valid else ()
                 sizes.append(len(s))
                 if not len(s):
@@ -74,9 +74,9 @@ def signatures(df: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(_mixed((v.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _P).view(np.int64))
                 sigs.append(v.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], [id_col, "n_shingles", "cls", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(sizes, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], [id_col, "t", "n_shingles", "cls", "bands", "sig"])
 
-    return arrow_map(df.select(id_col, F.col(text).cast("string")), run, f"`{id_col}` {id_type}, n_shingles bigint, cls binary, bands array<bigint>, sig binary")
+    return arrow_map(df.select(id_col, F.xxhash64(id_col, text), F.col(text).cast("string")), run, f"`{id_col}` {id_type}, t bigint, n_shingles bigint, cls binary, bands array<bigint>, sig binary")
 
 
 def shingle_sets(df: DataFrame, k: int, text: str) -> DataFrame:
@@ -197,19 +197,24 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Rows that repeat an id are scored by their own text; equal rows get equal results. An empty table gives an empty result.
     Columns of df other than the id and the text have no effect.
     """
+    out = grouped(df, k, percent, id_col, text)
+    component = F.when(F.col("cls").isNull(), F.col(id_col)).when(F.col(id_col).isNotNull(), F.col("least"))
+    return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept"))
+
+
+def grouped(df: DataFrame, k: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """Of each row of df: id, t, n_shingles, cls, root (its group's key; null without shingles or if no row with an id has its class), least (its group's least id)."""
     found = written(signatures(df, k, id_col, text), "signatures")
     known = found.filter(F.col(id_col).isNotNull() & F.col("cls").isNotNull())
     sigs = known.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(id_col).alias("first"))
     sigs = written(sigs, "classes")  # equal classes have equal signatures, so any row's will do
     roots = links(df, sigs, k, percent, id_col, text)
     if roots is None:
-        classes = sigs.select("cls", F.col("first").alias("_c"))
+        classes = sigs.select("cls", F.col("cls").alias("root"), F.col("first").alias("least"))
     else:
-        rooted = sigs.select("cls", "first").join(roots.select(F.substring("node", 6, 16).alias("cls"), "root"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
-        classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("_c")), "root").select("cls", "_c")
-    out = found.select(id_col, "n_shingles", "cls").join(classes, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col(id_col)).when(F.col(id_col).isNotNull(), F.col("_c"))
-    return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept"))
+        rooted = sigs.select("cls", "first").join(roots.select(F.substring("node", 6, 16).alias("cls"), F.substring("root", 6, 16).alias("root")), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
+        classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("cls", "root", "least")
+    return found.select(id_col, "t", "n_shingles", "cls").join(classes, "cls", "left")
 
 
 def members_of(sigs: DataFrame) -> DataFrame:
@@ -281,17 +286,26 @@ def links(df: DataFrame, sigs: DataFrame, k: int, percent: int, id_col: str, tex
 
 
 def keep_one(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that near_duplicates keeps: of each group the one with the least id, and of rows that repeat an id the one with
-    the least text. Rows with a null id stay. Columns as in df."""
-    found = near_duplicates(df, k, percent, id_col, text)
-    gone = written(found.groupBy(id_col).agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(id_col), "gone")
-    left = df.join(small(gone), id_col, "left_anti")
-    again = df.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1)
+    """The rows of df that stay when one row of each group of `near_duplicates` does: the one with the least id, of several under that id the one with the
+    least hash of id and text. It is decided by row, so unrelated texts under one id all stay.
+
+    Nulls: rows with a null id stay, and so do rows without words. Rows equal in id and text are one if they have words: of those, the row with the least
+    hash of all columns stays. An empty table gives an empty result. Columns as in df; those that start with _q_ are refused.
+    """
+    refuse(df, "_q_")
+    found = written(grouped(df, k, percent, id_col, text).filter(F.col(id_col).isNotNull() & F.col("root").isNotNull()), "groups")
+    best = found.groupBy("root").agg(F.min(F.struct(id_col, "t")).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    stays = best.select("root", F.col("b.t").alias("bt"))
+    gone = written(found.join(stays, "root").filter("t <> bt").select(F.col("t").alias("_q_t")).distinct(), "gone")
+    x = df.withColumn("_q_t", F.xxhash64(id_col, text))
+    left = x.join(small(gone), "_q_t", "left_anti")
+    again = written(found.groupBy("t").count().filter("count > 1").select(F.col("t").alias("_q_t")), "again")
     if again.isEmpty():
-        return left.select(*df.columns)
-    w = Window.partitionBy(id_col).orderBy(text, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    first = left.withColumn("_q_r", F.row_number().over(w)).filter((F.col("_q_r") == 1) | F.col(id_col).isNull())
-    return first.select(*df.columns)
+        return left.select(*[F.col(f"`{c}`") for c in df.columns])
+    several = left.join(small(again), "_q_t", "left_semi").withColumn("_q_h", row_hash(df))
+    one = several.groupBy("_q_t").agg(F.min("_q_h").alias("_q_h"))
+    several = several.dropDuplicates(["_q_t", "_q_h"]).join(one, ["_q_t", "_q_h"], "left_semi")
+    return left.join(small(again), "_q_t", "left_anti").unionByName(several.drop("_q_h")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_count, key60, running, starts, stratum, table
+from .common import bucket_count, key60, refuse, rejoin, row_hash, running, starts, stratum, table, written
 
 SEED = "shard-1"
 
@@ -17,17 +17,25 @@ def interleave(df: DataFrame, n_shards: int = 8, by: str = "source", id_col: str
     Rows are shuffled by a seeded MD5 of the id and ranked inside their stratum; rank r of n gets the fraction
     (2r + 1) / 2n; all rows are put in order of the fraction, then stratum, and cut into n_shards parts whose counts are at most
     one apart. So every part holds its share of each stratum, to within a row. Both orders are made by `running`'s buckets:
-    a stratum with a third of all rows is never in one task, and the fractions are uniform by themselves.
+    a stratum with a third of all rows is never in one task, and the fractions are uniform by themselves. Places are found for narrow rows, and all
+    columns are joined to them once.
 
     Nulls: a null stratum is a stratum of its own, sorted last; a null id is ranked as ''. Repeated ids, and rows that are equal in
-    everything, are rows like any other (ordered by all columns, so only equal rows can change places). An empty table gives an
-    empty result. Columns of df named like shard or slot are replaced; those that start with _q_ are taken.
+    everything, are rows like any other (ordered by a hash of all columns, so only equal rows can change places). An empty table gives an
+    empty result. Columns of df named like shard or slot are replaced; those that start with _q_ are refused.
     """
-    n = df.count()
-    cols = [c for c in df.columns if c not in ("shard", "slot")]
-    ties = [F.col(f"`{c}`") for c in cols if not dict(df.dtypes)[c].startswith(("map", "variant"))]
-    x = df.select(*[F.col(f"`{c}`") for c in cols], stratum(by).alias("_q_s"), key60(seed, F.col(id_col)).alias("_q_k"))
-    ranked = running(x, ["_q_s"], "_q_k", [F.col(id_col), F.xxhash64(*ties), *ties], n)
+    refuse(df, "_q_")
+    x = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")])
+    narrow = written(x.select(F.col(f"`{id_col}`"), stratum(by).alias("_q_s"), row_hash(x).alias("_q_t")), "rows")
+    placed = places(narrow, n_shards, id_col, seed).select(F.col(f"`{id_col}`").alias("_q_i"), "_q_t", "shard", "slot")
+    return rejoin(x, id_col, narrow, written(placed, "places"))
+
+
+def places(narrow: DataFrame, n_shards: int, id_col: str, seed: str) -> DataFrame:
+    """shard and slot of each row of narrow: id, _q_s (the stratum's key), _q_t (which tells rows of one id apart), and columns that are kept."""
+    n = narrow.count()
+    x = narrow.withColumn("_q_k", key60(seed, F.col(f"`{id_col}`")))
+    ranked = running(x, ["_q_s"], "_q_k", [F.col(f"`{id_col}`"), F.col("_q_t")], n)
     parts = bucket_count(n)
     fraction = (2 * F.col("_rank") + 1) / (F.lit(2.0) * F.col("_n"))
     part = F.least(F.floor(fraction * parts), F.lit(parts - 1))
@@ -39,7 +47,7 @@ def interleave(df: DataFrame, n_shards: int = 8, by: str = "source", id_col: str
     placed = ranked.withColumn("_q_f", fraction).withColumn("_q_b", part).join(firsts, "_q_b").withColumn("_q_p", F.col("_q_start") + F.row_number().over(order) - 1)
     placed = placed.withColumn("shard", F.expr(f"cast(_q_p * {n_shards} div {max(n, 1)} as int)"))
     slot = F.expr(f"_q_p - (cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}")
-    return placed.withColumn("slot", slot).select(*[F.col(f"`{c}`") for c in cols], "shard", "slot")
+    return placed.withColumn("slot", slot).select(*[F.col(f"`{c}`") for c in narrow.columns], "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 8) -> None:
@@ -51,7 +59,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards under the law `rows`; only narrow columns are shuffled."""
     docs = table(spark, sf_dir, "documents")
     x = docs.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    return interleave(x).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+    x = x.withColumn("_q_s", stratum("source")).withColumn("_q_t", F.col("text_crc32"))
+    return places(written(x, "rows"), 8, "doc_id", SEED).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
 OP1_SQL = """

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small, table, written
+from .common import arrow_map, distinct_rows, small, table, written
 
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: The five highest bits of the 32-bit hash: a cut in 32 places, after the last 32 bytes.
@@ -206,6 +206,29 @@ def extensions(df: DataFrame, id_col: str, text: str, texts: DataFrame, reach: i
     return found.groupBy("_t").agg(F.collect_set(F.expr(piece)).alias("more"))
 
 
+def repeated_chunks(df: DataFrame, id_col: str, text: str, least: int, most: int) -> DataFrame:
+    """_d, _t, c of each text with repeated chunks: c are those chunks in order, with n (their places), first_id (their least id, null
+    if all are null) and owner (the key of the row with that id, the least of several)."""
+    every = chunks(df, id_col, text, least, most)
+    holder = F.struct(F.col("_d").isNull().alias("none"), "_d", "_t")
+    often = every.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(holder).alias("o"), F.max("_t").alias("t1"), F.min("_t").alias("t0"), F.min("start").alias("s0"), F.max("start").alias("s1"))
+    often = often.filter("n > 1 AND (t0 <> t1 OR s0 <> s1)").select("hi", "lo", "n", F.col("o._d").alias("first_id"), F.col("o._t").alias("owner"))
+    places = every.join(often, ["hi", "lo"])
+    return places.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "end", "at", "size", "n", "first_id", "hi", "lo", "owner"))).alias("c"))  # one text's chunks
+
+
+def stretches(texts: DataFrame, id_type: str) -> DataFrame:
+    """_d, _t, start, end, chunks, bytes, first, n: neighbours in c, and those that overlap, as one stretch."""
+    empty = f"cast(array() AS array<struct<start:int,end:int,chunks:int,at:int,stop:int,first:{id_type},n:bigint>>)"
+    merged = f"""aggregate(transform(c, x -> named_struct('start', x.start, 'end', x.end, 'chunks', int(x.hi IS NOT NULL), 'at', x.at, 'stop', x.at + x.size,
+        'first', if(x.hi IS NULL, null, x.first_id), 'n', if(x.hi IS NULL, null, x.n))), {empty}, (a, x) -> CASE
+        WHEN size(a) > 0 AND a[size(a) - 1].end >= x.start
+        THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end), 'chunks', a[size(a) - 1].chunks + x.chunks,
+            'at', a[size(a) - 1].at, 'stop', greatest(a[size(a) - 1].stop, x.stop), 'first', least(a[size(a) - 1].first, x.first), 'n', greatest(a[size(a) - 1].n, x.n))))
+        ELSE concat(a, array(x)) END)"""
+    return texts.select("_d", "_t", F.inline(F.expr(merged))).withColumn("bytes", F.expr("stop - at"))
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 24, most: int = 256, min_bytes: int = 128, whole: bool = True) -> DataFrame:
     """id, _t, start, end (code points), n_chunks, n_bytes, first_id, n_copies of each stretch of a text that also occurs elsewhere.
 
@@ -219,33 +242,32 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     Nulls: a null text counts as '' and has no chunks; a row with a null id counts as a place, with first_id null only if all have null ids.
     Rows equal in id and text are one place. An empty table gives an empty result. Other columns have no effect.
     """
-    every = chunks(df, id_col, text, least, most)
-    often = every.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("first_id"), F.min("_t").alias("t0"), F.max("_t").alias("t1"), F.min("start").alias("s0"), F.max("start").alias("s1"))
-    often = often.filter("n > 1 AND (t0 <> t1 OR s0 <> s1)").select("hi", "lo", "n", "first_id")
-    places = every.join(often, ["hi", "lo"]).select("_d", "_t", "start", "end", "at", "size", "n", "first_id", "hi", "lo")
-    texts = places.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "end", "at", "size", "n", "first_id", "hi", "lo"))).alias("c"))  # one text's chunks
+    df = distinct_rows(df, id_col, text)
+    texts = repeated_chunks(df, id_col, text, least, most)
     if whole and min_bytes > 0:
         texts = written(texts, "chunks")
         texts = texts.join(extensions(df, id_col, text, texts, most).hint("shuffle_hash"), "_t", "left").withColumn("c", F.expr("""if(more IS NULL, c, array_sort(concat(c, transform(more, m -> named_struct('start', m.start,
-            'end', m.end, 'at', m.at, 'size', m.size, 'n', c[0].n, 'first_id', c[0].first_id, 'hi', cast(null AS bigint), 'lo', cast(null AS bigint))))))"""))
-    empty = "cast(array() AS array<struct<start:int,end:int,chunks:int,at:int,stop:int,first:{0},n:bigint>>)".format(dict(df.dtypes)[id_col])
-    merged = f"""aggregate(transform(c, x -> named_struct('start', x.start, 'end', x.end, 'chunks', int(x.hi IS NOT NULL), 'at', x.at, 'stop', x.at + x.size,
-        'first', if(x.hi IS NULL, null, x.first_id), 'n', if(x.hi IS NULL, null, x.n))), {empty}, (a, x) -> CASE
-        WHEN size(a) > 0 AND a[size(a) - 1].end >= x.start
-        THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end), 'chunks', a[size(a) - 1].chunks + x.chunks,
-            'at', a[size(a) - 1].at, 'stop', greatest(a[size(a) - 1].stop, x.stop), 'first', least(a[size(a) - 1].first, x.first), 'n', greatest(a[size(a) - 1].n, x.n))))
-        ELSE concat(a, array(x)) END)"""
-    out = texts.select("_d", "_t", F.inline(F.expr(merged))).withColumn("bytes", F.expr("stop - at"))
+            'end', m.end, 'at', m.at, 'size', m.size, 'n', c[0].n, 'first_id', c[0].first_id, 'hi', cast(null AS bigint), 'lo', cast(null AS bigint), 'owner', cast(null AS bigint))))))"""))
+    out = stretches(texts, dict(df.dtypes)[id_col])
     return out.filter(F.col("bytes") >= min_bytes).select(F.col("_d").alias(id_col), "_t", "start", "end", F.col("chunks").alias("n_chunks"), F.col("bytes").alias("n_bytes"), F.col("first").alias("first_id"), F.col("n").alias("n_copies"))
 
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 24, most: int = 256, min_bytes: int = 128) -> DataFrame:
-    """df with its texts cut: a repeated stretch stays in the rows of its first_id and goes from all others. Rows and columns as in df.
+    """df with its texts cut: each repeated chunk stays in one text, its owner, and goes from the others where the chunks to go make a stretch of min_bytes.
 
-    Stretches are not extended here, as the words beside a chunk may be shared with other rows than those of first_id."""
-    spans = repeated_spans(df, id_col, text, least, most, min_bytes, whole=False).filter(~F.col(id_col).eqNullSafe(F.col("first_id")))
-    spans = written(spans.groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_q_s")), "spans")
-    x = df.withColumn("_t", F.xxhash64(F.col(id_col), F.col(text))).join(small(spans), "_t", "left")
+    The owner is the text with the least id that holds the chunk, of texts under one id the one with the least hash; it keeps all of the chunk's places. It is found for each chunk by
+    itself, as neighbours in one text may have been first in different ones, so nothing is lost: every chunk is still whole in its owner.
+    Stretches are not extended here, as the words beside a chunk may be shared with other texts than the owner.
+
+    Nulls: a null text stays null; rows with a null id own a chunk only if all its holders have null ids. Rows equal in id and text are cut alike. An empty table
+    gives an empty result. Rows and columns are those of df; its columns named _q_s or _q_t are refused.
+    """
+    if {"_q_s", "_q_t"} & set(df.columns):
+        raise ValueError("columns named _q_s and _q_t are taken")
+    texts = repeated_chunks(distinct_rows(df, id_col, text), id_col, text, least, most).withColumn("c", F.expr("filter(c, x -> x.owner <> _t)"))
+    spans = stretches(texts.filter("size(c) > 0"), dict(df.dtypes)[id_col]).filter(F.col("bytes") >= min_bytes)
+    spans = written(spans.groupBy(F.col("_t").alias("_q_t")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_q_s")), "spans")
+    x = df.withColumn("_q_t", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"))).join(small(spans), "_q_t", "left")
     kept = f"""concat(aggregate(_q_s, named_struct('p', 0, 's', ''), (a, s) -> named_struct('p', s.end, 's', concat(a.s, substring(`{text}`, a.p + 1, s.start - a.p))), a -> a.s),
         substring(`{text}`, element_at(_q_s, -1).end + 1))"""
     return x.withColumn(text, F.when(F.col("_q_s").isNull(), F.col(text)).otherwise(F.expr(kept))).select(*[F.col(f"`{c}`") for c in df.columns])

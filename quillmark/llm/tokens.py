@@ -8,9 +8,8 @@ from functools import cache
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Default vocabulary: byte-level BPE for many languages, 50,256 ids; 50,256 itself is free and ends a document.
+#: Default vocabulary: byte-level BPE for many languages, 50,256 ids.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-END = 50256
 #: How this family of vocabularies splits a text before its merges (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -24,6 +23,11 @@ def vocabulary(spark: SparkSession, path: str = RANKS, most: int = 16 << 20) ->
     return spark.sparkContext.broadcast(data)
 
 
+def end_of(data: bytes) -> int:
+    """The id behind all ids of a rank file, which ends a document as no token has it."""
+    return max(int(line.split()[1]) for line in data.splitlines() if line.strip()) + 1
+
+
 @cache
 def encoder(data: bytes):  # noqa: ANN201
     """The encoding of a rank file, built once in a Python worker."""

@@ -20,7 +20,7 @@ def test_running_sums_in_buckets(spark):
 
 def test_tables_in_the_shared_folder(spark):
     df = common.written(spark.range(5), "t")
-    assert df.count() == 5 and "quillmark-t" in df.inputFiles()[0] and df.inputFiles()[0].startswith(common.shared_dir(spark)) and "://" in common.shared_dir(spark)
+    assert df.count() == 5 and common.scratch(spark) + "/t-" in df.inputFiles()[0].replace("file:///", "file:///") and df.inputFiles()[0].startswith(common.shared_dir(spark)) and "://" in common.shared_dir(spark)
 
 
 def test_small_sides_are_counted(spark):

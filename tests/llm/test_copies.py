@@ -119,10 +119,18 @@ def test_near_duplicates_of_odd_rows(nasty, none):
     assert all(r.component_id is None and r.kept for r in rows if r.doc_id is None)
     assert neardup.near_duplicates(none).count() == 0
     kept = neardup.keep_one(nasty)
-    assert kept.columns == nasty.columns and sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 6, 8]
+    assert kept.columns == nasty.columns and sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 1, 2, 3, 4, 5, 6, 8]
     assert kept.filter("doc_id IS NULL").count() == 2
 
 
+def test_rows_under_one_id_are_judged_by_themselves(spark):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a, "en"), (1, a, "de"), (1, a, "en"), (1, b, "en"), (2, b + " more", "en"), (3, c, "en"), (2, c, "en"), (4, "", "x"), (4, "", "x"), (None, a, "en")]
+    got = sorted((r.doc_id or 0, r.text, r.lang) for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect())
+    assert [g[:2] for g in got] == sorted([(0, a), (1, a), (1, b), (2, c), (4, ""), (4, "")])
+
+
 def test_gear_equals_the_rolling_loop():
     data = np.frombuffer("Some bytes, é and 😀, to roll over. ".encode() * 9, np.uint8)
     h, want = 0, []
@@ -252,6 +260,73 @@ def test_repeats_equal_brute_force_over_chunks(spark):
     assert cover(want) == cover(got) and sum(g[3] for g in got) == len(set(want))
 
 
+def chunk_places(rows):
+    """Places (row, start, end, code points) of each chunk; rows equal in id and text once."""
+    out = {}
+    for i, t in dict.fromkeys(rows):
+        raw = (t or "").encode()
+        ends = substrings.cuts(np.frombuffer(raw, np.uint8), 24, 256)
+        for a, b in zip([0, *ends], ends, strict=False):
+            out.setdefault(raw[a:b], []).append(((i, t), a, b, len(raw[:a].decode()), len(raw[:b].decode())))
+    return out
+
+
+def overlapping(seed, repeats=True):
+    """Documents of passages that meet in changing neighbourhoods; ids that repeat, null ids, equal rows."""
+    rng = random.Random(seed)
+    passages = [prose(rng, rng.randrange(30, 90)) for _ in range(6)]
+    rows = []
+    for i in range(30):
+        parts = [rng.choice(passages) if rng.random() < 0.6 else prose(rng, rng.randrange(1, 60)) for _ in range(rng.randrange(1, 6))]
+        rows.append((rng.choice([i, i, i // 2, None]), " ".join(parts)))
+    return rows + (rows[:5] + rows[:2] + [(3, None), (3, ""), (None, None)] if repeats else [])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_all_columns_of_spans_against_brute_force(spark, seed):
+    rows = overlapping(seed)
+    places = {c: p for c, p in chunk_places(rows).items() if len(p) > 1}
+    by_row = {}
+    for p in places.values():
+        ids = [x[0][0] for x in p if x[0][0] is not None]
+        for row, a, b, s, e in p:
+            by_row.setdefault(row, []).append((a, b, s, e, min(ids, default=None), len(p)))
+    want = []
+    for row, marks in by_row.items():
+        group = []
+        for m in [*sorted(marks), (10**9, 0, 0, 0, None, 0)]:
+            if group and group[-1][1] != m[0]:
+                firsts = [g[4] for g in group if g[4] is not None]
+                want.append((row[0], group[0][2], group[-1][3], len(group), group[-1][1] - group[0][0], min(firsts, default=None), max(g[5] for g in group)))
+                group = []
+            group.append(m)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substrings.repeated_spans(df, min_bytes=0).select("doc_id", "start", "end", "n_chunks", "n_bytes", "first_id", "n_copies").collect()
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert want and sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_no_chunk_is_lost_by_cutting(spark, seed):
+    """Every distinct chunk of any text is still whole in some text, and texts do get shorter."""
+    rows = overlapping(seed)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [(r.text or "").encode() for r in substrings.cut_repeats(df, min_bytes=48).collect()]
+    assert len(out) == len(rows) and sum(map(len, out)) < 0.9 * sum(len((t or "").encode()) for _, t in rows)
+    for chunk in chunk_places(rows):
+        assert any(chunk in t for t in out)
+
+
+def test_neighbours_that_were_first_in_different_texts(spark):
+    rng = random.Random(7)
+    x, m, a, b, y = (prose(rng, 80) for _ in range(5))
+    df = spark.createDataFrame([(1, f"{x} {m} {b}"), (5, f"{a} {m} {b}"), (9, f"{a} {m} {y}")], "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in substrings.cut_repeats(df).collect()}
+    assert a[:400] in out[5] and a[60:300] not in out[9] and m[60:300] not in out[5] and m[60:300] not in out[9] and out[1] == f"{x} {m} {b}"
+    rows = spark.createDataFrame([(1, a), (1, a), (2, x + " " + a)], "doc_id bigint, text string")
+    assert {r.n_copies for r in substrings.repeated_spans(rows).collect()} == {2}
+
+
 def test_leaks_equal_the_sql(spark):
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -263,20 +338,31 @@ def test_leaks_equal_the_sql(spark):
 
 def test_leaks_with_exchanged_words(spark):
     rng = random.Random(6)
-    items = [(i, prose(rng, rng.randrange(15, 50))) for i in range(30)] + [(90, "three short words"), (91, ""), (92, None)]
+    items = [(i, prose(rng, rng.randrange(15, 50))) for i in range(30)] + [(90, "five short words stand here"), (91, ""), (92, None), (93, "here"), (94, "in a row")]
     docs = [(i, prose(rng, 200)) for i in range(40)]
     for i, t in items[:30]:
         w = t.split()
         for j in rng.sample(range(len(w)), len(w) // 8):
             w[j] = "zz"
         docs.append((100 + i, prose(rng, 30) + " " + " ".join(w).upper() + " " + prose(rng, 30)))
-    docs.append((200, "here are three short words in a row"))
+    docs.append((200, "here are five short words stand here in a row"))
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(d, b).collect()}
     assert got == {(100 + i, i) for i in range(30)} | {(200, 90)}
     assert {r.doc_id for r in decontamination.decontaminate(d, b).collect()} == set(range(40))
 
 
+def test_places_far_apart_are_not_added_up(spark):
+    rng = random.Random(11)
+    item = prose(rng, 30).split()
+    one, two = " ".join(item[:14]), " ".join(item[14:28])
+    docs = [(1, f"{one} {prose(rng, 3000)} {two}"), (2, f"{one} {two} {prose(rng, 50)}"), (3, " ".join([*item[:14], "zz", *item[14:]])), (4, " ".join(item[:14]))]
+    docs += [(5, "the " * 3000), (6, f"{two} {one}")]
+    df, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item)), (2, "the"), (3, "the " * 30)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.first_word) for r in decontamination.overlaps(df, b).collect()}
+    assert got == {(2, 1): (28, 0), (3, 1): (30, 0), (5, 3): (30, -2)}
+
+
 def test_decontamination_of_odd_rows(spark, nasty, none):
     b = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog near the river bank", "x"), (None, None, "y")], "item_id bigint, text string, words string")
     left = decontamination.decontaminate(nasty, b)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,19 +107,84 @@ def test_targets_by_repeated_sharing(spark, sizes):
     assert [got[f"0s{i}"] for i in range(len(sizes))] == pytest.approx(want)
 
 
-def test_splitting_tree_gives_even_shards(spark):
-    for n, m in ((100, 8), (7, 8), (50, 6), (9, 1), (64, 5)):
-        rows = spark.range(n).select(F.col("id").alias("p"), F.lit(n).cast("long").alias("n")).select(mixing.leaf("p", "n", m).alias("s")).collect()
-        c = Counter(r.s for r in rows)
-        assert sum(c.values()) == n and set(c) <= set(range(m)) and max(c.values()) - min(c.get(i, 0) for i in range(m)) <= 3
-        assert [r.s for r in rows] == sorted(r.s for r in rows)
+def quotas(spark, sizes, n_shards, seed, group=1024):
+    df = spark.createDataFrame([(f"0s{i}", q) for i, q in enumerate(sizes)], "_q_s string, q bigint")
+    return {(r["_q_s"], r.mix_shard): r.q for r in mixing.split_tree(df, n_shards, seed, group).collect()}
+
+
+@pytest.mark.parametrize(("sizes", "n_shards", "group"), [([100, 3, 40], 8, 1024), ([1], 4, 1024), ([5, 5, 5, 5, 5, 5, 5], 3, 2), ([50, 0, 7], 1, 1024), ([30] * 9, 8, 2)])
+def test_splitting_tree_deals_every_block(spark, sizes, n_shards, group):
+    got = quotas(spark, sizes, n_shards, "x", group)
+    for i, q in enumerate(sizes):
+        assert sum(v for (s, _), v in got.items() if s == f"0s{i}") == q
+    per = Counter()
+    for (_, k), v in got.items():
+        per[k] += v
+    assert set(per) <= set(range(n_shards)) and max(per.values()) - min(per.get(k, 0) for k in range(n_shards)) <= 3
+    assert got == quotas(spark, sizes, n_shards, "x", group)
+
+
+def test_quotas_have_the_law_of_random_draws(spark):
+    """Over many nodes with seeds of their own, means and variances are those of draws without replacement, and sources depend on each other as they must."""
+    sizes, runs = (12, 5, 23), 3000
+    n, d = sum(sizes), sum(sizes) // 2
+    df = spark.range(runs).select(F.col("id").cast("string").alias("seed"), F.array(*[F.struct(F.lit(f"s{i}").alias("k"), F.lit(q).cast("long").alias("q")) for i, q in enumerate(sizes)]).alias("m"))
+    rows = np.array([[e.x for e in r.e] for r in df.select(mixing.drawn(F.col("m"), F.lit(n).cast("long"), F.lit(d).cast("long"), F.col("seed")).alias("e")).collect()])
+    assert (rows.sum(axis=1) == d).all() and (rows <= sizes).all() and (rows >= 0).all()
+    p = np.array(sizes) / n
+    cov = d * (n - d) / (n - 1) * (np.diag(p) - np.outer(p, p))
+    assert np.abs(rows.mean(axis=0) - d * p).max() < 5 * np.sqrt(cov.max() / runs)
+    assert np.abs(np.cov(rows.T) - cov).max() < 0.08 * cov.max() + 0.05
+
+
+@pytest.mark.parametrize(("n", "k", "d"), [(10, 4, 5), (100, 1, 50), (7, 7, 3), (7, 0, 3), (9, 5, 0), (9, 5, 9), (2_000_000, 900_000, 1_000_000)])
+def test_hypergeometric_by_its_terms(spark, n, k, d):
+    """The draw at u is where the sums of the terms, from the mode upwards, then downwards, go beyond u."""
+    us = [0.0, 1e-9, 0.1, 0.3, 0.5, 0.777, 0.95, 1 - 1e-12]
+    df = spark.createDataFrame([(u,) for u in us], "u double")
+    c = lambda v: F.lit(v).cast("long")
+    got = [r.x for r in df.select(mixing.hypergeometric(c(n), c(k), c(d), F.col("u")).alias("x")).collect()]
+    lg = math.lgamma
+    low, high = max(0, d + k - n), min(k, d)
+    mode = min(high, max(low, (d + 1) * (k + 1) // (n + 2)))
+    log = lambda x: -(lg(x + 1) + lg(k - x + 1) + lg(d - x + 1) + lg(n - k - d + x + 1))
+    xs = [*range(mode, min(high, mode + 9000) + 1), *range(mode - 1, max(low, mode - 9000) - 1, -1)]
+    ws = np.cumsum([math.exp(log(x) - log(mode)) for x in xs])
+    for u, x in zip(us, got, strict=True):
+        want = xs[min(len(xs) - 1, int((ws <= u * ws[-1]).sum()))]
+        assert x == want or (n > 1000 and abs(x - want) <= 1), (u, x, want)
 
 
 def test_mix_of_odd_rows(nasty, none):
     out = mixing.mix(nasty)
     assert out.columns.count("size") == 1 and {r.size for r in out.collect()} >= {1}
-    assert mixing.mix(nasty, unused=True).select("_q_s", "_rank").distinct().count() == nasty.count()
+    narrow = nasty.select("doc_id", "source", mixing.words().alias("size"))
+    assert mixing.placements(narrow, unused=True).select("_q_s", "_rank").distinct().count() == nasty.count()
     assert mixing.mix(none).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(nasty.withColumn("_q_s", F.lit(1)))
+
+
+def test_mix_carries_whole_rows(spark, nasty):
+    """Each copy has all columns of its row, equal rows are taken as often as they occur, and written shards hold them all."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.unionByName(docs.limit(3)).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    rows = mixing.mix(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(texts[r.doc_id] == r.text and r.m == {"k": r.doc_id} for r in rows)
+    narrow = mixing.placements(docs.select("doc_id", "source", mixing.words().alias("size"))).collect()
+    assert Counter((r.doc_id, r["copy"], r.mix_shard) for r in rows) == Counter((r.doc_id, r["copy"], r.mix_shard) for r in narrow)
+
+
+def test_written_mix_is_in_order(spark, tmp_path):
+    out = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet"))
+    mixing.write_mix(out, str(tmp_path / "m"))
+    seen = defaultdict(list)
+    for f in sorted((tmp_path / "m").glob("mix_shard=*/*.parquet")):
+        order = pq.read_table(f, partitioning=None).column("mix_order").to_pylist()
+        assert order == sorted(order)
+        seen[int(f.parent.name.split("=")[1])] += order
+    assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(r.mix_order for r in out.collect() if r.mix_shard == k) for k in seen}
 
 
 def test_feistel_is_a_permutation():
@@ -127,13 +195,18 @@ def test_feistel_is_a_permutation():
 
 def test_training_order_round_trip(spark, nasty, none, tmp_path):
     path = f"file://{tmp_path}/order"
-    rows = training_order.materialise(nasty, path, seq_len=64, per_shard=100).orderBy("slot").collect()
+    rows = training_order.materialise(nasty, path, seq_len=64, shard_bytes=128 * 100).orderBy("slot").collect()
     assert [r.slot for r in rows] == list(range(len(rows)))
-    firsts = sorted({(r.slot - r.offset // 128, r.shard) for r in rows})
-    read = list(training_order.read_from(path, 0, len(rows), firsts, 64))
-    assert len(read) == len(rows)
+    read = list(training_order.read_from(path))
+    assert len(read) == len(rows) and len({r.shard for r in rows}) > 5
     half = len(rows) // 2
-    assert [x.tolist() for x in training_order.read_from(path, half, 10, firsts, 64)] == [x.tolist() for x in read[half : half + 10]]
+    assert [x.tolist() for x in training_order.read_from(path, half, 10)] == [x.tolist() for x in read[half : half + 10]]
+    assert list(training_order.read_from(path, len(rows), 5)) == [] and len(list(training_order.read_from(path, len(rows) - 2, 5))) == 2
+    for r in rows[::7]:
+        with open(tmp_path / "order" / f"shard-{r.shard:08d}.bin", "rb") as f:
+            f.seek(r.offset)
+            assert zlib.crc32(f.read(128)[: 2 * r.n_tokens]) == r.crc32
+    assert not [p for p in (tmp_path / "order").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
     encode = encoder(open(RANKS, "rb").read()).encode_ordinary
     texts = Counter((r.doc_id, r.text) for r in nasty.collect() if r.text)
     parts = Counter()
@@ -146,4 +219,33 @@ def test_training_order_round_trip(spark, nasty, none, tmp_path):
         for s in range(0, len(ids), 64):
             want[(i, s // 64, tuple(ids[s : s + 64]))] += c
     assert parts == want
-    assert training_order.materialise(none, path + "0").count() == 0
+    assert training_order.materialise(none, path + "0").count() == 0 and list(training_order.read_from(path + "0")) == []
+
+
+def test_slots_follow_the_keyed_order(spark, tmp_path):
+    """A plain model: places by the seeded order of the ids and the texts' bytes, permuted, ranked among those in use."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect() if r.text]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.seq_no): r.slot for r in training_order.materialise(df, f"file://{tmp_path}/o", seq_len=128, shard_bytes=1 << 16).collect()}
+    encode = encoder(open(RANKS, "rb").read()).encode_ordinary
+    base, places = 0, []
+    for i, t in sorted(docs, key=lambda d: (k60(training_order.KEY, d[0]), d[0])):
+        places += [(base + s, i, s) for s in range(-(-(len(encode(t)) + 1) // 128))]
+        base += -(-(len(t.encode()) + 1) // 128)
+    order = np.argsort(training_order.feistel(np.array([p[0] for p in places]), base))
+    assert got == {(places[j][1], places[j][2]): slot for slot, j in enumerate(order)}
+
+
+def test_larger_vocabularies_take_wider_ids(spark, tmp_path):
+    lines = open(RANKS, "rb").read().splitlines()
+    (tmp_path / "ranks").write_bytes(b"\n".join([*lines, base64.b64encode(b" never seen in any text") + b" 70000"]))
+    df = spark.createDataFrame([(1, "some words to be cut")], "doc_id bigint, text string")
+    training_order.materialise(df, f"file://{tmp_path}/o", seq_len=16, ranks=str(tmp_path / "ranks")).collect()
+    (only,) = training_order.read_from(f"file://{tmp_path}/o")
+    assert only.dtype.itemsize == 4 and only[-1] == 70001
+
+
+def test_many_equal_rows_are_each_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, "the same words")] * 2500 + [(2, "others"), (2, "others"), (2, "more")], "doc_id bigint, text string")
+    rows = training_order.materialise(df, f"file://{tmp_path}/o", seq_len=16).collect()
+    assert Counter(r.doc_id for r in rows) == {1: 2500, 2: 3} and sorted(r.slot for r in rows) == list(range(2503))

@@ -70,3 +70,15 @@ def test_stages_of_odd_rows(spark, nasty, none):
         assert docs.count() >= 1
         docs = docs.select(*P.COLUMNS)
         assert f(spark, none, DATA).count() == 0
+
+
+def test_without_labels_all_documents_stay(spark, tmp_path):
+    table(spark, DATA, "documents").limit(20).write.parquet(str(tmp_path / "documents.parquet"))
+    for name, rows in (("none", "false"), ("one", "quality = 1")):
+        table(spark, DATA, "labels").filter(rows).write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert P.quality(spark, table(spark, str(tmp_path), "documents"), str(tmp_path / name)).count() == 20
+
+
+def test_the_whole_run_equals_its_stages(spark, stages):
+    rows = lambda df: sorted((r.doc_id, r.shard, r.slot) for r in df.collect())
+    assert rows(P.run(spark, DATA)) == rows(stages[-1][1])

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -215,7 +216,7 @@ def test_rollup_by_deltas_equals_a_recount(spark, tmp_path):
     got = lambda: {(x.source, x.lang, x.tokenizer): (x.docs, x.tokens) for x in r.totals().collect()}
     assert got() == want
     r.compact()
-    assert got() == want and not r.commit("b2", counts.inserts(a)) and len(r.committed()) == 1
+    assert got() == want and not r.commit("b2", counts.inserts(a)) and len(r.live()) == 1
     r.commit("b4", counts.inserts(c([(9, "a", None, "t1", 1)])))
     assert got()[("a", None, "t1")] == (2, 6)
     with pytest.raises(ValueError):
@@ -226,7 +227,7 @@ def test_unfinished_batches_do_not_count(spark, tmp_path):
     r = counts.Rollup(spark, f"file://{tmp_path}/r")
     df = spark.createDataFrame([("a", "en", "t", 1, 5)], "source string, lang string, tokenizer string, docs bigint, tokens bigint")
     r.commit("b1", df)
-    (tmp_path / "r" / "batch=b1" / "_SUCCESS").unlink()
+    next((tmp_path / "r" / "batch=b1").glob("attempt=*/totals/_SUCCESS")).unlink()
     assert r.totals().count() == 0 and r.commit("b1", df) and r.totals().first().tokens == 5
 
 
@@ -234,17 +235,42 @@ def test_counts_of_odd_rows(nasty, none):
     assert counts.count_tokens(nasty).count() == 2 * nasty.count() and counts.count_tokens(none).count() == 0
 
 
+def test_sums_of_any_name_keep_the_totals(spark, tmp_path):
+    """Compactions of any name, two at once, empty batches and a second writer of one name change nothing."""
+    kind = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
+    df, none = spark.createDataFrame([("a", "en", "t", 1, 10), (None, None, "t", None, 0)], kind), spark.createDataFrame([], kind)
+    r = counts.Rollup(spark, f"file://{tmp_path}/r")
+    got = lambda: {x.source: (x.docs, x.tokens) for x in r.totals().collect()}
+    r.commit("b1", df), r.commit("sum-b2", df), r.commit("nothing", none)
+    assert got() == {"a": (2, 20)}
+    assert r.compact("daily") and got() == {"a": (2, 20)} and not r.compact("daily") and not r.compact()
+    assert not r.commit("sum-b2", df) and not r.commit("nothing", df) and got() == {"a": (2, 20)}
+    r.commit("daily", df)
+    assert got() == {"a": (3, 30)} and r.compact("b1") and got() == {"a": (3, 30)}
+    r.commit("b3", df), r.commit("b4", df)
+    before = r.live()
+    for name in ("first", "second"):  # both began from the same state
+        r._write("sum", name, r._changes(before), list(before))
+    assert got() == {"a": (5, 50)} and len(r.live()) == 1
+    r.commit("b5", df)
+    both = tmp_path / "r" / "batch=b5"
+    shutil.copytree(next(both.iterdir()), both / "attempt=99999999999999999999-late")
+    assert got() == {"a": (6, 60)} and r.compact() and got() == {"a": (6, 60)}
+    empty = counts.Rollup(spark, f"file://{tmp_path}/e")
+    assert empty.commit("x", none) and empty.totals().count() == 0 and not empty.compact()
+
+
 def test_the_query_runs_all_kinds_of_changes(spark, monkeypatch):
     """Over whole documents: revisions, deletes, repeated batches and a compaction leave the sums of a plain count."""
-    done, commit = [], counts.Rollup.commit
+    done, write = [], counts.Rollup._write
 
-    def record(self, batch, changes, holds=()):
-        done.append((batch.split("-")[0], commit(self, batch, changes, holds), changes.agg({"docs": "min"}).first()[0]))
-        return done[-1][1]
+    def record(self, kind, name, changes, holds):
+        done.append((kind, name, write(self, kind, name, changes, holds), changes.agg({"docs": "min"}).first()[0]))
+        return done[-1][2]
 
-    monkeypatch.setattr(counts.Rollup, "commit", record)
+    monkeypatch.setattr(counts.Rollup, "_write", record)
     got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in counts.op10_token_counts(spark, DATA).collect()}
-    assert [d[:2] for d in done] == [("load", True), ("languages", True), ("deleted", True), ("inserted", True), ("languages", False), ("sum", True), ("load", False)]
-    assert done[1][2] == done[2][2] == -1
+    assert [d[1:3] for d in done] == [("load", True), ("languages", True), ("deleted", True), ("inserted", True), ("languages", False), ("daily", True), ("load", False)]
+    assert done[1][3] == done[2][3] == -1 and done[5][0] == "sum"
     plain = counts.count_tokens(table(spark, DATA, "documents")).groupBy("source", "lang", "tokenizer").agg({"tokens": "sum", "*": "count"}).collect()
     assert got == {(r["source"], r["lang"], r["tokenizer"]): (r["count(1)"], r["sum(tokens)"]) for r in plain}
