@@ -49,8 +49,9 @@ def present(*cols: Column) -> Column:
     return sum((F.coalesce(c.cast("string") != "", F.lit(False)).cast("int") for c in cols), F.lit(0)) / F.lit(float(len(cols)))
 
 
-def completeness(text: Column) -> Column:
-    return F.when(n_words(text) > 1000, 1.0).otherwise(0.75)
+def completeness(text: Column, w: Column | None = None) -> Column:
+    """w, and s and n below: words, sentences and stripped length, where a query has them as columns already."""
+    return F.when((n_words(text) if w is None else w) > 1000, 1.0).otherwise(0.75)
 
 
 def playbook_completeness(sections: Column, fields: Column, required_sections: list[str], required_fields: list[str]) -> Column:
@@ -102,8 +103,8 @@ def timeliness(stamp: Column, as_of: Column, sla_hours: float = 8760.0) -> Colum
     return F.when(day.isNull() | (hours < 0), 0.5).otherwise(clip(1 - hours / sla_hours))
 
 
-def parse_success(text: Column, least: int = 50) -> Column:
-    return F.when(F.length(stripped(text)) >= least, 1.0).otherwise(0.0)
+def parse_success(text: Column, least: int = 50, n: Column | None = None) -> Column:
+    return F.when((F.length(stripped(text)) if n is None else n) >= least, 1.0).otherwise(0.0)
 
 
 def size_health(tokens: Column, domain: Column | None = None) -> Column:
@@ -140,11 +141,12 @@ def sentence_length(text: Column) -> Column:
     return F.when(n > 0, n_words(text) / n)
 
 
-def quality(text: Column) -> Column:
+def quality(text: Column, w: Column | None = None, s: Column | None = None, n: Column | None = None) -> Column:
     """A step function of the mean sentence length."""
-    w, s = n_words(text), sentence_length(text)
+    w = n_words(text) if w is None else w
+    s = sentence_length(text) if s is None else F.when(s > 0, w / s)
     return (
-        F.when(F.length(stripped(text)) < 50, 0.40).when(w < 20, 0.55).when(s.isNull(), 0.60).when(s < 5, 0.60).when(s < 10, 0.70)
+        F.when((F.length(stripped(text)) if n is None else n) < 50, 0.40).when(w < 20, 0.55).when(s.isNull(), 0.60).when(s < 5, 0.60).when(s < 10, 0.70)
         .when(s <= 25, 0.85).when(s <= 35, 0.80).when(s <= 45, 0.70).when(s <= 60, 0.60).otherwise(0.50)
     )
 
@@ -190,12 +192,16 @@ def audience_intent(text: Column, domain: str | None = None) -> Column:
     return F.when(F.length(stripped(text)) < 20, 0.0).otherwise(F.least(s, F.lit(1.0)))
 
 
-def diversity(text: Column) -> Column:
-    """Distinct over all words of a-z and 0-9: 0.3 gives 0.5, 0.7 gives 1."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z0-9]+\b"), F.lit(0))
-    r = F.size(F.array_distinct(w)) / F.size(w)
+def plain_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z0-9]+\b"), F.lit(0))
+
+
+def diversity(text: Column, share: Column | None = None, n: Column | None = None) -> Column:
+    """Distinct over all words of a-z and 0-9, null without any: 0.3 gives 0.5, 0.7 gives 1."""
+    w = plain_words(text)
+    r = F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)) if share is None else share
     scaled = F.when(r < 0.3, r / 0.3 * 0.5).when(r <= 0.7, 0.5 + (r - 0.3) / 0.4 * 0.5).otherwise(1.0)
-    return F.when((F.length(stripped(text)) < 20) | (F.size(w) == 0), 0.0).otherwise(scaled)
+    return F.when(((F.length(stripped(text)) if n is None else n) < 20) | r.isNull(), 0.0).otherwise(scaled)
 
 
 def accessibility(text: Column, audience: Column) -> Column:
@@ -207,8 +213,13 @@ def accessibility(text: Column, audience: Column) -> Column:
     return F.when(~a.isin("", "unknown", "general"), known).when(plain, 0.50).otherwise(0.30)
 
 
-def kb_ready(text: Column) -> Column:
-    return F.when((n_words(text) > 50) & F.contains(text, F.lit("\n")), 1.0).otherwise(0.50)
+def gpt_confidence() -> Column:
+    """Fixed, as no model is asked."""
+    return F.lit(0.85)
+
+
+def kb_ready(text: Column, w: Column | None = None) -> Column:
+    return F.when(((n_words(text) if w is None else w) > 50) & F.contains(text, F.lit("\n")), 1.0).otherwise(0.50)
 
 
 def letters_share(text: Column) -> Column:

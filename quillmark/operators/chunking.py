@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -23,15 +22,24 @@ _CUT = re.compile(T.SENTENCE_CUT)
 
 
 def pages(df: DataFrame, key: str, text: str = "text", fence: str = PAGE, with_part: bool = False) -> DataFrame:
-    """key, page, text (and part with with_part): a row for each part between lines that match the fence; the fence's first group is the page's number."""
-    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    is_fence = F.rlike("line", F.lit(fence))
-    number = F.when(is_fence, F.regexp_extract("line", fence, 1).try_cast("int"))
-    x = lines.withColumn("part", F.sum(is_fence.cast("int")).over(w)).withColumn("page", F.coalesce(F.last(number, ignorenulls=True).over(w), F.lit(1)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n")
-    out = x.filter(~is_fence).groupBy(key, "part", "page").agg(body.alias("text"))
-    return out.select(key, *(["part"] if with_part else []), "page", T.stripped(F.col("text")).alias("text"))
+    """key, page, text (and part with with_part): a row for each part between lines that match the fence; the fence's first group is the page's number.
+
+    The text is cut inside its row: what is behind a fence belongs to its number, to the last one if it has none, to 1 before any. Parts without a line go.
+    """
+    whole = f"(?m)(?:{fence})" if "(?:" not in fence[:3] else f"(?m){fence}"
+    numbers = F.transform(F.regexp_extract_all(F.col(text), F.lit(whole), F.lit(1)), lambda n: n.try_cast("int"))
+
+    def parts(n: Column) -> Column:
+        def one(body: Column, i: Column) -> Column:
+            last = F.filter(F.slice(n, 1, i), lambda v: v.isNotNull())
+            page = F.when(i > 0, F.coalesce(F.get(last, F.size(last) - 1), F.lit(1))).otherwise(1)
+            here = F.when(i == F.size(n), (i == 0) | (body != "")).otherwise(F.length(body) > F.when(i == 0, 0).otherwise(1))
+            return F.struct(i.cast("bigint").alias("part"), page.alias("page"), T.stripped(body).alias("text"), here.alias("here"))
+
+        return F.filter(F.transform(F.split(F.col(text), whole), one), lambda p: p["here"])
+
+    out = df.select(key, F.inline(T.let(numbers, parts)))
+    return out.select(key, *(["part"] if with_part else []), "page", "text")
 
 
 def canonical(title: Column) -> Column:
@@ -49,19 +57,27 @@ def sections(df: DataFrame, key: str, text: str = "text", headers: tuple[str, ..
     A heading of the given patterns has confidence 1, one by shape 0.8, the part before any 0.5; empty lines go; a text with nothing but headings or
     nothing at all is one section of confidence 0.
     """
-    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("n", "raw")).withColumn("line", T.stripped(F.col("raw"))).filter("line <> ''")
-    explicit = F.lit(False)
-    for h in headers:
-        explicit = explicit | F.rlike("line", F.lit(h))
-    shaped = F.rlike("line", F.lit(NUMBERED)) | F.rlike("line", F.lit(TITLE)) | (F.rlike("line", F.lit(CAPITALS)) & (T.n_words(F.col("line")) >= 2))
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    x = lines.withColumn("conf", F.when(explicit, 1.0).when(shaped, 0.8)).withColumn("head", F.col("conf").isNotNull())
-    x = x.withColumn("ord", F.sum(F.col("head").cast("int")).over(w)).withColumn("title", F.coalesce(F.last(F.when(F.col("head"), F.col("line")), ignorenulls=True).over(w), F.lit("Introduction")))
-    x = x.withColumn("confidence", F.coalesce(F.last("conf", ignorenulls=True).over(w), F.lit(0.5)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n")
-    found = x.filter(~F.col("head")).groupBy(key, "ord", "title", "confidence").agg(body.alias("body"))
-    bare = df.join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(0).cast("bigint").alias("ord"), F.lit("Introduction").alias("title"), F.lit(0.0).alias("confidence"), T.stripped(F.col(text)).alias("body"))
-    every = found.unionByName(bare)
+    def marked(line: Column) -> Column:
+        explicit = F.lit(False)
+        for h in headers:
+            explicit = explicit | F.rlike(line, F.lit(h))
+        shaped = F.rlike(line, F.lit(NUMBERED)) | F.rlike(line, F.lit(TITLE)) | (F.rlike(line, F.lit(CAPITALS)) & (T.n_words(line) >= 2))
+        return F.struct(line.alias("line"), F.when(explicit, 1.0).when(shaped, 0.8).alias("conf"))
+
+    def cut(r: Column) -> Column:
+        places = F.filter(F.transform(r, lambda x, i: F.when(x["conf"].isNotNull(), i)), lambda i: i.isNotNull())
+        return T.let(places, lambda h: F.transform(F.sequence(F.lit(0), F.size(h)), lambda k: one(r, h, k)))
+
+    def one(r: Column, h: Column, k: Column) -> Column:
+        start, end = F.when(k == 0, 0).otherwise(F.get(h, k - 1) + 1), F.coalesce(F.get(h, k), F.size(r))
+        head = F.when(k > 0, F.get(r, F.get(h, k - 1)))
+        body = F.array_join(F.transform(F.slice(r, start + 1, F.greatest(end - start, F.lit(0))), lambda x: x["line"]), "\n")
+        return F.struct(k.cast("bigint").alias("ord"), F.coalesce(head["line"], F.lit("Introduction")).alias("title"), F.coalesce(head["conf"], F.lit(0.5)).alias("confidence"), F.when(end > start, body).alias("body"))
+
+    rows = F.transform(F.filter(F.transform(F.split(F.col(text), "\n"), T.stripped), lambda x: x != ""), marked)
+    found = F.filter(T.let(rows, cut), lambda s: s["body"].isNotNull())
+    bare = F.struct(F.lit(0).cast("bigint").alias("ord"), F.lit("Introduction").alias("title"), F.lit(0.0).alias("confidence"), T.stripped(F.col(text)).alias("body"))
+    every = df.select(key, F.inline(T.let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(bare)))))
     name = canonical(F.col("title"))
     for t, to in (aliases or {}).items():
         name = F.when(F.col("title") == t, to).otherwise(name)

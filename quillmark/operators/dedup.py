@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -34,39 +33,32 @@ def boilerplate(df: DataFrame, key: str, text: str = "text", least: int = 3) ->
 
 
 def without_boilerplate(df: DataFrame, key: str, text: str = "text", least: int = 3) -> DataFrame:
-    """key and the text with each repeated line kept where it is first. Lines are counted in the order of their text inside one row, without a shuffle."""
+    """key and the text with each line that occurs `least` times or more kept where it is first. Lines are sorted inside one row, without a shuffle."""
     lines = F.split(F.col(text), "\n")
-    x = df.select(key, lines.alias("a"), F.transform(lines, T.stripped).alias("s"))
-    counts = F.aggregate(F.sort_array("s"), F.array().cast("array<struct<w:string,n:int>>"), lambda a, w: _run(a, w))
-    often = F.transform(F.filter(counts, lambda c: (c["n"] >= least) & (c["w"] != "")), lambda c: c["w"])
-    x = x.withColumn("often", often)
-    kept = F.filter("a", lambda line, i: ~F.array_contains("often", T.stripped(line)) | (F.array_position("s", T.stripped(line)) == i + 1))
-    return x.select(key, F.when(F.size("a") < least, F.array_join("a", "\n")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    norm = F.transform(lines, lambda x: F.nullif(T.stripped(x), F.lit("")))
+    kept = F.filter(F.arrays_zip(lines.alias("line"), T.repeats(norm, least).alias("again")), lambda x: ~x["again"])
+    return df.select(key, F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"))
 
 
-def _run(a: Column, w: Column) -> Column:
-    last = F.get(a, F.size(a) - 1)
-    grown = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(w.alias("w"), (last["n"] + 1).alias("n"))))
-    return F.when(last["w"] == w, grown).otherwise(F.concat(a, F.array(F.struct(w.alias("w"), F.lit(1).alias("n")))))
+def without_repeated_ngrams(df: DataFrame, key: str, text: str = "text", n: int = 4, least: int = 3) -> DataFrame:
+    """key, text: a word goes if the n-gram that starts at it occurs `least` times or more and has occurred before. All inside one row; texts without words go."""
 
+    def kept(w: Column) -> Column:
+        grams = F.transform(w, lambda _, i: F.when(i + n <= F.size(w), F.array_join(F.slice(w, i + 1, n), " ")))
+        return F.transform(F.filter(F.arrays_zip(w.alias("word"), T.repeats(grams, least).alias("again")), lambda x: ~x["again"]), lambda x: x["word"])
 
-def without_repeated_ngrams(df: DataFrame, key: str, text: str = "text", n: int = 4, least: int = 3) -> DataFrame:
-    """key, text: a word goes if the n-gram that starts at it occurs `least` times or more and has occurred before. Words of one text are sorted together."""
-    w = df.select(key, F.posexplode(T.words(F.col(text))).alias("i", "word"))
-    order = Window.partitionBy(key).orderBy("i")
-    grams = w.withColumn("gram", F.concat_ws(" ", F.col("word"), *[F.lead("word", j).over(order) for j in range(1, n)])).withColumn("whole", F.lead("word", n - 1).over(order).isNotNull())
-    same = Window.partitionBy(key, "gram", "whole")
-    grams = grams.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("first", F.min("i").over(same))
-    kept = grams.filter(~F.col("whole") | (F.col("c") < least) | (F.col("first") == F.col("i")))
-    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda s: s["word"]), " ").alias("text"))
+    return df.select(key, T.let(T.words(F.col(text)), kept).alias("w")).filter(F.size("w") > 0).select(key, F.array_join("w", " ").alias("text"))
 
 
 def line_repetition(text: Column, least: int = 3) -> Column:
     """Repeats of lines that occur `least` times or more, as a share of all lines."""
     lines = F.filter(F.transform(F.split(text, "\n"), T.stripped), lambda x: x != "")
-    counts = F.aggregate(F.sort_array(lines), F.array().cast("array<struct<w:string,n:int>>"), lambda a, w: _run(a, w))
-    again = F.aggregate(F.filter(counts, lambda c: c["n"] >= least), F.lit(0), lambda a, c: a + c["n"] - 1)
-    return F.when(F.size(lines) < least, 0.0).otherwise(F.least(F.lit(1.0), again / F.greatest(F.size(lines), F.lit(1))))
+
+    def share(a: Column) -> Column:
+        again = F.size(F.filter(T.repeats(a, least), lambda r: r))
+        return F.when(F.size(a) < least, 0.0).otherwise(F.least(F.lit(1.0), again / F.greatest(F.size(a), F.lit(1))))
+
+    return T.let(lines, share)
 
 
 def char_shingles(text: Column, n: int = 5) -> Column:

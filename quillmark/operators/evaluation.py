@@ -23,8 +23,13 @@ def retrieval(retrieved: DataFrame, expected: DataFrame, k: int = 10, p_at: int
     """
     need = expected.distinct()
     n = need.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hit = retrieved.join(need.withColumn("rel", F.lit(1)), ["query_id", "id"], "left")
-    rel = F.col("rel").isNotNull()
+    return retrieval_of(retrieved.join(need.withColumn("rel", F.lit(True)), ["query_id", "id"], "left").select("query_id", "rank", F.coalesce("rel", F.lit(False)).alias("rel")), n, k, p_at)
+
+
+def retrieval_of(hit: DataFrame, n: DataFrame, k: int = 10, p_at: int = 5) -> DataFrame:
+    """As `retrieval`, from retrieved rows (query_id, rank, rel) that are marked already and the number of expected ones (query_id, n): where relevance is
+    a property that both sides have, expected rows need not be listed."""
+    rel = F.col("rel")
     g = hit.groupBy("query_id").agg(
         F.min(F.when(rel, F.col("rank"))).alias("first"), F.sum(F.when(rel & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
         F.count_if(rel & (F.col("rank") <= k)).alias("in_k"), F.count_if(rel & (F.col("rank") <= p_at)).alias("in_p"),

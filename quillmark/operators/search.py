@@ -71,7 +71,7 @@ def visible(points: DataFrame, acls: DataFrame, user: str, chunk: str = "chunk_i
     field = mine.filter("access_type = 'field'").select(F.lower("field_scope").alias("s"))
     field = field.select(F.explode(F.transform(F.split(F.coalesce(F.col("s"), F.lit("")), ","), lambda x: F.trim(x))).alias("s")).filter("s <> ''").distinct()
     f = F.lower(F.trim(F.col("field_name")))
-    if mine.limit(10_001).count() > 10_000:
+    if mine.limit(10_001).count() > 10_000 or field.limit(10_001).count() > 10_000:
         raise ValueError("one user has too many rules")
     full = mine.filter("access_type = 'full'").select("user_id").limit(1)
     parts = [
@@ -87,13 +87,17 @@ def visible(points: DataFrame, acls: DataFrame, user: str, chunk: str = "chunk_i
 def context_window(hits: DataFrame, by: list[str], text: str, k: int, budget: int, order: list[str], first: list[str]) -> DataFrame:
     """The chunks of each context: equal texts once (the first by `first`), the first k of them, in `order`, up to a budget of length // 4 tokens; the first chunk is always in."""
     norm = F.lower(T.squeezed(F.col(text)))
-    x = hits.filter(F.coalesce(F.col(text), F.lit("")) != "").withColumn("_n", norm)
-    x = x.withColumn("_d", F.row_number().over(Window.partitionBy(*by, F.md5("_n")).orderBy(*first))).filter("_d = 1")
-    x = x.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*first))).filter(F.col("_k") <= k)
     tok = F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
-    run = Window.partitionBy(*by).orderBy(*order)
-    x = x.withColumn("tokens", tok).withColumn("total_tokens", F.sum("tokens").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(run))
-    return x.filter((F.col("total_tokens") <= budget) | (F.col("place") == 1)).drop("_n", "_d", "_k")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in hits.columns])
+    x = hits.filter(F.coalesce(F.col(text), F.lit("")) != "").withColumn("_r", row)
+    # Windows see narrow rows; the few that are left take their other columns from the hits.
+    n = x.select(*dict.fromkeys([*by, *first, *order]), "_r", F.md5(norm).alias("_n"), tok.alias("tokens"))
+    n = n.withColumn("_d", F.row_number().over(Window.partitionBy(*by, "_n").orderBy(*first, "_r"))).filter("_d = 1")
+    n = n.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*first, "_r"))).filter(F.col("_k") <= k)
+    run = Window.partitionBy(*by).orderBy(*order, "_r")
+    n = n.withColumn("total_tokens", F.sum("tokens").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(run))
+    n = n.filter((F.col("total_tokens") <= budget) | (F.col("place") == 1)).select(F.col("_r").alias("_q"), "tokens", "total_tokens", "place")
+    return x.join(n, F.col("_r") == F.col("_q")).dropDuplicates(["_r"]).drop("_r", "_q")
 
 
 def freshness(stamp: Column, as_of: Column) -> Column:

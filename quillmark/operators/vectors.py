@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,24 +33,80 @@ def hash_embedding(text: Column, dims: int = 32) -> Column:
     return F.concat(F.array(F.least(F.length(text) / 1000, F.lit(1.0))), rest)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str = "vec_id", vec: str = "embedding", least: float = -1.0, same: bool = False, size_limit: int = 100_000) -> DataFrame:
-    """query_id, rank, id, score of the k nearest vectors of each query by cosine, ties by id.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str = "vec_id", vec: str = "embedding", least: float = -1.0, same: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
+    """query_id, rank, id, score of the k nearest vectors of each query by cosine, ties (to twelve digits) by id.
 
-    The stated queries, counted and refused beyond size_limit, go to every task that reads vectors; each task keeps its own k best
-    per query by a ranked window over (query, block), so that what is shuffled for the last ranking is k rows per query and block, not a row
-    per pair.
+    The stated queries are taken in blocks of at most block_bytes, as many as it needs; a block goes to every task that reads vectors. A task
+    keeps the k best of each of its queries while batches of vectors pass, so memory and shuffle are k rows per query and task and no pair is
+    ever a row. Null vectors and those of another length than the query's are no match; zero vectors have the cosine 0.
     """
-    if queries.limit(size_limit + 1).count() > size_limit:
-        raise ValueError("search in blocks of queries")
-    q = queries.select(F.col(by).alias("query_id"), F.transform(vec, lambda v: v.cast("double")).alias("qv")).withColumn("qn", norm(F.col("qv")))
-    v = vectors.select(F.col(by).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("v")).withColumn("n", norm(F.col("v"))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(64)))
-    scored = v.join(F.broadcast(q), F.lit(True) if same else F.col("id") != F.col("query_id"))
-    n = F.col("n") * F.col("qn")
-    scored = scored.select("query_id", "id", "block", F.when(n > 0, dot(F.col("v"), F.col("qv")) / n).otherwise(0.0).alias("score")).filter(F.col("score") >= least)
-    part = Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "id")
-    best = scored.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k)
+    q = queries.select(F.col(by).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
+    size = q.agg(F.sum(F.size("v") * 8 + 16).alias("b"), F.max(F.size("v") * 8 + 16).alias("most")).first()
+    blocks = max(1, -(-(size.b or 0) // max(1, block_bytes - 4 * (size.most or 0))))
+    v = vectors.select(F.col(by).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
+    kind = dict(q.dtypes)["id"]
+    out = None
+    for b in range(blocks):
+        part = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()  # a block of bounded bytes
+        found = v.mapInArrow(_search([(r.id, np.array(r.v)) for r in part], k, least, same), f"query_id {kind}, id {kind}, score double")
+        out = found if out is None else out.unionByName(found)
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return out.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _search(block: list, k: int, least: float, same: bool):  # noqa: ANN202
+    """The k best vectors of a task for each query of a block, by query length."""
+    by_dim: dict[int, list] = {}
+    for i, v in block:
+        by_dim.setdefault(len(v), []).append((i, v / (np.linalg.norm(v) or 1.0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        ids_of = {d: np.array([i for i, _ in qs], object) for d, qs in by_dim.items()}
+        unit = {d: np.stack([v for _, v in qs]) for d, qs in by_dim.items()}
+        for b in batches:
+            dims = np.array(pc.list_value_length(b.column(1)))
+            for d, u in unit.items():
+                at = np.flatnonzero(dims == d)
+                if not len(at) or not d:
+                    continue
+                ids = np.array(b.column(0).take(pa.array(at)).to_pylist(), object)
+                x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                n = np.linalg.norm(x, axis=1)
+                rows = best.setdefault(d, [(np.empty(0), np.empty(0, object))] * len(u))
+                for lo in range(0, len(u), 256):  # 256 queries times a batch of vectors at once
+                    scores = np.round(u[lo : lo + 256] @ (x / np.where(n > 0, n, 1.0)[:, None]).T, 12)
+                    for j, s in enumerate(scores, lo):
+                        s0, i0 = rows[j]
+                        limit = s0[-1] if len(s0) == k else -np.inf
+                        take = np.flatnonzero((s >= max(limit, least)) & (True if same else ids != ids_of[d][j]))
+                        if len(take):
+                            s1, i1 = np.concatenate([s0, s[take]]), np.concatenate([i0, ids[take]])
+                            order = sorted(range(len(s1)), key=lambda r: (-s1[r], i1[r]))[:k] if len(s1) < 8 * k else sorted(np.flatnonzero(s1 >= np.partition(s1, -k)[-k]).tolist(), key=lambda r: (-s1[r], i1[r]))[:k]
+                            rows[j] = s1[order], i1[order]
+        for d, rows in best.items():
+            for lo in range(0, len(rows), 1024):
+                part = [(ids_of[d][j], i, s) for j, (ss, ii) in enumerate(rows[lo : lo + 1024], lo) for s, i in zip(ss, ii, strict=True)]
+                if part:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in part], kinds[c]) for c in range(3)], ["query_id", "id", "score"])
+
+    id_kind = pa.array([i for i, _ in block[:1]] or [0]).type
+    kinds = [id_kind, id_kind, pa.float64()]
+    return run
+
+
+def middle(x: DataFrame, value: str, margin: float = 0.0005) -> Column:
+    """The exact median of a column, as a number: values are ranked only inside a narrow band around it, which an approximate percentile with a proven error gives."""
+    lo, hi = x.agg(F.percentile_approx(value, [0.5 - margin, 0.5 + margin], 10_000).alias("p")).first().p or (None, None)
+    if lo is None:
+        return F.lit(None).cast("double")
+    n, below = x.agg(F.count(value), F.count_if(F.col(value) < lo)).first()
+    band = x.filter(F.col(value).between(lo, hi)).groupBy(value).agg(F.count(F.lit(1)).alias("n"))  # a thousandth of the values or so
+    w = Window.orderBy(value)
+    ranked = band.withColumn("to", F.sum("n").over(w) + below)
+    a, b = (n - 1) // 2, n // 2
+    got = ranked.agg(F.min(F.when(F.col("to") > a, F.col(value))).alias("a"), F.min(F.when(F.col("to") > b, F.col(value))).alias("b")).first()
+    return F.lit((got.a + got.b) / 2)
 
 
 def quality(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -53,9 +114,9 @@ def quality(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     x = vectors.select(F.size(vec).alias("dim"), F.exists(vec, lambda v: F.isnan(v) | v.isNull() | (F.abs(v) == float("inf"))).alias("bad"), norm(F.col(vec)).alias("norm"))
     common = x.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).select(F.col("dim").alias("usual"))
     ok = x.filter(~F.col("bad"))
-    stats = ok.agg(F.median("norm").alias("median"), F.stddev_pop("norm").alias("sd"), F.avg("norm").alias("mean"))
+    stats = ok.agg(F.stddev_pop("norm").alias("sd"), F.avg("norm").alias("mean")).withColumn("median", middle(ok, "norm"))
     g = (
-        x.join(F.broadcast(common.join(stats, F.lit(True))), F.lit(True))
+        x.join(F.broadcast(common.join(stats, F.lit(True))), F.lit(True))  # one row
         .groupBy("usual", "median", "sd", "mean")
         .agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("dim") == F.col("usual")).alias("same_dim"), F.count_if("bad").alias("bad"), F.count_if(~F.col("bad") & (F.col("norm") > 0)).alias("non_zero"), F.count_if(~F.col("bad") & (F.abs(F.col("norm") - F.col("median")) > F.col("sd") * 3)).alias("outliers"))
     )

@@ -89,8 +89,8 @@ def confident(confidence: Column, gap: Column, least: float = 0.7) -> Column:
 
 #: Advice: metric, bound below which it is given, what to change.
 ADVICE = (
-    ("ai_trust", 0.6, "review_pipeline"), ("secure", 0.9, "enable_pii_redaction"), ("metadata", 0.8, "enrich_metadata"), ("kb_ready", 0.5, "increase_chunk_size"),
-    ("size_health", 0.7, "adjust_chunk_size"), ("parse_success", 0.9, "enable_ocr"), ("completeness", 0.8, "collect_more_text"), ("chunk_boundary_quality", 0.8, "increase_overlap"),
+    ("ai_trust", 0.6, "review_pipeline"), ("secure", 0.9, "enable_pii_redaction"), ("metadata_completeness", 0.8, "enrich_metadata"), ("kb_ready", 0.5, "increase_chunk_size"),
+    ("chunk_size_health", 0.7, "adjust_chunk_size"), ("parse_success", 0.9, "enable_ocr"), ("completeness", 0.8, "collect_more_text"), ("chunk_boundary_quality", 0.8, "increase_overlap"),
 )
 
 

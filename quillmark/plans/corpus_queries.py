@@ -119,14 +119,17 @@ FROM c WHERE chunk <> '' GROUP BY doc_id"""
 )
 def char_chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 800 characters that overlap by 100, their sizes, and how even they are."""
-    x = docs(spark, sf_dir).select("doc_id", F.posexplode(C.char_chunks(F.col("text"), 200, 100)).alias("s", "chunk"))
-    n, var = F.length("chunk"), F.var_pop(F.length("chunk"))
-    g = x.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("chunks"), F.round(F.avg(n), 4).alias("avg_size"), F.min(n).alias("min_size"), F.max(n).alias("max_size"), F.round(var, 4).alias("variance"),
-        F.when(var < 10000, "high").when(var < 50000, "medium").otherwise("low").alias("retrieval"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "chunk"))), lambda s: s["chunk"]), "|")).alias("chunks_md5"),
-    )
-    return g
+    def figures(c):  # noqa: ANN001, ANN202
+        n = F.size(c).cast("bigint")
+        add = lambda f: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + f(F.length(x).cast("bigint")))
+        total, squares = add(lambda v: v), add(lambda v: v * v)
+        sizes = F.transform(c, lambda x: F.length(x))
+        var = (n * squares - total * total) / (n * n)
+        return F.struct(n.alias("chunks"), F.round(total / n, 4).alias("avg_size"), F.array_min(sizes).alias("min_size"), F.array_max(sizes).alias("max_size"), var.alias("v"), F.md5(F.array_join(c, "|")).alias("chunks_md5"))
+
+    x = docs(spark, sf_dir).select("doc_id", T.let(C.char_chunks(F.col("text"), 200, 100), lambda c: F.when(F.size(c) > 0, figures(c))).alias("f")).filter("f IS NOT NULL").select("doc_id", "f.*")
+    level = F.when(F.col("v") < 10000, "high").when(F.col("v") < 50000, "medium").otherwise("low")
+    return x.select("doc_id", "chunks", "avg_size", "min_size", "max_size", F.round("v", 4).alias("variance"), level.alias("retrieval"), "chunks_md5")
 
 
 def _chunk_query(strategy: str):  # noqa: ANN202

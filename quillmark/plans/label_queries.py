@@ -38,14 +38,53 @@ def playbook_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", K.route(F.col("text"), F.col("source")).alias("playbook"))
 
 
-@query()
+def _count_sql(kind: str) -> str:
+    return " + ".join("len(regexp_extract_all(text, '(?im)" + p.replace("'", "''") + "'))" for p in K.KINDS[kind])
+
+
+def _list(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_LOGN = "ln(9)"
+_SCORE = (
+    "CASE WHEN n_{k} = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, least(1.0, ln(1 + n_{k}) / " + _LOGN + ") * 0.6::DOUBLE + least(1.0, n_{k} / greatest(w / 1000.0::DOUBLE, 1.0) / 1.5::DOUBLE) * 0.4::DOUBLE"
+    " + CASE WHEN n_{k} >= 3 THEN least(0.15::DOUBLE, (n_{k} - 3) * 0.02::DOUBLE) ELSE 0 END) END"
+)
+_SAID = ", ".join(f"list_transform(regexp_extract_all(text, '(?i){p}'), lambda m: substr(trim(m), 1, 80))" for p in K.CLINICAL)
+_ORDER = list(K.KINDS)
+_SPEC = {k: len(K.SPECIAL) - K.SPECIAL.index(k) for k in _ORDER}
+_KINDS_SQL = f"""WITH c AS (SELECT doc_id, text, {NW} AS w, doc_id % 3 AS m, {', '.join(f'{_count_sql(k)} AS n_{k}' for k in _ORDER)},
+  list_filter({_list(K.MEDICAL_KEYWORDS)}, lambda x: contains(lower(text), x)) AS kw, list_filter({_list(K.MEDICAL_SUBJECTS)}, lambda x: contains(lower(text), x)) AS sb, flatten([{_SAID}]) AS said FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+d AS (SELECT *, least(50, len(list_distinct(list_concat(list_concat(kw, sb), said)))) AS terms, CASE WHEN len(kw) > 0 THEN round_even(least(0.25::DOUBLE, 0.05::DOUBLE + len(kw) * 0.015::DOUBLE), 3) ELSE 0.0::DOUBLE END AS key FROM c),
+e AS (SELECT *, terms / greatest(w / 1000.0::DOUBLE, 0.1::DOUBLE) AS density, round_even(terms / greatest(w / 1000.0::DOUBLE, 0.1::DOUBLE), 3) AS dense,
+  CASE m WHEN 0 THEN 'code' WHEN 1 THEN 'documentation' END AS pk, CASE m WHEN 0 THEN 0.35::DOUBLE WHEN 1 THEN 0.25::DOUBLE END AS ps FROM d),
+s1 AS (SELECT *, {', '.join((f"CASE WHEN n_{k} > 0 THEN least(1.0::DOUBLE, {_SCORE.format(k=k)} + key + least(0.25::DOUBLE, terms * 0.015::DOUBLE + dense * 0.02::DOUBLE)) WHEN terms > 0 THEN least(1.0::DOUBLE, key + least(0.25::DOUBLE, terms * 0.015::DOUBLE + density * 0.02::DOUBLE)) ELSE 0.0::DOUBLE END" if k == 'medical' else f"CASE WHEN n_{k} > 0 THEN {_SCORE.format(k=k)} WHEN pk = '{k}' THEN ps ELSE 0.0::DOUBLE END") + f' AS s_{k}' for k in _ORDER)} FROM e),
+s2 AS (SELECT * REPLACE (CASE WHEN dense >= 5 AND s_regulatory > 0 THEN round_even(s_regulatory * 0.6::DOUBLE, 3) ELSE s_regulatory END AS s_regulatory, CASE WHEN key >= 0.10 AND s_technical > 0 THEN round_even(s_technical * 0.6::DOUBLE, 3) ELSE s_technical END AS s_technical),
+  key >= 0.10 AND s_medical > 0 AND s_medical < 0.5 AND s_legal = 0 AS boosted FROM s1),
+s3 AS (SELECT * REPLACE (CASE WHEN boosted THEN least(1.0::DOUBLE, s_medical + 0.12::DOUBLE) ELSE s_medical END AS s_medical, CASE WHEN s_legal > 0 THEN least(1.0::DOUBLE, s_legal + 0.15::DOUBLE) ELSE s_legal END AS s_legal) FROM s2),
+r AS (SELECT *, list_sort(list_filter([{', '.join(f"{{'s': -s_{k}, 'o': CASE WHEN pk = '{k}' THEN -2 WHEN terms > 0 AND '{k}' = 'medical' THEN -1 ELSE {i} END, 'k': '{k}', 'p': {_SPEC[k]}}}" for i, k in enumerate(_ORDER))}], lambda x: x.s < 0)) AS q FROM s3),
+t AS (SELECT *, q[1] AS a, q[2] AS b, list_filter(q, lambda x: x.k = 'medical')[1] AS md, coalesce(q[2].s - q[1].s, 9.0::DOUBLE) AS near FROM r),
+u AS (SELECT *, CASE WHEN coalesce(-md.s >= 0.75 AND a.k <> 'medical' AND md.s - a.s <= 0.05, FALSE) THEN md WHEN dense >= 5 AND near < 0.02 AND a.k = 'regulatory' AND coalesce(b.k IN ('academic', 'medical'), FALSE) THEN b
+  WHEN key >= 0.10 AND a.k = 'technical' AND near < 0.08 AND coalesce(b.k IN ('academic', 'medical'), FALSE) THEN b WHEN near < 0.02 AND coalesce(b.p > a.p, FALSE) THEN b ELSE a END AS best FROM t),
+v AS (SELECT *, coalesce(best.k, 'general') AS kind, n_s, CASE WHEN wm > 30 THEN 1.2::DOUBLE WHEN wm < 15 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS f FROM (SELECT *, len(regexp_extract_all(regexp_replace(text, '[.!?]+', ' ', 'g'), '[^\\x20\\x09-\\x0D]+'))::DOUBLE / greatest(n_s, 1) AS wm FROM (
+  SELECT *, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS n_s FROM u))),
+z AS (SELECT v.*, floor(c0 * f) AS z1, floor(c1 * f) AS o1, c2, c3, strategy FROM v JOIN (VALUES {', '.join(f"('{k}', {x[0]}, {x[1]}, {x[2]}, {x[3]}, '{x[4]}')" for k, x in K.SETUPS.items())}) AS cfg(k, c0, c1, c2, c3, strategy) ON cfg.k = v.kind),
+y AS (SELECT *, CASE WHEN w < 100 THEN least(z1, w * 4) WHEN w > 10000 THEN floor(z1 * 1.1::DOUBLE) ELSE z1 END AS z2 FROM z),
+x AS (SELECT *, CASE WHEN w < 100 THEN least(o1, floor(z2 / 4)) WHEN w > 10000 THEN floor(o1 * 1.1::DOUBLE) ELSE o1 END AS o2, greatest(c2, least(z2, c3)) AS z3 FROM y)
+SELECT doc_id, kind, CASE WHEN len(q) = 0 THEN 0.3::DOUBLE ELSE round(-best.s, 6) END AS confidence, CASE WHEN b IS NULL THEN 0.0::DOUBLE ELSE round(b.s - best.s, 6) END AS gap,
+  CASE WHEN len(q) = 0 THEN ['general'] ELSE list_transform(q[1:3], lambda c: c.k) END AS candidates, dense AS density, boosted, z3::INTEGER AS size, least(o2, z3 - 1)::INTEGER AS overlap, strategy FROM x"""
+
+
+@query(_KINDS_SQL)
 def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind of content of each document and the chunking setup for it; its forty patterns lean on word edges in all scripts, which the SQL engine lacks."""
-    t = F.col("text")
-    x = docs(spark, sf_dir).select("doc_id", "text", T.n_words(t).alias("w"), *[K.kind_matches(t, k).alias(k) for k in K.KINDS])
-    x = x.select("doc_id", "text", *[K.kind_score(F.col(k), F.col("w")).alias(k) for k in K.KINDS])
-    x = x.withColumn("c", K.content_kind({k: F.col(k) for k in K.KINDS}, hint="legal"))
-    return x.withColumn("s", K.setup(F.col("c.kind"), t)).select("doc_id", "c.*", "s.*")
+    """The kind of content of each document with the evidence, and the chunking setup for it; ids stand for file names, the hint is legal."""
+    t, m = F.col("text"), F.col("doc_id") % 3
+    x = docs(spark, sf_dir).withColumn("file", F.concat("source", F.when(m == 0, ".py").when(m == 1, ".MD").otherwise(".pdf")))
+    x = x.select("doc_id", "text", K.prior(F.col("file")).alias("prior"), T.n_words(t).alias("w"), *[c.alias(k) for k, c in K.medical_evidence(t).items()], *[K.kind_matches(t, k).alias(k) for k in K.KINDS])
+    x = x.withColumn("c", K.detect({k: F.col(k) for k in K.KINDS}, F.col("w"), F.col("keywords"), F.col("terms"), F.col("prior"), F.lit("legal")))
+    x = x.withColumn("s", K.setup(F.col("c.kind"), t))
+    return x.select("doc_id", "c.kind", "c.confidence", "c.gap", F.transform("c.candidates", lambda v: v["kind"]).alias("candidates"), "c.density", "c.boosted", "s.*")
 
 
 @query(

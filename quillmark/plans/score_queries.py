@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..session import table
 from .config import ADVICE, advice
 from .registry import query
-from .text_queries import L, NW, R, STRIP, W, _PII, docs
+from .text_queries import _LINES, _ODD, _PII, L, NW, R, STRIP, W, docs
 
 _SENT = f"len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: {STRIP.format('x')}), lambda x: x <> ''))"
 _TS = f"length({STRIP.format('text')})"
@@ -34,18 +34,27 @@ _KB = f"CASE WHEN {NW} > 50 AND contains(text, chr(10)) THEN 1.0 ELSE 0.5 END"
 _CASTS = "{}::DOUBLE"
 
 
+def with_facts(x: DataFrame) -> DataFrame:
+    """Adds _w (words), _n (characters once stripped), _s (sentences) and token_est, each counted once; the optimiser doesn't put costly columns into
+    the expressions that use them several times."""
+    t = F.col("text")
+    return x.withColumns({"_w": T.n_words(t), "_n": F.length(T.stripped(t)), "_s": F.size(T.sentences(t))}).withColumn("token_est", F.floor(F.col("_w") * 1.3).cast("int"))
+
+
 @query(
     f"""SELECT doc_id, {_TOK}::INTEGER AS token_est, (CASE WHEN {NW} > 1000 THEN 1.0 ELSE 0.75 END)::DOUBLE AS completeness, (CASE WHEN {_TS} >= 50 THEN 1.0 ELSE 0.0 END)::DOUBLE AS parse_success,
   round(({_SIZE})::DOUBLE, 6) AS size_health, round(({_size_sql(_TOK, *S.SIZES['regulated'])})::DOUBLE, 6) AS size_health_regulated, (CASE WHEN {_PII} THEN 0.0 ELSE 1.0 END)::DOUBLE AS secure,
-  ({_Q})::DOUBLE AS quality, round(({_DIV})::DOUBLE, 6) AS diversity, ({_KB})::DOUBLE AS kb_ready FROM documents"""
+  ({_Q})::DOUBLE AS quality, round(({_DIV})::DOUBLE, 6) AS diversity, ({_KB})::DOUBLE AS kb_ready, 0.85::DOUBLE AS gpt_confidence FROM documents"""
 )
 def chunk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of each text that need no metadata."""
-    t, tok = F.col("text"), F.col("token_est")
-    x = docs(spark, sf_dir).withColumn("token_est", T.token_estimate(t))
+    t, tok, w, n, s = (F.col(c) for c in ("text", "token_est", "_w", "_n", "_s"))
+    x = with_facts(docs(spark, sf_dir)).withColumn("_p", S.plain_words(t))
+    x = x.withColumn("_d", F.when(F.size("_p") > 0, F.size(F.array_distinct("_p")) / F.size("_p")))
     return x.select(
-        "doc_id", "token_est", S.completeness(t).alias("completeness"), S.parse_success(t).alias("parse_success"), F.round(S.size_health(tok), 6).alias("size_health"),
-        F.round(S.size_health(tok, F.lit("legal")), 6).alias("size_health_regulated"), S.secure(t).alias("secure"), S.quality(t).alias("quality"), F.round(S.diversity(t), 6).alias("diversity"), S.kb_ready(t).alias("kb_ready"),
+        "doc_id", "token_est", S.completeness(t, w).alias("completeness"), S.parse_success(t, n=n).alias("parse_success"), F.round(S.size_health(tok), 6).alias("size_health"),
+        F.round(S.size_health(tok, F.lit("legal")), 6).alias("size_health_regulated"), S.secure(t).alias("secure"), S.quality(t, w, s, n).alias("quality"), F.round(S.diversity(t, F.col("_d"), n), 6).alias("diversity"), S.kb_ready(t, w).alias("kb_ready"),
+        S.gpt_confidence().alias("gpt_confidence"),
     )
 
 
@@ -104,39 +113,98 @@ def record_metadata_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scores(t, meta: int = 1):  # noqa: ANN001, ANN201
-    """All twelve scores of documents as chunks: source and language are their metadata."""
-    return {
-        "completeness": S.completeness(t), "validity": F.lit(1.0), "consistency": F.lit(1.0), "uniqueness": F.lit(1.0), "timeliness": F.lit(0.5), "text_integrity": F.lit(0.85),
-        "parse_success": S.parse_success(t), "chunk_boundary_quality": F.lit(1.0), "chunk_coherence": F.lit(1.0), "chunk_size_health": F.round(S.size_health(T.token_estimate(t)), 4),
-        "metadata_completeness": S.present(F.col("source"), F.col("lang"), F.lit(None), F.lit(None)), "provenance_coverage": F.lit(0.25),
-    }
+#: The playbook of the test corpus: sections and fields that a record must have, rules of validity and consistency, and how old it may be.
+PLAYBOOK = {
+    "required_sections": ["title", "body"],
+    "required_fields": ["source", "lang", "stamp"],
+    "validity_rules": [
+        {"type": "pattern_match", "field": "source", "pattern": "^src[0-9]+$"},
+        {"type": "required", "field": "lang"},
+        {"type": "pattern_match", "field": "text", "pattern": r"[.!?]\s*$"},
+    ],
+    "consistency_rules": [
+        {"type": "range_check", "field": "n_chars", "min": 200, "max": 20000, "severity": "high"},
+        {"type": "value_match", "field": "lang", "expected": "en", "severity": "low"},
+        {"type": "range_check", "field": "_s", "min": 2, "max": 500, "severity": "critical"},
+    ],
+    "freshness_sla_hours": 87600.0,
+}
+AS_OF = "2024-06-30"
+_CS = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?]+(\s+[A-Z0-9\"''(\[{]|$)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '')".replace('\\"', '"')
 
 
-_META = "((coalesce(source <> '', FALSE)::INT + coalesce(lang <> '', FALSE)::INT) / 4.0)"
-_COMP = f"(CASE WHEN {NW} > 1000 THEN 1.0 ELSE 0.75 END)"
-_TRUST = f"round((0.10 * {_COMP} + 0.08 + 0.08 + 0.08 + 0.05 * 0.5 + 0.10 * 0.85 + 0.05 * CASE WHEN {_TS} >= 50 THEN 1 ELSE 0 END + 0.05 + 0.10 + 0.08 * round(({_SIZE})::DOUBLE, 4) + 0.10 * {_META} + 0.13 * 0.25)::DOUBLE, 4)"
+def records(x: DataFrame, playbook: dict = PLAYBOOK) -> DataFrame:
+    """Chunk records of texts with source, lang and n_chars: facts, a title (a short first line without a full stop), the first date, repeated lines and noise."""
+    t = F.col("text")
+    x = with_facts(x)
+    first = T.stripped(F.substring_index(t, "\n", 1))
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda v: F.lower(F.regexp_replace(T.stripped(v), r"\s+", " "))), lambda v: F.length(v) >= 3)
+    x = x.withColumns({"title": F.when(F.contains(t, F.lit("\n")) & F.length(first).between(1, 80) & ~F.rlike(first, F.lit("[.!?]$")), first), "stamp": F.regexp_extract(t, r"\b(\d{4}-\d{2}-\d{2})\b", 1), "_a": lines})
+    x = x.withColumn("_rep", F.when(F.size("_a") == 0, 0.0).otherwise((F.size("_a") - F.size(F.array_distinct("_a"))) / F.greatest(F.size("_a"), F.lit(1)))).drop("_a")
+    return x.withColumn("_noise", T.noise_score(t, F.col("_rep")))
+
+
+def scores(playbook: dict = PLAYBOOK, as_of: str = AS_OF) -> dict:
+    """All twelve scores of `records`, each from the record itself. Of a text that is one chunk the lines stand for chunks in uniqueness."""
+    t, none = F.col("text"), F.lit(None).cast("string")
+    has = lambda **c: F.array_compact(F.array(*[F.when(v, k) for k, v in c.items()]))
+    full = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    return {
+        "completeness": S.playbook_completeness(has(title=F.col("title").isNotNull(), body=F.col("_w") > 50), has(source=full("source"), lang=full("lang"), stamp=full("stamp")), playbook["required_sections"], playbook["required_fields"]),
+        "validity": S.rules_passed(playbook["validity_rules"]), "consistency": S.rules_consistent(playbook["consistency_rules"]), "uniqueness": 1 - F.col("_rep"),
+        "timeliness": S.timeliness(F.col("stamp"), F.lit(as_of), playbook["freshness_sla_hours"]), "text_integrity": S.integrity(F.col("_rep"), F.col("_noise")), "parse_success": S.parse_success(t, n=F.col("_n")),
+        "chunk_boundary_quality": F.when(T.ends_mid_sentence(t), 0.0).otherwise(1.0), "chunk_coherence": F.round(S.connectivity(t), 4), "chunk_size_health": F.round(S.size_health(F.col("token_est")), 4),
+        "metadata_completeness": S.present(F.col("source"), F.col("title"), F.col("lang"), F.col("stamp")), "provenance_coverage": S.provenance(F.when(t != "", F.md5(t)), F.col("source"), none, none, F.col("stamp"), none),
+    }
 
 
-@query(f"SELECT doc_id, {_TRUST} AS ai_trust FROM documents")
+_REC = rf"""SELECT *, CASE WHEN length(text) < 10 THEN 1.0::DOUBLE ELSE greatest(0.0, least(1.0, 1 - (0.6 * least(1.0, rep * 2) + 0.4 * least(1.0, 5 * {_ODD})))) END AS noise FROM (
+  SELECT *, CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE (len(a) - len(list_distinct(a)))::DOUBLE / len(a) END AS rep, CASE WHEN contains(text, chr(10)) AND length(l1) BETWEEN 1 AND 80 AND NOT regexp_matches(l1, '[.!?]$') THEN l1 END AS title, coalesce(source <> '', FALSE)::INT AS has_source, coalesce(lang <> '', FALSE)::INT AS has_lang, (stamp <> '')::INT AS has_stamp FROM (
+    SELECT doc_id, text, lang, source, n_chars, {NW} AS w, {_TS} AS n, {_SENT} AS s, {_LINES} AS a, {STRIP.format("split_part(text, chr(10), 1)")} AS l1, {STRIP.format('text')} AS st,
+      regexp_extract(text, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1) AS stamp, list_transform({_CS}, lambda x: list_distinct(regexp_extract_all(lower(x), '[^\x20\x09-\x0D]+'))) AS c
+    FROM (SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars FROM documents)))"""
+_SLA = PLAYBOOK["freshness_sla_hours"]
+#: The twelve scores in SQL, over _REC.
+_SCORES = {
+    "completeness": "(((title IS NOT NULL)::INT + (w > 50)::INT) / 2.0::DOUBLE * 0.6::DOUBLE + (has_source + has_lang + has_stamp) / 3.0::DOUBLE * 0.4::DOUBLE)",
+    "validity": r"(regexp_matches(coalesce(source, ''), '(?i)^src[0-9]+$')::INT + has_lang + regexp_matches(text, '(?i)[.!?]\s*$')::INT) / 3.0::DOUBLE",
+    "consistency": "(CASE WHEN coalesce(n_chars BETWEEN 200 AND 20000, FALSE) THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN coalesce(lang = 'en', FALSE) THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN s BETWEEN 2 AND 500 THEN 1 ELSE 0 END) / 2.0::DOUBLE",
+    "uniqueness": "1 - rep",
+    "timeliness": f"CASE WHEN try_cast(stamp AS DATE) IS NULL OR try_cast(stamp AS DATE) > DATE '{AS_OF}' THEN 0.5::DOUBLE ELSE greatest(0.0, least(1.0, 1 - datediff('day', try_cast(stamp AS DATE), DATE '{AS_OF}') * 24.0::DOUBLE / {_SLA}::DOUBLE)) END",
+    "text_integrity": "greatest(0.0, least(1.0, noise * (1 - rep * 0.5::DOUBLE))) * 0.6::DOUBLE + 0.4::DOUBLE * 0.85::DOUBLE",
+    "parse_success": "CASE WHEN n >= 50 THEN 1.0::DOUBLE ELSE 0.0 END",
+    "chunk_boundary_quality": r"CASE WHEN NOT regexp_matches(st, '[.!?][''\")\]]*$') AND (NOT regexp_matches(st, '[0-9A-Za-z_]$') OR length(st) < 20) THEN 0.0::DOUBLE ELSE 1.0 END".replace('\\"', '"'),
+    "chunk_coherence": "round((CASE WHEN n < 50 THEN 0.0 WHEN len(c) < 2 THEN 1.0 ELSE list_avg(list_transform(range(2, len(c) + 1), lambda i: len(list_intersect(c[i - 1], c[i]))::DOUBLE / len(list_distinct(list_concat(c[i - 1], c[i]))))) END)::DOUBLE, 4)",
+    "chunk_size_health": f"round(({_size_sql('floor(w * 1.3)', *S.SIZES['general'])})::DOUBLE, 4)",
+    "metadata_completeness": "(has_source + (title IS NOT NULL)::INT + has_lang + has_stamp) / 4.0::DOUBLE",
+    "provenance_coverage": "CASE WHEN text <> '' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN has_source = 1 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN has_stamp = 1 THEN 0.15::DOUBLE ELSE 0 END",
+}
+_TRUST_SUM = " + ".join(f"{k} * {v}::DOUBLE" for k, v in S.WEIGHTS.items())
+_SCORED = f"SELECT *, round({_TRUST_SUM}, 4) AS ai_trust FROM (SELECT doc_id, lang, source, text, floor(w * 1.3) AS tok, w, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in _SCORES.items())} FROM ({_REC}))"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their twelve scores and the trust score."""
+    x = records(docs(spark, sf_dir)).select("doc_id", "lang", "source", "text", F.col("token_est").alias("tok"), F.col("_w").alias("w"), *[c.cast("double").alias(k) for k, c in scores().items()])
+    return x.withColumn("ai_trust", S.trust({k: F.col(k) for k in S.WEIGHTS}))
+
+
+@query(f"SELECT doc_id, {', '.join(f'round({k}, 4) AS {k}' for k in S.WEIGHTS)}, ai_trust FROM ({_SCORED})")
 def trust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weighted trust score of each document."""
-    return docs(spark, sf_dir).select("doc_id", S.trust(scores(F.col("text"))).alias("ai_trust"))
+    """The twelve scores of each document and their weighted sum."""
+    return scored(spark, sf_dir).select("doc_id", *[F.round(k, 4).alias(k) for k in S.WEIGHTS], "ai_trust")
 
 
-_FP = f"""SELECT {{key}} AS {{key}}, count(*) AS num_chunks, sum(tok)::BIGINT AS total_tokens, min(tok)::INTEGER AS min_tokens, max(tok)::INTEGER AS max_tokens, round(sum(tok)::DOUBLE / count(*), 2) AS avg_tokens,
-  list_sort(list(tok::INTEGER))[least((floor(0.95 * count(*)) + 1)::INT, count(*)::INT)] AS p95_tokens, round(avg(comp), 4) AS completeness, round(avg(parse), 4) AS parse_success, round(avg(size_health), 4) AS size_health, round(avg(secure), 4) AS secure,
-  round(avg(kb), 4) AS kb_ready, round(avg(meta), 4) AS metadata,
-  round(0.10 * round(avg(comp), 4) + 0.24 + 0.025 + 0.085 + 0.05 * round(avg(parse), 4) + 0.15 + 0.08 * round(avg(size_health), 4) + 0.10 * round(avg(meta), 4) + 0.0325, 4) AS ai_trust
-FROM (SELECT lang, source, {_TOK} AS tok, ({_COMP})::DOUBLE AS comp, (CASE WHEN {_TS} >= 50 THEN 1.0 ELSE 0.0 END)::DOUBLE AS parse, round(({_SIZE})::DOUBLE, 4) AS size_health, (CASE WHEN {_PII} THEN 0.0 ELSE 1.0 END)::DOUBLE AS secure, ({_KB})::DOUBLE AS kb, ({_META})::DOUBLE AS meta FROM documents) GROUP BY {{key}}"""
+_FP = f"""SELECT *, round({_TRUST_SUM}, 4) AS ai_trust FROM (SELECT {{key}} AS {{key}}, count(*) AS num_chunks, sum(tok)::BIGINT AS total_tokens, min(tok)::INTEGER AS min_tokens, max(tok)::INTEGER AS max_tokens, round(sum(tok)::DOUBLE / count(*), 2) AS avg_tokens,
+  list_sort(list(tok::INTEGER))[least((floor(0.95 * count(*)) + 1)::INT, count(*)::INT)] AS p95_tokens, {', '.join(f'round(avg({k}), 4) AS {k}' for k in S.WEIGHTS)},
+  round(avg(CASE WHEN {_PII} THEN 0.0 ELSE 1.0 END), 4) AS secure, round(avg(CASE WHEN w > 50 AND contains(text, chr(10)) THEN 1.0 ELSE 0.5 END), 4) AS kb_ready FROM ({_SCORED}) GROUP BY {{key}})"""
 
 
 def fingerprint(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """Means of the scores by group, token totals, and trust from the means; the 95 % point is found in a histogram of token counts, so no group's tokens are gathered."""
     t = F.col("text")
-    s = scores(t)
-    x = docs(spark, sf_dir).select(key, T.token_estimate(t).alias("tok"), s["completeness"].alias("comp"), s["parse_success"].alias("parse"), s["chunk_size_health"].alias("size"), S.secure(t).alias("secure"), S.kb_ready(t).alias("kb"), s["metadata_completeness"].alias("meta"))
-    sums = ("comp", "parse", "size", "secure", "kb", "meta")
+    sums = (*S.WEIGHTS, "secure", "kb_ready")
+    x = scored(spark, sf_dir).select(key, "tok", *S.WEIGHTS, S.secure(t).alias("secure"), S.kb_ready(t, F.col("w")).alias("kb_ready"))
     counts = x.groupBy(key, "tok").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
     w = Window.partitionBy(key).orderBy("tok")
     total = F.sum("n").over(Window.partitionBy(key))
@@ -144,18 +212,15 @@ def fingerprint(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     counts = counts.withColumn("p", F.when((F.sum("n").over(w) >= place) & (F.sum("n").over(w) - F.col("n") < place), F.col("tok")))
     mean = lambda c: F.round(F.sum(c) / F.sum("n"), 4)
     g = counts.groupBy(key).agg(
-        F.sum("n").alias("num_chunks"), F.sum(F.col("tok") * F.col("n")).cast("bigint").alias("total_tokens"), F.min("tok").alias("min_tokens"), F.max("tok").alias("max_tokens"), F.max("p").alias("p95_tokens"),
-        mean("comp").alias("completeness"), mean("parse").alias("parse_success"), mean("size").alias("size_health"), mean("secure").alias("secure"), mean("kb").alias("kb_ready"), mean("meta").alias("metadata"),
-    )
-    of = {"completeness": F.col("completeness"), "parse_success": F.col("parse_success"), "chunk_size_health": F.col("size_health"), "metadata_completeness": F.col("metadata")}
-    of |= {k: v for k, v in s.items() if k in ("validity", "consistency", "uniqueness", "timeliness", "text_integrity", "chunk_boundary_quality", "chunk_coherence", "provenance_coverage")}
-    return g.withColumn("avg_tokens", F.round(F.col("total_tokens") / F.col("num_chunks"), 2)).withColumn("ai_trust", S.trust(of))
+        F.sum("n").alias("num_chunks"), F.sum(F.col("tok") * F.col("n")).cast("bigint").alias("total_tokens"), F.min("tok").alias("min_tokens"), F.max("tok").alias("max_tokens"), F.max("p").alias("p95_tokens"), *[mean(c).alias(c) for c in sums]
+    )
+    return g.withColumn("avg_tokens", F.round(F.col("total_tokens") / F.col("num_chunks"), 2)).withColumn("ai_trust", S.trust({k: F.col(k) for k in S.WEIGHTS}))
 
 
-_POLICY = """, CASE WHEN ai_trust < 0.5 OR secure < 0.9 THEN 'failed' WHEN metadata < 0.8 OR kb_ready < 0.5 THEN 'warnings' ELSE 'passed' END AS status,
-  list_filter([CASE WHEN ai_trust < 0.5 THEN 'low_trust(<0.5)' END, CASE WHEN secure < 0.9 THEN 'security_not_full(<0.9)' END, CASE WHEN metadata < 0.8 THEN 'weak_metadata(<0.8)' END, CASE WHEN kb_ready < 0.5 THEN 'kb_not_ready(<0.5)' END], lambda x: x IS NOT NULL) AS violations"""
+_POLICY = """, CASE WHEN ai_trust < 0.5 OR secure < 0.9 THEN 'failed' WHEN metadata_completeness < 0.8 OR kb_ready < 0.5 THEN 'warnings' ELSE 'passed' END AS status,
+  list_filter([CASE WHEN ai_trust < 0.5 THEN 'low_trust(<0.5)' END, CASE WHEN secure < 0.9 THEN 'security_not_full(<0.9)' END, CASE WHEN metadata_completeness < 0.8 THEN 'weak_metadata(<0.8)' END, CASE WHEN kb_ready < 0.5 THEN 'kb_not_ready(<0.5)' END], lambda x: x IS NOT NULL) AS violations"""
 #: Fixed default limits of the policy.
-LIMITS = (("ai_trust", 0.5, "low_trust"), ("secure", 0.9, "security_not_full"), ("metadata", 0.8, "weak_metadata"), ("kb_ready", 0.5, "kb_not_ready"))
+LIMITS = (("ai_trust", 0.5, "low_trust"), ("secure", 0.9, "security_not_full"), ("metadata_completeness", 0.8, "weak_metadata"), ("kb_ready", 0.5, "kb_not_ready"))
 
 
 def with_policy(fp: DataFrame, limits=LIMITS) -> DataFrame:  # noqa: ANN001
@@ -217,7 +282,6 @@ def corpus_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CS = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?]+(\s+[A-Z0-9\"''(\[{]|$)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '')".replace('\\"', '"')
 
 
 @query(
@@ -260,17 +324,17 @@ def fallback_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT category, count(*) AS docs, round(avg(secure), 6) AS secure, round(avg(kb), 6) AS kb_ready, round(avg(t), 4) AS trust FROM (SELECT CASE WHEN t >= 0.7 THEN 'AI-Ready' ELSE 'Non-AI Ready' END AS category, * FROM
-  (SELECT {_TRUST} AS t, (CASE WHEN {_PII} THEN 0.0 ELSE 1.0 END)::DOUBLE AS secure, ({_KB})::DOUBLE AS kb FROM documents)) GROUP BY category"""
+  (SELECT ai_trust AS t, (CASE WHEN {_PII} THEN 0.0 ELSE 1.0 END)::DOUBLE AS secure, (CASE WHEN w > 50 AND contains(text, chr(10)) THEN 1.0 ELSE 0.5 END)::DOUBLE AS kb FROM ({_SCORED}))) GROUP BY category"""
 )
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metrics of documents at or above a trust of 0.7, and of the others."""
     t = F.col("text")
-    x = docs(spark, sf_dir).select(S.trust(scores(t)).alias("t"), S.secure(t).alias("secure"), S.kb_ready(t).alias("kb"))
+    x = scored(spark, sf_dir).select(F.col("ai_trust").alias("t"), S.secure(t).alias("secure"), S.kb_ready(t, F.col("w")).alias("kb"))
     g = x.groupBy(F.when(F.col("t") >= 0.7, "AI-Ready").otherwise("Non-AI Ready").alias("category"))
     return g.agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("secure"), 6).alias("secure"), F.round(F.avg("kb"), 6).alias("kb_ready"), F.round(F.avg("t"), 4).alias("trust"))
 
 
-_ADV = ", ".join(f"CASE WHEN {m} < {b} THEN {{'shortfall': round({m} - {b}, 6), 'metric': '{m}', 'action': '{a}'}} END" for m, b, a in ADVICE if m in ("ai_trust", "secure", "metadata", "kb_ready", "size_health", "parse_success", "completeness"))
+_ADV = ", ".join(f"CASE WHEN {m} < {b} THEN {{'shortfall': round({m} - {b}, 6), 'metric': '{m}', 'action': '{a}'}} END" for m, b, a in ADVICE if m in ("ai_trust", "secure", "kb_ready", *S.WEIGHTS))
 
 
 @query(f"SELECT source, list_transform(list_sort(list_filter([{_ADV}], lambda x: x IS NOT NULL)), lambda x: x.action) AS actions FROM ({_FP.replace('{key}', 'source')})")

@@ -55,11 +55,11 @@ def vector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, list_transform(range(0, 8), lambda i: round(CASE WHEN i = 0 THEN least(length(text) / 1000, 1.0) ELSE (('0x' || substr(h, (i % 32) * 2 + 1, 2))::INT - 128) / 128 END, 6)) AS vector FROM (SELECT doc_id, text, sha256(text) AS h FROM documents)"""
+    """SELECT doc_id, list_transform(range(0, 40), lambda i: round(CASE WHEN i = 0 THEN least(length(text) / 1000, 1.0) ELSE (('0x' || substr(h, (i % 32) * 2 + 1, 2))::INT - 128) / 128 END, 6)) AS vector FROM (SELECT doc_id, text, sha256(text) AS h FROM documents)"""
 )
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight places of each document's hash embedding."""
-    return docs(spark, sf_dir).select("doc_id", F.transform(V.hash_embedding(F.col("text"), 8), lambda v: F.round(v, 6)).alias("vector"))
+    """Each document's hash embedding in all of its places, so that the digest is repeated."""
+    return docs(spark, sf_dir).select("doc_id", F.transform(V.hash_embedding(F.col("text"), 40), lambda v: F.round(v, 6)).alias("vector"))
 
 
 @query("SELECT vec_id AS point_id, label, len(embedding)::INTEGER AS dim FROM embeddings WHERE label IN (1, 3, 5) AND vec_id > 100 ORDER BY vec_id LIMIT 50")
@@ -79,8 +79,10 @@ SELECT coalesce(h.query_id, r.query_id) AS query_id, round(coalesce(1.0::DOUBLE
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRR, NDCG, hit rate, recall and precision of the nearest vectors; those of the query's label are expected."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    expected = e.filter("vec_id % 20 = 0").toDF("query_id", "label").join(e.toDF("id", "label"), "label").filter("id <> query_id").select("query_id", "id")
-    return E.retrieval(nearest(spark, sf_dir).select("query_id", "rank", "id"), expected)
+    n = e.filter("label IS NOT NULL").groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0")
+    need = e.filter("vec_id % 20 = 0").join(n, "label").select(F.col("vec_id").alias("query_id"), "n")
+    hit = nearest(spark, sf_dir).join(e.toDF("id", "l"), "id").join(e.toDF("query_id", "ql"), "query_id")
+    return E.retrieval_of(hit.select("query_id", "rank", F.coalesce(F.col("l") == F.col("ql"), F.lit(False)).alias("rel")), need)
 
 
 SQL_PAIRS = "WITH u AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS r2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), qa AS (SELECT conv_id, turn, text AS question, answer FROM u WHERE role = 'user' AND r2 = 'assistant')"
@@ -193,12 +195,12 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH q AS (SELECT item_id, lower(array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:6], ' ')) AS q FROM benchmark)
+    f"""WITH q AS (SELECT item_id, lower(array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), ' ')) AS q FROM benchmark)
 SELECT item_id, list_sort(list_distinct(list_concat([q], list_filter(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 3)))) AS terms FROM q"""
 )
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search terms of a query: the first six words of each benchmark item."""
-    q = F.array_join(F.slice(T.words(T.text_of("text")), 1, 6), " ")
+    """Search terms of each benchmark item as a query."""
+    q = F.array_join(T.words(T.text_of("text")), " ")
     return table(spark, sf_dir, "benchmark").select("item_id", S.expand(q).alias("terms"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -107,10 +109,78 @@ def test_content_kinds(spark, text, kind):
     x = df.select("t", T.n_words(F.col("t")).alias("w"), *[K.kind_matches(F.col("t"), k).alias(k) for k in K.KINDS])
     counts = {k: sum(len(re.findall(p, text, re.I | re.M)) for p in K.KINDS[k]) for k in K.KINDS}
     assert {k: x.first()[k] for k in K.KINDS} == counts
-    r = x.select(K.content_kind({k: K.kind_score(F.col(k), F.col("w")) for k in K.KINDS}).alias("c"), "t").select("c.*", K.setup(F.col("c.kind"), F.col("t")).alias("s")).first()
+    r = detected(spark, [(text, None, None)])[0]
     assert r.kind == kind and 0.3 <= r.confidence <= 1 and r.s.overlap < r.s.size
 
 
+def detected(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, f string, h string")
+    x = df.select("i", "t", "h", T.n_words(F.col("t")).alias("w"), K.prior(F.col("f")).alias("prior"), *[c.alias(k) for k, c in K.medical_evidence(F.col("t")).items()], *[K.kind_matches(F.col("t"), k).alias(k) for k in K.KINDS])
+    c = K.detect({k: F.col(k) for k in K.KINDS}, F.col("w"), F.col("keywords"), F.col("terms"), F.col("prior"), F.col("h"))
+    return x.withColumn("c", c).select("i", "c.*", K.setup(F.col("c.kind"), F.col("t")).alias("s")).orderBy("i").collect()
+
+
+def plain_kind(text, filename, hint):
+    """The rules of detection in a plain loop over dictionaries, in the order in which kinds come up."""
+    scores, low, n = {}, text.lower(), len(text.split())
+    end = re.search(r"[^./](\.[^./]*)$", (filename or "").lower())
+    if end and end[1] in K.CODE_FILES:
+        scores["code"] = 0.35
+    elif end and end[1] in K.TEXT_FILES:
+        scores["documentation"] = 0.25
+    words = [w for w in K.MEDICAL_KEYWORDS if w in low]
+    said = [m[0].strip()[:80] for p in K.CLINICAL for m in re.finditer(p, text, re.I)]
+    terms = min(50, len({*words, *(w for w in K.MEDICAL_SUBJECTS if w in low), *said}))
+    density = terms / max(n / 1000, 0.1)
+    key = round(min(0.25, 0.05 + len(words) * 0.015), 3) if words else 0.0
+    if terms:
+        scores["medical"] = min(1.0, key + min(0.25, terms * 0.015 + density * 0.02))
+    for kind, patterns in K.KINDS.items():
+        c = sum(len(re.findall(p, text, re.I | re.M)) for p in patterns)
+        if c:
+            s = min(1.0, math.log1p(c) / math.log1p(8)) * 0.6 + min(1.0, c / max(n / 1000, 1.0) / 1.5) * 0.4
+            s = min(1.0, s + min(0.15, (c - 3) * 0.02)) if c >= 3 else s
+            scores[kind] = min(1.0, s + key + min(0.25, terms * 0.015 + round(density, 3) * 0.02)) if kind == "medical" else s
+    dense = round(density, 3)
+    if dense >= 5 and "regulatory" in scores:
+        scores["regulatory"] = round(scores["regulatory"] * 0.6, 3)
+    if key >= 0.1 and "technical" in scores:
+        scores["technical"] = round(scores["technical"] * 0.6, 3)
+    if key >= 0.1 and 0 < scores.get("medical", 0) < 0.5 and "legal" not in scores:
+        scores["medical"] += 0.12
+    if hint in K.HINTS and (scores.get(hint, 0) > 0 or (hint in ("academic", "medical") and key > 0)):
+        scores[hint] = min(1.0, scores.get(hint, 0.0) + 0.15)
+    if not scores:
+        return "general", 0.3, 0.0, ["general"]
+    q = sorted(scores.items(), key=lambda x: -x[1])
+    (best, top), (second, near) = q[0], (q[1] if len(q) > 1 else (None, -9.0))
+    med = scores.get("medical", 0)
+    if med >= 0.75 and best != "medical" and top - med <= 0.05:
+        out = ("medical", med)
+    elif dense >= 5 and top - near < 0.02 and best == "regulatory" and second in ("academic", "medical"):
+        out = (second, near)
+    elif key >= 0.1 and best == "technical" and second in ("academic", "medical") and top - near < 0.08:
+        out = (second, near)
+    elif second and top - near < 0.02 and K.SPECIAL.index(second) < K.SPECIAL.index(best):
+        out = (second, near)
+    else:
+        out = (best, top)
+    return out[0], out[1], out[1] - near if second else 0.0, [k for k, _ in q[:3]]
+
+
+def test_detection_equals_plain_rules(spark):
+    parts = ["the patient with diabetes had a clinical trial and insulin therapy", "whereas the party hereby signs the contract", "supervisor risk monitoring compliance standard framework", "abstract introduction study results hypothesis",
+             "the database table index query api endpoint", "bank capital liquidity audit interest rate", "# title\n* item\n1. first", "def f(x):\n  return x\nimport os", "10:15 AM hello\nBob: hi there", "plain words without any mark", "who guidelines for screening, mortality and morbidity"]
+    rng, rows = random.Random(4), [("", None, None), ("", "a.py", "medical"), ("insulin", "b.md", "academic")]
+    for _ in range(80):
+        text = "\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) + " filler" * rng.choice([0, 30, 900])
+        rows.append((text, rng.choice([None, "x.py", "Y.MD", "z.pdf", "noending", "dir.x/.py"]), rng.choice([None, None, *K.HINTS, "code"])))
+    for r, row in zip(detected(spark, rows), rows, strict=True):
+        kind, confidence, gap, top = plain_kind(*row)
+        assert (r.kind, [c["kind"] for c in r.candidates]) == (kind, top), row
+        assert abs(r.confidence - min(1.0, confidence)) < 1e-6 and abs(r.gap - gap) < 1e-6, row
+
+
 @pytest.mark.parametrize("strategy", sorted(C.STRATEGIES))
 @pytest.mark.parametrize("text", ["", "word", "x" * 5000, "No end of it " * 400, "One. Two! Three? " * 200, "Para one.\n\nPara two is longer.\n\n" * 60, "  in\n    dent\n  ed\n" * 40])
 def test_chunks_keep_every_word(strategy, text):
