@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -56,6 +57,63 @@ def grounded(claim: Column, chunk: Column) -> Column:
     return F.size(F.array_intersect(wordset(claim), wordset(chunk))) / F.greatest(F.size(wordset(claim)), F.lit(1)) > 0.3
 
 
+def context_relevance(query: Column, chunks: Column) -> Column:
+    """Share of an array of chunks that hold over 30 % of the query's words; 0 without a query or chunks."""
+    q = wordset(query)
+    near = F.filter(chunks, lambda c: F.size(F.array_intersect(q, wordset(F.coalesce(c, F.lit(""))))) / F.greatest(F.size(q), F.lit(1)) > 0.3)
+    return F.when(F.coalesce((F.size(q) > 0) & (F.size(chunks) > 0), F.lit(False)), F.size(near) / F.size(chunks)).otherwise(0.0)
+
+
+def context_similarity(cosines: Column) -> Column:
+    """The same by embeddings: the mean of the chunks' cosines with the query, within 0 and 1; 0 without any."""
+    n = F.size(cosines)
+    return F.when(F.coalesce(n > 0, F.lit(False)), T.clip(F.aggregate(cosines, F.lit(0.0), lambda a, c: a + c) / n)).otherwise(0.0)
+
+
+def documents_found(retrieved: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """query_id, doc_recall_at_<k> and doc_hit_at_<k> of retrieved (query_id, rank, path) against expected (query_id, doc).
+
+    A document is the last part of its path and counts where it comes first, so places are those among different documents. Queries without expected documents are left out.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    first = retrieved.filter("path IS NOT NULL AND path <> ''").groupBy("query_id", name.alias("doc")).agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc"))
+    hit = expected.distinct().join(first.withColumn("place", place).select("query_id", "doc", "place"), ["query_id", "doc"], "left")
+    share = lambda k: F.count_if(F.col("place") <= k)
+    return hit.groupBy("query_id").agg(*[c for k in ks for c in (F.round(share(k) / F.count(F.lit(1)), 6).alias(f"doc_recall_at_{k}"), (share(k) > 0).cast("double").alias(f"doc_hit_at_{k}"))])
+
+
+#: Fixed criteria by type of question: whether citations are required, whether refusing is fine, least groundedness.
+QUESTION_TYPES = {
+    "factual": (True, False, 0.85), "summarization": (True, False, 0.80), "policy": (True, True, 0.90), "synthesis": (True, False, 0.80),
+    "adversarial": (False, True, 0.95), "comparison": (True, False, 0.80), "causal": (True, False, 0.80), "temporal": (True, False, 0.85),
+}
+#: Fixed weights of metrics in an overall score.
+RUBRIC_WEIGHTS = {"groundedness": 0.30, "relevance": 0.25, "citation_coverage": 0.20, "refusal_correctness": 0.15, "hallucination_rate": 0.10}
+
+
+def rubric(kind: Column, answer: Column, citations: Column, denied: Column, expected_refusal: Column) -> Column:
+    """struct(passed, score, violations) of an answer by the type of its question; citations is their number. Types that aren't known ask for citations.
+
+    A policy question that was denied as expected is right as it is; other types fail. Then missing citations take half of the score, an answer that should have been
+    refused 0.7 of it, and a long answer without citations 0.3. Phrases of refusal are looked for in any case.
+    """
+    needs = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in QUESTION_TYPES.items() for x in (F.lit(k), F.lit(v[0]))]), kind), F.lit(True))
+    none, low = F.coalesce(citations, F.lit(0)) == 0, F.lower(F.coalesce(answer, F.lit("")))
+    refused = F.contains(low, F.lit("i don't know")) | F.contains(low, F.lit("i cannot"))
+    right = denied & expected_refusal & (kind == "policy")
+    marks = [
+        (denied & expected_refusal, "Unexpected ACL denial", 0.0), (needs & none, "Missing citations", 0.5), (expected_refusal & ~denied & ~refused, "Should have refused but didn't", 0.3),
+        (none & (F.length(low) > 50), "Potential hallucination (no citations)", 0.7),
+    ]
+    score = F.lit(1.0)
+    for when, _, by in marks:
+        score = score * F.when(when, by).otherwise(1.0)
+    failed = marks[0][0] | marks[1][0] | marks[2][0]
+    said = F.array_compact(F.array(*[F.when(when, name) for when, name, _ in marks]))
+    return F.when(right, F.struct(F.lit(True).alias("passed"), F.lit(1.0).alias("score"), F.array().cast("array<string>").alias("violations"))).otherwise(F.struct((~failed).alias("passed"), F.round(score, 6).alias("score"), said.alias("violations")))
+
+
 def answer_relevance(query: Column, answer: Column) -> Column:
     q = wordset(query)
     cover = F.size(F.array_intersect(q, wordset(answer))) / F.greatest(F.size(q), F.lit(1))
@@ -81,10 +139,10 @@ def refusal_correctness(answer: Column, denied: Column, expected: Column, eviden
     return F.when(should == did, 1.0).when(should, 0.0).otherwise(0.3)
 
 
-def citation_coverage(answer: Column, citations: Column, chunk_ids: Column) -> Column:
-    """By the form of citation: ids without marks give the share of valid ids; marks give 0.7 of the claims near one and 0.3 of that share; neither gives the claims' part."""
+def citation_coverage(answer: Column, citations: Column, chunk_ids: Column, most: int = 15) -> Column:
+    """The first `most` claims count, as is the metric's rule. By the form of citation: ids without marks give the share of valid ids; marks give 0.7 of the claims near one and 0.3 of that share; neither gives the claims' part."""
     marks = F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(0)))
-    parts = F.slice(F.filter(F.transform(F.split(answer, r"[.!?]+\s+"), T.stripped), lambda s: F.length(s) > 15), 1, 15)
+    parts = F.slice(F.filter(F.transform(F.split(answer, r"[.!?]+\s+"), T.stripped), lambda s: F.length(s) > 15), 1, most)
 
     def near(c: Column) -> Column:
         at = F.instr(answer, c)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .models import Score, rerank
+from .vectors import top_k as top_k_of
 
 #: Fixed expansions of abbreviations and medical terms.
 EXPANSIONS = {
@@ -33,6 +35,22 @@ def expand(query: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*terms, long)))
 
 
+#: Fixed patterns of questions for the head of two firms: in the query, in the text, the boost; the second text pattern and boost are for a mere mention.
+ENTITIES = (
+    (r"\b(?:ceo|chief executive officer)\b.*?\b(?:of|for)\b.*?\b(aws|amazon web services)\b", r"\b(?:ceo|chief executive officer)\b.*?\b(?:amazon web services|aws)\b", 0.10, r"\b(?:aws|amazon web services)\b", 0.05),
+    (r"\b(?:ceo|chief executive officer)\b.*?\b(?:of|for)\b.*?\bamazon\b", r"\b(?:ceo|chief executive officer)\b.*?\b(?:amazon\.com|amazon inc)\b", 0.08, None, 0.0),
+)
+
+
+def entity_boost(low: Column, query: Column) -> Column:
+    """For the first pattern that the query matches, what the text gets; both in lower case."""
+    out = F.lit(0.0)
+    for asked, said, full, named, some in reversed(ENTITIES):
+        part = F.when(F.rlike(low, F.lit(named)), some).otherwise(0.0) if named else F.lit(0.0)
+        out = F.when(F.rlike(query, F.lit(asked)), F.when(F.rlike(low, F.lit(said)), full).otherwise(part)).otherwise(out)
+    return out
+
+
 def keyword_boost(text: Column, terms: Column, query: Column) -> Column:
     """-0.30 to 0.15: the phrase, the coverage of longer terms, whole-word hits, less a penalty for a bare heading."""
     low, t = F.lower(text), T.stripped(text)
@@ -46,7 +64,7 @@ def keyword_boost(text: Column, terms: Column, query: Column) -> Column:
     plain = F.concat(F.lit(" "), F.regexp_replace(low, r"(?U)\W+", "  "), F.lit(" "))
     each = F.transform(terms, lambda x: F.least(F.lit(3), F.floor((F.length(plain) - F.length(F.replace(plain, F.concat(F.lit(" "), x, F.lit(" ")), F.lit("")))) / (F.length(x) + 2)).cast("int")))
     hits = F.aggregate(each, F.lit(0), lambda a, b: a + b)
-    boost = F.when(F.contains(low, F.lower(query)), 0.08).otherwise(0.0) + cover + F.least(hits * 0.02, F.lit(0.05))
+    boost = F.when(F.contains(low, F.lower(query)), 0.08).otherwise(0.0) + cover + F.least(hits * 0.02, F.lit(0.05)) + entity_boost(low, F.lower(query))
     return F.greatest(F.least(boost + penalty, F.lit(0.15)), F.lit(-0.30))
 
 
@@ -105,14 +123,45 @@ def freshness(stamp: Column, as_of: Column) -> Column:
     return F.round(F.pow(F.lit(0.5), (F.unix_timestamp(as_of) - F.unix_timestamp(stamp)) / 86400.0 / 365) * 100, 1)
 
 
-def score_cascade(chunks: DataFrame, scores: DataFrame) -> DataFrame:
-    """chunk_id, trust: the score by (file, chunk), else by chunk, else by (file, section), else the file's best, else 0.
+def score_cascade(chunks: DataFrame, scores: DataFrame, endings: tuple[str, ...] = (".jsonl", ".json", ".txt")) -> DataFrame:
+    """chunk_id, trust: the score by (file, chunk), then for the file's name with each of the endings in turn by (file, chunk) and by (file, section), else by chunk, else
+    by (file, section), else the file's best, else 0.
 
     Each step is an equi-join against scores reduced to one row per key, so a match never multiplies rows.
     """
-    best = lambda *k: scores.groupBy(*k).agg(F.max("score").alias("_".join(("s", *k))))
-    x = chunks
-    keys = (("file", "chunk_id"), ("chunk_id",), ("file", "section"), ("file",))
-    for k in keys:
-        x = x.join(best(*k), list(k), "left")
-    return x.select("chunk_id", "file", "section", F.coalesce(*["_".join(("s", *k)) for k in keys], F.lit(0.0)).alias("trust"))
+    best = lambda *k: scores.groupBy(*k).agg(F.max("score").alias("_s"))
+    stem = F.regexp_replace("file", r"\.(?:jsonl|json|txt)$", "")
+    names = {"file": F.col("file")} | {f"_f{i}": F.concat(stem, F.lit(e)) for i, e in enumerate(endings)}
+    x = chunks.withColumns({k: v for k, v in names.items() if k != "file"})
+    steps = [("file", "chunk_id")] + [(f, c) for f in names if f != "file" for c in ("chunk_id", "section")] + [(None, "chunk_id"), ("file", "section"), ("file", None)]
+    for i, (f, c) in enumerate(steps):
+        keys = [k for k in ("file" if f else None, c) if k]
+        b = best(*keys).withColumnsRenamed({"file": f"_k{i}", "_s": f"_s{i}"} | ({c: f"_c{i}"} if c else {}))
+        on = [F.col(f) == F.col(f"_k{i}")] if f else []
+        x = x.join(b, on + ([F.col(c) == F.col(f"_c{i}")] if c else []), "left").drop(f"_k{i}", f"_c{i}")
+    return x.select("chunk_id", "file", "section", F.coalesce(*[f"_s{i}" for i in range(len(steps))], F.lit(0.0)).alias("trust"))
+
+
+#: What every question must be confined to.
+SCOPE = ("workspace_id", "product_id", "version", "collection_id")
+
+
+def ask(queries: DataFrame, points: DataFrame, scope: dict, acls: DataFrame | None = None, user: str | None = None, model: Score | None = None, top_k: int = 5, depth: int = 50, budget: int = 3000) -> DataFrame:
+    """The whole search: query_id, place, chunk_id, point_id, score, rerank_score, text, tokens, total_tokens of the chunks that answer each query.
+
+    queries: query_id, query, embedding; points: point_id, chunk_id, embedding, text, document_id, field_name and the columns of SCOPE, all of which scope must name.
+    The `depth` nearest points in scope, of each chunk the best, ranked again by the model if there is one, those that the user may see, the first min(5, top_k), and of
+    different texts as many as fit the budget. Without rules for the user nothing is seen; without a user there is no access filter.
+    """
+    if missing := [c for c in SCOPE if c not in scope]:
+        raise ValueError(f"a question must be confined by {missing}")
+    p = payload_filter(points, scope)
+    near = top_k_of(queries.select(F.col("query_id").alias("_id"), "embedding"), p.select(F.col("point_id").alias("_id"), "embedding"), depth, by="_id", same=True).withColumnRenamed("id", "point_id")
+    hits = near.join(p.drop("embedding"), "point_id").join(queries.select("query_id", "query"), "query_id")
+    one = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("score"), "point_id"))).filter("_r = 1").drop("_r")
+    if user is not None:
+        seen = visible(p.select("chunk_id", "product_id", "document_id", "field_name"), acls, user).select("chunk_id").distinct()
+        one = one.join(seen, "chunk_id", "left_semi")
+    first = rerank(one.withColumn("_i", -F.col("rank")), ["query_id"], "query", "text", ["score", "_i"], model, min(5, top_k)).withColumnRenamed("place", "_p")
+    out = context_window(first.drop("_i", "rank"), ["query_id"], "text", min(5, top_k), budget, ["_p"], ["_p"])
+    return out.select("query_id", "place", "chunk_id", "point_id", "score", "rerank_score", "text", "tokens", "total_tokens")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -24,6 +27,19 @@ def session(master: str = "local[8]", app: str = "quillmark", **conf: str) -> Sp
     return spark
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes: in spark.checkpoint.dir, which all machines share, or of its own for a local session without it. It goes when the driver ends."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = f"file://{tempfile.gettempdir()}"
+    path = f"{where.rstrip('/')}/quillmark-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may be in any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +37,16 @@ class Collections:
 
     def names(self) -> list[str]:
         x, fs = self._fs(self.path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(x) if s.isDirectory() and s.getPath().getName().startswith("ws_")) if fs.exists(x) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(x) if s.isDirectory() and s.getPath().getName().startswith("ws_") and self._last(s.getPath().getName())) if fs.exists(x) else []
+
+    def _last(self, name: str) -> str | None:
+        """The folder of a collection's newest whole state: each upsert writes a state of its own, which counts once it has Spark's success mark."""
+        x, fs = self._fs(f"{self.path}/{name}/state-*/_SUCCESS")
+        found = sorted(s.getPath().getParent().getName() for s in fs.globStatus(x) or [])
+        return f"{self.path}/{name}/{found[-1]}" if found else None
 
     def points(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(self._last(name) or f"{self.path}/{name}")
 
     def ensure(self, name: str, dim: int) -> None:
         """Drops a collection whose vectors have other dimensions; the next upsert makes it anew."""
@@ -52,16 +60,15 @@ class Collections:
         fs.delete(x, True)
 
     def upsert(self, name: str, points: DataFrame, order: str | None = None) -> None:
-        """Last write wins by point_id. The new table is written beside the old one and then takes its place."""
+        """Last write wins by point_id. The new state is written beside the old one, which is deleted only when the new one is whole; a crash leaves the old one."""
         new = points.withColumn("_w", F.lit(1))
-        both = new if name not in self.names() else new.unionByName(self.points(name).withColumn("_w", F.lit(0)), allowMissingColumns=True)
+        old = self._last(name)
+        both = new if old is None else new.unionByName(self.points(name).withColumn("_w", F.lit(0)), allowMissingColumns=True)
         w = Window.partitionBy("point_id").orderBy(F.desc("_w"), *([F.desc(order)] if order else []))
-        last = both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_w")
-        temp, to = f"{self.path}/_new_{name}", f"{self.path}/{name}"
-        last.write.mode("overwrite").parquet(temp)
-        x, fs = self._fs(to)
-        fs.delete(x, True)
-        fs.rename(self._fs(temp)[0], x)
+        both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_w").write.parquet(f"{self.path}/{name}/state-{time.time_ns():020d}-{uuid.uuid4().hex}")
+        if old:
+            x, fs = self._fs(old)
+            fs.delete(x, True)
 
     def info(self, name: str) -> dict:
         r = self.points(name).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()

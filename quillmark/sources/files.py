@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_BYTES = 100 << 20
 
@@ -58,13 +59,22 @@ class Connector:
         return True, "ok"
 
     def sync(self, spark: SparkSession, to: str, since: str | None = None) -> dict:
-        """Copies files into a Parquet catalogue with checksums and returns files, bytes and the new cursor."""
+        """Copies files into a Parquet catalogue with checksums and returns files, bytes and the new cursor.
+
+        A sync is a folder named by what it starts from, and it is written over as a whole, so one that is run again after a failure adds no file twice. `synced` reads the catalogue."""
         df = self.files(spark, since).withColumn("sha256", F.sha2("content", 256)).withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
-        df.write.mode("append").parquet(to)
-        done = self.listed(spark, since).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b"), F.max("modificationTime").alias("t")).first()
+        part = f"{to}/since={''.join(c if c.isalnum() else '-' for c in since or 'start')}"
+        df.write.mode("overwrite").parquet(part)
+        done = spark.read.schema(df.schema).parquet(part).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b"), F.max("modificationTime").alias("t")).first()
         return {"files": done.n, "bytes": done.b, "cursor": done.t.isoformat() if done.t else since, "errors": 0}
 
 
+def synced(spark: SparkSession, to: str) -> DataFrame:
+    """The catalogue of all syncs: of each path the latest copy."""
+    w = Window.partitionBy("path").orderBy(F.desc("modificationTime"))
+    return spark.read.parquet(to).drop("since").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
 def passes(name: Column, include: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
     """Whether a file name is taken."""
     ok = F.lit(not include)

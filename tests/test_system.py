@@ -118,8 +118,11 @@ def test_top_k_by_brute_force(spark):
     for q, ids in got.items():
         want = sorted((i for i in rows if i != q), key=lambda i: (-cos(rows[q], rows[i]), i))[:3]
         assert [ids[k] for k in (1, 2, 3)] == want
-    with pytest.raises(ValueError):
-        vectors.top_k(e, e, 1, size_limit=3)
+    one = {(r.query_id, r["rank"]): r.id for r in vectors.top_k(e.filter("vec_id % 5 = 0"), e, 4).collect()}
+    assert one == {(r.query_id, r["rank"]): r.id for r in vectors.top_k(e.filter("vec_id % 5 = 0"), e, 4, block_bytes=4000).collect()} and len(one) == 48
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = [(r["rank"], r.id, r.score) for r in vectors.top_k(odd.filter("vec_id = 1"), odd, 9).orderBy("rank").collect()]
+    assert got == [(1, 5, 1.0), (2, 6, 1.0), (3, 2, 0.0)] and vectors.top_k(odd.limit(0), odd, 2).count() == 0
 
 
 def test_lineage_ends_in_cycles(spark):
