@@ -30,13 +30,13 @@ CLASSES = (
     ("lower", re.compile(r"[A-Z0-9]+"), 3.6),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7),
 )
-#: Candidates that match one of these wholly are no secrets: words, dashed lines, file paths, UUIDs. A compiled pattern stands for a part
+#: Candidates that match one of these wholly are no secrets: words, dashed lines, file paths of words in one case with a few digits behind, UUIDs. A compiled pattern stands for a part
 #: of a candidate, alphabets and fillers: only windows that overlap such a part are left out.
 ALLOW = (
     r"[A-Za-z]+",
     r"[-_=+/]+",
     r"[A-Za-z]+(?:[-_/+=][A-Za-z]+)*[-_/+=]*",
-    r"/?(?:[A-Za-z0-9_-]{1,12}/)+[A-Za-z0-9_-]{0,12}",
+    r"/?(?:(?:[A-Z]?[a-z_-]*|[A-Z_-]*)[0-9]{0,4}/)+(?:[A-Z]?[a-z_-]*|[A-Z_-]*)[0-9]{0,4}",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     re.compile(r"0123456789|abcdefghij|ABCDEFGHIJ|[Ee]xample|EXAMPLE|(.)\1{7,}"),
 )

@@ -10,6 +10,7 @@ import shutil
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +101,27 @@ def test_allowed_parts_hide_no_more_than_themselves(spark):
     assert spans[4] == [] and spans[5] == []
 
 
+def test_planted_secrets_are_found_and_plain_texts_are_not(spark):
+    """Random keys of many kinds, bare and behind names and paths: recall of 0.9 or more by entropy alone, and nothing in prose with long words, paths, lines and UUIDs."""
+    rng = random.Random(31)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"base64": lambda: pick(low + up + num + "+/", 40), "urlsafe": lambda: pick(low + up + num + "-_", 32), "HEX": lambda: pick(num + "ABCDEF", 32), "alnum": lambda: pick(low + num, 30), "ALNUM": lambda: pick(up + num, 28)}
+    fronts = ["", "sid=", "x-session-", "/srv/app/", "KEY_", "https://host/path/", "export NAME="]
+    rows, want = [], {}
+    for i, (k, f) in enumerate((k, f) for k in kinds for f in fronts for _ in range(12)):
+        key = kinds[k]()
+        rows.append((i, f"some words here {f}{key} and there"))
+        want[i] = (k, len(f) + 16, len(f) + 16 + len(key))
+    plain = ["a/plain/path/to/some/file_name/in/folders", "https-and-dashes-in-a-long-line-of-words", "123e4567-e89b-12d3-a456-426614174000", "Donaudampfschifffahrtsgesellschaftskapitaen", "src/main/java/Some/Thing12/V2/index", "====================----------", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA"]
+    rows += [(10_000 + i, t) for i, t in enumerate(plain)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "entropy"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    hit = Counter(k for i, (k, a, b) in want.items() if sum(max(0, min(b, e) - max(a, s)) for s, e in got[i]) >= 0.6 * (b - a))
+    all_ = Counter(k for k, _, _ in want.values())
+    assert sum(hit.values()) >= 0.95 * len(want) and all(hit[k] >= 0.9 * all_[k] for k in kinds), (hit, all_)
+    assert not any(got[10_000 + i] for i in range(len(plain)))
+
+
 def test_secrets_of_odd_rows(nasty, none):
     assert secrets.find_secrets(nasty).count() == nasty.count() and secrets.find_secrets(none).count() == 0
     assert {r.n_hex for r in secrets.find_secrets(nasty.filter("text IS NULL")).collect()} == {0}
@@ -155,6 +177,27 @@ def test_bad_hosts_are_rejected_and_small_ones_are_shrunk(spark):
     assert not got[1000].kept and not got[1000].base_failed and got[0].kept and 0 < got[2000].host_rate < 1
 
 
+def test_the_query_rejects_hosts_as_its_sql_does(spark, tmp_path):
+    """Documents in which a host's rate, shrunk by the prior, takes good documents with it, through the registered query and its SQL."""
+    import duckdb
+
+    rng = random.Random(17)
+    good, bad = " ".join(f"w{i}" for i in range(20)), "too short"
+    rows = []
+    for h in range(24):
+        rate = 0.95 if h % 8 == 0 else 0.02
+        rows += [(len(rows) + i, bad if rng.random() < rate else good + f" {h} {i}", "en", None if h == 5 else f"host{h}") for i in range(rng.choice([3, 60, 200]))]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = quality_rules.op3_quality_rules(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = c.execute(quality_rules.OP3_SQL)
+    names = [d[0] for d in cur.description]
+    assert sorted(map(repr, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(repr, cur.fetchall()))
+    taken = df.filter("NOT kept AND NOT base_failed").count()
+    assert 0 < taken < 0.2 * len(rows) and df.filter("kept").count() > 0.5 * len(rows)
+
+
 def test_rules_of_odd_rows(nasty, none):
     out = quality_rules.host_rules(nasty)
     assert out.count() == nasty.count() and out.columns.count("kept") == 1 and not out.filter("text_x = 1" if "text_x" in out.columns else "n_words = 0 AND kept").count()
@@ -173,6 +216,37 @@ def test_classifier_on_the_fold_held_out(spark):
     assert sum(p for _, q, p in seen if q) / len(good) > 0.95 and sum(p for _, q, p in seen if not q) / len(bad) < 0.1
 
 
+def plain_scores(docs, labels, threshold=0.7):
+    """The discriminant by its textbook form: log densities by solve and slogdet of the shrunken covariances, from all labelled rows outside the held-out fold."""
+    x = {i: np.array(classifier.statistics(t or "")) for i, t in docs}
+    d = len(classifier.FEATURES)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = {k: np.array([x[i] for i, _ in docs if labels.get(i) == k and not held(i)]) for k in (0, 1)}
+    n = {k: len(v) for k, v in rows.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in rows.items()}
+    pooled = sum(n[k] * cov[k] for k in n) / sum(n.values())
+    pooled = pooled + np.eye(d) * (0.05 * np.trace(pooled) / d + 1e-6)
+    out = {}
+    for i, v in x.items():
+        log = {}
+        for k in (0, 1):
+            w = max(0.15, min(1.0, 2 * d / n[k]))
+            c = (1 - w) * cov[k] + w * pooled + np.eye(d) * 1e-6
+            m = v - rows[k].mean(axis=0)
+            log[k] = np.log((n[k] + 1) / (sum(n.values()) + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * m @ np.linalg.solve(c, m)
+        out[i] = 1 / (1 + np.exp(-np.clip(0.25 * (log[1] - log[0]), -700, 700)))
+    return out
+
+
+def test_scores_equal_a_plain_discriminant(spark):
+    d = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in table(spark, d, "documents").collect()]
+    want = plain_scores(docs, {r.doc_id: r.quality for r in table(spark, d, "labels").collect()})
+    got = {r.doc_id: (r.score, r.predicted) for r in classifier.op8_quality_classifier(spark, d).collect()}
+    assert len(got) == len(want) and max(abs(got[i][0] - s) for i, s in want.items()) < 1e-6
+    assert all(got[i][1] == (s >= 0.7) for i, s in want.items() if abs(s - 0.7) > 1e-6)
+
+
 def test_scores_ignore_held_out_labels(spark):
     d = DATA
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
