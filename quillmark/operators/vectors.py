@@ -44,11 +44,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str = "vec_id", ve
     size = q.agg(F.sum(F.size("v") * 8 + 16).alias("b"), F.max(F.size("v") * 8 + 16).alias("most")).first()
     blocks = max(1, -(-(size.b or 0) // max(1, block_bytes - 4 * (size.most or 0))))
     v = vectors.select(F.col(by).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
-    kind = dict(q.dtypes)["id"]
+    schema = f"query_id {dict(q.dtypes)['id']}, id {dict(v.dtypes)['id']}, score double"
     out = None
     for b in range(blocks):
         part = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()  # a block of bounded bytes
-        found = v.mapInArrow(_search([(r.id, np.array(r.v)) for r in part], k, least, same), f"query_id {kind}, id {kind}, score double")
+        found = v.mapInArrow(_search([(r.id, np.array(r.v)) for r in part], k, least, same), schema)
         out = found if out is None else out.unionByName(found)
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
@@ -84,14 +84,13 @@ def _search(block: list, k: int, least: float, same: bool):  # noqa: ANN202
                             s1, i1 = np.concatenate([s0, s[take]]), np.concatenate([i0, ids[take]])
                             order = sorted(range(len(s1)), key=lambda r: (-s1[r], i1[r]))[:k] if len(s1) < 8 * k else sorted(np.flatnonzero(s1 >= np.partition(s1, -k)[-k]).tolist(), key=lambda r: (-s1[r], i1[r]))[:k]
                             rows[j] = s1[order], i1[order]
+        kinds = [pa.array([i for i, _ in block[:1]] or [0]).type, b.schema.field(0).type if best else None, pa.float64()]
         for d, rows in best.items():
             for lo in range(0, len(rows), 1024):
                 part = [(ids_of[d][j], i, s) for j, (ss, ii) in enumerate(rows[lo : lo + 1024], lo) for s, i in zip(ss, ii, strict=True)]
                 if part:
                     yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in part], kinds[c]) for c in range(3)], ["query_id", "id", "score"])
 
-    id_kind = pa.array([i for i, _ in block[:1]] or [0]).type
-    kinds = [id_kind, id_kind, pa.float64()]
     return run
 
 
