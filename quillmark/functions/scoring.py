@@ -91,9 +91,10 @@ def rules_consistent(rules: list[dict], col=F.col) -> Column:  # noqa: ANN001
     return got / total
 
 
-def integrity(repetition: Column, noise: Column) -> Column:
-    """From cleanup figures where there are any, else 0.85."""
-    return F.when(repetition.isNull() | noise.isNull(), 0.85).otherwise(clip(noise * (1 - repetition * 0.5)) * 0.6 + 0.4 * 0.85)
+def integrity(repetition: Column, noise: Column, spelling: Column | None = None) -> Column:
+    """0.6 of what cleanup figures say, where there are any, and 0.4 of the spelling's score, else that alone; the spelling counts as 0.85 if it isn't measured."""
+    s = F.lit(0.85) if spelling is None else spelling
+    return F.when(repetition.isNull() | noise.isNull(), s).otherwise(clip(noise * (1 - repetition * 0.5)) * 0.6 + s * 0.4)
 
 
 def timeliness(stamp: Column, as_of: Column, sla_hours: float = 8760.0) -> Column:

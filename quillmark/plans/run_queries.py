@@ -308,3 +308,10 @@ def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("gate", F.element_at(gates, (F.col("conv_id") % 8 + 1).cast("int")))
     return x.withColumn("c", C.causes(F.col("gate"))).select("conv_id", "gate", "c.cause", "c.remedy")
 
+
+@query(
+    """SELECT url, filename, md5(html) AS html_md5 FROM (SELECT url, html, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '_') || '.html' AS filename FROM pages ORDER BY page_id LIMIT 50)"""
+)
+def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the web source names their files; fifty is the source's own limit."""
+    return FI.web_pages(table(spark, sf_dir, "pages")).select("url", "filename", F.md5("html").alias("html_md5"))

@@ -141,24 +141,25 @@ def records(x: DataFrame, playbook: dict = PLAYBOOK) -> DataFrame:
     lines = F.filter(F.transform(F.split(t, "\n"), lambda v: F.lower(F.regexp_replace(T.stripped(v), r"\s+", " "))), lambda v: F.length(v) >= 3)
     x = x.withColumns({"title": F.when(F.contains(t, F.lit("\n")) & F.length(first).between(1, 80) & ~F.rlike(first, F.lit("[.!?]$")), first), "stamp": F.regexp_extract(t, r"\b(\d{4}-\d{2}-\d{2})\b", 1), "_a": lines})
     x = x.withColumn("_rep", F.when(F.size("_a") == 0, 0.0).otherwise((F.size("_a") - F.size(F.array_distinct("_a"))) / F.greatest(F.size("_a"), F.lit(1)))).drop("_a")
-    return x.withColumn("_noise", T.noise_score(t, F.col("_rep")))
+    return x.withColumns({"_noise": T.noise_score(t, F.col("_rep")), "_few": S.letters_share(t) < 0.5})
 
 
 def scores(playbook: dict = PLAYBOOK, as_of: str = AS_OF) -> dict:
-    """All twelve scores of `records`, each from the record itself. Of a text that is one chunk the lines stand for chunks in uniqueness."""
-    t, none = F.col("text"), F.lit(None).cast("string")
+    """All twelve scores of `records`, each from the record itself. Of a text that is one chunk the lines stand for chunks in uniqueness. Texts under half letters are
+    scored as the simpler scorer does: their spelling by the share of ASCII, their timeliness as unknown."""
+    t, none, few = F.col("text"), F.lit(None).cast("string"), F.col("_few")
     has = lambda **c: F.array_compact(F.array(*[F.when(v, k) for k, v in c.items()]))
     full = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     return {
         "completeness": S.playbook_completeness(has(title=F.col("title").isNotNull(), body=F.col("_w") > 50), has(source=full("source"), lang=full("lang"), stamp=full("stamp")), playbook["required_sections"], playbook["required_fields"]),
         "validity": S.rules_passed(playbook["validity_rules"]), "consistency": S.rules_consistent(playbook["consistency_rules"]), "uniqueness": 1 - F.col("_rep"),
-        "timeliness": S.timeliness(F.col("stamp"), F.lit(as_of), playbook["freshness_sla_hours"]), "text_integrity": S.integrity(F.col("_rep"), F.col("_noise")), "parse_success": S.parse_success(t, n=F.col("_n")),
+        "timeliness": F.when(few, 0.5).otherwise(S.timeliness(F.col("stamp"), F.lit(as_of), playbook["freshness_sla_hours"])), "text_integrity": S.integrity(F.col("_rep"), F.col("_noise"), F.when(few, S.ascii_share(t)).otherwise(0.85)), "parse_success": S.parse_success(t, n=F.col("_n")),
         "chunk_boundary_quality": F.when(T.ends_mid_sentence(t), 0.0).otherwise(1.0), "chunk_coherence": F.round(S.connectivity(t), 4), "chunk_size_health": F.round(S.size_health(F.col("token_est")), 4),
         "metadata_completeness": S.present(F.col("source"), F.col("title"), F.col("lang"), F.col("stamp")), "provenance_coverage": S.provenance(F.when(t != "", F.md5(t)), F.col("source"), none, none, F.col("stamp"), none),
     }
 
 
-_REC = rf"""SELECT *, CASE WHEN length(text) < 10 THEN 1.0::DOUBLE ELSE greatest(0.0, least(1.0, 1 - (0.6 * least(1.0, rep * 2) + 0.4 * least(1.0, 5 * {_ODD})))) END AS noise FROM (
+_REC = rf"""SELECT *, length(regexp_replace(text, '\P{{L}}', '', 'g'))::DOUBLE / greatest(length(text), 1) < 0.5 AS few, CASE WHEN length(text) < 10 THEN 1.0::DOUBLE ELSE greatest(0.0, least(1.0, 1 - (0.6 * least(1.0, rep * 2) + 0.4 * least(1.0, 5 * {_ODD})))) END AS noise FROM (
   SELECT *, CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE (len(a) - len(list_distinct(a)))::DOUBLE / len(a) END AS rep, CASE WHEN contains(text, chr(10)) AND length(l1) BETWEEN 1 AND 80 AND NOT regexp_matches(l1, '[.!?]$') THEN l1 END AS title, coalesce(source <> '', FALSE)::INT AS has_source, coalesce(lang <> '', FALSE)::INT AS has_lang, (stamp <> '')::INT AS has_stamp FROM (
     SELECT doc_id, text, lang, source, n_chars, {NW} AS w, {_TS} AS n, {_SENT} AS s, {_LINES} AS a, {STRIP.format("split_part(text, chr(10), 1)")} AS l1, {STRIP.format('text')} AS st,
       regexp_extract(text, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1) AS stamp, list_transform({_CS}, lambda x: list_distinct(regexp_extract_all(lower(x), '[^\x20\x09-\x0D]+'))) AS c
@@ -170,8 +171,8 @@ _SCORES = {
     "validity": r"(regexp_matches(coalesce(source, ''), '(?i)^src[0-9]+$')::INT + has_lang + regexp_matches(text, '(?i)[.!?]\s*$')::INT) / 3.0::DOUBLE",
     "consistency": "(CASE WHEN coalesce(n_chars BETWEEN 200 AND 20000, FALSE) THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN coalesce(lang = 'en', FALSE) THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN s BETWEEN 2 AND 500 THEN 1 ELSE 0 END) / 2.0::DOUBLE",
     "uniqueness": "1 - rep",
-    "timeliness": f"CASE WHEN try_cast(stamp AS DATE) IS NULL OR try_cast(stamp AS DATE) > DATE '{AS_OF}' THEN 0.5::DOUBLE ELSE greatest(0.0, least(1.0, 1 - datediff('day', try_cast(stamp AS DATE), DATE '{AS_OF}') * 24.0::DOUBLE / {_SLA}::DOUBLE)) END",
-    "text_integrity": "greatest(0.0, least(1.0, noise * (1 - rep * 0.5::DOUBLE))) * 0.6::DOUBLE + 0.4::DOUBLE * 0.85::DOUBLE",
+    "timeliness": f"CASE WHEN few OR try_cast(stamp AS DATE) IS NULL OR try_cast(stamp AS DATE) > DATE '{AS_OF}' THEN 0.5::DOUBLE ELSE greatest(0.0, least(1.0, 1 - datediff('day', try_cast(stamp AS DATE), DATE '{AS_OF}') * 24.0::DOUBLE / {_SLA}::DOUBLE)) END",
+    "text_integrity": "greatest(0.0, least(1.0, noise * (1 - rep * 0.5::DOUBLE))) * 0.6::DOUBLE + CASE WHEN few THEN CASE WHEN length(text) = 0 THEN 1.0::DOUBLE ELSE length(regexp_replace(substr(text, 1, 1000), '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / length(substr(text, 1, 1000)) END ELSE 0.85::DOUBLE END * 0.4::DOUBLE",
     "parse_success": "CASE WHEN n >= 50 THEN 1.0::DOUBLE ELSE 0.0 END",
     "chunk_boundary_quality": r"CASE WHEN NOT regexp_matches(st, '[.!?][''\")\]]*$') AND (NOT regexp_matches(st, '[0-9A-Za-z_]$') OR length(st) < 20) THEN 0.0::DOUBLE ELSE 1.0 END".replace('\\"', '"'),
     "chunk_coherence": "round((CASE WHEN n < 50 THEN 0.0 WHEN len(c) < 2 THEN 1.0 ELSE list_avg(list_transform(range(2, len(c) + 1), lambda i: len(list_intersect(c[i - 1], c[i]))::DOUBLE / len(list_distinct(list_concat(c[i - 1], c[i]))))) END)::DOUBLE, 4)",
