@@ -204,10 +204,19 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", S.expand(q).alias("terms"))
 
 
-@query()
+_ASKED = "the that of with"
+_TERMS = "['that', 'the that of with', 'with']"
+
+
+@query(
+    rf"""WITH x AS (SELECT doc_id, lower(text) AS low, {STRIP.format('text')} AS t FROM documents), y AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, ' ' || regexp_replace(low, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+', '  ', 'g') || ' ' AS plain FROM x),
+z AS (SELECT *, length(t) < 150 AND len(string_split(t, chr(10))) <= 2 AND len(list_filter(w, lambda v: regexp_matches(v, '^(?:\p{{Lu}}|[^\p{{L}}])')))::DOUBLE / greatest(len(w), 1) > 0.8 AS heading,
+  list_sum(list_transform({_TERMS}, lambda v: least(3, floor((length(plain) - length(replace(plain, ' ' || v || ' ', ''))) / (length(v) + 2))))) AS hits FROM y)
+SELECT doc_id, round(greatest(least(CASE WHEN contains(low, '{_ASKED}') THEN 0.08 + 0.05 ELSE 0 END + least(hits * 0.02, 0.05) + CASE WHEN heading AND length(t) < 50 THEN -0.30 WHEN heading THEN -0.20 ELSE 0 END, 0.15), -0.30)::DOUBLE, 6) AS boost FROM z"""
+)
 def keyword_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keyword boost of every document for one query; its word edges in all scripts are beyond the SQL engine."""
-    q = F.lit("the that of with")
+    """The keyword boost of every document for one query."""
+    q = F.lit(_ASKED)
     return docs(spark, sf_dir).select("doc_id", F.round(S.keyword_boost(F.col("text"), S.expand(q), q), 6).alias("boost"))
 
 
