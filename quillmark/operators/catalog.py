@@ -106,3 +106,17 @@ def archive(rows: DataFrame, at: str, as_of: Column, days: int, path: str, by: l
     old = F.datediff(as_of.cast("date"), F.col(at).cast("date")) > days
     rows.filter(old).write.mode("append").partitionBy(*by).parquet(path)
     return rows.filter(~F.coalesce(old, F.lit(False)))
+
+
+def registered(artifacts: DataFrame, inputs: DataFrame, failed: DataFrame) -> DataFrame:
+    """Artifacts (artifact_id, run_id, stage, name, key, policy) as they are put on record: with status ACTIVE, the inputs that are known as (artifact_id, stage, name, key) in
+    order of their ids, and policy delete_after_90_days_if_failed for delete_after_90_days in runs that failed.
+
+    inputs: artifact_id, input_id; failed: run_id. Unknown and repeated inputs are left out.
+    """
+    known = artifacts.select(F.col("artifact_id").alias("input_id"), F.struct("artifact_id", "stage", "name", "key").alias("i"))
+    held = inputs.distinct().join(known, "input_id").groupBy("artifact_id").agg(F.array_sort(F.collect_list("i")).alias("inputs"))  # an artifact's inputs are few
+    x = artifacts.join(failed.select("run_id").distinct().withColumn("_f", F.lit(True)), "run_id", "left").join(held, "artifact_id", "left")
+    policy = F.when((F.col("policy") == "delete_after_90_days") & F.col("_f"), "delete_after_90_days_if_failed").otherwise(F.col("policy"))
+    empty = F.array().cast("array<struct<artifact_id:bigint,stage:string,name:string,key:string>>")
+    return x.withColumn("policy", policy).withColumn("inputs", F.coalesce("inputs", empty)).withColumn("status", F.lit("ACTIVE")).drop("_f")

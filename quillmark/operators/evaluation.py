@@ -170,6 +170,20 @@ def gates(agg: DataFrame, rates: dict[str, Column], thresholds: dict[str, float]
     return low
 
 
+def run_gates(metrics: DataFrame, overrides: DataFrame, defaults: dict[str, float] | None = None) -> DataFrame:
+    """run_id, gate, threshold, actual, passed for all gates of each run, and all_passed of the run: defaults, replaced by the product's own thresholds.
+
+    metrics: run_id, product_id, metric, value; overrides: product_id, gate, threshold. A gate is named by its metric and _min or _max. A metric that is missing or null fails, a null override doesn't count.
+    """
+    gates = F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(float(v)).alias("default")) for g, v in (defaults or GATES).items()])
+    runs = metrics.select("run_id", "product_id").distinct().select("run_id", "product_id", F.inline(gates))
+    x = runs.join(overrides.select("product_id", "gate", F.col("threshold").alias("_t")), ["product_id", "gate"], "left").withColumn("threshold", F.coalesce("_t", "default"))
+    x = x.withColumn("metric", F.regexp_replace("gate", "_(?:min|max)$", "")).join(metrics.select("run_id", "metric", F.col("value").alias("actual")), ["run_id", "metric"], "left")
+    ok = F.when(F.endswith("gate", F.lit("_min")), F.col("actual") >= F.col("threshold")).otherwise(F.col("actual") <= F.col("threshold"))
+    x = x.withColumn("passed", F.coalesce(ok, F.lit(False)))
+    return x.withColumn("all_passed", F.bool_and("passed").over(Window.partitionBy("run_id"))).select("run_id", "gate", "threshold", "actual", "passed", "all_passed")
+
+
 def trend(runs: DataFrame, by: list[str], value: str, at: str, passed: Column) -> DataFrame:
     """mean, min, max, first, last, direction and pass rate of a metric's runs over time."""
     g = runs.groupBy(*by).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..operators import catalog as A
 from ..operators import evaluation as E
 from ..operators import models as M
 from ..operators import search as SE
@@ -315,3 +316,51 @@ def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the web source names their files; fifty is the source's own limit."""
     return FI.web_pages(table(spark, sf_dir, "pages")).select("url", "filename", F.md5("html").alias("html_md5"))
+
+
+_GATES = ", ".join(f"('{g}', {v}::DOUBLE)" for g, v in E.GATES.items())
+
+
+@query(
+    f"""WITH m AS (SELECT user_id AS run_id, user_id % 3 AS product_id, CASE event_type WHEN 'click' THEN 'groundedness' WHEN 'view' THEN 'hallucination_rate' ELSE 'answer_relevance' END AS metric, round(avg(value) / 100, 6) AS value FROM events GROUP BY ALL),
+o AS (SELECT * FROM (VALUES (1, 'groundedness_min', 0.4::DOUBLE), (2, 'hallucination_rate_max', 0.9), (2, 'answer_relevance_min', NULL)) AS v(product_id, gate, threshold)),
+g AS (SELECT r.run_id, q.gate, coalesce(o.threshold, d) AS threshold, regexp_replace(q.gate, '_(min|max)$', '') AS metric FROM (SELECT DISTINCT run_id, product_id FROM m) r CROSS JOIN (VALUES {_GATES}) AS q(gate, d) LEFT JOIN o ON o.product_id = r.product_id AND o.gate = q.gate),
+p AS (SELECT g.run_id, gate, threshold, value AS actual, coalesce(CASE WHEN ends_with(gate, '_min') THEN value >= threshold ELSE value <= threshold END, FALSE) AS passed FROM g LEFT JOIN m ON m.run_id = g.run_id AND m.metric = g.metric)
+SELECT *, bool_and(passed) OVER (PARTITION BY run_id) AS all_passed FROM p"""
+)
+def run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates of each run by default and by its product's own thresholds; users stand for runs and types of events for metrics."""
+    metric = F.when(F.col("event_type") == "click", "groundedness").when(F.col("event_type") == "view", "hallucination_rate").otherwise("answer_relevance")
+    m = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id"), (F.col("user_id") % 3).alias("product_id"), metric.alias("metric")).agg(F.round(F.avg("value") / 100, 6).alias("value"))
+    o = spark.createDataFrame([(1, "groundedness_min", 0.4), (2, "hallucination_rate_max", 0.9), (2, "answer_relevance_min", None)], "product_id bigint, gate string, threshold double")
+    return E.run_gates(m, o)
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS artifact_id, l_orderkey AS run_id, l_shipmode_ AS stage, 'a' || l_linenumber AS name, 'k/' || l_orderkey || '/' || l_linenumber AS key, CASE WHEN l_linenumber % 2 = 0 THEN 'delete_after_90_days' ELSE 'keep_forever' END AS policy, l_linenumber AS n
+  FROM (SELECT *, 's' || l_linenumber AS l_shipmode_, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS r FROM lineitem) WHERE r = 1),
+i AS (SELECT DISTINCT a.artifact_id, b.artifact_id AS input_id, b.stage, b.name, b.key FROM a JOIN a b ON b.artifact_id = a.artifact_id - 1 OR b.artifact_id = a.artifact_id - 2)
+SELECT a.artifact_id, a.run_id, a.stage, a.name, a.key, CASE WHEN policy = 'delete_after_90_days' AND run_id % 4 = 0 THEN 'delete_after_90_days_if_failed' ELSE policy END AS policy, 'ACTIVE' AS status, coalesce(s, '') AS inputs
+FROM a LEFT JOIN (SELECT artifact_id, string_agg(input_id || ':' || name, ',' ORDER BY input_id) AS s FROM i GROUP BY artifact_id) USING (artifact_id)"""
+)
+def registered_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts as they are put on record, with their inputs; order lines stand for artifacts, each made from the two before, orders for runs, of which every fourth failed."""
+    n = F.col("l_linenumber")
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("artifact_id"), F.col("l_orderkey").alias("run_id"), F.concat(F.lit("s"), n).alias("stage"), F.concat(F.lit("a"), n).alias("name"), F.concat(F.lit("k/"), "l_orderkey", F.lit("/"), n).alias("key"), F.when(n % 2 == 0, "delete_after_90_days").otherwise("keep_forever").alias("policy")).distinct()
+    inputs = x.select("artifact_id", F.explode(F.array(F.col("artifact_id") - 1, F.col("artifact_id") - 2)).alias("input_id"))
+    out = A.registered(x, inputs, x.filter("run_id % 4 = 0").select("run_id"))
+    return out.withColumn("inputs", F.array_join(F.transform("inputs", lambda i: F.concat(i["artifact_id"], F.lit(":"), i["name"])), ","))
+
+
+@query(
+    """WITH e AS (SELECT event_type, ts::DATE AS d, (SELECT max(ts)::DATE FROM events) AS last FROM events)
+SELECT event_type, count_if(datediff('day', d, last) > 7)::BIGINT AS archived, count_if(datediff('day', d, last) <= 7)::BIGINT AS kept FROM e GROUP BY event_type"""
+)
+def archived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that were moved to the archive as they were over a week older than the last one, and those that stay."""
+    e = table(spark, sf_dir, "events")
+    path = workspace(spark, "archive")
+    last = F.lit(e.agg(F.max("ts")).first()[0])
+    left = A.archive(e, "ts", last, 7, path, ["event_type"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
+    old = spark.read.schema(e.schema).parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("archived"))
+    return old.join(left, "event_type", "full_outer").select("event_type", F.coalesce("archived", F.lit(0)).cast("bigint").alias("archived"), F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept"))
