@@ -44,6 +44,11 @@ DOMAINS = {
 KNOWN_AUDIENCES = ("hcp", "executive", "regulatory", "patient", "finance", "ops", "dev")
 
 
+def rounded(c: Column, places: int = 4) -> Column:
+    """Ties go up, and so do values within 1e-9 of one: sums that are equal but for the order of their terms get the same digits."""
+    return F.round(c + 1e-9, places)
+
+
 def present(*cols: Column) -> Column:
     """Share of the columns that are neither null nor empty."""
     return sum((F.coalesce(c.cast("string") != "", F.lit(False)).cast("int") for c in cols), F.lit(0)) / F.lit(float(len(cols)))
@@ -238,7 +243,7 @@ def trust(scores: dict[str, Column], weights: dict[str, float] | None = None) ->
     total = sum(w.values())
     if abs(total - 1) > 0.01:
         w = {k: v / total for k, v in w.items()}
-    return F.round(sum((clip(scores[k]) * v for k, v in w.items() if k in scores), F.lit(0.0)), 4)
+    return rounded(sum((clip(scores[k]) * v for k, v in w.items() if k in scores), F.lit(0.0)))
 
 
 def connectivity(text: Column) -> Column:

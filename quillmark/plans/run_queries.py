@@ -192,22 +192,22 @@ _DUP = SQL["conversation_duplicate_score"]
 
 @query(
     f"""WITH c AS (SELECT conv_id, coalesce(text, '') AS text, {STRIP.format("coalesce(text, '')")} AS st FROM conversations), s AS (SELECT *, list_transform({_CS}, lambda x: list_distinct(regexp_extract_all(lower(x), '[^\\x20\\x09-\\x0D]+'))) AS a FROM c),
-m AS (SELECT round(1 - avg((NOT regexp_matches(st, '[.!?][''")\\]]*$') AND (NOT regexp_matches(st, '[0-9A-Za-z_]$') OR length(st) < 20))::INT), 4) AS boundary,
-  round(avg(round((CASE WHEN length(st) < 50 THEN 0.0 WHEN len(a) < 2 THEN 1.0 ELSE list_avg(list_transform(range(2, len(a) + 1), lambda i: len(list_intersect(a[i - 1], a[i]))::DOUBLE / len(list_distinct(list_concat(a[i - 1], a[i]))))) END)::DOUBLE, 4)), 4) AS coherence, count(*) AS chunks FROM s),
+m AS (SELECT round(1 - avg((NOT regexp_matches(st, '[.!?][''")\\]]*$') AND (NOT regexp_matches(st, '[0-9A-Za-z_]$') OR length(st) < 20))::INT) + 1e-9, 4) AS boundary,
+  round(avg(round((CASE WHEN length(st) < 50 THEN 0.0 WHEN len(a) < 2 THEN 1.0 ELSE list_avg(list_transform(range(2, len(a) + 1), lambda i: len(list_intersect(a[i - 1], a[i]))::DOUBLE / len(list_distinct(list_concat(a[i - 1], a[i]))))) END)::DOUBLE + 1e-9, 4)) + 1e-9, 4) AS coherence, count(*) AS chunks FROM s),
 e AS (SELECT conv_id, count(*) AS n, count(DISTINCT text) AS u FROM c GROUP BY conv_id), d AS ({_DUP}),
 q AS (SELECT CASE WHEN n < 2 THEN 1.0 ELSE greatest(0.0, least(1.0, 0.7::DOUBLE * u / n + 0.3::DOUBLE * score / 100)) END AS u FROM e JOIN d USING (conv_id))
-SELECT any_value(chunks) AS chunks, count(*) AS documents, any_value(boundary) AS chunk_boundary_quality, any_value(coherence) AS chunk_coherence, round(avg(u), 4) AS uniqueness, round(1 - round(avg(u), 4), 4) AS duplicate_ratio FROM q, m"""
+SELECT any_value(chunks) AS chunks, count(*) AS documents, any_value(boundary) AS chunk_boundary_quality, any_value(coherence) AS chunk_coherence, round(avg(u) + 1e-9, 4) AS uniqueness, round(1 - round(avg(u) + 1e-9, 4), 4) AS duplicate_ratio FROM q, m"""
 )
 def conversation_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures that only a set of documents cut to chunks has; conversations stand for documents and turns for chunks. Uniqueness is 0.7 of the exact and 0.3 of the near kind,
     by document and then in the mean; boundary quality is what the rate of cut sentences leaves."""
     c = table(spark, sf_dir, "conversations").withColumn("text", T.text_of("text"))
     t = F.col("text")
-    m = c.agg(F.count(F.lit(1)).alias("chunks"), F.round(1 - F.avg(T.ends_mid_sentence(t).cast("int")), 4).alias("chunk_boundary_quality"), F.round(F.avg(F.round(S.connectivity(t), 4)), 4).alias("chunk_coherence"))
+    m = c.agg(F.count(F.lit(1)).alias("chunks"), S.rounded(1 - F.avg(T.ends_mid_sentence(t).cast("int"))).alias("chunk_boundary_quality"), S.rounded(F.avg(S.rounded(S.connectivity(t)))).alias("chunk_coherence"))
     exact = c.groupBy("conv_id", F.md5(t).alias("h")).agg(F.count(F.lit(1)).alias("n")).groupBy("conv_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"))
     both = exact.join(conversation_duplicate_score(spark, sf_dir).select("conv_id", "score"), "conv_id")
     u = F.when(F.col("n") < 2, 1.0).otherwise(T.clip(F.col("u") * 0.7 / F.col("n") + F.col("score") * 0.3 / 100))
-    g = both.agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg(u), 4).alias("uniqueness"))
+    g = both.agg(F.count(F.lit(1)).alias("documents"), S.rounded(F.avg(u)).alias("uniqueness"))
     return m.join(g, F.lit(True)).withColumn("duplicate_ratio", F.round(1 - F.col("uniqueness"), 4))
 
 

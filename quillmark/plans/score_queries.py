@@ -154,7 +154,7 @@ def scores(playbook: dict = PLAYBOOK, as_of: str = AS_OF) -> dict:
         "completeness": S.playbook_completeness(has(title=F.col("title").isNotNull(), body=F.col("_w") > 50), has(source=full("source"), lang=full("lang"), stamp=full("stamp")), playbook["required_sections"], playbook["required_fields"]),
         "validity": S.rules_passed(playbook["validity_rules"]), "consistency": S.rules_consistent(playbook["consistency_rules"]), "uniqueness": 1 - F.col("_rep"),
         "timeliness": F.when(few, 0.5).otherwise(S.timeliness(F.col("stamp"), F.lit(as_of), playbook["freshness_sla_hours"])), "text_integrity": S.integrity(F.col("_rep"), F.col("_noise"), F.when(few, S.ascii_share(t)).otherwise(0.85)), "parse_success": S.parse_success(t, n=F.col("_n")),
-        "chunk_boundary_quality": F.when(T.ends_mid_sentence(t), 0.0).otherwise(1.0), "chunk_coherence": F.round(S.connectivity(t), 4), "chunk_size_health": F.round(S.size_health(F.col("token_est")), 4),
+        "chunk_boundary_quality": F.when(T.ends_mid_sentence(t), 0.0).otherwise(1.0), "chunk_coherence": S.rounded(S.connectivity(t)), "chunk_size_health": S.rounded(S.size_health(F.col("token_est"))),
         "metadata_completeness": S.present(F.col("source"), F.col("title"), F.col("lang"), F.col("stamp")), "provenance_coverage": S.provenance(F.when(t != "", F.md5(t)), F.col("source"), none, none, F.col("stamp"), none),
     }
 
@@ -175,13 +175,13 @@ _SCORES = {
     "text_integrity": "greatest(0.0, least(1.0, noise * (1 - rep * 0.5::DOUBLE))) * 0.6::DOUBLE + CASE WHEN few THEN CASE WHEN length(text) = 0 THEN 1.0::DOUBLE ELSE length(regexp_replace(substr(text, 1, 1000), '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / length(substr(text, 1, 1000)) END ELSE 0.85::DOUBLE END * 0.4::DOUBLE",
     "parse_success": "CASE WHEN n >= 50 THEN 1.0::DOUBLE ELSE 0.0 END",
     "chunk_boundary_quality": r"CASE WHEN NOT regexp_matches(st, '[.!?][''\")\]]*$') AND (NOT regexp_matches(st, '[0-9A-Za-z_]$') OR length(st) < 20) THEN 0.0::DOUBLE ELSE 1.0 END".replace('\\"', '"'),
-    "chunk_coherence": "round((CASE WHEN n < 50 THEN 0.0 WHEN len(c) < 2 THEN 1.0 ELSE list_avg(list_transform(range(2, len(c) + 1), lambda i: len(list_intersect(c[i - 1], c[i]))::DOUBLE / len(list_distinct(list_concat(c[i - 1], c[i]))))) END)::DOUBLE, 4)",
-    "chunk_size_health": f"round(({_size_sql('floor(w * 1.3)', *S.SIZES['general'])})::DOUBLE, 4)",
+    "chunk_coherence": "round((CASE WHEN n < 50 THEN 0.0 WHEN len(c) < 2 THEN 1.0 ELSE list_avg(list_transform(range(2, len(c) + 1), lambda i: len(list_intersect(c[i - 1], c[i]))::DOUBLE / len(list_distinct(list_concat(c[i - 1], c[i]))))) END)::DOUBLE + 1e-9, 4)",
+    "chunk_size_health": f"round(({_size_sql('floor(w * 1.3)', *S.SIZES['general'])})::DOUBLE + 1e-9, 4)",
     "metadata_completeness": "(has_source + (title IS NOT NULL)::INT + has_lang + has_stamp) / 4.0::DOUBLE",
     "provenance_coverage": "CASE WHEN text <> '' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN has_source = 1 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN has_stamp = 1 THEN 0.15::DOUBLE ELSE 0 END",
 }
 _TRUST_SUM = " + ".join(f"{k} * {v}::DOUBLE" for k, v in S.WEIGHTS.items())
-_SCORED = f"SELECT *, round({_TRUST_SUM}, 4) AS ai_trust FROM (SELECT doc_id, lang, source, text, floor(w * 1.3) AS tok, w, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in _SCORES.items())} FROM ({_REC}))"
+_SCORED = f"SELECT *, round({_TRUST_SUM} + 1e-9, 4) AS ai_trust FROM (SELECT doc_id, lang, source, text, floor(w * 1.3) AS tok, w, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in _SCORES.items())} FROM ({_REC}))"
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,15 +190,15 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("ai_trust", S.trust({k: F.col(k) for k in S.WEIGHTS}))
 
 
-@query(f"SELECT doc_id, {', '.join(f'round({k}, 4) AS {k}' for k in S.WEIGHTS)}, ai_trust FROM ({_SCORED})")
+@query(f"SELECT doc_id, {', '.join(f'round({k} + 1e-9, 4) AS {k}' for k in S.WEIGHTS)}, ai_trust FROM ({_SCORED})")
 def trust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve scores of each document and their weighted sum."""
-    return scored(spark, sf_dir).select("doc_id", *[F.round(k, 4).alias(k) for k in S.WEIGHTS], "ai_trust")
+    return scored(spark, sf_dir).select("doc_id", *[S.rounded(F.col(k)).alias(k) for k in S.WEIGHTS], "ai_trust")
 
 
-_FP = f"""SELECT *, round({_TRUST_SUM}, 4) AS ai_trust FROM (SELECT {{key}} AS {{key}}, count(*) AS num_chunks, sum(tok)::BIGINT AS total_tokens, min(tok)::INTEGER AS min_tokens, max(tok)::INTEGER AS max_tokens, round(sum(tok)::DOUBLE / count(*), 2) AS avg_tokens,
-  list_sort(list(tok::INTEGER))[least((floor(0.95 * count(*)) + 1)::INT, count(*)::INT)] AS p95_tokens, {', '.join(f'round(avg({k}), 4) AS {k}' for k in S.WEIGHTS)},
-  round(avg(CASE WHEN {_PII} THEN 0.0 ELSE 1.0 END), 4) AS secure, round(avg(CASE WHEN w > 50 AND contains(text, chr(10)) THEN 1.0 ELSE 0.5 END), 4) AS kb_ready FROM ({_SCORED}) GROUP BY {{key}})"""
+_FP = f"""SELECT *, round({_TRUST_SUM} + 1e-9, 4) AS ai_trust FROM (SELECT {{key}} AS {{key}}, count(*) AS num_chunks, sum(tok)::BIGINT AS total_tokens, min(tok)::INTEGER AS min_tokens, max(tok)::INTEGER AS max_tokens, round(sum(tok)::DOUBLE / count(*), 2) AS avg_tokens,
+  list_sort(list(tok::INTEGER))[least((floor(0.95 * count(*)) + 1)::INT, count(*)::INT)] AS p95_tokens, {', '.join(f'round(avg({k}) + 1e-9, 4) AS {k}' for k in S.WEIGHTS)},
+  round(avg(CASE WHEN {_PII} THEN 0.0 ELSE 1.0 END) + 1e-9, 4) AS secure, round(avg(CASE WHEN w > 50 AND contains(text, chr(10)) THEN 1.0 ELSE 0.5 END) + 1e-9, 4) AS kb_ready FROM ({_SCORED}) GROUP BY {{key}})"""
 
 
 def fingerprint(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -211,7 +211,7 @@ def fingerprint(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy(key))
     place = F.least(F.floor(total * 0.95) + 1, total)
     counts = counts.withColumn("p", F.when((F.sum("n").over(w) >= place) & (F.sum("n").over(w) - F.col("n") < place), F.col("tok")))
-    mean = lambda c: F.round(F.sum(c) / F.sum("n"), 4)
+    mean = lambda c: S.rounded(F.sum(c) / F.sum("n"))
     g = counts.groupBy(key).agg(
         F.sum("n").alias("num_chunks"), F.sum(F.col("tok") * F.col("n")).cast("bigint").alias("total_tokens"), F.min("tok").alias("min_tokens"), F.max("tok").alias("max_tokens"), F.max("p").alias("p95_tokens"), *[mean(c).alias(c) for c in sums]
     )
@@ -318,7 +318,7 @@ def scorer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The sentence cut without looking behind and ahead: ends before a space and a capital, digit or quote are marked, those behind a single capital are taken back, and the rest is cut.
 _ENDS = "[.!?۔؟。]"
-_CUTS = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(t, '({_ENDS}+)(\s+[A-Z0-9\"''])', '\1' || chr(1) || '\2', 'g'), '(^|[^0-9A-Za-z_])([A-Z])({_ENDS})' || chr(1), '\1\2\3', 'g'), '{_ENDS}+' || chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')".replace('\\"', '"')
+_CUTS = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(t, '({_ENDS}+)(\s+[A-Z0-9\"''])', '\1' || chr(1) || '\2', 'g'), '(^|[^\p{{L}}\p{{N}}_])([A-Z])({_ENDS})' || chr(1), '\1\2\3', 'g'), '{_ENDS}+' || chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')".replace('\\"', '"')
 
 
 @query(
@@ -339,7 +339,7 @@ def fallback_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT category, count(*) AS docs, round(avg(secure), 6) AS secure, round(avg(kb), 6) AS kb_ready, round(avg(t), 4) AS trust FROM (SELECT CASE WHEN t >= 0.7 THEN 'AI-Ready' ELSE 'Non-AI Ready' END AS category, * FROM
+    f"""SELECT category, count(*) AS docs, round(avg(secure), 6) AS secure, round(avg(kb), 6) AS kb_ready, round(avg(t) + 1e-9, 4) AS trust FROM (SELECT CASE WHEN t >= 0.7 THEN 'AI-Ready' ELSE 'Non-AI Ready' END AS category, * FROM
   (SELECT ai_trust AS t, (CASE WHEN {_PII} THEN 0.0 ELSE 1.0 END)::DOUBLE AS secure, (CASE WHEN w > 50 AND contains(text, chr(10)) THEN 1.0 ELSE 0.5 END)::DOUBLE AS kb FROM ({_SCORED}))) GROUP BY category"""
 )
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +347,7 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     x = scored(spark, sf_dir).select(F.col("ai_trust").alias("t"), S.secure(t).alias("secure"), S.kb_ready(t, F.col("w")).alias("kb"))
     g = x.groupBy(F.when(F.col("t") >= 0.7, "AI-Ready").otherwise("Non-AI Ready").alias("category"))
-    return g.agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("secure"), 6).alias("secure"), F.round(F.avg("kb"), 6).alias("kb_ready"), F.round(F.avg("t"), 4).alias("trust"))
+    return g.agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("secure"), 6).alias("secure"), F.round(F.avg("kb"), 6).alias("kb_ready"), S.rounded(F.avg("t")).alias("trust"))
 
 
 _ADV = ", ".join(f"CASE WHEN {m} < {b} THEN {{'shortfall': round({m} - {b}, 6), 'metric': '{m}', 'action': '{a}'}} END" for m, b, a in ADVICE if m in ("ai_trust", "secure", "kb_ready", *S.WEIGHTS))
