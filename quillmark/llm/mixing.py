@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
 from .common import WORD, key60, refuse, rejoin, row_hash, running, stratum, table, written
 
 WEIGHTS = (5, 2, 1)
@@ -50,34 +51,39 @@ def hypergeometric(total: Column, marked: Column, draws: Column, u: Column) -> C
     Sums go from the mode upwards and then from the mode downwards; each term comes from its neighbour, so no factorial is needed. Terms farther
     than 40 and 12 standard deviations from the mode have a chance under 1e-30 in all and are left out.
     """
-    n, k, d = total.cast("double"), marked.cast("double"), draws.cast("double")
-    low, high = F.greatest(F.lit(0.0), d + k - n), F.least(k, d)
-    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (k + 1) / (n + 2)).cast("double")))
-    reach = F.floor(F.lit(40) + 12 * F.sqrt(d * k / F.greatest(n, F.lit(1.0)) + 1)).cast("double")
-    up, down = F.least(high - mode, reach).cast("int"), F.least(mode - low, reach).cast("int")
+    zero, one = F.lit(0.0), F.lit(1.0)
 
-    def walk(steps: Column, target: Column | None, above: bool) -> Column:
+    def more(s: Column, *fields: str, **new: Column) -> Column:
+        return F.struct(*[s[f].alias(f) for f in fields], *[c.cast("double").alias(n) for n, c in new.items()])
+
+    def walk(s: Column, steps: Column, target: Column | None, above: bool) -> Column:
         """Sum of the terms, or how many sums are at most target."""
 
         def step(acc: Column, i: Column) -> Column:
+            x = s["mode"] + i if above else s["mode"] - i
+            free = s["n"] - s["k"] - s["d"] + x
             if above:
-                after = acc["w"] * ((k - mode - i) * (d - mode - i) / ((mode + i + 1) * (n - k - d + mode + i + 1)))
-                term = acc["w"]
+                after, term, counts = acc["w"] * ((s["k"] - x) * (s["d"] - x) / ((x + 1) * (free + 1))), acc["w"], F.lit(True)
             else:
-                after = acc["w"] * ((mode - i) * (n - k - d + mode - i) / ((k - mode + i + 1) * (d - mode + i + 1)))
-                term = F.when(i > 0, acc["w"]).otherwise(0.0)
+                after, term, counts = acc["w"] * (x * free / ((s["k"] - x + 1) * (s["d"] - x + 1))), F.when(i > 0, acc["w"]).otherwise(zero), i > 0
             now = acc["t"] + term
-            seen = F.lit(0) if target is None else acc["c"] + ((now <= target) & ((i > 0) | F.lit(above))).cast("int")
+            seen = zero if target is None else acc["c"] + F.when(counts & (now <= target), one).otherwise(zero)
             return F.struct(after.alias("w"), now.alias("t"), seen.alias("c"))
 
-        zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t"), F.lit(0).alias("c"))
-        return F.aggregate(F.sequence(F.lit(0), steps), zero, step, lambda acc: acc["t"].cast("double") if target is None else acc["c"].cast("double"))
+        start = F.struct(one.alias("w"), zero.alias("t"), zero.alias("c"))
+        return F.aggregate(F.sequence(F.lit(0), steps.cast("int")), start, step, lambda acc: acc["t" if target is None else "c"])
 
-    above, below = walk(up, None, True), walk(down, None, False)
-    target = u * (above + below)
-    over = walk(up, target, True)
-    under = walk(down, target - above, False)
-    return F.when(over <= up, mode + over).otherwise(mode - F.least(under + 1, down.cast("double"))).cast("long")
+    # Each step binds what the next ones use several times, so that nothing is written out or computed more than once.
+    raw = F.struct(total.cast("double").alias("n"), marked.cast("double").alias("k"), draws.cast("double").alias("d"), u.alias("u"))
+    f = ("n", "k", "d", "u")
+    ends = lambda s: more(s, *f, low=F.greatest(zero, s["d"] + s["k"] - s["n"]), high=F.least(s["k"], s["d"]))
+    mode = lambda s: more(s, *f, "low", "high", mode=F.least(s["high"], F.greatest(s["low"], F.floor((s["d"] + 1) * (s["k"] + 1) / (s["n"] + 2)).cast("double"))), reach=F.floor(F.lit(40) + 12 * F.sqrt(s["d"] * s["k"] / F.greatest(s["n"], one) + 1)))
+    steps = lambda s: more(s, *f, "mode", up=F.least(s["high"] - s["mode"], s["reach"]), down=F.least(s["mode"] - s["low"], s["reach"]))
+    sums = lambda s: more(s, *f, "mode", "up", "down", above=walk(s, s["up"], None, True), below=walk(s, s["down"], None, False))
+    goal = lambda s: more(s, *f, "mode", "up", "down", "above", goal=s["u"] * (s["above"] + s["below"]))
+    over = lambda s: more(s, *f, "mode", "up", "down", "above", "goal", over=walk(s, s["up"], s["goal"], True))
+    found = lambda s: F.when(s["over"] <= s["up"], s["mode"] + s["over"]).otherwise(s["mode"] - F.least(walk(s, s["down"], s["goal"] - s["above"], False) + 1, s["down"])).cast("long")
+    return let(let(let(let(let(let(let(raw, ends), mode), steps), sums), goal), over), found)
 
 
 def drawn(members: Column, total: Column, draws: Column, seed: Column) -> Column:
@@ -109,22 +115,22 @@ def split_tree(blocks: DataFrame, n_shards: int, seed: str = SEED, group: int =
     member = lambda c, q: F.sort_array(F.collect_list(F.struct(F.col(c).alias("k"), F.col(q).alias("q"))))
     many, left = F.col("b") - F.col("a"), F.expr("(b - a) div 2").cast("int")
     node = F.concat_ws("|", F.lit(seed), F.lit("tree"), F.col("a").cast("string"), F.col("b").cast("string"))
+    draw = drawn(F.col("m"), F.col("gq"), F.col("d"), node)  # the same at each level
     for _ in range(max(0, n_shards - 1).bit_length()):
         part = x.groupBy("a", "b", "g").agg(member("k", "q").alias("m"), F.sum("q").alias("gq"))  # a group's sources at one node
-        if groups > 1:
+        if groups > 1:  # read twice
             part = written(part, "nodes")
             top = part.groupBy("a", "b").agg(member("g", "gq").alias("gm"), F.sum("gq").alias("n"))
             top = top.select("a", "b", F.explode(drawn(F.col("gm"), F.col("n"), F.expr("n * ((b - a) div 2) div (b - a)"), F.concat_ws("|", node, F.lit("group")))).alias("e"))
             part = part.join(top.select("a", "b", F.col("e.k").alias("g"), F.col("e.x").alias("d")), ["a", "b", "g"])
         else:
             part = part.withColumn("d", F.expr("gq * ((b - a) div 2) div (b - a)"))
-        got = part.select("a", "b", "g", F.explode(drawn(F.col("m"), F.col("gq"), F.col("d"), node)).alias("e")).withColumn("left", left).withColumn("many", many)
+        got = part.select("a", "b", "g", F.explode(draw).alias("e")).withColumn("left", left).withColumn("many", many)
         side = F.when(F.col("many") < 2, F.array(F.struct("a", "b", F.col("e.q").alias("q")))).otherwise(
             F.array(F.struct("a", (F.col("a") + F.col("left")).alias("b"), F.col("e.x").alias("q")), F.struct((F.col("a") + F.col("left")).alias("a"), "b", (F.col("e.q") - F.col("e.x")).alias("q")))
         )
-        x = got.select("g", F.col("e.k").alias("k"), F.inline(side)).filter("q > 0")
-        x = written(x.select("a", "b", "g", "k", "q"), "tree")
-    return x.select(F.col("k").alias("_q_s"), F.col("a").alias("mix_shard"), "q")
+        x = got.select("g", F.col("e.k").alias("k"), F.inline(side)).filter("q > 0").select("a", "b", "g", "k", "q")
+    return written(x.select(F.col("k").alias("_q_s"), F.col("a").alias("mix_shard"), "q"), "tree")
 
 
 def placements(df: DataFrame, by: str = "source", id_col: str = "doc_id", size: str = "size", n_shards: int = 8, block_words: int = 8192, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, unused: bool = False) -> DataFrame:
@@ -186,7 +192,7 @@ def deal(entries: DataFrame, n_shards: int, seed: str) -> DataFrame:
 
 
 def write_mix(df: DataFrame, path: str, n_shards: int = 8) -> None:
-    """Writes a mix as path/mix_shard=<k>/, shuffled inside each shard by mix_order."""
+    """Writes a mix as path/mix_shard=<k>/, shuffled inside each shard by mix_order. Repeated rows and null columns are written as they are; an empty mix writes no shard."""
     df.repartitionByRange(n_shards, "mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order").write.partitionBy("mix_shard").mode("overwrite").parquet(path)
 
 
