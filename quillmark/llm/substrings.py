@@ -16,6 +16,8 @@ from .common import arrow_map, distinct_rows, small, table, written
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: The five highest bits of the 32-bit hash: a cut in 32 places, after the last 32 bytes.
 MASK = np.uint32(0xF8000000)
+#: In place of the hash where no cut may be, inside of a character.
+NEVER = 0xFFFFFFFF
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -37,8 +39,6 @@ def period_cuts(h: np.ndarray, most: int) -> list[int]:
     The last 32 bytes occurred before if their hash did, so the ends depend on the repeated bytes alone and not on where a run starts.
     """
     values = h.tolist()
-    if len(set(values)) == len(values):
-        return []
     out, last = [], {}
     for i, x in enumerate(values):
         if i - last.get(x, -most - 1) <= most and x == min(values[last[x] + 1 : i + 1]):
@@ -47,6 +47,17 @@ def period_cuts(h: np.ndarray, most: int) -> list[int]:
     return out
 
 
+def repeating(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Which of the parts h[start:stop] hold a hash twice, by one sort of (part, hash) for all of them; in most texts none does."""
+    if not len(starts):
+        return starts
+    sizes = stops - starts
+    part = np.repeat(np.arange(len(starts), dtype=np.uint64), sizes)
+    values = h[np.arange(sizes.sum()) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)]
+    keys = np.sort(((part << np.uint64(32)) | values)[values != NEVER])
+    return np.unique(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(32)).astype(np.int64)
+
+
 def cuts(data: np.ndarray, least: int, most: int) -> list[int]:
     """Ends of the chunks: behind a byte whose hash has MASK's bits 0, from `least` bytes on, and never inside a character.
 
@@ -54,12 +65,15 @@ def cuts(data: np.ndarray, least: int, most: int) -> list[int]:
     n = len(data)
     whole = np.append((data[1:] & 0xC0) != 0x80, True) if n else np.empty(0, bool)
     h = gear(data)
-    ends = (np.flatnonzero(((h & MASK) == 0) & whole) + 1).tolist()
-    h = np.where(whole, h, np.uint32(0xFFFFFFFF))
-    for a, b in zip([0, *ends], [*ends, n], strict=True):
-        if b - a > 32 + least:
-            part = h[a : b - 1] if b < n else h[a:b]
-            ends += [a + e for e in period_cuts(part, most) if whole[a + e - 1]]
+    places = np.flatnonzero(((h & MASK) == 0) & whole) + 1
+    ends = places.tolist()
+    h = np.where(whole, h, np.uint32(NEVER))
+    edges = np.concatenate(([0], places, [n]))
+    long = np.flatnonzero(np.diff(edges) > 32 + least)
+    starts, stops = edges[long], np.where(edges[long + 1] < n, edges[long + 1] - 1, n)
+    for i in repeating(h, starts, stops).tolist():
+        a, b = int(starts[i]), int(stops[i])
+        ends += [a + e for e in period_cuts(h[a:b], most) if whole[a + e - 1]]
     out, start = [], 0
     for end in [*sorted(ends), n]:
         while end - start > most:
@@ -207,14 +221,20 @@ def extensions(df: DataFrame, id_col: str, text: str, texts: DataFrame, reach: i
 
 
 def repeated_chunks(df: DataFrame, id_col: str, text: str, least: int, most: int) -> DataFrame:
-    """_d, _t, c of each text with repeated chunks: c are those chunks in order, with n (their places), first_id (their least id, null
-    if all are null) and owner (the key of the row with that id, the least of several)."""
+    """_d, _t, c of each text with repeated chunks: c are those chunks in order, with n (their places) and first_id (their least id, null if all are null)."""
     every = chunks(df, id_col, text, least, most)
-    holder = F.struct(F.col("_d").isNull().alias("none"), "_d", "_t")
-    often = every.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(holder).alias("o"), F.max("_t").alias("t1"), F.min("_t").alias("t0"), F.min("start").alias("s0"), F.max("start").alias("s1"))
-    often = often.filter("n > 1 AND (t0 <> t1 OR s0 <> s1)").select("hi", "lo", "n", F.col("o._d").alias("first_id"), F.col("o._t").alias("owner"))
-    places = every.join(often, ["hi", "lo"])
-    return places.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "end", "at", "size", "n", "first_id", "hi", "lo", "owner"))).alias("c"))  # one text's chunks
+    often = every.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("first_id"), F.min("_t").alias("t0"), F.max("_t").alias("t1"), F.min("start").alias("s0"), F.max("start").alias("s1"))
+    often = often.filter("n > 1 AND (t0 <> t1 OR s0 <> s1)").select("hi", "lo", "n", "first_id")
+    places = every.join(often, ["hi", "lo"]).select("_d", "_t", "start", "end", "at", "size", "n", "first_id", "hi", "lo")
+    return places.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "end", "at", "size", "n", "first_id", "hi", "lo"))).alias("c"))  # one text's chunks
+
+
+def owned_by_others(texts: DataFrame) -> DataFrame:
+    """texts with only those of their chunks that another text owns: the one with the least id that holds the chunk, of several the one with the least key. Without such chunks a text goes."""
+    x = texts.select("_d", "_t", F.inline("c"))
+    holds = x.filter("_d <=> first_id").groupBy("hi", "lo").agg(F.min("_t").alias("owner"))
+    other = x.join(holds, ["hi", "lo"]).filter("owner <> _t")
+    return other.groupBy("_d", "_t").agg(F.array_sort(F.collect_list(F.struct("start", "end", "at", "size", "n", "first_id", "hi", "lo"))).alias("c"))
 
 
 def stretches(texts: DataFrame, id_type: str) -> DataFrame:
@@ -247,7 +267,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     if whole and min_bytes > 0:
         texts = written(texts, "chunks")
         texts = texts.join(extensions(df, id_col, text, texts, most).hint("shuffle_hash"), "_t", "left").withColumn("c", F.expr("""if(more IS NULL, c, array_sort(concat(c, transform(more, m -> named_struct('start', m.start,
-            'end', m.end, 'at', m.at, 'size', m.size, 'n', c[0].n, 'first_id', c[0].first_id, 'hi', cast(null AS bigint), 'lo', cast(null AS bigint), 'owner', cast(null AS bigint))))))"""))
+            'end', m.end, 'at', m.at, 'size', m.size, 'n', c[0].n, 'first_id', c[0].first_id, 'hi', cast(null AS bigint), 'lo', cast(null AS bigint))))))"""))
     out = stretches(texts, dict(df.dtypes)[id_col])
     return out.filter(F.col("bytes") >= min_bytes).select(F.col("_d").alias(id_col), "_t", "start", "end", F.col("chunks").alias("n_chunks"), F.col("bytes").alias("n_bytes"), F.col("first").alias("first_id"), F.col("n").alias("n_copies"))
 
@@ -264,8 +284,8 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", least
     """
     if {"_q_s", "_q_t"} & set(df.columns):
         raise ValueError("columns named _q_s and _q_t are taken")
-    texts = repeated_chunks(distinct_rows(df, id_col, text), id_col, text, least, most).withColumn("c", F.expr("filter(c, x -> x.owner <> _t)"))
-    spans = stretches(texts.filter("size(c) > 0"), dict(df.dtypes)[id_col]).filter(F.col("bytes") >= min_bytes)
+    texts = written(repeated_chunks(distinct_rows(df, id_col, text), id_col, text, least, most), "chunks")
+    spans = stretches(owned_by_others(texts), dict(df.dtypes)[id_col]).filter(F.col("bytes") >= min_bytes)
     spans = written(spans.groupBy(F.col("_t").alias("_q_t")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_q_s")), "spans")
     x = df.withColumn("_q_t", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"))).join(small(spans), "_q_t", "left")
     kept = f"""concat(aggregate(_q_s, named_struct('p', 0, 's', ''), (a, s) -> named_struct('p', s.end, 's', concat(a.s, substring(`{text}`, a.p + 1, s.start - a.p))), a -> a.s),
