@@ -100,9 +100,11 @@ def rejoin(df: DataFrame, id_col: str, narrow: DataFrame, found: DataFrame) -> D
     narrow: a row (id, _q_t) for each row of df. Equal rows are interchangeable, so df counts each once. Texts go through one join: none of them is shuffled if found was
     counted to be small.
     """
-    again = narrow.groupBy(F.col(f"`{id_col}`"), "_q_t").count().filter("count > 1").isEmpty()
+    again = written(narrow.groupBy(F.col(f"`{id_col}`").alias("_q_j"), F.col("_q_t").alias("_q_u")).count().filter("count > 1").select("_q_j", "_q_u"), "again")
     x = df.withColumn("_q_r", row_hash(df))
-    x = x if again else x.dropDuplicates([id_col, "_q_r"])
+    if not again.isEmpty():  # only rows that repeat are shuffled to be one
+        twice = F.col(f"`{id_col}`").eqNullSafe(F.col("_q_j")) & (F.col("_q_r") == F.col("_q_u"))
+        x = x.join(small(again), twice, "left_anti").unionByName(x.join(small(again), twice, "left_semi").dropDuplicates([id_col, "_q_r"]))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("_q_i")) & (F.col("_q_r") == F.col("_q_t"))
     return x.join(small(found), same).drop("_q_i", "_q_r", "_q_t")
 

@@ -112,7 +112,7 @@ def likely(pairs: DataFrame, percent: int, keep: tuple[str, ...] = ()) -> DataFr
     """Pairs (a, b, sa, sb, and the columns `keep`) as (a, b, *keep, live): live if sequential verification leaves the pair.
 
     Batches of the signatures sa and sb are compared one after the other, and a pair leaves at the first look that makes it too unlikely. Null
-    signatures can't be compared and must not come here.
+    signatures can't be compared and must not come here (classes without shingles have none and are in no bucket). Repeated pairs are judged alike; no pairs give no rows.
     """
     looks = least_matches(percent / 100)
     types = dict(pairs.dtypes)
@@ -169,7 +169,7 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
 
     Alternating stars: each node's larger neighbours, then its smaller ones, are tied to the least node that it sees, until all edges form
     stars. That takes rounds in the order of the logarithm of the longest path; least nodes are found by sums made before the shuffle, so a hub's edges
-    are spread over tasks. Nothing is collected.
+    are spread over tasks. Nothing is collected. Repeated edges and loops change nothing, edges with a null end are left out, and without edges there are no rows.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
@@ -212,8 +212,11 @@ def grouped(df: DataFrame, k: int, percent: int, id_col: str, text: str) -> Data
     if roots is None:
         classes = sigs.select("cls", F.col("cls").alias("root"), F.col("first").alias("least"))
     else:
-        rooted = sigs.select("cls", "first").join(roots.select(F.substring("node", 6, 16).alias("cls"), F.substring("root", 6, 16).alias("root")), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
-        classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("cls", "root", "least")
+        rooted = sigs.select("cls", "first").join(roots.select(F.substring("node", 6, 16).alias("cls"), F.substring("root", 6, 16).alias("root")), "cls", "left")
+        rooted = written(rooted, "rooted")
+        linked = rooted.filter("root IS NOT NULL")
+        linked = linked.join(small(linked.groupBy("root").agg(F.min("first").alias("least"))), "root").select("cls", "root", "least")
+        classes = linked.unionByName(rooted.filter("root IS NULL").select("cls", F.col("cls").alias("root"), F.col("first").alias("least")))
     return found.select(id_col, "t", "n_shingles", "cls").join(classes, "cls", "left")
 
 
@@ -296,7 +299,7 @@ def keep_one(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     found = written(grouped(df, k, percent, id_col, text).filter(F.col(id_col).isNotNull() & F.col("root").isNotNull()), "groups")
     best = found.groupBy("root").agg(F.min(F.struct(id_col, "t")).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stays = best.select("root", F.col("b.t").alias("bt"))
-    gone = written(found.join(stays, "root").filter("t <> bt").select(F.col("t").alias("_q_t")).distinct(), "gone")
+    gone = written(found.join(small(stays), "root").filter("t <> bt").select(F.col("t").alias("_q_t")).distinct(), "gone")
     x = df.withColumn("_q_t", F.xxhash64(id_col, text))
     left = x.join(small(gone), "_q_t", "left_anti")
     again = written(found.groupBy("t").count().filter("count > 1").select(F.col("t").alias("_q_t")), "again")

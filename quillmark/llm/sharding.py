@@ -51,7 +51,7 @@ def places(narrow: DataFrame, n_shards: int, id_col: str, seed: str) -> DataFram
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 8) -> None:
-    """Writes interleaved rows as path/shard=<k>/, rows in order of slot inside each file."""
+    """Writes interleaved rows as path/shard=<k>/, rows in order of slot inside each file. Repeated rows and null columns are written as they are; without rows no shard is written."""
     df.repartitionByRange(n_shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
