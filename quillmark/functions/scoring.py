@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SENTENCE_CUT, EMAIL, PHONE, clip, has_pii, n_words, sentences, stripped, token_estimate, words
+from .text import SENTENCE_CUT, EMAIL, PHONE, clip, has_pii, let, n_words, sentences, stripped, token_estimate, words
 
 #: Fixed weights of the trust score; they sum to 1.
 WEIGHTS = {
@@ -251,10 +251,13 @@ def connectivity(text: Column) -> Column:
     cut = F.filter(F.transform(F.split(text, r"[.!?]+(?=\s+[A-Z0-9\"'(\[{]|$)"), stripped), lambda s: s != "")
     sets = F.transform(cut, lambda s: F.array_distinct(words(F.lower(s))))
     empty = F.struct(F.lit(None).cast("array<string>").alias("p"), F.lit(0.0).alias("t"))
-    both = lambda a, x: F.size(F.array_intersect(a["p"], x)) / F.size(F.array_union(a["p"], x))
-    total = F.aggregate(sets, empty, lambda a, x: F.struct(x.alias("p"), (a["t"] + F.coalesce(both(a, x), F.lit(0.0))).alias("t")), lambda a: a["t"])
-    mean = total / (F.size(sets) - 1)
-    return F.when(F.length(stripped(text)) < 50, 0.0).when(F.size(sets) < 2, 1.0).otherwise(mean)
+    both = lambda a, x: let(F.size(F.array_intersect(a["p"], x)), lambda c: c / (F.size(a["p"]) + F.size(x) - c))
+
+    def mean(every: Column) -> Column:
+        total = F.aggregate(every, empty, lambda a, x: F.struct(x.alias("p"), (a["t"] + F.coalesce(both(a, x), F.lit(0.0))).alias("t")), lambda a: a["t"])
+        return F.when(F.size(every) < 2, 1.0).otherwise(total / (F.size(every) - 1))
+
+    return F.when(F.length(stripped(text)) < 50, 0.0).otherwise(let(sets, mean))
 
 
 #: Fixed default patterns of noise: boilerplate, navigation, legal footers. They start on different words, so they don't overlap.
