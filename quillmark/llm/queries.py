@@ -5,6 +5,7 @@ from __future__ import annotations
 from .classifier import op8_quality_classifier
 from .counts import op10_token_counts
 from .decontamination import OP7_SQL, op7_decontamination
+from .divergence import OP11_SQL, op11_source_divergence
 from .mixing import OP5_SQL, op5_mixing
 from .neardup import OP6_SQL, op6_near_duplicates
 from .quality_rules import OP3_SQL, op3_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_training_order": op9_training_order,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
 }
 SQL: dict[str, str] = {
     "op1_sharding": OP1_SQL,
@@ -31,4 +33,5 @@ SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op6_near_duplicates": OP6_SQL,
     "op7_decontamination": OP7_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
