@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .classifier import op8_quality_classifier
+from .collocations import OP12_SQL, op12_phrase_collocations
 from .counts import op10_token_counts
 from .decontamination import OP7_SQL, op7_decontamination
 from .divergence import OP11_SQL, op11_source_divergence
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 SQL: dict[str, str] = {
     "op1_sharding": OP1_SQL,
@@ -34,4 +36,5 @@ SQL: dict[str, str] = {
     "op6_near_duplicates": OP6_SQL,
     "op7_decontamination": OP7_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }
