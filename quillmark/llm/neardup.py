@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,27 +208,29 @@ def grouped(df: DataFrame, k: int, percent: int, id_col: str, text: str) -> Data
     known = found.filter(F.col(id_col).isNotNull() & F.col("cls").isNotNull())
     sigs = known.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(id_col).alias("first"))
     sigs = written(sigs, "classes")  # equal classes have equal signatures, so any row's will do
-    roots = links(df, sigs, k, percent, id_col, text)
-    if roots is None:
-        classes = sigs.select("cls", F.col("cls").alias("root"), F.col("first").alias("least"))
-    else:
-        rooted = sigs.select("cls", "first").join(roots.select(F.substring("node", 6, 16).alias("cls"), F.substring("root", 6, 16).alias("root")), "cls", "left")
-        rooted = written(rooted, "rooted")
-        linked = rooted.filter("root IS NOT NULL")
-        linked = linked.join(small(linked.groupBy("root").agg(F.min("first").alias("least"))), "root").select("cls", "root", "least")
-        classes = linked.unionByName(rooted.filter("root IS NULL").select("cls", F.col("cls").alias("root"), F.col("first").alias("least")))
+    classes = class_groups(sigs, links(df, sigs, k, percent, id_col, text))
     return found.select(id_col, "t", "n_shingles", "cls").join(classes, "cls", "left")
 
 
-def members_of(sigs: DataFrame) -> DataFrame:
-    """key, node, n: a row for each class in each bucket of two or more classes; n is the bucket's size.
+def class_groups(sigs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """cls, root, least of every class (cls, first), from the node and root of those that have links: the class that stands for its group, and the group's least id."""
+    if roots is None:
+        return sigs.select("cls", F.col("cls").alias("root"), F.col("first").alias("least"))
+    rooted = sigs.select("cls", "first").join(roots.select(F.substring("node", 6, 16).alias("cls"), F.substring("root", 6, 16).alias("root")), "cls", "left")
+    rooted = written(rooted, "rooted")
+    linked = rooted.filter("root IS NOT NULL")
+    linked = linked.join(small(linked.groupBy("root").agg(F.min("first").alias("least"))), "root").select("cls", "root", "least")
+    return linked.unionByName(rooted.filter("root IS NULL").select("cls", F.col("cls").alias("root"), F.col("first").alias("least")))
+
+
+def members_of(keys: DataFrame) -> DataFrame:
+    """key, node, n: a row for each class in each bucket of two or more classes; n is the bucket's size. keys: cls, key, once each.
 
     A node is its class's digest behind five bytes that are the lower, the more candidates it has, so the least node is the most central.
     """
-    keys = sigs.select("cls", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     inside = keys.join(shared, "key")
-    many = F.sum("n").over(Window.partitionBy("cls"))  # of 25 rows at most
+    many = F.sum("n").over(Window.partitionBy("cls"))  # the keys of one class
     rank = F.unhex(F.lpad(F.hex(F.lit(1 << 39) - F.least(many, F.lit((1 << 39) - 1))), 10, "0"))
     return inside.select("key", F.concat(rank, F.col("cls")).alias("node"), "n")
 
@@ -238,8 +240,8 @@ def across(family: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     family: lead, node, root, top (the lead's root), w, d, of leads with members in other groups. With s differences from the lead in common, x
     and y share (|x| + |y| - |dx| - |dy|) / 2 + s shingles, so they are linked if s is at least (wx + wy) / 2 (100 + percent), which is over
-    0 for an x that isn't linked to the lead. Differences that one member alone has can't be common. The others are put in order
-    from the rarest on; if s is at least t, the first c - t + 1 of either side's c have one in common, and behind it enough are
+    0 for an x that isn't linked to the lead. Differences that only members of one group have can't be common to two groups, so a second version of a text with
+    all its copies meets nothing. The others are put in order from the rarest on; if s is at least t, the first c - t + 1 of either side's c have one in common, and behind it enough are
     left. So only members meet that strayed from the lead in the same way, however large the family is.
     """
     q = 2 * (100 + percent)
@@ -248,7 +250,7 @@ def across(family: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     x = family.join(small(least), "lead").withColumn("ta", F.when(out, F.expr(f"greatest(1, cast(ceil((w + wm) / {q}) as int))"))).withColumn("tb", F.expr(f"greatest(1, cast(ceil((w + wo) / {q}) as int))"))
     keys = ["lead", "node", "root", "w", "ta", "tb"]
     items = x.filter("size(d) >= least(tb, coalesce(ta, tb))").select(*keys, F.explode(F.transform("d", lambda e: F.xxhash64("lead", e))).alias("g"))
-    often = items.groupBy("g").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    often = items.groupBy("g").agg(F.count(F.lit(1)).alias("f"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("g", "f")
     x = items.join(small(often), "g").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("d"))  # one document's differences
     x = written(x.withColumn("c", F.size("d")).filter("c >= least(tb, coalesce(ta, tb))"), "differences")
     side = lambda t, p: x.filter(f"c >= {t}").select("lead", F.posexplode(F.expr(f"slice(d, 1, c - {t} + 1)")).alias("i", "e"), *[F.col(c) for c in ("node", "root", "w", "c", "ta")]).select(
@@ -259,14 +261,23 @@ def across(family: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return pairs, x
 
 
+def leads_of(members: DataFrame) -> DataFrame:
+    """a, b, n: each member b of a bucket with the bucket's lead a, its least node; n is the size of the largest bucket in which they meet."""
+    lead = members.groupBy("key").agg(F.min("node").alias("a"))
+    return members.join(lead, "key").filter("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max("n").alias("n"))
+
+
 def links(df: DataFrame, sigs: DataFrame, k: int, percent: int, id_col: str, text: str) -> DataFrame | None:
     """node, root of the classes that have links; None without any."""
-    members = written(members_of(sigs), "members")
+    members = written(members_of(sigs.select("cls", F.explode("bands").alias("key"))), "members")
     if members.isEmpty():
         return None
-    lead = members.groupBy("key").agg(F.min("node").alias("a"))
-    pairs = members.join(lead, "key").filter("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max("n").alias("n"))
-    pairs = written(likely(with_signatures(pairs, sigs), percent, ("n",)).filter("live OR n > 2"), "pairs")
+    pairs = written(likely(with_signatures(leads_of(members), sigs), percent, ("n",)).filter("live OR n > 2"), "pairs")
+    return settled(df, sigs, pairs, k, percent, id_col, text, lambda x: likely(with_signatures(x, sigs), percent, ("lead",)).filter("live"))
+
+
+def settled(df: DataFrame, sigs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text: str, sift: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root of the classes that have links, from pairs (a: lead, b, n) of all buckets; sift leaves those pairs (lead, a, b) of members that may be linked."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cls", F.substring("node", 6, 16))
     wanted = written(nodes.join(sigs.select("cls", F.col("first").alias(id_col)), "cls"), "ids")
     texts = df.select(id_col, text).join(small(wanted.select(id_col)), id_col, "left_semi")
@@ -281,9 +292,8 @@ def links(df: DataFrame, sigs: DataFrame, k: int, percent: int, id_col: str, tex
     if open_.isEmpty():
         return roots
     pairs, d = across(x.join(small(open_), "lead"), percent)
-    live = likely(with_signatures(pairs, sigs), percent, ("lead",)).filter("live")
     one = lambda c: d.select("lead", F.col("node").alias(c), F.col("w").alias(f"w{c}"), F.transform("d", lambda e: e["g"]).alias(f"d{c}"))
-    more = live.join(one("a"), ["lead", "a"]).join(one("b"), ["lead", "b"]).filter(F.size(F.array_intersect("da", "db")) * 2 * (100 + percent) >= F.col("wa") + F.col("wb"))
+    more = sift(pairs).join(one("a"), ["lead", "a"]).join(one("b"), ["lead", "b"]).filter(F.size(F.array_intersect("da", "db")) * 2 * (100 + percent) >= F.col("wa") + F.col("wb"))
     more = written(more.select("a", "b"), "links")
     return roots if more.isEmpty() else components(edges.unionByName(more))
 
