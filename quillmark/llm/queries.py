@@ -11,6 +11,7 @@ from .mixing import OP5_SQL, op5_mixing
 from .neardup import OP6_SQL, op6_near_duplicates
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
+from .setjoin import OP13_SQL, op13_jaccard_join
 from .sharding import OP1_SQL, op1_sharding
 from .substrings import op4_substring_dedup
 from .training_order import op9_training_order
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 SQL: dict[str, str] = {
     "op1_sharding": OP1_SQL,
@@ -37,4 +39,5 @@ SQL: dict[str, str] = {
     "op7_decontamination": OP7_SQL,
     "op11_source_divergence": OP11_SQL,
     "op12_phrase_collocations": OP12_SQL,
+    "op13_jaccard_join": OP13_SQL,
 }
