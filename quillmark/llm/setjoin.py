@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, written
+from .common import arrow_map, small, table, written
 from .neardup import _mixed, class_groups, leads_of, members_of, settled, shingles
 
 #: Counters of the shingles' loads, which put them in order from the rarest on.
@@ -108,13 +108,48 @@ def subset_keys(sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(sets, run, "cls binary, key bigint")
 
 
-def candidate_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """cls, key of all sets (cls, n_shingles, rare, scan, items): two sets that may be linked share a key."""
+def candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The small sets (cls, items), and cls, first of the large ones in whose lists other sets were found, from all sets (cls, n_shingles, rare, scan, items, first)."""
     sums = sets.filter(F.col("n_shingles") <= MOST_LIGHT).groupBy("n_shingles").agg(F.count(F.lit(1)), F.sum("scan")).collect()  # a row for each size
     most = boundary([tuple(r) for r in sums], percent)
-    small_ones = sets.filter((F.col("n_shingles") <= most) & F.col("items").isNotNull()).select("cls", "items")
-    lists = sets.filter(100 * F.col("n_shingles") >= percent * (most + 1)).select("cls", F.explode("rare").alias("key"))
-    return subset_keys(small_ones, percent).unionByName(lists).distinct()
+    light = sets.filter((F.col("n_shingles") <= most) & F.col("items").isNotNull()).select("cls", "items")
+    lists = sets.filter(100 * F.col("n_shingles") >= percent * (most + 1)).select("cls", "first", F.explode("rare").alias("key"))
+    shared = written(lists.groupBy("key").count().filter("count > 1").select("key"), "lists")
+    return light, lists.join(small(shared), "key", "left_semi").select("cls", "first").distinct()
+
+
+def size_groups(size: int, percent: int) -> list[tuple[int, int]]:
+    """(group, parts) of the two groups that a set of this size is in.
+
+    Sizes are cut into bands, each as wide as a link allows; group i is for links of a set in band i with one in band i or i + 1. If such sets are linked, they
+    differ in fewer shingles than the group has parts."""
+    band, low, before = 0, 1, None
+    while True:
+        top = 100 * low // percent
+        parts = (100 - percent) * (top + 100 * top // percent) // (100 + percent) + 1
+        if size <= top:
+            return [(band, parts)] + ([before] if before else [])
+        band, low, before = band + 1, top + 1, (band, parts)
+
+
+def part_keys(df: DataFrame, k: int, percent: int, text: str) -> DataFrame:
+    """cls, key of each part of each text's set: the range of hashes is cut into the parts of the set's size groups. Two linked sets have an equal part, as they differ in fewer shingles than there are parts; sets that only share a passage have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()):
+                s = shingles(t.as_buffer().to_pybytes(), k) if t.is_valid else ()
+                if not len(s):
+                    continue
+                own, keys = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s * _P), dtype=np.uint64)]), []
+                for group, parts in size_groups(len(s), percent):
+                    edges = np.searchsorted(s, np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts))
+                    ends = own[np.concatenate([[0], edges, [len(s)]])]
+                    keys.append(_mixed(_mixed(ends[1:] - ends[:-1]) + np.arange(parts, dtype=np.uint64) * _P + np.uint64(group)))
+                got = np.concatenate(keys)
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes())] * len(got), pa.binary()), pa.array(got.view(np.int64))], ["cls", "key"])
+
+    return arrow_map(df.select(F.col(text).cast("string")), run, "cls binary, key bigint")
 
 
 def with_sizes(pairs: DataFrame, sets: DataFrame, percent: int, keep: tuple[str, ...]) -> DataFrame:
@@ -146,8 +181,9 @@ def joined(df: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id",
 
     Two sets are linked if 100 x shared >= percent x all of their shingles. Equal sets are one class. Up to a size that is chosen by cost (`boundary`), all subsets of the sizes that a
     link needs are enumerated, and two linked sets have one in common. Larger sets, and small ones that may be linked with them, are in the inverted lists of their rarest shingles: as
-    many that two linked sets must share one. Rareness comes from a fixed number of counters over all sets; any order gives the same links. A list's lead is compared with its members, and members left in other groups by
-    their differences from the lead (`neardup.across`). All candidates are confirmed on whole sets, so groups are those of an exact join over 64-bit shingle hashes.
+    many that two linked sets must share one. Rareness comes from a fixed number of counters over all sets; any order gives the same links. Lists also hold texts that only share a passage, so
+    their sets meet on equal parts (`part_keys`), which linked sets must have too. Then a bucket's lead is compared with its members, and members left in other groups by
+    their differences from the lead (`neardup.across`). All are confirmed on whole sets, so groups are those of an exact join over 64-bit shingle hashes.
 
     Nulls: null and empty texts have no shingles and stay by themselves, n_equal null; a null id stays by itself, with component_id null. Rows that repeat an id are
     judged by their own text. An empty table gives an empty result. Columns of df other than the id and the text have no effect.
@@ -159,7 +195,10 @@ def joined(df: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id",
     same = ["n_shingles", "rare", "scan", "odd", "items"]
     sets = known.groupBy("cls").agg(*[F.first(c).alias(c) for c in same], F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n_equal"))
     sets = written(sets, "classes")
-    members = written(members_of(candidate_keys(sets, percent)), "members")
+    light, large = candidates(sets, percent)
+    texts = df.select(id_col, text).join(small(written(large.select(F.col("first").alias(id_col)), "ids")), id_col, "left_semi")
+    keys = written(subset_keys(light, percent).unionByName(part_keys(texts, k, percent, text)), "keys")
+    members = written(members_of(keys), "members")
     roots = None
     if not members.isEmpty():
         pairs = written(with_sizes(leads_of(members), sets, percent, ("n",)).filter("live OR n > 2"), "pairs")
