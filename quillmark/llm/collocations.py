@@ -41,33 +41,51 @@ def frequent_bits(level: DataFrame, most: int = BITS) -> Broadcast:
     most / 64 of them reach the driver."""
     n = level.count()
     bits = min(most, max(1 << 16, 1 << (32 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_hash(lang, phrase.split(b" ")) for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(got, np.uint64).view(np.int64))], ["h"])
+
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
-    rows = level.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("m")).toArrow()
+    rows = arrow_map(level.select("lang", "phrase"), run, "h bigint").groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("m")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[rows["w"].to_numpy()] = rows["m"].to_numpy()
     return level.sparkSession.sparkContext.broadcast(out)
 
 
+def _hash(lang: str, words: list[bytes]) -> int:
+    """The hash of one phrase, as `_counted` makes it for all places of a text."""
+    seed = xxhash.xxh3_64_intdigest(lang.encode())
+    h = np.array([xxhash.xxh3_64_intdigest(words[0], seed)], np.uint64)
+    for w in words[1:]:
+        h = _mixed(h * _P + np.uint64(xxhash.xxh3_64_intdigest(w, seed)))
+    return int(h[0])
+
+
 def _is_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h & np.uint64(len(bits) * 64 - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _counted(lang: str, text: bytes, k: int, bits: np.ndarray | None) -> pa.RecordBatch:
-    """lang, phrase, h, n of the phrases of k words in texts with breaks; with bits, of those whose first and last k - 1 words are in it. Words are numbers inside a batch, so counts don't rest on hashes."""
+    """lang, phrase, n of the phrases of k words in texts with breaks; with bits, of those whose first and last k - 1 words are in it. Words are numbers inside a batch, so counts don't rest on hashes."""
     words = pa.array(text.split() + [_BREAK], pa.binary()).dictionary_encode()
     ids, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in names), np.uint64, len(names))[ids]
     end = names.index(_BREAK)
-    h, at = own, ids != end
-    for j in range(1, k):
-        if j == k - 1 and bits is not None:  # both phrases of k - 1 words
-            known = _is_set(bits, h) & at
-            at = known[:-1] & known[1:]
-        else:
+    at = ids != end
+    if bits is not None:
+        seed = xxhash.xxh3_64_intdigest(lang.encode())
+        own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in names), np.uint64, len(names))[ids]
+        h = own
+        for j in range(1, k - 1):
+            at, h = at[:-1] & (ids[j:] != end), _mixed(h[:-1] * _P + own[j:])
+        known = _is_set(bits, h) & at  # phrases of k - 1 words; two of them make one of k
+        at = known[:-1] & known[1:]
+        del own, h, known
+    else:
+        for j in range(1, k):
             at = at[:-1] & (ids[j:] != end)
-        h = _mixed(h[:-1] * _P + own[j:])
     at = np.flatnonzero(at)
     code = ids[at]
     for j in range(1, k):
@@ -76,14 +94,12 @@ def _counted(lang: str, text: bytes, k: int, bits: np.ndarray | None) -> pa.Reco
     at = at[first]
     phrases = [b" ".join(p) for p in zip(*([names[i] for i in ids[at + j]] for j in range(k)), strict=True)]
     if k == 1:  # the words of a language stand under an empty phrase
-        phrases, h, n = [*phrases, b""], np.append(h[at], np.uint64(0)), np.append(n, n.sum())
-    else:
-        h = h[at]
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["lang", "phrase", "h", "n"])
+        phrases, n = [*phrases, b""], np.append(n, n.sum())
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
 
 def phrase_counts(df: DataFrame, k: int, frequent: Broadcast | None = None, most: int = 4 << 20) -> DataFrame:
-    """lang, phrase, h, f of the phrases of k words in all texts of df (lang, text; none null); with `frequent`, of those whose overlapping parts are frequent. The empty phrase of level 1 stands for all words.
+    """lang, phrase, f of the phrases of k words in all texts of df (lang, text; none null); with `frequent`, of those whose overlapping parts are frequent. The empty phrase of level 1 stands for all words.
 
     Sums are made over some `most` bytes of a language at a time, then by task, then shuffled. Long texts are cut between pieces."""
 
@@ -107,12 +123,12 @@ def phrase_counts(df: DataFrame, k: int, frequent: Broadcast | None = None, most
         for x, texts in held.items():
             yield _counted(x, (b" " + _BREAK + b" ").join(texts), k, bits)
 
-    found = arrow_map(df.select("lang", "text"), run, "lang string, phrase binary, h bigint, n bigint")
-    return found.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("f")).withColumn("phrase", F.col("phrase").cast("string"))
+    found = arrow_map(df.select("lang", "text"), run, "lang string, phrase binary, n bigint")
+    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def levels(df: DataFrame, least: int, longest: int, bits: int) -> tuple[DataFrame, list[DataFrame]]:
-    """n of each lang, and the tables of frequent phrases (lang, phrase, h, f) of 1 to `longest` words. A pass over the texts makes each level from the bits of the one before."""
+    """n of each lang, and the tables of frequent phrases (lang, phrase, f) of 1 to `longest` words. A pass over the texts makes each level from the bits of the one before."""
     found = [written(phrase_counts(df, 1).filter(f"f >= {least} OR phrase = ''"), "level1")]
     total = found[0].filter("phrase = ''").select("lang", F.col("f").alias("n"))
     found[0] = found[0].filter("phrase <> ''")
