@@ -9,6 +9,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import catalog as A
 from ..operators import evaluation as E
+from ..operators import lifecycle as L
 from ..operators import models as M
 from ..operators import search as SE
 from ..session import table, workspace
@@ -364,3 +365,22 @@ def archived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = A.archive(e, "ts", last, 7, path, ["event_type"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
     old = spark.read.schema(e.schema).parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("archived"))
     return old.join(left, "event_type", "full_outer").select("event_type", F.coalesce("archived", F.lit(0)).cast("bigint").alias("archived"), F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept"))
+
+
+@query()
+def section_chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as paged files: a page for each turn, a heading for each role; their chunk records with all provenance that isn't a text."""
+    turns = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    page = F.concat(F.lit("=== PAGE "), (F.col("turn") + 1).cast("string"), F.lit(" ===\n"), F.upper("role"), F.lit(" MESSAGE\n"), F.col("text"))
+    files = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", page.alias("page")))), lambda p: p["page"]), "\n").alias("text"))  # one conversation's turns
+    x = L.chunk_records(files, "conv_id", max_tokens=60, overlap=40, least=20, product="chat", at="2024-01-01T00:00:00Z")
+    return x.select("chunk_id", "doc_id", "page", "section", "section_index", "section_confidence", "chunk_index", "chunk_of", "raw_start", "raw_end", "whole", "token_est", "cleaned_text_hash", "source_checksum", "audience", "index_scope", "doc_scope", "field_scope")
+
+
+@query()
+def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the chunk records of documents: chunks, tokens, share of the raw text that they cover, and mean confidence, by language and section."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    x = L.chunk_records(docs.select("doc_id", "text"), "doc_id", max_tokens=200, overlap=100)
+    x = x.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "section")
+    return x.agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_est").cast("bigint").alias("tokens"), F.sum(F.col("whole").cast("bigint")).alias("whole"), F.sum(F.col("raw_end") - F.col("raw_start")).alias("raw_chars"), F.round(F.avg("section_confidence"), 6).alias("confidence"))

@@ -59,7 +59,7 @@ _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[ \t
 
 
 def _repaired(c: str) -> str:
-    for bad, good in [("Â" + s, s) for s in T.LATIN_SIGNS] + list(T.MOJIBAKE):
+    for bad, good in [*T.LATIN_SIGNS, *T.MOJIBAKE]:
         c = f"replace({c}, '{bad}', '{good.replace(chr(39), chr(39) * 2)}')"
     return c
 
