@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import ivf as IV
 from ..operators import search as S
 from ..operators import vectors as V
-from ..session import table
+from ..session import table, workspace
 from .registry import query
 from .text_queries import L, NW, R, STRIP, docs
 
@@ -257,3 +258,15 @@ def score_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("source", F.when(F.col("doc_id") % 2 == 0, ".json").otherwise(""))
     s = d.filter("doc_id % 3 = 0").select(name.alias("file"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("section"), (F.col("n_chars") / 1000.0).alias("score"))
     return S.score_cascade(d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), F.col("lang").alias("section")), s)
+
+
+@query()
+def approximate_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 20 by an index of all vectors, and beside each query's rows the share of the true ten (`nearest`) among them."""
+    e = table(spark, sf_dir, "embeddings")
+    where = workspace(spark, "ivf")
+    IV.build(e, where, dim=64)
+    asked = e.filter("vec_id % 20 = 0")
+    found = IV.search(spark, where, asked, 10, probes=IV.probes_for(spark, where, asked, 10))
+    hits = nearest(spark, sf_dir).select("query_id", "id").join(found.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id").agg((F.count(F.lit(1)) / 10).alias("recall"))
+    return found.join(hits, "query_id", "left").select("query_id", "rank", "id", F.round("score", 6).alias("score"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
