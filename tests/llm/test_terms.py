@@ -95,8 +95,8 @@ def test_collocations_against_sql(spark):
 
 
 def test_collocations_of_odd_rows(spark, nasty, none):
-    got = collocations.collocations(nasty, least=2).withColumn("rank", collocations.F.col("rank").cast("long"))
-    assert rows(got) == sql(collocations.OP12_SQL, plain(nasty), least=(">= 30", ">= 2")) and len(rows(got)) == 11
+    got = rows(collocations.collocations(nasty, least=2).withColumn("rank", collocations.F.col("rank").cast("long")))
+    assert got == sql(collocations.OP12_SQL, plain(nasty), least=(">= 30", ">= 2")) and len(got) == 11
     assert collocations.collocations(none).count() == 0
 
 
