@@ -122,3 +122,37 @@ def quality(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     n = F.col("vectors")
     vqs = (F.col("same_dim") * 0.4 + (n - F.col("bad")) * 0.3 + F.col("non_zero") * 0.3) / n
     return g.select(F.col("usual").alias("dim"), "vectors", "same_dim", "bad", "non_zero", "outliers", F.round("median", 6).alias("median_norm"), F.round("mean", 6).alias("mean_norm"), F.round("sd", 6).alias("sd_norm"), F.round(vqs, 6).alias("quality"))
+
+
+def readiness(attempts: DataFrame, vec: str, expected_dim: int, fallback: str | None = None, requests: int = 0, errors: int = 0, fallback_mode: bool = False) -> DataFrame:
+    """One row: per cent of dimensions that agree, of attempts that gave a vector, quality of vectors, health of the model, and readiness for semantic search.
+
+    attempts: a row for each text that was to be embedded; vec is null or empty where no vector came, the boolean column fallback is true where a substitute was taken. requests and errors count calls of the model.
+    Health of norms is one less the share of norms over three deviations from the median, 1 if there are fewer than two or all are equal; consistency falls with their coefficient of variation, to 0 at 0.75.
+    A model that ran on fallback altogether has health 0. An empty table gives zeros but for the model's share that no attempt can lower.
+    """
+    v = F.col(vec)
+    given = F.coalesce(F.size(v) > 0, F.lit(False))
+    broken = F.exists(v, lambda e: F.isnan(e) | e.isNull() | (F.abs(e) == float("inf")))
+    x = attempts.select(given.alias("given"), F.size(v).alias("dim"), (given & broken).alias("bad"), (given & F.exists(v, lambda e: e != 0)).alias("some"), F.when(given, norm(v)).alias("norm"), (F.coalesce(F.col(fallback), F.lit(False)) if fallback else F.lit(False)).alias("fb"))
+    x = x.withColumn("norm", F.when(~F.col("bad") & (F.col("norm") > 0), F.col("norm")))
+    stats = x.agg(F.stddev_pop("norm").alias("sd"), F.avg("norm").alias("mean")).withColumn("median", middle(x.filter("norm IS NOT NULL"), "norm"))
+    far = F.abs(F.col("norm") - F.col("median")) > F.col("sd") * 3
+    n = lambda c: F.count_if(c)
+    g = x.join(F.broadcast(stats), F.lit(True)).agg(  # one row
+        F.count(F.lit(1)).alias("attempted"), n(F.col("given")).alias("produced"), n(F.col("given") & (F.col("dim") != expected_dim)).alias("mismatched"), n(F.col("given") & ~F.col("bad")).alias("valid"),
+        n(F.coalesce(F.col("some"), F.lit(False))).alias("non_zero"), n(F.col("fb")).alias("substitutes"), F.count("norm").alias("norms"), n(far).alias("outliers"), F.max("sd").alias("sd"), F.max("mean").alias("mean"),
+    )
+    share = lambda c, none=0.0: F.when(F.col("attempted") > 0, F.col(c) / F.col("attempted")).otherwise(F.lit(none))
+    most = lambda c: F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
+    cents = lambda c: F.round(c + 1e-9, 2)
+    steady = F.col("norms") > 1
+    g = g.withColumn("norm_health", F.when(steady & (F.col("sd") > 0), 1 - F.col("outliers") / F.col("norms")).otherwise(F.lit(1.0)))
+    g = g.withColumn("consistency", F.when(steady, 1 - F.least(F.lit(1.0), F.coalesce(F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0)), F.lit(0.0)) / 0.75)).otherwise(F.lit(1.0)))
+    g = g.withColumn("dims", F.when(F.col("attempted") > 0, 100 - share("mismatched") * 100).otherwise(F.lit(0.0))).withColumn("success", share("produced") * 100)
+    g = g.withColumn("vqs", cents(most((share("valid") * 0.4 + share("non_zero") * 0.3 + F.col("norm_health") * 0.3) * 100)))
+    calls = 1 - min(1.0, errors / requests if requests else 0.0)
+    health = F.lit(0.3 * calls) + (1 - share("substitutes", float(fallback_mode))) * 0.25 + (1 - share("mismatched")) * 0.2 + F.col("norm_health") * 0.15 + F.col("consistency") * 0.1
+    g = g.withColumn("health", F.lit(0.0) if fallback_mode else most(health * 100))
+    ready = most(F.col("dims") * 0.25 + F.col("vqs") * 0.35 + F.col("health") * 0.25 + F.col("success") * 0.15)
+    return g.select("attempted", "produced", "mismatched", "substitutes", "outliers", cents(F.col("dims")).alias("dimension_consistency"), cents(F.col("success")).alias("success_rate"), F.col("vqs").alias("vector_quality"), cents(F.col("health")).alias("model_health"), cents(ready).alias("semantic_readiness"))

@@ -1,4 +1,4 @@
-"""Playbooks, layered settings with a trace, and rules that turn a fingerprint into advice."""
+"""Playbooks and layered settings with a trace."""
 
 from __future__ import annotations
 
@@ -85,42 +85,3 @@ def resolve(run: dict | None = None, resolved: dict | None = None, manual: dict
 def confident(confidence: Column, gap: Column, least: float = 0.7) -> Column:
     """A detection counts from `least`, or from 0.55 with a gap of 0.10 to the next."""
     return (confidence >= least) | ((confidence >= 0.55) & (gap >= 0.10))
-
-
-#: Advice: metric, bound below which it is given, what to change.
-ADVICE = (
-    ("ai_trust", 0.6, "review_pipeline"), ("secure", 0.9, "enable_pii_redaction"), ("metadata_completeness", 0.8, "enrich_metadata"), ("kb_ready", 0.5, "increase_chunk_size"),
-    ("chunk_size_health", 0.7, "adjust_chunk_size"), ("parse_success", 0.9, "enable_ocr"), ("completeness", 0.8, "collect_more_text"), ("chunk_boundary_quality", 0.8, "increase_overlap"),
-)
-
-
-def advice(columns: list[str]) -> Column:
-    """Array of {metric, action, shortfall} for the metrics among columns that are under their bound, worst first."""
-    each = [F.when(F.col(m) < b, F.struct((F.col(m) - b).alias("shortfall"), F.lit(m).alias("metric"), F.lit(a).alias("action"))) for m, b, a in ADVICE if m in columns]
-    return F.array_sort(F.array_compact(F.array(*each)))
-
-
-def apply_advice(settings: dict, action: str, percent: float = 0.5, least_overlap: int = 100, all_at_once: bool = False) -> dict:
-    """Settings after one piece of advice; an overlap stays within 0.9 of the size, and within 400 if all advice is taken at once."""
-    s = dict(settings)
-    if action == "increase_overlap":
-        top = min(0.9 * s["chunk_size"], 400 if all_at_once else float("inf"))
-        s["chunk_overlap"] = int(min(max(least_overlap, s["chunk_overlap"] * (1 + percent)), top))
-    elif action in ("increase_chunk_size", "adjust_chunk_size"):
-        s["chunk_size"] = int(min(s["max_chunk_size"], s["chunk_size"] * 1.25))
-    else:
-        s[action] = True
-    return s
-
-
-#: Causes of a failed gate and what helps.
-CAUSES = {
-    "groundedness_min": ("answers_not_supported", "raise top_k or rerank"), "context_relevance_min": ("weak_retrieval", "improve chunking or the embedding"), "answer_relevance_min": ("answers_off_topic", "tighten the prompt"),
-    "citation_coverage_min": ("missing_citations", "ask for citations"), "refusal_correctness_min": ("wrong_refusals", "review access and the prompt"), "hallucination_rate_max": ("unsupported_claims", "require evidence"), "acl_leakage_max": ("access_leak", "fix filters"),
-}
-
-
-def causes(gate: Column) -> Column:
-    """struct(cause, remedy) of a failed gate."""
-    m = F.create_map(*[x for k, (a, b) in CAUSES.items() for x in (F.lit(k), F.struct(F.lit(a).alias("cause"), F.lit(b).alias("remedy")))])
-    return F.try_element_at(m, gate)

@@ -16,7 +16,6 @@ from ..session import table, workspace
 from ..sources import collections as CO
 from ..sources import files as FI
 from ..sources import runs as R
-from . import config as C
 from .corpus_queries import conversation_duplicate_score
 from .registry import SQL, query
 from .score_queries import _CS
@@ -280,37 +279,6 @@ def exported_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("chunks bigint, vectors bigint, version string").json(f"{path}/manifest")
 
 
-_SETUP = ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]}, {v[3]}, '{v[4]}')" for k, v in C.SETUPS.items())
-_BOOKS = ", ".join(f"('{p.name}')" for p in C.PLAYBOOKS.values())
-
-
-@query(
-    f"""SELECT p.name AS playbook, k.kind, CASE WHEN p.name = 'TECH' THEN 300 ELSE size END AS chunk_size, least(CASE WHEN k.kind = 'code' THEN 5000 ELSE overlap END, CASE WHEN p.name = 'TECH' THEN 300 ELSE size END - 1) AS chunk_overlap,
-  CASE WHEN k.kind = 'legal' THEN 'fixed_size' ELSE strategy END AS strategy, CASE WHEN p.name = 'TECH' THEN 'manual' ELSE 'content_type' END AS size_from,
-  CASE WHEN CASE WHEN k.kind = 'code' THEN 5000 ELSE overlap END >= CASE WHEN p.name = 'TECH' THEN 300 ELSE size END THEN 'guard' WHEN k.kind = 'code' THEN 'run' ELSE 'content_type' END AS overlap_from
-FROM (VALUES {_BOOKS}) AS p(name), (VALUES {_SETUP}) AS k(kind, size, overlap, least_size, most_size, strategy)"""
-)
-def resolved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings of each playbook with each kind of content, and the layers they come from: TECH has a manual size, code a run's overlap, and legal was found with low confidence."""
-    rows = []
-    for p in C.PLAYBOOKS:
-        for k in C.SETUPS:
-            s, t = C.resolve(run={"chunk_overlap": 5000} if k == "code" else None, manual={"chunk_size": 300} if p == "TECH" else None, kind=k, playbook_name=p, confidence=0.1 if k == "legal" else 1.0)
-            rows.append((p, k, s["chunk_size"], s["chunk_overlap"], s["strategy"], t["chunk_size"], t["chunk_overlap"]))
-    return spark.createDataFrame(rows, "playbook string, kind string, chunk_size int, chunk_overlap int, strategy string, size_from string, overlap_from string")
-
-
-_CAUSES = ", ".join(f"('{g}', '{a}', '{b}')" for g, (a, b) in C.CAUSES.items())
-
-
-@query(f"SELECT conv_id, m.gate, cause, remedy FROM (SELECT conv_id, list_extract({[*E.GATES, 'none']}, (conv_id % 8 + 1)::INT) AS gate FROM conversations GROUP BY conv_id) m LEFT JOIN (VALUES {_CAUSES}) AS c(gate, cause, remedy) USING (gate)")
-def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What may have caused a failed gate and what helps; ids stand for the gates that failed."""
-    gates = F.array(*[F.lit(g) for g in (*E.GATES, "none")])
-    x = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("gate", F.element_at(gates, (F.col("conv_id") % 8 + 1).cast("int")))
-    return x.withColumn("c", C.causes(F.col("gate"))).select("conv_id", "gate", "c.cause", "c.remedy")
-
-
 @query(
     """SELECT url, filename, md5(html) AS html_md5 FROM (SELECT url, html, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '_') || '.html' AS filename FROM pages ORDER BY page_id LIMIT 50)"""
 )

@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from ..functions import scoring as S
 from ..functions import text as T
 from ..session import table
-from .config import ADVICE, advice
 from .registry import query
 from .text_queries import _LINES, _ODD, _PII, L, NW, R, STRIP, W, docs
 
@@ -348,13 +347,3 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = scored(spark, sf_dir).select(F.col("ai_trust").alias("t"), S.secure(t).alias("secure"), S.kb_ready(t, F.col("w")).alias("kb"))
     g = x.groupBy(F.when(F.col("t") >= 0.7, "AI-Ready").otherwise("Non-AI Ready").alias("category"))
     return g.agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("secure"), 6).alias("secure"), F.round(F.avg("kb"), 6).alias("kb_ready"), S.rounded(F.avg("t")).alias("trust"))
-
-
-_ADV = ", ".join(f"CASE WHEN {m} < {b} THEN {{'shortfall': round({m} - {b}, 6), 'metric': '{m}', 'action': '{a}'}} END" for m, b, a in ADVICE if m in ("ai_trust", "secure", "kb_ready", *S.WEIGHTS))
-
-
-@query(f"SELECT source, list_transform(list_sort(list_filter([{_ADV}], lambda x: x IS NOT NULL)), lambda x: x.action) AS actions FROM ({_FP.replace('{key}', 'source')})")
-def advice_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to change for each source, the worst shortfall first."""
-    fp = fingerprint(spark, sf_dir, "source")
-    return fp.select("source", F.transform(F.array_sort(F.transform(advice(fp.columns), lambda a: F.struct(F.round(a["shortfall"], 6).alias("shortfall"), a["metric"].alias("metric"), a["action"].alias("action")))), lambda a: a["action"]).alias("actions"))
