@@ -262,7 +262,7 @@ def imported_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lpad(vec_id::VARCHAR, 9, '0') AS point_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id > 10 ORDER BY vec_id LIMIT 25")
 def collection_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points put into a collection, a third of them again with another label, found by the alias and read as a page; the limit is the page's."""
-    store = CO.Collections(spark, workspace(spark, "collections"))
+    store = CO.Collections(spark, workspace(spark, "collections"), buckets=8)
     name = CO.collection("Work Space", "Some product", 1)
     x = table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("point_id"), "label", "embedding", F.col("vec_id").alias("n"))
     store.upsert(name, x)

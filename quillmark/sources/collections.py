@@ -1,14 +1,13 @@
-"""Collections of vectors as partitioned tables: names, aliases, upserts, pages."""
+"""Collections of vectors as tables merged when read: names, aliases, upserts, pages."""
 
 from __future__ import annotations
 
 import re
-import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .merge import MergeTable
 
 
 def sanitized(name: str) -> str:
@@ -27,8 +26,8 @@ def alias(workspace: str, name: str) -> str:
 class Collections:
     """Vector tables under one path: a folder per collection, and a small table of aliases. A point is (point_id, embedding, payload columns)."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _fs(self, p: str):  # noqa: ANN202
         jvm = self.spark.sparkContext._jvm
@@ -37,16 +36,14 @@ class Collections:
 
     def names(self) -> list[str]:
         x, fs = self._fs(self.path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(x) if s.isDirectory() and s.getPath().getName().startswith("ws_") and self._last(s.getPath().getName())) if fs.exists(x) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(x) if s.isDirectory() and s.getPath().getName().startswith("ws_") and self.of(s.getPath().getName()).versions()) if fs.exists(x) else []
 
-    def _last(self, name: str) -> str | None:
-        """The folder of a collection's newest whole state: each upsert writes a state of its own, which counts once it has Spark's success mark."""
-        x, fs = self._fs(f"{self.path}/{name}/state-*/_SUCCESS")
-        found = sorted(s.getPath().getParent().getName() for s in fs.globStatus(x) or [])
-        return f"{self.path}/{name}/{found[-1]}" if found else None
+    def of(self, name: str) -> MergeTable:
+        """The table behind a collection: its versions, compaction and vacuum."""
+        return MergeTable(self.spark, f"{self.path}/{name}", "point_id", self.buckets)
 
-    def points(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._last(name) or f"{self.path}/{name}")
+    def points(self, name: str, version: int | None = None) -> DataFrame:
+        return self.of(name).read(version)
 
     def ensure(self, name: str, dim: int) -> None:
         """Drops a collection whose vectors have other dimensions; the next upsert makes it anew."""
@@ -59,16 +56,13 @@ class Collections:
         x, fs = self._fs(f"{self.path}/{name}")
         fs.delete(x, True)
 
-    def upsert(self, name: str, points: DataFrame, order: str | None = None) -> None:
-        """Last write wins by point_id. The new state is written beside the old one, which is deleted only when the new one is whole; a crash leaves the old one."""
-        new = points.withColumn("_w", F.lit(1))
-        old = self._last(name)
-        both = new if old is None else new.unionByName(self.points(name).withColumn("_w", F.lit(0)), allowMissingColumns=True)
-        w = Window.partitionBy("point_id").orderBy(F.desc("_w"), *([F.desc(order)] if order else []))
-        both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_w").write.parquet(f"{self.path}/{name}/state-{time.time_ns():020d}-{uuid.uuid4().hex}")
-        if old:
-            x, fs = self._fs(old)
-            fs.delete(x, True)
+    def upsert(self, name: str, points: DataFrame, order: str | None = None) -> int:
+        """Last write wins by point_id. Only the batch is written; a crash leaves the version before."""
+        return self.of(name).upsert(points, order)
+
+    def remove(self, name: str, ids: DataFrame) -> int | None:
+        """Takes the points of a table of point_id out."""
+        return self.of(name).delete(ids)
 
     def info(self, name: str) -> dict:
         r = self.points(name).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
