@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_count, key60, refuse, rejoin, row_hash, running, starts, stratum, table, written
+from .common import key60, refuse, rejoin, row_hash, running, stratum, table, written
 
 SEED = "shard-1"
 
@@ -16,11 +16,11 @@ def interleave(df: DataFrame, n_shards: int = 8, by: str = "source", id_col: str
 
     Rows are shuffled by a seeded MD5 of the id and ranked inside their stratum; rank r of n gets the fraction
     (2r + 1) / 2n; all rows are put in order of the fraction, then stratum, and cut into n_shards parts whose counts are at most
-    one apart. So every part holds its share of each stratum, to within a row. Both orders are made by `running`'s buckets:
-    a stratum with a third of all rows is never in one task, and the fractions are uniform by themselves. Places are found for narrow rows, and all
+    one apart. So every part holds its share of each stratum, to within a row. Ranks are made by `running`'s buckets and the order of
+    all rows by ranges, so no stratum or fraction is in one task. Places are found for narrow rows, and all
     columns are joined to them once.
 
-    Nulls: a null stratum is a stratum of its own, sorted last; a null id is ranked as ''. Repeated ids, and rows that are equal in
+    Nulls: a null stratum is a stratum of its own, sorted last; a row without an id is ranked by a hash of its columns. Repeated ids, and rows that are equal in
     everything, are rows like any other (ordered by a hash of all columns, so only equal rows can change places). An empty table gives an
     empty result. Columns of df named like shard or slot are replaced; those that start with _q_ are refused.
     """
@@ -32,22 +32,26 @@ def interleave(df: DataFrame, n_shards: int = 8, by: str = "source", id_col: str
 
 
 def places(narrow: DataFrame, n_shards: int, id_col: str, seed: str) -> DataFrame:
-    """shard and slot of each row of narrow: id, _q_s (the stratum's key), _q_t (which tells rows of one id apart), and columns that are kept."""
+    """shard and slot of each row of narrow: id, _q_s (the stratum's key), _q_t (which tells rows of one id apart), and columns that are kept.
+
+    Rows without an id are shuffled by _q_t, so many of them don't share a key. The order of all rows is one sort by ranges of (fraction, stratum, rank), which no two rows
+    share: neither a large stratum nor many small ones, whose fractions are equal, fill a range. A row's place is its place in its range behind the rows of the ranges before.
+    """
     n = narrow.count()
-    x = narrow.withColumn("_q_k", key60(seed, F.col(f"`{id_col}`")))
-    ranked = running(x, ["_q_s"], "_q_k", [F.col(f"`{id_col}`"), F.col("_q_t")], n)
-    parts = bucket_count(n)
+    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("#"), F.col("_q_t").cast("string")))
+    ranked = running(narrow.withColumn("_q_k", key60(seed, name)), ["_q_s"], "_q_k", [F.col(f"`{id_col}`"), F.col("_q_t")], n)
     fraction = (2 * F.col("_rank") + 1) / (F.lit(2.0) * F.col("_n"))
-    part = F.least(F.floor(fraction * parts), F.lit(parts - 1))
-    # The ranks of a stratum of n rows are 0 to n - 1, so the rows of each part are counted without the rows themselves.
-    ranks = starts(x, ["_q_s"], "_q_k", n).select("_n", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_c") - 1)).alias("_rank"))
-    counts = ranks.groupBy(part.alias("_q_b")).agg(F.count(F.lit(1)).alias("_q_c"))
-    firsts = counts.select("_q_b", F.coalesce(F.sum("_q_c").over(Window.orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q_start"))
-    order = Window.partitionBy("_q_b").orderBy("_q_f", "_q_s", "_rank")
-    placed = ranked.withColumn("_q_f", fraction).withColumn("_q_b", part).join(firsts, "_q_b").withColumn("_q_p", F.col("_q_start") + F.row_number().over(order) - 1)
+    kept = [F.col(f"`{c}`") for c in narrow.columns]
+    sorted_rows = ranked.withColumn("_q_f", fraction).orderBy("_q_f", "_q_s", "_rank").select(*kept, F.monotonically_increasing_id().alias("_q_m"))
+    # Numbers within ranges are only final once the sorted rows are stored.
+    x = written(sorted_rows, "sorted").withColumn("_q_b", F.shiftright("_q_m", 33))
+    # One row for each range, of which there are as many as shuffle partitions.
+    before = Window.orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = x.groupBy("_q_b").agg(F.count(F.lit(1)).alias("_q_c")).select("_q_b", F.coalesce(F.sum("_q_c").over(before), F.lit(0)).alias("_q_start"))
+    placed = x.join(F.broadcast(firsts), "_q_b").withColumn("_q_p", F.col("_q_start") + F.col("_q_m").bitwiseAND(F.lit((1 << 33) - 1)))
     placed = placed.withColumn("shard", F.expr(f"cast(_q_p * {n_shards} div {max(n, 1)} as int)"))
     slot = F.expr(f"_q_p - (cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}")
-    return placed.withColumn("slot", slot).select(*[F.col(f"`{c}`") for c in narrow.columns], "shard", "slot")
+    return placed.withColumn("slot", slot).select(*kept, "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 8) -> None:

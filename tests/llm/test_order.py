@@ -61,6 +61,31 @@ def test_sharding_of_odd_rows(nasty, none):
     assert sharding.interleave(none).count() == 0
 
 
+@pytest.mark.parametrize("of", [lambda i: f"s{i}", lambda i: f"s{i // 2}" if i < 2000 else "hot"])
+def test_many_small_strata(spark, of):
+    """A stratum for each row, or pairs beside a large one, with a third of the ids missing: the order is that of a plain model."""
+    rows = [(None if i % 3 == 0 else i, of(i), i) for i in range(3000)]
+    out = sharding.places(spark.createDataFrame(rows, "doc_id bigint, s string, _q_t bigint").withColumn("_q_s", F.concat(F.lit("0"), "s")).drop("s"), 8, "doc_id", "x").collect()
+    strata = defaultdict(list)
+    for d, s, t in rows:
+        strata["0" + s].append((k60("x", d if d is not None else f"#{t}"), d is not None, d or 0, t))
+    order = sorted(((2 * r + 1) / (2.0 * len(v)), s, r, x[3]) for s, v in strata.items() for r, x in enumerate(sorted(v)))
+    first = [-(-k * len(rows) // 8) for k in range(8)]
+    assert {r["_q_t"]: (r.shard, r.slot) for r in out} == {t: (p * 8 // len(rows), p - first[p * 8 // len(rows)]) for p, (_, _, _, t) in enumerate(order)}
+
+
+def test_no_range_holds_all_small_strata(spark):
+    """Rows of equal fractions are sorted in many ranges: none holds more than twice its share."""
+    x = spark.range(40000).select(F.col("id").alias("doc_id"), F.concat(F.lit("0"), F.col("id").cast("string")).alias("_q_s"), F.col("id").alias("_q_t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = sharding.places(x, 8, "doc_id", "x").inputFiles()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [pq.read_metadata(f.removeprefix("file://")).num_rows for f in files]
+    assert sum(sizes) == 40000 and len(sizes) == 4 and max(sizes) <= 20000
+
+
 def test_written_shards_are_in_order(spark, tmp_path):
     sharding.write_shards(sharding.interleave(spark.read.parquet(f"{DATA}/documents.parquet")), str(tmp_path / "s"))
     files = sorted((tmp_path / "s").glob("shard=*/*.parquet"))
