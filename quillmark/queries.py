@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog_queries, corpus_queries, label_queries, more_queries, rule_queries, run_queries, score_queries, search_queries, text_queries  # noqa: F401  they register themselves
+from .plans import catalog_queries, corpus_queries, label_queries, lexical_queries, more_queries, rule_queries, run_queries, score_queries, search_queries, text_queries  # noqa: F401  they register themselves
 from .plans.registry import QUERIES, SQL
 
 
