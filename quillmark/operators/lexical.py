@@ -18,6 +18,8 @@ TERM = r"[\p{L}\p{N}]+"
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 #: Postings, at most, that the first bound of a query is taken from, if its rarest term has no more.
 LEAD = 1000
+#: Terms of a change for each task and file of a bucket, about.
+PART = 4_000_000
 #: Largest side, in narrow rows, that is broadcast after it was counted.
 FEW = 200_000
 
@@ -41,15 +43,15 @@ class Lexical:
 
     path/postings/segment=<change>/bucket=<b>/ holds a row for each term and text of one change: doc, h (the text's hash), len, tf, positions; b is a hash of the term, so a search reads the buckets of its
     terms only. path/log has the texts of each change, and path/docs, merged when read, says which text of a document counts. It is committed last, so a change that didn't end is never seen; a text that
-    was replaced or removed leaves dead postings, which are kept out by an anti-join against the (few) texts that are in the log and don't count. A term in a third of all texts is spread over
-    `spread` tasks and files a bucket.
+    was replaced or removed leaves dead postings, which are kept out by an anti-join against the (few) texts that are in the log and don't count. A change of few terms writes one
+    file a bucket, and a term in a third of all texts of a large one is spread over up to `spread` tasks and files.
 
     Rows without an id are left out, as nothing can be found by them. Texts without terms count in the number and mean length of texts. Of several texts of an id in one change that of the greatest hash counts.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, spread: int = 16) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, spread: int = 256) -> None:
         self.spark, self.path, self.buckets, self.spread = spark, path.rstrip("/"), buckets, spread
-        self.docs = MergeTable(spark, f"{self.path}/docs", "doc")
+        self.docs = MergeTable(spark, f"{self.path}/docs", "doc", buckets)
 
     # Changes.
 
@@ -61,13 +63,15 @@ class Lexical:
         made = f"s{uuid.uuid4().hex}"
         x = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("t"))
         x = x.select("doc", F.xxhash64(T.text_of("t")).alias("h"), terms(F.col("t")).alias("w")).withColumn("len", F.size("w"))
-        at = x.select("doc", "h", "len", F.posexplode("w").alias("pos", "term")).withColumns({"bucket": self._bucket(), "part": F.pmod(F.xxhash64("doc"), F.lit(self.spread))})
+        x.select("doc", "h", "len", F.lit(made).alias("segment")).write.parquet(f"{self.path}/log/{made}")
+        log = self.spark.read.parquet(f"{self.path}/log/{made}")
+        parts = min(self.spread, 1 + (log.agg(F.sum("len")).first()[0] or 0) // (PART * self.buckets))
+        at = x.select("doc", "h", "len", F.posexplode("w").alias("pos", "term")).withColumns({"bucket": self._bucket(), "part": F.pmod(F.xxhash64("doc"), F.lit(parts))})
         # Equal rows of an id give each position twice, and a set holds it once.
         each = at.repartition("bucket", "part").groupBy("bucket", "part", "term", "doc", "h", "len").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
         each = each.select("bucket", "term", "doc", "h", "len", F.size("positions").alias("tf"), "positions")
         each.sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={made}")
-        x.select("doc", "h", "len", F.lit(made).alias("segment")).write.parquet(f"{self.path}/log/{made}")
-        self.docs.upsert(self.spark.read.parquet(f"{self.path}/log/{made}"), order="h")
+        self.docs.upsert(log, order="h")
 
     def remove(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Takes texts out by id; unknown ids do nothing."""

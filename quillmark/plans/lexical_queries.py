@@ -15,7 +15,7 @@ _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 def indexed(spark: SparkSession, sf_dir: str) -> Lexical:
     """An index of all documents, put in as two changes: those of odd ids first, then all of them, so that half of the first postings are dead."""
     docs = table(spark, sf_dir, "documents")
-    index = Lexical(spark, workspace(spark, "lexical"))
+    index = Lexical(spark, workspace(spark, "lexical"), buckets=16)
     index.add(docs.filter("doc_id % 2 = 1").withColumn("text", F.reverse("text")))
     index.add(docs)
     return index

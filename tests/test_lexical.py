@@ -45,9 +45,8 @@ def corpus(seed, n, words=60):
     return {i: " ".join(f"w{min(words, int(r.paretovariate(0.6)))}" for _ in range(r.randint(0, 80))) for i in range(n)}
 
 
-@pytest.mark.parametrize("lead", [1, 1000])
-def test_search_across_changes(spark, monkeypatch, lead):
-    monkeypatch.setattr(lexical, "LEAD", lead)
+def test_search_across_changes(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "PART", 1000)  # several tasks a bucket
     index = lexical.Lexical(spark, workspace(spark, "lexical-test"), buckets=4, spread=2)
     asked = [(1, "w1 w40 w7"), (2, "w2 w3 w4 w5 w50, W1!"), (3, "w1"), (4, "never seen"), (5, ""), (6, None), (7, "w60 w59 w1 w2 w1")]
     texts = corpus(1, 150)
@@ -58,6 +57,7 @@ def test_search_across_changes(spark, monkeypatch, lead):
     texts |= new
     index.remove(spark.createDataFrame([(3,), (130,), (9999,)], "doc_id long"))
     del texts[3], texts[130]
+    monkeypatch.setattr(lexical, "LEAD", 1)  # the bound comes from one term
     assert got(index, spark, asked, 5) == ranked(texts, asked, 5)
     index.add(spark.createDataFrame([(3, "w40 w40 w7")], SCHEMA))
     texts[3] = "w40 w40 w7"
