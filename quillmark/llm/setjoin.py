@@ -99,7 +99,7 @@ def subset_keys(sets: DataFrame, percent: int) -> DataFrame:
                 s = items.values.to_numpy().view(np.uint64)
                 keys = []
                 for o in subset_sizes(len(s), percent):
-                    out = np.array(list(itertools.combinations(range(len(s)), len(s) - o)), np.int64).reshape(-1, len(s) - o)  # what is left out
+                    out = np.array(list(itertools.combinations(range(len(s)), len(s) - o)), np.int64).reshape(math.comb(len(s), o), len(s) - o)  # what is left out, which may be nothing
                     own = _mixed(s * _P + np.uint64(o))
                     keys.append(_mixed(own.sum(dtype=np.uint64) - own[out].sum(axis=1, dtype=np.uint64) + np.uint64(o)))
                 got = np.concatenate(keys) if keys else np.empty(0, np.uint64)

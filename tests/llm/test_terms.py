@@ -171,6 +171,23 @@ def test_keys_of_linked_sets_meet():
                     assert setjoin.overlap(x, y, 90) in set(setjoin.subset_sizes(x, 90)) & set(setjoin.subset_sizes(y, 90))
 
 
+def test_subsets_that_leave_nothing_out(spark):
+    """Sets of 9 are linked with those of 10 that hold all of them."""
+    sets = [(bytes([n]), list(range(n))) for n in range(1, 33)]
+    keys = {(bytes(r.cls), r.key) for r in setjoin.subset_keys(spark.createDataFrame(sets, "cls binary, items array<bigint>"), 90).collect()}
+    of = lambda n: {k for c, k in keys if c == bytes([n])}
+    assert not of(8) and of(9) & of(10) and not of(9) & of(12)
+    assert all(of(n) & of(n + 1) for n in range(9, 32))
+
+
+def test_small_sets_join_by_their_subsets(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "boundary", lambda *_: setjoin.MOST_LIGHT)
+    w = [f"w{i}" for i in range(12)]
+    docs = list(enumerate([" ".join(w[:11]), " ".join(w), "other " + " ".join(w[:11]), " ".join(w[:10])]))
+    got = {r.doc_id: r.component_id for r in setjoin.joined(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(4)] == linked([t for _, t in docs], 3, 90)
+
+
 def test_boundary_follows_cost():
     assert setjoin.boundary([(12, 10, 10**9), (25, 10, 10**9)], 90) >= 25
     assert setjoin.boundary([(12, 10, 10**9), (31, 10**6, 10)], 90) in range(12, 31)
