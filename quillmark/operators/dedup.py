@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,24 +65,81 @@ def line_repetition(text: Column, least: int = 3) -> Column:
     return T.let(lines, share)
 
 
-def char_shingles(text: Column, n: int = 5) -> Column:
-    """Distinct n-grams of characters of the squeezed, lower-cased text."""
-    return F.array_distinct(F.regexp_extract_all(T.squeezed(F.lower(text)), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+#: Distinct chunks and characters of a document that are compared in one go, about. A document with more is cut to blocks.
+BLOCK_CHUNKS, BLOCK_CHARS = 512, 1 << 20
+
+
+def _shared(texts: list[list[str]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct n-grams of characters each chunk (a list of texts) has, and how many each two of them share."""
+    flat = [t for ts in texts for t in ts]
+    lens = np.array([len(t) for t in flat], np.int64)
+    chunk = np.repeat(np.repeat(np.arange(len(texts)), [len(ts) for ts in texts]), lens)
+    left = np.repeat(np.cumsum(lens), lens) - np.arange(lens.sum())  # characters up to the text's end
+    at = np.flatnonzero(left >= n)
+    if not len(at):
+        return np.zeros(len(texts), np.int64), np.zeros((len(texts), len(texts)))
+    char = np.unique(np.frombuffer("".join(flat).encode("utf-32-le"), np.uint32), return_inverse=True)[1]
+    base = int(char.max()) + 1
+    gram, top = char[at], base
+    for j in range(1, n):
+        if top * base >= 1 << 62:  # ranks stand for longer beginnings, so that equal numbers are equal n-grams
+            gram = np.unique(gram, return_inverse=True)[1]
+            top = int(gram.max()) + 1
+        gram, top = gram * base + char[at + j], top * base
+    both = np.unique(np.unique(gram, return_inverse=True)[1] * len(texts) + chunk[at])
+    gram, chunk = both // len(texts), both % len(texts)
+    sizes = np.bincount(chunk, minlength=len(texts))
+    often = np.bincount(gram) > 1
+    chunk, gram = chunk[often[gram]], (np.cumsum(often) - 1)[gram[often[gram]]]
+    common, step = np.zeros((len(texts), len(texts))), 4096
+    for lo in range(0, int(often.sum()), step):
+        a, b = np.searchsorted(gram, [lo, lo + step])
+        has = np.zeros((len(texts), min(step, int(often.sum()) - lo)), np.float32)
+        has[chunk[a:b], gram[a:b] - lo] = 1
+        common += has @ has.T
+    return sizes, common
+
+
+def _similarity(batches: Iterator[pa.RecordBatch], n: int = 5) -> Iterator[pa.RecordBatch]:
+    """key and the Jaccard similarities, summed over the pairs of chunks in it, of each row (key, lo, hi, chunks): pairs of one block if lo = hi, else of both."""
+    for b in batches:
+        sums = []
+        for lo, hi, chunks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            rows = chunks.as_py()
+            sizes, common = _shared([r["t"] for r in rows], n)
+            w = np.array([r["w"] for r in rows], float) * (sizes > 0)
+            both = np.maximum(sizes[:, None] + sizes - common, 1)
+            block = np.array([r["block"] for r in rows])
+            pairs = np.triu(common / both * w[:, None] * w, 1)
+            sums.append(float(pairs.sum() + (w * (w - 1) / 2).sum()) if lo == hi else float(pairs[block[:, None] != block].sum()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.float64())], [b.schema.names[0], "t"])
 
 
 def duplicate_score(chunks: DataFrame, key: str, index: str = "chunk_index", text: str = "text") -> DataFrame:
     """key, n_chunks, pairs, overlap, repetition, score (0 to 100) of each document's chunks.
 
-    The mean Jaccard similarity over all pairs of a document's chunks is found from shared shingles: each shingle gives its pairs once, so chunks
-    that share nothing are never compared, and pairs without a shared shingle add 0.
+    The mean Jaccard similarity of distinct 5-grams of characters, over all pairs of a document's chunks. Its texts meet by one shuffle, equal ones as one with their number, and what
+    pairs share is a product of matrices. The pairs of a document of many chunks are spread over tasks by blocks, so none of them holds more than two blocks. Rows that
+    repeat an index are one chunk in pairs and count as often as they are there; those without a key or an index have nothing in common with others.
     """
-    x = chunks.select(key, index, char_shingles(F.col(text)).alias("s"), line_repetition(F.col(text)).alias("r"))
-    x = x.withColumn("size", F.size("s"))
-    ex = x.select(key, index, "size", F.explode("s").alias("g"))
-    both = ex.alias("a").join(ex.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.g") == F.col("b.g")) & (F.col(f"a.{index}") < F.col(f"b.{index}")))
-    shared = both.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{index}").alias("i"), F.col(f"b.{index}").alias("j"), F.col("a.size").alias("m"), F.col("b.size").alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    jac = shared.groupBy(key).agg(F.sum(F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("t"))
-    per = x.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("size") > 0).alias("k"), F.avg("r").alias("repetition"))
-    y = per.join(jac, key, "left").withColumn("pairs", F.expr("k * (k - 1) div 2")).withColumn("overlap", F.when(F.col("pairs") > 0, F.coalesce("t", F.lit(0.0)) / F.col("pairs")).otherwise(0.0))
+    conf = chunks.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    known = F.col(key).isNotNull() & F.col(index).isNotNull()
+    each = chunks.groupBy(key, index).agg(F.collect_list(F.col(text)).alias("a"), F.count(F.lit(1)).alias("c"))  # one chunk's rows, which are seldom more than one
+    each = each.withColumn("r", F.when(known, line_repetition(F.array_join("a", "\n"))).otherwise(0.0)).withColumn("a", F.sort_array(F.array_distinct(F.transform("a", lambda t: T.squeezed(F.lower(t))))))
+    per = each.select(key, "c", F.when(known & F.exists("a", lambda t: F.length(t) >= 5), F.col("c")).otherwise(0).alias("k"), (F.col("r") * F.col("c")).alias("r"), F.lit(0.0).alias("t"))
+
+    once = each.filter(known).groupBy(key, "a").agg(F.count(F.lit(1)).alias("w"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CHUNKS), F.ceil(F.sum(F.length(F.array_join("a", ""))) / BLOCK_CHARS)).cast("int")
+    large = once.groupBy(key).agg(blocks.alias("blocks")).filter("blocks > 1")
+    x = once.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.groupBy(key, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("block", F.col("a").alias("t"), "w")).alias("chunks"))
+    sums = x.mapInArrow(_similarity, f"`{key}` {dict(x.dtypes)[key]}, t double")
+
+    y = per.unionByName(sums.select(key, F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("r"), "t"))
+    y = y.groupBy(key).agg(F.sum("c").alias("n_chunks"), F.sum("k").alias("k"), F.sum("r").alias("r"), F.sum("t").alias("t")).withColumn("repetition", F.col("r") / F.col("n_chunks"))
+    y = y.withColumn("pairs", F.expr("k * (k - 1) div 2")).withColumn("overlap", F.when(F.col("pairs") > 0, F.col("t") / F.col("pairs")).otherwise(0.0))
     score = F.when(F.col("n_chunks") < 2, 100.0).otherwise(F.round(F.greatest(F.lit(0.0), (1 - (F.col("overlap") * 0.7 + F.col("repetition") * 0.3)) * 100), 2))
     return y.select(key, "n_chunks", "pairs", F.round("overlap", 6).alias("overlap"), F.round("repetition", 6).alias("repetition"), score.alias("score"))

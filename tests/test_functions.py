@@ -230,3 +230,33 @@ def test_duplicate_scores(spark):
     df = spark.createDataFrame(rows, "doc bigint, chunk_index int, text string")
     got = {r.doc: r.score for r in D.duplicate_score(df, "doc").collect()}
     assert got == {1: 30.0, 2: 100.0, 3: 100.0}
+
+
+def grams(t):
+    t = " ".join(t.lower().split())
+    return {t[i : i + 5] for i in range(len(t) - 4)}
+
+
+def test_duplicate_scores_by_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "é😀ü", "x", *[chr(0x4E00 + 7 * i) for i in range(400)]]
+    rows = [(d, i, " ".join(rng.choice(words) for _ in range(rng.choice((0, 1, 5, 30))))) for d, n in ((1, 40), (2, 3), (3, 1)) for i in range(n)]
+    rows += [(1, 100 + i, "again the same text") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc bigint, chunk_index int, text string")
+    want = {}
+    for d in (1, 2, 3):
+        sets = [g for k, _, t in rows if k == d and (g := grams(t))]
+        pairs = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+        want[d] = (sum(k == d for k, *_ in rows), len(pairs), round(sum(pairs) / max(1, len(pairs)), 6))
+    for chunks in (512, 7):  # all of a document at once, and in blocks
+        monkeypatch.setattr(D, "BLOCK_CHUNKS", chunks)
+        assert {r.doc: (r.n_chunks, r.pairs, r.overlap) for r in D.duplicate_score(df, "doc").collect()} == want
+
+
+def test_duplicate_scores_join_no_shingles(spark):
+    """The small size of a compressed table doesn't bring its shingles to the driver."""
+    df = spark.createDataFrame([(1, 0, "the same text"), (1, 1, None), (None, 0, "the same text"), (None, 1, "the same text"), (2, 0, "one index"), (2, 0, "twice here")], "doc bigint, chunk_index int, text string")
+    x = D.duplicate_score(df.withColumn("text", T.text_of("text")), "doc")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "LeftOuter" in plan  # the one with documents of many blocks
+    assert {r.doc: (r.n_chunks, r.pairs, r.overlap) for r in x.collect()} == {1: (2, 0, 0.0), None: (2, 0, 0.0), 2: (2, 1, 0.0)}
