@@ -205,7 +205,7 @@ def conversation_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     m = c.agg(F.count(F.lit(1)).alias("chunks"), S.rounded(1 - F.avg(T.ends_mid_sentence(t).cast("int"))).alias("chunk_boundary_quality"), S.rounded(F.avg(S.rounded(S.connectivity(t)))).alias("chunk_coherence"))
     exact = c.groupBy("conv_id", F.md5(t).alias("h")).agg(F.count(F.lit(1)).alias("n")).groupBy("conv_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"))
-    both = exact.join(conversation_duplicate_score(spark, sf_dir).select("conv_id", "score"), "conv_id")
+    both = exact.join(conversation_duplicate_score(spark, sf_dir).select("conv_id", "score").hint("merge"), "conv_id")  # a row for each document, not for the driver
     u = F.when(F.col("n") < 2, 1.0).otherwise(T.clip(F.col("u") * 0.7 / F.col("n") + F.col("score") * 0.3 / 100))
     g = both.agg(F.count(F.lit(1)).alias("documents"), S.rounded(F.avg(u)).alias("uniqueness"))
     return m.join(g, F.lit(True)).withColumn("duplicate_ratio", F.round(1 - F.col("uniqueness"), 4))
