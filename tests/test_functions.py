@@ -260,3 +260,8 @@ def test_duplicate_scores_join_no_shingles(spark):
     plan = x._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "LeftOuter" in plan  # the one with documents of many blocks
     assert {r.doc: (r.n_chunks, r.pairs, r.overlap) for r in x.collect()} == {1: (2, 0, 0.0), None: (2, 0, 0.0), 2: (2, 1, 0.0)}
+
+
+def test_metadata_by_ascii_words(spark):
+    got = one(spark, "é2024-01-02 _1/2/20 日v1.2 ver\u017Fion 2.3.1 by:\x0bNo One By: Karl \u212Aurz Augu\u017Ft 4, 2020 May\x0b3, 2021 1/2/2020é", T.metadata)
+    assert (got.dates, got.versions, got.author) == (["1/2/2020", "Augu\u017Ft", "2024-01-02"], ["1.2", "2.3.1"], "Karl \u212Aurz Augu\u017Ft")
