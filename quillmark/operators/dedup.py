@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import arrow_map
 
 
 def exact_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
@@ -122,9 +123,6 @@ def duplicate_score(chunks: DataFrame, key: str, index: str = "chunk_index", tex
     pairs share is a product of matrices. The pairs of a document of many chunks are spread over tasks by blocks, so none of them holds more than two blocks. Rows that
     repeat an index are one chunk in pairs and count as often as they are there; those without a key or an index have nothing in common with others.
     """
-    conf = chunks.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     known = F.col(key).isNotNull() & F.col(index).isNotNull()
     each = chunks.groupBy(key, index).agg(F.collect_list(F.col(text)).alias("a"), F.count(F.lit(1)).alias("c"))  # one chunk's rows, which are seldom more than one
     each = each.withColumn("r", F.when(known, line_repetition(F.array_join("a", "\n"))).otherwise(0.0)).withColumn("a", F.sort_array(F.array_distinct(F.transform("a", lambda t: T.squeezed(F.lower(t))))))
@@ -136,7 +134,7 @@ def duplicate_score(chunks: DataFrame, key: str, index: str = "chunk_index", tex
     x = once.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.groupBy(key, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("block", F.col("a").alias("t"), "w")).alias("chunks"))
-    sums = x.mapInArrow(_similarity, f"`{key}` {dict(x.dtypes)[key]}, t double")
+    sums = arrow_map(x, _similarity, f"`{key}` {dict(x.dtypes)[key]}, t double")
 
     y = per.unionByName(sums.select(key, F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("r"), "t"))
     y = y.groupBy(key).agg(F.sum("c").alias("n_chunks"), F.sum("k").alias("k"), F.sum("r").alias("r"), F.sum("t").alias("t")).withColumn("repetition", F.col("r") / F.col("n_chunks"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import arrow_map, workspace
 from ..sources.merge import MergeTable
 
 #: A term is a run of letters and digits of any script, in lower case.
@@ -22,6 +26,8 @@ LEAD = 1000
 PART = 4_000_000
 #: Largest side, in narrow rows, that is broadcast after it was counted.
 FEW = 200_000
+#: Postings for each task that sums them, about.
+SUMMED = 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -29,6 +35,24 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(T.text_of(text)), F.lit(TERM), F.lit(0))
 
 
+def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, h, len, term, tf, positions of each term of each text, from its terms in order: doc, h, len, w."""
+    for b in batches:
+        flat, lens = b.column(3).flatten(), b.column(3).value_lengths().to_numpy()
+        if not len(flat):
+            continue
+        coded = flat.dictionary_encode()
+        row, pos = np.repeat(np.arange(b.num_rows), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+        key = row * len(coded.dictionary) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        ends = np.append(first, len(flat)).astype(np.int32)
+        one = order[first]
+        positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[order].astype(np.int32)))
+        made = [*(c.take(pa.array(row[one])) for c in b.columns[:3]), flat.take(pa.array(one)), pa.array(np.diff(ends)), positions]
+        yield pa.RecordBatch.from_arrays(made, [*b.schema.names[:3], "term", "tf", "positions"])
+
+
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
@@ -66,10 +90,13 @@ class Lexical:
         x.select("doc", "h", "len", F.lit(made).alias("segment")).write.parquet(f"{self.path}/log/{made}")
         log = self.spark.read.parquet(f"{self.path}/log/{made}")
         parts = min(self.spread, 1 + (log.agg(F.sum("len")).first()[0] or 0) // (PART * self.buckets))
-        at = x.select("doc", "h", "len", F.posexplode("w").alias("pos", "term")).withColumns({"bucket": self._bucket(), "part": F.pmod(F.xxhash64("doc"), F.lit(parts))})
-        # Equal rows of an id give each position twice, and a set holds it once.
-        each = at.repartition("bucket", "part").groupBy("bucket", "part", "term", "doc", "h", "len").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
-        each = each.select("bucket", "term", "doc", "h", "len", F.size("positions").alias("tf"), "positions")
+        # Equal rows of an id are one; only they are shuffled for that.
+        again = log.groupBy("doc", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc", "h")
+        if not again.isEmpty():
+            again = _few(again)
+            x = x.join(again, ["doc", "h"], "left_anti").unionByName(x.join(again, ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"]))
+        each = arrow_map(x.select("doc", "h", "len", "w"), _by_term, f"doc {dict(x.dtypes)['doc']}, h long, len int, term string, tf int, positions array<int>")
+        each = each.withColumn("bucket", self._bucket()).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(parts))).select("bucket", "term", "doc", "h", "len", "tf", "positions")
         each.sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={made}")
         self.docs.upsert(log, order="h")
 
@@ -80,7 +107,7 @@ class Lexical:
     # Reading.
 
     def _postings(self, asked: DataFrame, *more: str) -> DataFrame:
-        """The living postings of the terms asked for: term, doc, len, tf."""
+        """The living postings of the terms asked for: term, doc, len, tf. They are written once, as each reader would else look for the dead ones anew."""
         live = self.docs.read()
         kind = live.schema["doc"].dataType.simpleString()
         whole = StructType.fromDDL(f"term string, doc {kind}, h long, len int, tf int, positions array<int>, segment string, bucket int")
@@ -88,14 +115,17 @@ class Lexical:
         dead = self.spark.read.schema(live.schema).parquet(f"{self.path}/log/*").join(live, ["doc", "h", "segment"], "left_anti").select("doc", "h", "segment").distinct()
         wanted = asked.select("term").distinct().withColumn("bucket", self._bucket())
         x = every.select("bucket", "term", "doc", "h", "segment", "len", "tf", *more).join(_few(wanted), ["bucket", "term"], "left_semi")
-        return x.join(_few(dead), ["doc", "h", "segment"], "left_anti").select("term", "doc", "len", "tf", *more)
+        x = x.join(_few(dead), ["doc", "h", "segment"], "left_anti").select("term", "doc", "len", "tf", *more)
+        path = workspace(self.spark, "postings")
+        x.write.parquet(path)
+        return self.spark.read.schema(x.schema).parquet(path)
 
     def search(self, queries: DataFrame, k: int = 10, id_col: str = "query_id", text: str = "query") -> DataFrame:
         """query_id, rank, doc, score (long, in UNIT): the k texts of the highest BM25 score of each query, each of its terms once; a query without known terms has none.
 
-        The k-th best sum over a query's rarest terms is a bound that the k-th best score can't be under. Its terms are put in order of the most that they can give, and those at the low
-        end that can't reach the bound together are only looked up for texts that hold another term of the query. So the long lists of common terms are filtered before they
-        are summed, and no text is lost: equal scores stay in.
+        The k-th best sum over a query's rarest terms is a bound that the k-th best score can't be under. Its terms are put in order of the most that they can give, and a text that only holds
+        those at the low end, which can't reach the bound together, isn't ranked. Postings are shuffled once, by text, so that all sums of a text are made in one task and only each task's
+        best are put together. No text is lost: equal scores stay in.
         """
         n, mean = self.docs.read().agg(F.count(F.lit(1)), F.avg("len")).first()
         mean = float(mean or 0) or 1.0
@@ -112,19 +142,28 @@ class Lexical:
         first = post.join(_few(qt.filter("lead")), "term").groupBy("query_id", "doc").agg(F.sum(gain).alias("score"))
         reach = _first(first, k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("c")).filter(F.col("c") == k).select("query_id", "floor")
         qt = qt.join(reach, "query_id", "left").withColumn("needed", F.col("below") >= F.coalesce("floor", F.lit(0))).select("query_id", "term", "idf", "needed")
-        sums = lambda x: x.groupBy("query_id", "doc").agg(F.sum(gain).alias("score"))
-        found = sums(post.join(_few(qt.filter("needed")), "term"))
-        rest = post.join(_few(qt.filter("NOT needed")), "term").join(found.select("query_id", "doc"), ["query_id", "doc"], "left_semi")
-        whole = found.unionByName(sums(rest)).groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
+        by_text = post.repartition(1 + post.count() // SUMMED, "doc").join(_few(qt), "term")
+        whole = by_text.groupBy("query_id", "doc").agg(F.sum(gain).alias("score"), F.bool_or("needed").alias("needed")).filter("needed").select("query_id", "doc", "score")
         return _first(whole, k).select("query_id", "rank", "doc", "score")
 
     def phrases(self, queries: DataFrame, id_col: str = "query_id", text: str = "query") -> DataFrame:
-        """query_id, doc, hits (long): the texts that hold all terms of a query side by side, in its order, and at how many places. A query without terms is nowhere."""
+        """query_id, doc, hits (long): the texts that hold all terms of a query side by side, in its order, and at how many places. A query without terms is nowhere.
+
+        Its rarest term says where it may start; the others are only looked up in those texts.
+        """
         q = queries.select(F.col(f"`{id_col}`").alias("query_id"), terms(F.col(f"`{text}`")).alias("w"))
-        q = q.select("query_id", F.size("w").alias("n"), F.posexplode("w").alias("at", "term")).distinct()
-        x = self._postings(q, "positions").join(_few(q), "term").select("query_id", "doc", "n", F.explode("positions").alias("p"), "at")
-        whole = x.groupBy("query_id", "doc", "n", (F.col("p") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("c")).filter("c = n")
-        return whole.groupBy("query_id", "doc").agg(F.count(F.lit(1)).alias("hits"))
+        q = q.select("query_id", "w", F.size("w").alias("n"), F.posexplode("w").alias("at", "term")).distinct()
+        post = self._postings(q, "positions")
+        often = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        rare = Window.partitionBy("query_id", "w").orderBy(F.coalesce("df", F.lit(0)), "at")  # the terms of one query
+        q = q.join(often, "term", "left").withColumn("lead", F.row_number().over(rare) == 1)
+        start = lambda p: F.transform(p, lambda x: x - F.col("at"))
+        found = post.join(_few(q.filter("lead").select("query_id", "w", "n", "at", "term")), "term").select("query_id", "w", "n", "doc", F.col("at").alias("lead"), start(F.col("positions")).alias("starts"))
+        rest = found.select("query_id", "w", "n", "doc", "lead", "starts", F.posexplode("w").alias("at", "term")).filter("at <> lead").drop("lead")
+        rest = post.select("term", "doc", "positions").join(_few(rest), ["term", "doc"]).select("query_id", "w", "n", "doc", F.array_intersect("starts", start(F.col("positions"))).alias("starts"))
+        x = found.drop("lead").unionByName(rest).select("query_id", "w", "n", "doc", F.explode("starts").alias("start"))
+        whole = x.groupBy("query_id", "w", "n", "doc", "start").agg(F.count(F.lit(1)).alias("c")).filter("c = n")
+        return whole.groupBy("query_id", "doc").agg(F.count_distinct("w", "start").alias("hits"))
 
 
 def fuse(rankings: list[DataFrame], k: int = 10, damp: int = 60) -> DataFrame:

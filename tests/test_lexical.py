@@ -104,6 +104,38 @@ def test_phrases(spark):
     assert {(r.query_id, r.doc): r.hits for r in rows} == want
 
 
+def test_phrases_start_at_their_rarest_term(spark):
+    """A common term is only looked up where the rarest one is, so its many places don't meet each query."""
+    index = lexical.Lexical(spark, workspace(spark, "lexical-rare"), buckets=2, spread=2)
+    texts = {i: "the " * 300 + f"the x{i} the y the" for i in range(40)}
+    index.add(spark.createDataFrame(list(texts.items()), SCHEMA))
+    asked = [(i, f"the x{i} the y the") for i in range(0, 40, 2)] + [(None, "x7 the y"), (100, "y x7"), (101, "unseen the")]
+    hits = index.phrases(spark.createDataFrame(asked, "query_id long, query string"))
+    assert {(r.query_id, r.doc, r.hits) for r in hits.collect()} == {(i, i, 1) for i in range(0, 40, 2)} | {(None, 7, 1)}
+    plan, most = hits._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            node = node.plan()
+        if node.nodeName() in ("Generate", "BroadcastHashJoin", "SortMergeJoin") and node.metrics().contains("numOutputRows"):
+            most.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    hits._jdf.queryExecution().executedPlan().executeCollect()
+    walk(plan)
+    assert most and max(most) < 2000  # all places of "the" for all queries would be over 200,000
+
+
+def test_search_shuffles_postings_once(spark):
+    index = lexical.Lexical(spark, workspace(spark, "lexical-once"), buckets=2, spread=2)
+    index.add(spark.createDataFrame(list(corpus(4, 60).items()), SCHEMA))
+    plan = index.search(spark.createDataFrame([(1, "w1 w2 w30"), (2, "w3")], "query_id long, query string"))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("REPARTITION_BY_NUM") == 1  # dead ones are left out before, and sums are made where a text's postings are
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 9)], "query_id int, rank int, doc int")
     b = spark.createDataFrame([(1, 1, 12), (1, 2, 13), (3, 1, 5)], "query_id int, rank int, doc int")
