@@ -10,7 +10,7 @@ from ..operators import chunking as C
 from ..operators import dedup as D
 from ..session import table
 from .registry import query
-from .text_queries import NW, STRIP, docs
+from .text_queries import NW, STRIP, dealt_docs, docs
 
 
 @query("SELECT count(*)::BIGINT AS total, count(DISTINCT text)::BIGINT AS distinct_texts, round(1 - count(DISTINCT text)::DOUBLE / count(*), 6) AS duplicate_rate FROM documents")
@@ -50,7 +50,7 @@ SELECT doc_id, md5(string_agg(word, ' ' ORDER BY i)) AS text_md5, count(*) AS wo
 )
 def repeated_ngrams_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the words that start a four-word sequence seen before, if it occurs three times."""
-    x = D.without_repeated_ngrams(docs(spark, sf_dir), "doc_id")
+    x = D.without_repeated_ngrams(dealt_docs(spark, sf_dir), "doc_id")
     return x.select("doc_id", F.md5("text").alias("text_md5"), F.size(F.split("text", " ")).cast("bigint").alias("words"))
 
 

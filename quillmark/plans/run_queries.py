@@ -12,7 +12,7 @@ from ..operators import evaluation as E
 from ..operators import lifecycle as L
 from ..operators import models as M
 from ..operators import search as SE
-from ..session import table, workspace
+from ..session import spread, table, workspace
 from ..sources import collections as CO
 from ..sources import files as FI
 from ..sources import runs as R
@@ -349,6 +349,6 @@ def section_chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the chunk records of documents: chunks, tokens, share of the raw text that they cover, and mean confidence, by language and section."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    x = L.chunk_records(docs.select("doc_id", "text"), "doc_id", max_tokens=200, overlap=100)
+    x = L.chunk_records(spread(docs.select("doc_id", "text"), "doc_id", "text"), "doc_id", max_tokens=200, overlap=100)
     x = x.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "section")
     return x.agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_est").cast("bigint").alias("tokens"), F.sum(F.col("whole").cast("bigint")).alias("whole"), F.sum(F.col("raw_end") - F.col("raw_start")).alias("raw_chars"), F.round(F.avg("section_confidence"), 6).alias("confidence"))

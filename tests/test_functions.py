@@ -265,3 +265,12 @@ def test_duplicate_scores_join_no_shingles(spark):
 def test_metadata_by_ascii_words(spark):
     got = one(spark, "é2024-01-02 _1/2/20 日v1.2 ver\u017Fion 2.3.1 by:\x0bNo One By: Karl \u212Aurz Augu\u017Ft 4, 2020 May\x0b3, 2021 1/2/2020é", T.metadata)
     assert (got.dates, got.versions, got.author) == (["1/2/2020", "Augu\u017Ft", "2024-01-02"], ["1.2", "2.3.1"], "Karl \u212Aurz Augu\u017Ft")
+
+
+def test_long_work_is_dealt_over_all_cores(spark):
+    """The smallest table is one row group, which was one task."""
+    from quillmark.queries import queries
+
+    for name in ("audience_intent", "fallback_metrics", "repeated_ngrams_removed", "content_kinds", "advice_by_document", "section_coverage"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id#" in plan and plan.count("REPARTITION_BY_NUM") == 1, name
