@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,11 +64,11 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the scratch folder, read again. A lost executor costs no recomputation."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Cuts the lineage: df as a Parquet table in the scratch folder, read again. A lost executor costs no recomputation. options are the writer's."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,6 +84,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bit_table(keys: DataFrame, most: int, each: int = 16) -> Broadcast:
+    """A table of bits in which that of each key's (h, a hash) low bits is set, broadcast. It has `each` bits or more for a key, and never more than `most`, a power of two.
+
+    A key that isn't there may find its bit set, never the other way round. Rows (word, its 64 bits) are summed by Spark; at most most / 64 of them reach the driver."""
+    bits = min(most, max(1 << 16, 1 << (each * keys.count()).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    rows = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("m")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["w"].to_numpy()] = rows["m"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def is_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes h find their bit set."""
+    at = h.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+    return (bits.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def refuse(df: DataFrame, start: str) -> None:
     """Raises if a column of df has a name that an operator uses for itself."""
     if taken := [c for c in df.columns if c.startswith(start)]:

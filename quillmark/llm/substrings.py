@@ -7,17 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, distinct_rows, small, table, written
+from .common import arrow_map, bit_table, distinct_rows, is_set, small, table, written
 
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: The five highest bits of the 32-bit hash: a cut in 32 places, after the last 32 bytes.
 MASK = np.uint32(0xF8000000)
 #: In place of the hash where no cut may be, inside of a character.
 NEVER = 0xFFFFFFFF
+#: Most bits of the table of repeated chunks that is broadcast (32 MB), whatever the size of the corpus.
+BITS = 1 << 28
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -85,34 +87,58 @@ def cuts(data: np.ndarray, least: int, most: int) -> list[int]:
     return out
 
 
-def chunks(df: DataFrame, id_col: str, text: str, least: int, most: int) -> DataFrame:
-    """_d (id), _t (key of the row), start, end (code points), at, size (bytes), hi, lo (128-bit digest): a row for each chunk."""
+def _cut(x: pa.Array, least: int, most: int) -> Iterator[tuple[bytes, np.ndarray, list[int], list[bytes]]]:
+    """For each text its bytes, the same as an array, the ends of its chunks, and their 128-bit digests."""
+    for t in x.cast(pa.binary()):
+        raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+        data = np.frombuffer(raw, np.uint8)
+        stop = cuts(data, least, most)
+        yield raw, data, stop, [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip([0, *stop], stop, strict=False)]
+
+
+def chunk_keys(df: DataFrame, text: str, least: int, most: int) -> DataFrame:
+    """h, n: the second half of each chunk's digest, and in how many places of a batch it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = [d for *_, ds in _cut(b.column(0), least, most) for d in ds]
+            h, n = np.unique(np.frombuffer(b"".join(digests), np.int64)[1::2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int32))], ["h", "n"])
+
+    return arrow_map(df.select(F.col(text).cast("string").alias("_x")), run, "h bigint, n int")
+
+
+def chunks(df: DataFrame, id_col: str, text: str, least: int, most: int, keys: Broadcast) -> DataFrame:
+    """_d (id), _t (key of the row), c of each text with chunks whose keys may be in the table of bits: these chunks with start, end (code points), at, size (bytes), hi, lo (128-bit digest)."""
     id_type = dict(df.dtypes)[id_col]
     chunk = "array<struct<start:int,end:int,at:int,size:int,hi:bigint,lo:bigint>>"
     fields = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = keys.value
         for b in batches:
-            starts, ends, begins, sizes, digests, offsets = [], [], [], [], [], [0]
-            for t in b.column(2).cast(pa.binary()):
-                raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-                data = np.frombuffer(raw, np.uint8)
-                stop = cuts(data, least, most)
-                begin = [0, *stop[:-1]] if stop else []
-                points = np.cumsum((data & 0xC0) != 0x80) if not raw.isascii() else None
-                at = (points[np.array(stop, np.int64) - 1] if points is not None and stop else np.array(stop, np.int64)).tolist()
+            starts, ends, begins, stops, digests, counts = [], [], [], [], [], []
+            for raw, data, stop, found in _cut(b.column(2), least, most):
+                at = np.array(stop, np.int64)
+                if not raw.isascii():
+                    at = np.cumsum((data & 0xC0) != 0x80)[at - 1]
+                at = at.tolist()
                 starts += [0, *at[:-1]] if at else []
                 ends += at
-                begins += begin
-                sizes += [e - s for s, e in zip(begin, stop, strict=True)]
-                digests += [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(begin, stop, strict=True)]
-                offsets.append(len(ends))
+                begins += [0, *stop[:-1]] if stop else []
+                stops += stop
+                digests += found
+                counts.append(len(stop))
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            parts = [pa.array(x, pa.int32()) for x in (starts, ends, begins, sizes)] + [pa.array(two[:, i], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(fields.value_type)))], ["_d", "_t", "c"])
+            keep = is_set(bits, two[:, 1])
+            left = np.bincount(np.repeat(np.arange(len(counts)), counts)[keep], minlength=len(counts))
+            some = pa.array(left > 0)
+            begins, stops = np.array(begins, np.int64), np.array(stops, np.int64)
+            parts = [pa.array(np.array(x, np.int32)[keep]) for x in (starts, ends, begins, stops - begins)] + [pa.array(two[keep, i]) for i in (0, 1)]
+            offsets = pa.array(np.concatenate(([0], np.cumsum(left[left > 0]))), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(some), b.column(1).filter(some), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, fields=list(fields.value_type)))], ["_d", "_t", "c"])
 
-    rows = arrow_map(df.select(F.col(id_col).alias("_d"), F.xxhash64(F.col(id_col), F.col(text)).alias("_t"), F.col(text).cast("string").alias("_x")), run, f"_d {id_type}, _t bigint, c {chunk}")
-    return rows.select("_d", "_t", F.inline("c"))
+    return arrow_map(df.select(F.col(id_col).alias("_d"), F.xxhash64(F.col(id_col), F.col(text)).alias("_t"), F.col(text).cast("string").alias("_x")), run, f"_d {id_type}, _t bigint, c {chunk}")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -161,8 +187,8 @@ def contexts(docs: DataFrame, reach: int) -> DataFrame:
 def shared_lengths(every: DataFrame) -> DataFrame:
     """hi, lo, back, h, bytes, points: how much of each context some other place of its chunk shares.
 
-    Different contexts are dealt by ranges and sorted, so the longest common prefix is that with a neighbour, and no chunk's places are in one task,
-    however many. Contexts on either side of a range's end are compared on the driver: two for each task.
+    Contexts are dealt by ranges and sorted, so the longest common prefix is that with a neighbour, and no chunk's places are in one task,
+    however many: equal contexts are dealt by their places. Contexts on either side of a range's end are compared on the driver: two for each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +199,19 @@ def shared_lengths(every: DataFrame) -> DataFrame:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n = 0
                 if last is not None:
+                    if last[:4] == r[:4]:
+                        best = len(r[3]) if last[5] != r[5] else best
+                        continue
                     n = common(last[3], r[3]) if last[:3] == r[:3] else 0
                     out.append((*last[:3], last[4], *whole_words(last[3], max(best, n), last[2]), part, last[3] if first else None))
                     first = False
-                last, best = r, len(r[3]) if r[5] else n
+                last, best = r, n
             yield _lengths(out)
         if last is not None:
             yield _lengths([(*last[:3], last[4], *whole_words(last[3], best, last[2]), part, last[3])])
 
-    alike = every.groupBy("hi", "lo", "back", "ctx", "h").agg((F.min("place") != F.max("place")).alias("two"))
-    order = ["hi", "lo", "back", "ctx"]
-    dealt = alike.select(*order, "h", "two").repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["hi", "lo", "back", "ctx", "place"]
+    dealt = every.select(*order[:4], "h", "place").repartitionByRange(*order).sortWithinPartitions(*order)
     out = written(arrow_map(dealt, run, "hi bigint, lo bigint, back boolean, h bigint, bytes int, points int, part int, ctx binary"), "lengths")
     ends = sorted((tuple(r) for r in out.filter("ctx IS NOT NULL").collect()), key=lambda r: (r[6], r[0], r[1], r[2], r[7]))
     more = []
@@ -214,19 +242,22 @@ def extensions(df: DataFrame, id_col: str, text: str, texts: DataFrame, reach: i
     marks = x.filter("`left` OR `right`").groupBy("hi", "lo").agg(F.bool_or("left").alias("ml"), F.bool_or("right").alias("mr"))
     where = x.join(small(marks), ["hi", "lo"]).groupBy("_t").agg(F.collect_list(F.struct("start", "end", "at", "size", "hi", "lo", "left", "right", "ml", "mr")).alias("p"))
     docs = df.select(F.xxhash64(F.col(id_col), F.col(text)).alias("_t"), F.col(text).cast("string").alias("_x")).join(where.hint("shuffle_hash"), "_t")
-    every = written(contexts(docs, reach).withColumn("h", F.xxhash64("ctx")).withColumn("place", F.xxhash64("_t", "pos")), "contexts")
+    every = written(contexts(docs, reach).withColumn("h", F.xxhash64("ctx")).withColumn("place", F.xxhash64("_t", "pos")), "contexts", compression="zstd")
     found = every.filter("edge").join(small(shared_lengths(every)), ["hi", "lo", "back", "h"])
     piece = """named_struct('start', if(back, pos - points, pos), 'end', if(back, pos, pos + points), 'at', if(back, byte - bytes, byte), 'size', bytes)"""
     return found.groupBy("_t").agg(F.collect_set(F.expr(piece)).alias("more"))
 
 
-def repeated_chunks(df: DataFrame, id_col: str, text: str, least: int, most: int) -> DataFrame:
-    """_d, _t, c of each text with repeated chunks: c are those chunks in order, with n (their places) and first_id (their least id, null if all are null)."""
-    every = chunks(df, id_col, text, least, most)
+def repeated_chunks(df: DataFrame, id_col: str, text: str, least: int, most: int, bits: int = BITS) -> DataFrame:
+    """_d, _t, c of each text with repeated chunks: c are those chunks in order, with n (their places) and first_id (their least id, null if all are null).
+
+    Most chunks are in one place. Half of a digest is counted first, and what isn't in the table of bits of those found twice is never shuffled; the others are counted exactly."""
+    keys = written(chunk_keys(df, text, least, most).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "keys")
+    every = written(chunks(df, id_col, text, least, most, bit_table(keys, bits)), "places", compression="zstd").select("_d", "_t", F.inline("c"))
     often = every.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("first_id"), F.min("_t").alias("t0"), F.max("_t").alias("t1"), F.min("start").alias("s0"), F.max("start").alias("s1"))
-    often = often.filter("n > 1 AND (t0 <> t1 OR s0 <> s1)").select("hi", "lo", "n", "first_id")
-    places = every.join(often, ["hi", "lo"]).select("_d", "_t", "start", "end", "at", "size", "n", "first_id", "hi", "lo")
-    return places.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "end", "at", "size", "n", "first_id", "hi", "lo"))).alias("c"))  # one text's chunks
+    often = written(often.filter("n > 1 AND (t0 <> t1 OR s0 <> s1)").select("hi", "lo", "n", "first_id"), "often")  # as a table, so that Spark can split the join at a chunk of very many places
+    places = every.join(often.hint("merge"), ["hi", "lo"]).select("_d", "_t", "start", "end", "at", "size", "n", "first_id", "hi", "lo")
+    return places.repartition("_t").groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "end", "at", "size", "n", "first_id", "hi", "lo"))).alias("c"))  # one text's chunks
 
 
 def owned_by_others(texts: DataFrame) -> DataFrame:
@@ -265,7 +296,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     df = distinct_rows(df, id_col, text)
     texts = repeated_chunks(df, id_col, text, least, most)
     if whole and min_bytes > 0:
-        texts = written(texts, "chunks")
+        texts = written(texts, "chunks", compression="zstd")
         texts = texts.join(extensions(df, id_col, text, texts, most).hint("shuffle_hash"), "_t", "left").withColumn("c", F.expr("""if(more IS NULL, c, array_sort(concat(c, transform(more, m -> named_struct('start', m.start,
             'end', m.end, 'at', m.at, 'size', m.size, 'n', c[0].n, 'first_id', c[0].first_id, 'hi', cast(null AS bigint), 'lo', cast(null AS bigint))))))"""))
     out = stretches(texts, dict(df.dtypes)[id_col])

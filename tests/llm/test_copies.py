@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import decontamination, neardup, substrings
-from quillmark.llm.common import table
+from quillmark.llm.common import bit_table, table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -239,6 +239,32 @@ def test_shared_lengths_are_those_of_all_pairs(spark):
         assert got.get((d, keys[d, c]), 0) == substrings.whole_words(c, n, False)[0]
 
 
+def test_equal_contexts_in_many_ranges(spark):
+    """Places of one context are dealt over several ranges, and it is found once, shared as a whole; what is in one place alone is not."""
+    rows = [(1, 1, False, bytearray(b"all the same words"), i) for i in range(3000)] + [(2, 1, False, bytearray(b"once"), 1), (2, 1, True, bytearray(b"once"), 2)]
+    df = spark.createDataFrame(rows, "hi bigint, lo bigint, back boolean, ctx binary, place bigint").repartition(4)
+    got = substrings.shared_lengths(df.withColumn("h", F.xxhash64("ctx")))
+    assert [(r.hi, r.lo, r.back, r.bytes, r.points) for r in got.collect()] == [(1, 1, False, 18, 18)]
+
+
+def test_chunks_of_one_place_are_not_shuffled(spark):
+    """Only chunks that may be repeated leave the tasks, and a table of bits that is full loses none and adds none."""
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    docs = [(i, prose(rng, 200)) for i in range(60)] + [(100 + i, f"{prose(rng, 30)} {passage} é{prose(rng, 30)}") for i in range(3)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    keys = substrings.chunk_keys(df, "text", 24, 256).groupBy("h").agg(F.sum("n").alias("n"))
+    assert keys.agg(F.sum("n")).first()[0] > 1000
+    left = substrings.chunks(df, "doc_id", "text", 24, 256, bit_table(keys.filter("n > 1").select("h"), 1 << 20)).collect()
+    assert {100, 101, 102} <= {r._d for r in left} and sum(len(r.c) for r in left) < 60
+    for r in left:
+        text = dict(docs)[r._d]
+        for c in r.c:
+            assert text.encode()[c.at : c.at + c.size].decode() == text[c.start : c.end]
+    full, wide = (sorted(map(repr, substrings.repeated_chunks(df, "doc_id", "text", 24, 256, bits).collect())) for bits in (64, 1 << 20))
+    assert full == wide and len(wide) == 3
+
+
 def test_substrings_of_odd_rows(nasty, none):
     assert substrings.repeated_spans(none).count() == 0
     assert {r.doc_id for r in substrings.repeated_spans(nasty, min_bytes=32).collect()} <= {1, 4, 7}
