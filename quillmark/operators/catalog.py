@@ -108,15 +108,21 @@ def archive(rows: DataFrame, at: str, as_of: Column, days: int, path: str, by: l
     return rows.filter(~F.coalesce(old, F.lit(False)))
 
 
-def registered(artifacts: DataFrame, inputs: DataFrame, failed: DataFrame) -> DataFrame:
-    """Artifacts (artifact_id, run_id, stage, name, key, policy) as they are put on record: with status ACTIVE, the inputs that are known as (artifact_id, stage, name, key) in
+def registered(artifacts: DataFrame, inputs: DataFrame, failed: DataFrame, held: tuple[str, ...] = ("artifact_id", "stage", "name", "key")) -> DataFrame:
+    """Artifacts (artifact_id, run_id, stage, name, key, policy) as they are put on record: with status ACTIVE, the inputs that are known as structs of the columns `held` in
     order of their ids, and policy delete_after_90_days_if_failed for delete_after_90_days in runs that failed.
 
-    inputs: artifact_id, input_id; failed: run_id. Unknown and repeated inputs are left out.
+    inputs: artifact_id, input_id; failed: run_id. Unknown and repeated inputs are left out. Inputs are dealt once by input_id and once, as flat rows, by artifact_id; of runs only ids are
+    shuffled. Artifacts that are dealt by artifact_id already aren't shuffled again.
     """
-    known = artifacts.select(F.col("artifact_id").alias("input_id"), F.struct("artifact_id", "stage", "name", "key").alias("i"))
-    held = inputs.distinct().join(known, "input_id").groupBy("artifact_id").agg(F.array_sort(F.collect_list("i")).alias("inputs"))  # an artifact's inputs are few
-    x = artifacts.join(failed.select("run_id").distinct().withColumn("_f", F.lit(True)), "run_id", "left").join(held, "artifact_id", "left")
+    runs = failed.select("run_id").distinct()
+    x = artifacts.filter("artifact_id IS NOT NULL")
+    known = x.select(F.col("artifact_id").alias("input_id"), F.struct(*held).alias("i"))
+    found = inputs.filter("artifact_id IS NOT NULL").join(known.hint("merge"), "input_id").select("artifact_id", "i")  # by sizes of files alone Spark may take millions of rows for few and broadcast them
+    found = found.repartition("artifact_id").groupBy("artifact_id").agg(F.array_sort(F.collect_set("i")).alias("inputs"))  # an artifact's inputs are few
+    due = x.filter(F.col("policy") == "delete_after_90_days").select("artifact_id", "run_id").join(runs, "run_id", "left_semi")
+    due = due.repartition("artifact_id").groupBy("artifact_id").agg(F.collect_set("run_id").alias("_f"))
+    out = x.join(due.hint("merge"), "artifact_id", "left").join(found.hint("merge"), "artifact_id", "left").withColumn("_f", F.array_contains("_f", F.col("run_id")))
+    bare = artifacts.filter("artifact_id IS NULL").join(runs.withColumn("_f", F.lit(True)), "run_id", "left").withColumn("inputs", F.lit(None).cast(found.schema["inputs"].dataType))
     policy = F.when((F.col("policy") == "delete_after_90_days") & F.col("_f"), "delete_after_90_days_if_failed").otherwise(F.col("policy"))
-    empty = F.array().cast("array<struct<artifact_id:bigint,stage:string,name:string,key:string>>")
-    return x.withColumn("policy", policy).withColumn("inputs", F.coalesce("inputs", empty)).withColumn("status", F.lit("ACTIVE")).drop("_f")
+    return out.unionByName(bare).withColumn("policy", policy).withColumn("inputs", F.coalesce("inputs", F.array().cast(found.schema["inputs"].dataType))).withColumn("status", F.lit("ACTIVE")).drop("_f")

@@ -315,9 +315,11 @@ FROM a LEFT JOIN (SELECT artifact_id, string_agg(input_id || ':' || name, ',' OR
 def registered_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts as they are put on record, with their inputs; order lines stand for artifacts, each made from the two before, orders for runs, of which every fourth failed."""
     n = F.col("l_linenumber")
-    x = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("artifact_id"), F.col("l_orderkey").alias("run_id"), F.concat(F.lit("s"), n).alias("stage"), F.concat(F.lit("a"), n).alias("name"), F.concat(F.lit("k/"), "l_orderkey", F.lit("/"), n).alias("key"), F.when(n % 2 == 0, "delete_after_90_days").otherwise("keep_forever").alias("policy")).distinct()
-    inputs = x.select("artifact_id", F.explode(F.array(F.col("artifact_id") - 1, F.col("artifact_id") - 2)).alias("input_id"))
-    out = A.registered(x, inputs, x.filter("run_id % 4 = 0").select("run_id"))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("artifact_id"), F.col("l_orderkey").alias("run_id"), n).repartition("artifact_id").distinct()  # numbers alone are shuffled, once
+    x = lines.select("artifact_id", "run_id", F.concat(F.lit("s"), n).alias("stage"), F.concat(F.lit("a"), n).alias("name"), F.concat(F.lit("k/"), "run_id", F.lit("/"), n).alias("key"), F.when(n % 2 == 0, "delete_after_90_days").otherwise("keep_forever").alias("policy"))
+    inputs = lines.select("artifact_id", F.explode(F.array(F.col("artifact_id") - 1, F.col("artifact_id") - 2)).alias("input_id"))
+    failed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id")).filter("run_id % 4 = 0")
+    out = A.registered(x, inputs, failed, ("artifact_id", "name"))
     return out.withColumn("inputs", F.array_join(F.transform("inputs", lambda i: F.concat(i["artifact_id"], F.lit(":"), i["name"])), ","))
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import chunking, dedup, evaluation, models, search, vectors
-from quillmark.plans.run_queries import letters
+from quillmark.operators import catalog, chunking, dedup, evaluation, models, search, vectors
+from quillmark.plans.run_queries import letters, registered_artifacts
 from quillmark.sources import collections, files, runs
 
 
@@ -187,3 +188,23 @@ def test_whole_texts_stay_in_their_rows(spark):
     df = spark.createDataFrame([(1, "a")], "k int, text string")
     for out in (chunking.pages(df, "k"), chunking.sections(df, "k"), dedup.without_boilerplate(df, "k"), dedup.without_repeated_ngrams(df, "k")):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_registered_artifacts_shuffle_numbers_and_names(spark, capsys):
+    """Lines are dealt once by their numbers; no exchange carries a stage, key or policy."""
+    registered_artifacts(spark, "/root/testdata/sf0.001").explain("formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    assert moved and not [m for m in moved if re.search(r"\b(stage|key|policy)#", m)]
+
+
+def test_registered_artifacts_of_odd_rows(spark):
+    """Null and repeated ids, unknown and repeated inputs, runs that failed twice."""
+    a = spark.createDataFrame(
+        [(1, 7, "s", "a", "k1"), (2, 7, "s", "b", "k2"), (2, 8, "s", "c", "k3"), (None, 7, "s", "d", "k4"), (3, None, "s", "e", "k5"), (None, None, "s", "f", "k6")],
+        "artifact_id bigint, run_id bigint, stage string, name string, key string",
+    ).withColumn("policy", F.lit("delete_after_90_days"))
+    i = spark.createDataFrame([(3, 2), (3, 2), (3, 1), (3, 99), (3, None), (None, 1), (1, 1)], "artifact_id bigint, input_id bigint")
+    out = catalog.registered(a, i, spark.createDataFrame([(7,), (7,), (None,)], "run_id bigint")).collect()
+    got = {r.name: (r.policy.endswith("if_failed"), [(x.artifact_id, x.name, x.key) for x in r.inputs], r.status) for r in out}
+    assert len(out) == 6 and {n: g[0] for n, g in got.items()} == {"a": True, "b": True, "c": False, "d": True, "e": False, "f": False}
+    assert got["e"][1] == [(1, "a", "k1"), (2, "b", "k2"), (2, "c", "k3")] and got["a"][1] == [(1, "a", "k1")] and not got["d"][1] and {g[2] for g in got.values()} == {"ACTIVE"}
