@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, small, table, written
-from .neardup import _mixed, class_groups, leads_of, members_of, settled, shingles
+from .neardup import _mixed, binaries, class_groups, leads_of, members_of, settled, shingles_of
 
 #: Counters of the shingles' loads, which put them in order from the rarest on.
 LOADS = 1 << 18
 #: Largest set whose subsets are ever enumerated; beyond it they are over ten thousand.
 MOST_LIGHT = 32
+#: Shingles that are worked on at once.
+BLOCK = 1 << 17
 #: Bits of a set's parity table.
 ODD = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -36,15 +38,34 @@ def subset_sizes(size: int, percent: int) -> list[int]:
     return sorted({o for s in sizes if (o := overlap(size, s, percent)) <= min(s, size) and not o == s == size})
 
 
+def blocks(sets: Iterable[np.ndarray], most: int = BLOCK) -> Iterator[list[np.ndarray]]:
+    """The sets that aren't empty, in lists of about `most` shingles."""
+    out, n = [], 0
+    for s in sets:
+        if len(s):
+            out.append(s)
+            n += len(s)
+        if n >= most:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
+def key_rows(cls: list[bytes], each: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Rows (cls, key): each class has its number of the keys, which follow one another."""
+    rows = pa.array(cls, pa.binary()).take(pa.array(np.repeat(np.arange(len(cls)), each)))
+    return pa.RecordBatch.from_arrays([rows, pa.array(keys.view(np.int64))], ["cls", "key"])
+
+
 def loads(df: DataFrame, k: int, text: str, counters: int = LOADS) -> np.ndarray:
     """How many of df's sets have a shingle that falls to each counter: a fixed number of sums, made by task and then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.int64)
         for b in batches:
-            for t in b.column(0).cast(pa.binary()):
-                if t.is_valid:
-                    total += np.bincount((shingles(t.as_buffer().to_pybytes(), k) % np.uint64(counters)).astype(np.int64), minlength=counters)
+            for sets in blocks(shingles_of(binaries(b.column(0)), k)):  # a block's counters at once, as they are far more than a text's shingles
+                total += np.bincount((np.concatenate(sets) % np.uint64(counters)).astype(np.int64), minlength=counters)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["at", "n"])
 
@@ -63,8 +84,7 @@ def prefixes(df: DataFrame, k: int, percent: int, load: Broadcast, id_col: str,
         usual = n_of.mean()
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
-            for t in b.column(1).cast(pa.binary()):
-                s = shingles(t.as_buffer().to_pybytes(), k) if t.is_valid else ()
+            for s in shingles_of(binaries(b.column(1)), k):
                 if not len(s):
                     row = (0, None, None, None, None, None)
                 else:
@@ -90,20 +110,31 @@ def boundary(by_size: list[tuple[int, int, int]], percent: int, most: int = MOST
     return min(range(most, -1, -1), key=cost)
 
 
+def subsets(sets: np.ndarray, percent: int) -> np.ndarray:
+    """A hash of each subset of each size that a link needs: a row for each row of sets, which are equally large."""
+    size, keys = sets.shape[1], []
+    for o in subset_sizes(size, percent):
+        out = np.array(list(itertools.combinations(range(size), size - o)), np.int64).reshape(math.comb(size, o), size - o)  # what is left out, which may be nothing
+        own = _mixed(sets * _P + np.uint64(o))
+        keys.append(_mixed(own.sum(axis=1, dtype=np.uint64)[:, None] - own[:, out].sum(axis=2, dtype=np.uint64) + np.uint64(o)))
+    return np.concatenate(keys, axis=1) if keys else np.empty((len(sets), 0), np.uint64)
+
+
 def subset_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """cls, key: a hash of each subset of each size that a link needs, from small sets (cls, items)."""
+    """cls, key: a hash of each subset of each size that a link needs, from small sets (cls, items). Sets of one size are taken together, as many as give about BLOCK shingles left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c, items in zip(b.column(0), b.column(1), strict=True):
-                s = items.values.to_numpy().view(np.uint64)
-                keys = []
-                for o in subset_sizes(len(s), percent):
-                    out = np.array(list(itertools.combinations(range(len(s)), len(s) - o)), np.int64).reshape(math.comb(len(s), o), len(s) - o)  # what is left out, which may be nothing
-                    own = _mixed(s * _P + np.uint64(o))
-                    keys.append(_mixed(own.sum(dtype=np.uint64) - own[out].sum(axis=1, dtype=np.uint64) + np.uint64(o)))
-                got = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([c.as_py()] * len(got), pa.binary()), pa.array(got.view(np.int64))], ["cls", "key"])
+            by_size: dict[int, list[tuple[bytes, np.ndarray]]] = {}
+            for c, items in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                by_size.setdefault(len(items), []).append((c, items.values.to_numpy().view(np.uint64)))
+            for size, same in by_size.items():
+                step = max(1, BLOCK // max(1, sum(math.comb(size, o) * max(1, size - o) for o in subset_sizes(size, percent))))
+                for i in range(0, len(same), step):
+                    cls, rows = zip(*same[i : i + step], strict=True)
+                    keys = subsets(np.stack(rows), percent)
+                    if keys.size:
+                        yield key_rows(cls, np.full(len(cls), keys.shape[1]), keys.ravel())
 
     return arrow_map(sets, run, "cls binary, key bigint")
 
@@ -132,22 +163,32 @@ def size_groups(size: int, percent: int) -> list[tuple[int, int]]:
         band, low, before = band + 1, top + 1, (band, parts)
 
 
+def parts_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many parts each of the sets has in its size groups, and their keys, set by set."""
+    groups = [size_groups(len(s), percent) for s in sets]
+    copies = [s for s, g in zip(sets, groups, strict=True) for _ in g]  # each set once for each of its groups
+    sizes = np.array([len(s) for s in copies])
+    group, parts = np.array([x for g in groups for x in g], np.uint64).T
+    s = np.concatenate(copies)
+    first = np.cumsum(parts, dtype=np.uint64) - parts  # where a copy's parts start
+    width = np.uint64((1 << 64) - 1) // parts
+    at = np.minimum(s // np.repeat(width, sizes), np.repeat(parts - np.uint64(1), sizes)) + np.repeat(first, sizes)
+    own = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s * _P), dtype=np.uint64)])
+    ends = own[np.concatenate([[0], np.cumsum(np.bincount(at.astype(np.int64), minlength=int(parts.sum())))])]
+    each = parts.astype(np.int64)
+    nth = np.arange(each.sum(), dtype=np.uint64) - np.repeat(first, each)
+    keys = _mixed(_mixed(ends[1:] - ends[:-1]) + nth * _P + np.repeat(group, each))
+    return np.array([sum(n for _, n in g) for g in groups]), keys
+
+
 def part_keys(df: DataFrame, k: int, percent: int, text: str) -> DataFrame:
     """cls, key of each part of each text's set: the range of hashes is cut into the parts of the set's size groups. Two linked sets have an equal part, as they differ in fewer shingles than there are parts; sets that only share a passage have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0).cast(pa.binary()):
-                s = shingles(t.as_buffer().to_pybytes(), k) if t.is_valid else ()
-                if not len(s):
-                    continue
-                own, keys = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s * _P), dtype=np.uint64)]), []
-                for group, parts in size_groups(len(s), percent):
-                    edges = np.searchsorted(s, np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts))
-                    ends = own[np.concatenate([[0], edges, [len(s)]])]
-                    keys.append(_mixed(_mixed(ends[1:] - ends[:-1]) + np.arange(parts, dtype=np.uint64) * _P + np.uint64(group)))
-                got = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes())] * len(got), pa.binary()), pa.array(got.view(np.int64))], ["cls", "key"])
+            for sets in blocks(shingles_of(binaries(b.column(0)), k)):
+                each, keys = parts_of(sets, percent)
+                yield key_rows([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], each, keys)
 
     return arrow_map(df.select(F.col(text).cast("string")), run, "cls binary, key bigint")
 

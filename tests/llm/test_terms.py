@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmark.llm import collocations, divergence, neardup, selection, setjoin
@@ -180,6 +181,56 @@ def test_subsets_that_leave_nothing_out(spark):
     assert all(of(n) & of(n + 1) for n in range(9, 32))
 
 
+def mapped(monkeypatch, make, batch):
+    """The batches that a mapping's function gives for a batch, without Spark's own batching."""
+    runs = []
+    monkeypatch.setattr(setjoin, "arrow_map", lambda df, run, schema: runs.append(run))
+    make()
+    return list(runs[0](iter([batch])))
+
+
+def test_keys_are_made_by_blocks_of_texts(spark, monkeypatch):
+    """A few batches of rows for all texts of a batch, with the keys that each text has by itself."""
+    rng = random.Random(13)
+    texts = [None, "", " \n\t", "a", "A b", "a b c"] + [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 400))) for _ in range(300)]
+    df = spark.createDataFrame([("",)], "text string")
+    of = lambda some: [(c, k) for b in mapped(monkeypatch, lambda: setjoin.part_keys(df, 3, 90, "text"), pa.RecordBatch.from_pydict({"text": pa.array(some, pa.string())})) for c, k in zip(*[x.to_pylist() for x in b.columns], strict=True)]
+    whole = mapped(monkeypatch, lambda: setjoin.part_keys(df, 3, 90, "text"), pa.RecordBatch.from_pydict({"text": texts}))
+    assert len(whole) == 1 and of(texts) == [x for t in texts for x in of([t])]
+
+    sets = [(bytes([i % 256, n]), sorted(rng.sample(range(1 << 40), n))) for i in range(300) for n in (9, 10, 14)]
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.binary()), pa.array([s for _, s in some], pa.list_(pa.int64()))], ["cls", "items"])
+    made = lambda some: mapped(monkeypatch, lambda: setjoin.subset_keys(df, 90), batch(some))
+    rows_of = lambda bs: sorted((c, k) for b in bs for c, k in zip(*[x.to_pylist() for x in b.columns], strict=True))
+    assert len(made(sets)) <= 6 and rows_of(made(sets)) == sorted(x for s in sets for x in rows_of(made([s])))
+
+
+def test_loads_are_summed_by_blocks(spark, monkeypatch):
+    """The counters, which are far more than a text's shingles, are gone through once for many texts."""
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or bincount(*a, **k))
+    texts = [f"one two three {i} four" for i in range(500)] + [None, ""]
+    df = spark.createDataFrame([("",)], "text string")
+    runs = []
+    monkeypatch.setattr(setjoin, "arrow_map", lambda x, run, schema: runs.append(run) or spark.createDataFrame([(0, 0)], "at bigint, n bigint"))
+    setjoin.loads(df, 3, "text")
+    (got,) = runs[0](iter([pa.RecordBatch.from_pydict({"text": texts})]))
+    assert len(calls) == 1 and sum(got["n"].to_pylist()) == 500 * 3 and max(got["n"].to_pylist()) >= 500
+
+
+@pytest.mark.parametrize("words", [1, 3, 7, 1 << 15])
+def test_shingles_do_not_cross_texts(monkeypatch, words):
+    """However texts fall into blocks, each has the shingles that it has by itself."""
+    monkeypatch.setattr(neardup, "BLOCK_WORDS", words)
+    texts = [b"a b c d", None, b"", b"c d", b"a", b"A B\x0bc\td", b" \n ", b"c d a b c d", b"a"]
+    for k in (1, 2, 3, 5):
+        got = [s.tolist() for s in neardup.shingles_of(texts, k)]
+        assert got == [next(neardup.shingles_of([t], k)).tolist() for t in texts]
+        w = [t.lower().split() if t else [] for t in texts]
+        assert [len(s) for s in got] == [len({tuple(x[i : i + k]) for i in range(max(1, len(x) - k + 1))}) if x else 0 for x in w]
+        assert got[0] == got[5] and got[4] == got[8] and all(s == sorted(set(s)) for s in got)
+
+
 def test_small_sets_join_by_their_subsets(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "boundary", lambda *_: setjoin.MOST_LIGHT)
     w = [f"w{i}" for i in range(12)]
