@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .text import let, n_words, stripped
+from .text import let
 
 #: Fixed patterns of audiences; the first of equal counts wins.
 AUDIENCES = {
@@ -134,10 +140,97 @@ def route(text: Column, filename: Column) -> Column:
     return F.when((count(MEDICAL_WORDS) >= 2) | has(MEDICAL_PHRASES), "MEDICAL").when(bank, "FINANCIAL").when(has(REGULATORY_WORDS), "REGULATORY").otherwise("TECH")
 
 
+#: What `evidence` counts: words, words also cut at stops, parts between stops, medical keywords, medical terms, matches of each kind.
+EVIDENCE = ("words", "cut_words", "sentences", "keywords", "terms", *KINDS)
+#: Blanks are 1 and stops are 2 among the bytes of a text.
+BYTES = np.zeros(256, np.uint8)
+BYTES[[32, *range(9, 14)]] = 1
+BYTES[list(b".!?")] = 2
+
+
+def _where(text: pa.Array, pattern: str) -> np.ndarray:
+    return np.flatnonzero(pc.match_substring_regex(text, pattern).to_numpy(zero_copy_only=False))
+
+
+def _matches(text: pa.Array, patterns: tuple[str, ...]) -> np.ndarray:
+    """How often the patterns match in each text, added up. Texts without any are found in one search."""
+    n = np.zeros(len(text), np.int64)
+    at = _where(text, "(?im)" + "|".join(patterns))
+    some = text.take(pa.array(at))
+    for p in patterns if len(at) else ():
+        k = pc.count_substring_regex(some, "(?im)" + p).to_numpy().astype(np.int64)
+        if p[0] == "^" and (again := np.flatnonzero(k > 1)).size:  # the count cuts off what it found, so a line would begin behind it; a replacement doesn't
+            whole = some.take(pa.array(again))
+            k[again] = pc.binary_length(pc.replace_substring_regex(whole, "(?im)" + p, r"\0.")).to_numpy() - pc.binary_length(whole).to_numpy()
+        n[at] += k
+    return n
+
+
+def _said(text: pa.Array) -> dict[int, set[bytes]]:
+    """The clinical phrasings of the texts that have any, by the texts' places."""
+    at = _where(text, "(?i)" + "|".join(CLINICAL))
+    out: dict[int, set[bytes]] = {int(i): set() for i in at}
+    some = text.take(pa.array(at))
+    for mark in ("\x02", "\x03") if len(at) else ():  # marks for what is found; to the patterns all control characters are alike
+        some = pc.replace_substring(some, mark, "\x04")
+    for p in CLINICAL if len(at) else ():
+        hit = _where(some, "(?i)" + p)
+        found = pc.replace_substring_regex(some.take(pa.array(hit)), "(?i)" + p, "\x02\\0\x03")
+        for i, t in zip(at[hit], found.cast(pa.large_binary()).to_pylist(), strict=True):
+            out[int(i)].update(m.decode()[:80].encode() for m in re.findall(rb"\x02([^\x03]*)\x03", t))
+    return out
+
+
+def _medical(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keywords and terms of each text."""
+    low = pc.ascii_lower(text)
+    for sign, letter in (("\u212a", "k"), ("\u0130", "i")):  # the two other signs with a plain letter for their lower case
+        low = pc.replace_substring(low, sign, letter)
+    keywords, subjects = ([w.encode() for w in words] for words in (MEDICAL_KEYWORDS, MEDICAL_SUBJECTS))
+    out, said = np.zeros((2, len(text)), np.int64), _said(text)
+    at = sorted({*said, *_where(low, "|".join(MEDICAL_KEYWORDS + MEDICAL_SUBJECTS)).tolist()})
+    for i, t in zip(at, low.take(pa.array(at, pa.int64())).cast(pa.large_binary()).to_pylist(), strict=True):
+        found = [w for w in keywords if w in t]
+        out[:, i] = len(found), min(50, len({*found, *(w for w in subjects if w in t), *said.get(i, ())}))
+    return out[0], out[1]
+
+
+def _begun(inside: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many runs of places inside begin in each text, from the places where texts end (0 in front)."""
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = ends[:-1][np.diff(ends) > 0]
+    first[starts] = inside[starts]
+    return _per_text(first, ends)
+
+
+def _per_text(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.array([np.count_nonzero(marks[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.int64)
+
+
+def _sizes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, words also cut at stops, and parts between stops that aren't blank, of each text: runs among the bytes of all texts."""
+    text = text.cast(pa.large_binary())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    kind = BYTES[np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    ends, full = ends - ends[0], kind != 1
+    full_ends = np.concatenate([[0], np.cumsum(_per_text(full, ends))])
+    return _begun(full, ends), _begun(kind == 0, ends), _begun(kind[full] != 2, full_ends)
+
+
+@F.arrow_udf(StructType([StructField(k, IntegerType()) for k in EVIDENCE]))
+def evidence(text: pa.Array) -> pa.Array:
+    """struct of `EVIDENCE` of a text (null: empty). Forty patterns and a hundred words are looked for in batches, by the engine whose patterns they are (RE2), in time that grows with the text alone."""
+    text, out = text.fill_null(""), [np.zeros((len(EVIDENCE), 0), np.int64)]
+    for i in range(0, len(text), 256):
+        part = text[i : i + 256]
+        out.append([*_sizes(part), *_medical(part), *(_matches(part, p) for p in KINDS.values())])
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(c), pa.int32()) for c in zip(*out, strict=True)], list(EVIDENCE))
+
+
 def kind_matches(text: Column, kind: str) -> Column:
-    """How often the patterns of a kind match; their list is walked at run time, so forty of them don't outgrow the size of compiled code."""
-    patterns = F.array(*[F.lit("(?imd)" + p) for p in KINDS[kind]])
-    return F.aggregate(patterns, F.lit(0), lambda a, p: a + F.regexp_count(text, p))
+    """How often the patterns of a kind match."""
+    return evidence(text)[kind]
 
 
 def kind_score(n: Column, words: Column) -> Column:
@@ -150,10 +243,8 @@ def kind_score(n: Column, words: Column) -> Column:
 
 def medical_evidence(text: Column) -> dict[str, Column]:
     """keywords (how many of the words occur), terms (distinct words, subjects and phrasings that occur, 50 at most), both as numbers."""
-    low = F.lower(text)
-    parts = lambda words: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
-    said = [F.transform(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)), lambda m: F.substring(stripped(m), 1, 80)) for p in CLINICAL]
-    return {"keywords": F.size(parts(MEDICAL_KEYWORDS)), "terms": F.least(F.lit(50), F.size(F.array_distinct(F.concat(parts(MEDICAL_KEYWORDS), parts(MEDICAL_SUBJECTS), *said))))}
+    e = evidence(text)
+    return {"keywords": e["keywords"], "terms": e["terms"]}
 
 
 def prior(filename: Column) -> Column:
@@ -230,10 +321,14 @@ def detect(counts: dict[str, Column], words: Column, keywords: Column, terms: Co
 
 def setup(kind: Column, text: Column) -> Column:
     """struct(size, overlap, strategy) of a kind, changed by sentence length and by the text's length, inside the kind's limits."""
+    return setup_by(kind, evidence(text))
+
+
+def setup_by(kind: Column, e: Column) -> Column:
+    """`setup` by a text's evidence."""
     pick = lambda i: F.element_at(F.create_map(*[x for k, v in SETUPS.items() for x in (F.lit(k), F.lit(v[i]))]), kind)
-    parts = F.filter(F.transform(F.split(text, "[.!?]+"), stripped), lambda s: s != "")
-    w = n_words(text)
-    mean = n_words(F.regexp_replace(text, "[.!?]+", " ")) / F.greatest(F.size(parts), F.lit(1))
+    w = e["words"]
+    mean = e["cut_words"] / F.greatest(e["sentences"], F.lit(1))
     by = F.when(mean > 30, 1.2).when(mean < 15, 0.8).otherwise(1.0)
     size, overlap = F.floor(pick(0) * by), F.floor(pick(1) * by)
     size2 = F.when(w < 100, F.least(size, w * 4)).when(w > 10000, F.floor(size * 1.1)).otherwise(size)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import classify as K
 from ..functions import text as T
 from ..operators import quality as Q
-from ..session import table
+from ..session import small_batches, table
 from .registry import query
 from .text_queries import NW, STRIP, dealt_docs, docs
 
@@ -80,10 +80,10 @@ SELECT doc_id, kind, CASE WHEN len(q) = 0 THEN 0.3::DOUBLE ELSE round(-best.s, 6
 def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of content of each document with the evidence, and the chunking setup for it; ids stand for file names, the hint is legal."""
     t, m = F.col("text"), F.col("doc_id") % 3
-    x = dealt_docs(spark, sf_dir).withColumn("file", F.concat("source", F.when(m == 0, ".py").when(m == 1, ".MD").otherwise(".pdf")))
-    x = x.select("doc_id", "text", K.prior(F.col("file")).alias("prior"), T.n_words(t).alias("w"), *[c.alias(k) for k, c in K.medical_evidence(t).items()], *[K.kind_matches(t, k).alias(k) for k in K.KINDS])
-    x = x.withColumn("c", K.detect({k: F.col(k) for k in K.KINDS}, F.col("w"), F.col("keywords"), F.col("terms"), F.col("prior"), F.lit("legal")))
-    x = x.withColumn("s", K.setup(F.col("c.kind"), t))
+    x = small_batches(dealt_docs(spark, sf_dir)).withColumn("file", F.concat(F.col("doc_id").cast("string"), F.when(m == 0, ".py").when(m == 1, ".MD").otherwise(".pdf")))
+    x = x.select("doc_id", K.prior(F.col("file")).alias("prior"), K.evidence(t).alias("e"))
+    x = x.withColumn("c", K.detect({k: F.col("e")[k] for k in K.KINDS}, F.col("e.words"), F.col("e.keywords"), F.col("e.terms"), F.col("prior"), F.lit("legal")))
+    x = x.withColumn("s", K.setup_by(F.col("c.kind"), F.col("e")))
     return x.select("doc_id", "c.kind", "c.confidence", "c.gap", F.transform("c.candidates", lambda v: v["kind"]).alias("candidates"), "c.density", "c.boosted", "s.*")
 
 

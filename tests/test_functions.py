@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +276,35 @@ def test_long_work_is_dealt_over_all_cores(spark):
     for name in ("audience_intent", "fallback_metrics", "repeated_ngrams_removed", "content_kinds", "advice_by_document", "section_coverage"):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(doc_id#" in plan and plan.count("REPARTITION_BY_NUM") == 1, name
+
+
+def odd_texts():
+    """Parts of the patterns of kinds with odd cases, signs and blanks among them."""
+    rng = random.Random(11)
+    parts = sorted({w for ps in K.KINDS.values() for p in ps for w in re.findall(r"[A-Za-z]{2,}", p)} | {*K.MEDICAL_KEYWORDS, *K.MEDICAL_SUBJECTS, "patients with x", "type 1 diabetes", "adverse event", "treatment of Y"})
+    parts += ["10:15 AM hi", "Bob: hi", "[a](b)", "[a] (b)", "[x] y", "<a> b", "```py", "# t", "* i", "1. x", "1.2 x", "// c", "/* c */", "a = b = c", "f(x)", "from if x", "import"] * 4
+    gaps = [*" " * 9, *"\n\n\n\t\r\x0b\x0c\x85\xa0\u3000_-.!?é日0\x00\x02\x03\x1c:([]=", "\n  ", "\n\n", "\r\n", ". ", ""]
+    odd = [str, str, str, str.upper, str.title, *[lambda w, a=a, b=b: w.replace(a, b) for a, b in (("s", "\u017f"), ("k", "\u212a"), ("i", "\u0130"), ("i", "\u0131"))]]
+    rows = ["", " ", ".", " . . ", None, "# a\n# b\n#c", "import\nfrom x", "import\n  from x", "a = b = c\nd=e=f", "[a](b) [c](d)", "[" * 300, "x" * 5000, "\n" * 20_000 + "#"]
+    return rows + ["".join(rng.choice(odd)(rng.choice(parts)) + rng.choice(gaps) for _ in range(rng.choice((1, 3, 10, 40, 200)))) for _ in range(600)]
+
+
+def test_content_kinds_of_odd_texts_are_those_of_their_sql(spark, tmp_path):
+    from quillmark.queries import oracle_sql, queries
+
+    rows = [(i, t, "en", ("a.", "", None, "b")[i % 4], 1) for i, t in enumerate(odd_texts())]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cells = lambda found: {r[0]: [f"{v:.9g}" if isinstance(v, float) else v for v in r[1:]] for r in found}
+    got, want = cells(map(tuple, queries()["content_kinds"](spark, str(tmp_path)).collect())), cells(duck.execute(oracle_sql()["content_kinds"]).fetchall())
+    assert len(got) == len(rows) and [i for i in want if got[i] != want[i]] == []
+
+
+def test_content_kinds_look_at_texts_once(spark):
+    """One pass over batches of texts: no pattern is tried text by text."""
+    from quillmark.queries import queries
+
+    plan = queries()["content_kinds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all(text" not in plan and "lower(text" not in plan
+    assert K.evidence.func(pa.array([], pa.string())).to_pylist() == []
